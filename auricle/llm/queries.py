@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, lines
+from . import bpe, lines, media, warc
 
 QUERIES = {
+    "op2_media": media.op2_media,
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_bpe": bpe.op6_bpe,
+    "op8_warc": warc.op8_warc,
 }
 
 ORACLE_SQL = {
     "op5_line_dedup": lines.OP5_SQL,
+    "op8_warc": warc.OP8_SQL,
 }
