@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, media, substring, warc
+from . import bpe, lines, media, near, substring, warc
 
 QUERIES = {
     "op2_media": media.op2_media,
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_bpe": bpe.op6_bpe,
+    "op7_minhash": near.op7_minhash,
     "op8_warc": warc.op8_warc,
     "op10_substring_dedup": substring.op10_substring_dedup,
 }
 
 ORACLE_SQL = {
     "op5_line_dedup": lines.OP5_SQL,
+    "op7_minhash": near.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
     "op10_substring_dedup": substring.OP10_SQL,
 }
