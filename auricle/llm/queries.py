@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, media, near, substring, warc
+from . import bpe, decontaminate, licences, lines, media, mixing, near, substring, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_media": media.op2_media,
+    "op3_context_mixing": mixing.op3_context_mixing,
+    "op4_decontamination": decontaminate.op4_decontamination,
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_bpe": bpe.op6_bpe,
     "op7_minhash": near.op7_minhash,
     "op8_warc": warc.op8_warc,
+    "op9_license_scan": licences.op9_license_scan,
     "op10_substring_dedup": substring.op10_substring_dedup,
 }
 
 ORACLE_SQL = {
+    "op4_decontamination": decontaminate.OP4_SQL,
     "op5_line_dedup": lines.OP5_SQL,
     "op7_minhash": near.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
