@@ -6,14 +6,17 @@ document is done (most end at level 0 or 1). Bands of slots give candidates, a 4
 pairs far below the threshold, and full shingle sets decide.
 
 Pairs within a bucket are never all made. Equal word sequences are one text from the start. First each text of a bucket meets three
-centres of it, and the links found are joined into components. Then only texts outside their bucket's largest component meet the
-texts of other components there, so every pair of a bucket is either linked through others, or tested, or too far apart.
+centres of it, and the links found are joined into components. Buckets that still hold several components are joined into clusters.
+In a cluster, blocks of texts outside the largest component are held against blocks of all its texts: a task has one block of each,
+compares sketches as a matrix, and goes through what is near, nearest first, leaving out what its own links have joined by then.
+Only links leave the task. So every pair of a bucket is linked through others, or compared, or too far apart.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,8 @@ SLOTS, ROWS = 128, 4
 BANDS = SLOTS // ROWS
 #: Slots whose 4 bits may differ. At similarity 0.75 the mean is 30 and the deviation 4.8.
 SKETCH_DIFFERENCE = 56
+#: Texts of a block of a cluster.
+BLOCK = 256
 #: So many ids (8 bytes each) are sent to all executors to pick out the texts to compare; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _EMPTY = np.uint64(2**64 - 1)
@@ -133,26 +138,98 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if last is None or last[0] != x:
                 last = (x, shingle_sets([x])[0])
             own = shingle_sets([y])[0]
-            inter = len(np.intersect1d(last[1], own, assume_unique=True))
-            good.append(100 * inter >= PERCENT * (len(last[1]) + len(own) - inter))
+            good.append(_reaches(last[1], own))
         yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
+def _reaches(a: np.ndarray, b: np.ndarray) -> bool:
+    inter = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * inter >= PERCENT * (len(a) + len(b) - inter)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between texts of different components; rows come sorted by (cluster, i, j), one pair of blocks after the other."""
+    out: list[tuple[int, int]] = []
+    rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("cluster", "i", "j", "apart", "rep", "comp", "n_shingles", "sketch")), common.texts(b)))
+    for _, group in groupby(rows, key=lambda r: r[:3]):
+        mine, all_ = [], []
+        for r in group:
+            (mine if r[3] else all_).append(r[4:])
+        if not mine or not all_:
+            continue
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (p := parent.get(x, x)) != x:
+                parent[x] = parent.get(p, p)
+                x = p
+            return x
+
+        sets: dict[int, np.ndarray] = {}
+
+        def set_of(row: tuple) -> np.ndarray:
+            if row[0] not in sets:
+                sets[row[0]] = shingle_sets([row[4]])[0]
+            return sets[row[0]]
+
+        n, m = (np.array([r[2] for r in side]) for side in (mine, all_))
+        x, y = (np.array([r[3] for r in side], np.int64).view(np.uint64) for side in (mine, all_))
+        bits = x[:, None, :] ^ y[None]
+        bits |= bits >> np.uint64(1)
+        bits |= bits >> np.uint64(2)
+        distance = np.bitwise_count(bits & np.uint64(0x1111111111111111)).sum(axis=2, dtype=np.int64)
+        sized = np.minimum(n[:, None], m) * 100 >= np.maximum(n[:, None], m) * PERCENT
+        p, q = np.nonzero(sized & (distance <= SKETCH_DIFFERENCE))
+        for k in np.argsort(distance[p, q], kind="stable").tolist():
+            u, v = mine[p[k]], all_[q[k]]
+            if (a := root(u[1])) != (b := root(v[1])) and _reaches(set_of(u), set_of(v)):
+                parent[max(a, b)] = min(a, b)
+                out.append((min(u[0], v[0]), max(u[0], v[0])))
+    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of the ids, sent to all executors if they are few."""
+    ids = common.stored(ids.distinct(), "compared")
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    return common.stored(docs.join(ids, "doc_id", "left_semi").distinct(), "compared-texts")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Links (a, b) among pairs, confirmed on the full sets."""
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     sized = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
     near = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT) & (differing("s_a", "s_b") <= SKETCH_DIFFERENCE)
     pairs = common.stored(sized.where(near).select("a", "b").distinct(), "pairs")
-    wanted = common.stored(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct(), "compared")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = common.stored(docs.join(wanted, "doc_id", "left_semi").distinct(), "compared-texts")
+    texts = _texts(docs, pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")))
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return common.stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a long, b long").distinct(), "links")
 
 
+def _across(members: DataFrame, labels: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (a, b) between different components (labels) that meet in a bucket (key, rep)."""
+    labelled = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+    labelled = common.stored(labelled, "labelled")
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("rep").alias("m")).where("x < y")
+    apart = common.stored(labelled.join(mixed.select("key", "m"), "key").select("rep", "comp", "m").distinct(), "mixed-buckets")
+    clusters = graph.components(apart.select(F.col("rep").alias("a"), F.col("m").alias("b"))).select(F.col("id").alias("rep"), F.col("comp").alias("cluster"))
+    nodes = apart.select("rep", "comp").distinct().join(clusters, "rep")
+    nodes = common.stored(nodes, "cluster-texts")
+    sizes = nodes.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    texts = _texts(docs, nodes.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
+    full = nodes.join(main, "cluster").join(reps.select("rep", "n_shingles", "sketch"), "rep").join(texts, "rep")
+    full = full.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
+    columns = ["cluster", "i", "j", "apart", "rep", "comp", "n_shingles", "sketch", "text"]
+    mine = full.where("comp <> main").withColumns({"i": F.col("block"), "apart": F.lit(True)}).withColumn("j", other).select(columns)
+    every = full.withColumns({"j": F.col("block"), "apart": F.lit(False)}).withColumn("i", other).select(columns)
+    tasks = mine.unionAll(every).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    return common.stored(tasks.mapInArrow(_blocks, "a long, b long").distinct(), "more-links")
+
+
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links) and kept (doc_id = component_id), a row for every row.
 
@@ -173,17 +250,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     star = members.select("rep", F.explode(F.array("c0", "c1", "c2")).alias("c")).where("rep <> c")
     links = _verified(star.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")), docs, reps)
     labels = graph.components(links)
-    labelled = members.select("key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    labelled = common.stored(labelled, "labelled")
-    sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("comp", F.struct("n", "comp")).alias("main")).where("parts > 1")
-    apart = common.stored(labelled.join(mixed.select("key", "main"), "key"), "mixed-buckets")
-    slim = reps.select("rep", "n_shingles", "sketch")
-    some = apart.where("comp <> main").join(slim, "rep").select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("s_a"))
-    every = apart.join(slim, "rep").select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("s_b"))
-    near = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT) & (differing("s_a", "s_b") <= SKETCH_DIFFERENCE)
-    rest = some.join(every, (some["key"] == every["key"]) & (F.col("ca") != F.col("cb")) & near)
-    more = _verified(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), docs, reps)
+    more = _across(members.select("key", "rep"), labels, docs, reps)
     comps = graph.components(links.unionAll(more)).withColumnRenamed("id", "rep")
     named = reps.select(*whole, "rep").join(comps, "rep", "left").select(*whole, F.coalesce("comp", "rep").alias("comp"))
     out = rows.select("doc_id", *whole, "n_shingles").join(named, whole, "left")
