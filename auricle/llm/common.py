@@ -45,7 +45,7 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, what: str, *partition_by: str) -> DataFrame:
     """The same rows as a Parquet table in the shared folder."""
     path = scratch(df.sparkSession, what)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
