@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from auricle.plans import streams
 
-QUERIES: dict[str, Callable] = {}
-ORACLE: dict[str, str] = {}
+MODULES = (streams,)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
