@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from auricle.plans import reports, spectra, streams
+from auricle.plans import reports, spectra, streams, text
 
-MODULES = (streams, spectra, reports)
+MODULES = (streams, spectra, reports, text)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
