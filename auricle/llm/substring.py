@@ -114,9 +114,9 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     out: list[tuple] = []
     batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [*ROW, "start", "n", "digest"])
-    rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("mini", "part", "rows", *ROW, "start", "n", "packed"))))
-    for (_, _, n_rows), group in groupby(rows, key=lambda r: r[:3]):
-        for row in _settle([r[3:] for r in group], n_rows > HOT):
+    rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("mini", "part", "parts", *ROW, "start", "n", "packed"))))
+    for (_, _, parts), group in groupby(rows, key=lambda r: r[:3]):
+        for row in _settle([r[3:] for r in group], parts > 1):
             out.append(row)
             if len(out) >= 20_000:
                 yield batch_of()
@@ -161,8 +161,8 @@ def drop_repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str
     shared = places.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
     runs = places.join(shared.select("mini", "rows"), "mini").groupBy(*ROW).agg(F.collect_set(F.struct("mini", "rows", "start", "n")).alias("runs"))
     packed = named.dropDuplicates(ROW).join(runs, ROW).select(*ROW, "text", "runs").mapInArrow(_packed, PACKED)
-    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("rows") / HOT)).cast("int")
-    buckets = packed.withColumn("part", part).repartition("mini", "part").sortWithinPartitions("mini", "part")
+    parts = F.ceil(F.col("rows") / HOT)
+    buckets = packed.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("doc_id"), parts)}).drop("rows").repartition("mini", "part").sortWithinPartitions("mini", "part")
     found = common.stored(buckets.mapInArrow(_repeats, "doc_id long, t long, start int, n int, digest binary"), "repeats")
     waiting = found.where(F.col("digest").isNotNull())
     first = waiting.groupBy("digest").agg(F.min("doc_id").alias("first"))
