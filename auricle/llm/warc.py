@@ -3,14 +3,13 @@
 The reader splits every file at the magic words, wherever they stand, so each piece is a candidate record at a known offset
 whose Content-Length names its successor's offset. Per file, pointer jumping from offset 0 marks the candidates that the chain
 reaches; the others are magic words inside a payload and go back into the payload that they cut. A piece whose length already
-agrees with its header is digested where it was read, so that only headers and cut payloads travel to the file's task.
+agrees with its header is digested where it was read, so that only headers travel to the file's task. The pieces of payloads that
+magic words cut are then looked up once more and put together.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,6 +24,7 @@ DATE = "2000-01-01T00:00:00Z"
 #: Records of one archive file at most; a file's headers meet in one task.
 FILE_RECORDS = 20_000
 RECORDS = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, file string, offset long"
+PARTS = "head_bytes long, parts array<struct<start: long, place: long>>"
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_REVISIT_BYTES) -> None:
@@ -84,35 +84,29 @@ def _id(urn: str) -> int | None:
 
 
 def _records(pieces: pd.DataFrame) -> pd.DataFrame:
-    """The true records of one file from its pieces (start, place, size, head, length, digest, cut)."""
+    """The true records of one file from its pieces (start, place, size, head, length, digest); a cut one lists its pieces instead of a digest."""
     pieces = pieces.sort_values(["start", "place"], ignore_index=True)
     magic = len(MAGIC)
     # The first piece stands before the first magic and is empty in a sound file.
     offset = (np.cumsum(pieces["size"].to_numpy() + magic) - (pieces["size"].to_numpy() + magic)) - magic
-    known = pieces["length"].to_numpy()
-    head_bytes = pieces["head_bytes"].to_numpy()
+    known, head_bytes = pieces["length"].to_numpy(), pieces["head_bytes"].to_numpy()
     successor = np.where(known >= 0, offset + magic + head_bytes + len(END) + known + len(END), -1)
     live = offset >= 0
     reached = np.zeros(len(pieces), bool)
     reached[live] = _reached(offset[live], successor[live])
     places = np.flatnonzero(reached)
     out = []
-    for k, i in enumerate(places):
+    for i, stop in zip(places, np.append(places[1:], len(pieces))):
+        if known[i] < 0:
+            continue  # not even a whole header before the file's end
         p = pieces.iloc[i]
-        digest, n = p["digest"], int(known[i])
-        if digest is None:  # magic words cut the payload: put its pieces together again
-            stop = places[k + 1] if k + 1 < len(places) else len(pieces)
-            whole = MAGIC.join(pieces["cut"].iloc[j] or "" for j in range(i, stop)).encode()
-            body = whole[head_bytes[i] + len(END) :][:n]
-            if len(body) < n:
-                continue  # cut off at the file's end
-            digest = hashlib.sha1(body).hexdigest()
-        head = p["head"]
+        head, digest, n = p["head"], p["digest"], int(known[i])
+        parts = None if digest is not None else list(zip(pieces["start"].iloc[i:stop].tolist(), pieces["place"].iloc[i:stop].tolist()))
         revisit = _field(head, "WARC-Type") == "revisit"
         if revisit:
             digest, n = _field(head, "WARC-Payload-Digest").removeprefix("sha1:"), int(_field(head, "X-Payload-Length") or 0)
-        out.append((_id(_field(head, "WARC-Record-ID")), _field(head, "WARC-Type"), _id(_field(head, "WARC-Refers-To")) if revisit else None, n, digest, p["file"], int(offset[i])))
-    names = [c.split()[0] for c in RECORDS.split(", ")]
+        out.append((_id(_field(head, "WARC-Record-ID")), _field(head, "WARC-Type"), _id(_field(head, "WARC-Refers-To")) if revisit else None, n, digest, p["file"], int(offset[i]), int(head_bytes[i]), parts))
+    names = [*(c.split()[0] for c in RECORDS.split(", ")), "head_bytes", "parts"]
     return pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
 
 
@@ -135,9 +129,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         F.octet_length("head").cast("long").alias("head_bytes"),
         "length",
         F.when(F.col("whole"), F.sha1(F.encode(body, "UTF-8"))).alias("digest"),
-        F.when(~F.col("whole"), F.col("value")).alias("cut"),
     )
-    return pieces.groupBy("file").applyInPandas(_records, RECORDS)
+    records = [c.split()[0] for c in RECORDS.split(", ")]
+    found = common.stored(pieces.groupBy("file").applyInPandas(_records, f"{RECORDS}, {PARTS}"), "records")
+    whole, cut = found.where("parts IS NULL").select(records), found.where("parts IS NOT NULL")
+    if cut.isEmpty():
+        return whole
+    # the same files are split and numbered in the same way again
+    wanted = cut.select(*records, "head_bytes", F.posexplode("parts").alias("nth", "part")).select("*", "part.start", "part.place").drop("part")
+    texts = wanted.join(rows.select("file", "start", "place", "value"), ["file", "start", "place"])
+    groups = texts.groupBy(*records, "head_bytes").agg(F.array_sort(F.collect_list(F.struct("nth", "value"))).alias("v"))
+    text = F.encode(F.array_join(F.transform("v", lambda x: x["value"]), MAGIC), "UTF-8")
+    joined = groups.withColumn("payload", F.substring(text, (F.col("head_bytes") + len(END) + 1).cast("int"), F.col("payload_bytes").cast("int")))
+    joined = joined.where(F.length("payload") == F.col("payload_bytes")).withColumn("payload_digest", F.sha1("payload"))
+    return whole.unionAll(joined.select(records))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
