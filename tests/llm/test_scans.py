@@ -15,6 +15,8 @@ def brute(docs, items):
         for i, x in items:
             own = words((x or "").translate(FOLD))
             best = None
+            if not grams(w).keys() & grams(own).keys():
+                continue
             for s in range(len(w) - len(own) + 1) if len(own) >= 5 else ():
                 a, b = grams(w[s : s + len(own)]), grams(own)
                 both = sum((a & b).values())
