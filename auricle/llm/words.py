@@ -6,7 +6,7 @@ import numpy as np
 
 #: Bytes that are hashed together.
 CHUNK = 1 << 21
-_MULTIPLIER = 0x9E3779B97F4A7C15
+MULTIPLIER = 0x9E3779B97F4A7C15
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _POWERS: list[np.ndarray] = []
@@ -24,7 +24,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, CHUNK + (1 << 18))
         _POWERS.clear()
-        for base in (_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64)):
+        for base in (MULTIPLIER, pow(MULTIPLIER, -1, 1 << 64)):
             p = np.full(size, base, np.uint64)
             p[0] = 1
             _POWERS.append(np.cumprod(p, dtype=np.uint64))
@@ -55,7 +55,7 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = words[:n].copy()
     for j in range(1, k):
-        out *= np.uint64(_MULTIPLIER | 1)
+        out *= np.uint64(MULTIPLIER | 1)
         out += words[j : j + n]
     return mix(out)
 
