@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from auricle.functions.measures import decibels
-from auricle.operators import library, rules
+from auricle.operators import export, library, rules
 
 c = F.col
 
@@ -114,6 +114,14 @@ def severity_pivot(spark, sf_dir):
     return rules.severities(_observed(spark, sf_dir)).select("report_id", "attention", "notice", "info", "top", "findings_rank")
 
 
+def report_text(spark, sf_dir):
+    return export.report_text(_observed(spark, sf_dir))
+
+
+def batch_counts(spark, sf_dir):
+    return export.batch_counts(_observed(spark, sf_dir))
+
+
 def status_derivation(spark, sf_dir):
     return rules.status(reports(spark, sf_dir)).select("report_id", "status")
 
@@ -225,7 +233,7 @@ def batch_sort_desc(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    rules_observations, severity_pivot, status_derivation, status_counts, summary_projection, nearest_standard_rate, client_stats, sorted_clients, project_stats, library_stats,
+    rules_observations, severity_pivot, report_text, batch_counts, status_derivation, status_counts, summary_projection, nearest_standard_rate, client_stats, sorted_clients, project_stats, library_stats,
     history_flatten, history_latest, log_append, merge_measurements, summary_fallback, duplicate_names, batch_sort_asc, batch_sort_desc)}
 
 E_SQL = "e AS (SELECT o_custkey || '/' || o_orderpriority AS project_id, o_custkey AS client_id, o_orderpriority AS project, o_orderkey AS entry_id, strftime(o_orderdate, '%Y-%m-%d') AS ts, o_totalprice AS measure, o_orderstatus AS status FROM orders)"
@@ -238,6 +246,13 @@ _RATES = "(VALUES " + ", ".join(f"({r}, {i})" for i, r in enumerate(rules.STANDA
 ORACLE = {
     "rules_observations": f"WITH {R_SQL}, {_o_sql()} SELECT report_id, row_number() OVER (PARTITION BY report_id ORDER BY {RANK_SQL}, rule_ord, nth) - 1 AS place, rule_id, obs_id, severity FROM o",
     "severity_pivot": f"WITH {R_SQL}, {_o_sql()}, {COUNT_SQL} SELECT report_id, attention, notice, info, top, findings_rank FROM m",
+    "report_text": f"""WITH {R_SQL}, {_o_sql()}, x AS (SELECT report_id, count(*) AS n, string_agg('  [' || severity || '] ' || obs_id || CASE rule_id WHEN 'parse-warnings' THEN ': odd chunk' WHEN 'ai-assisted-processing' THEN ': ' || chr(97 + nth::INT) ELSE '' END, chr(10) ORDER BY {RANK_SQL}, rule_ord, nth) AS t FROM o GROUP BY 1),
+      y AS (SELECT *, floor(seconds * 1000 + 0.5)::BIGINT AS ms FROM q LEFT JOIN x USING (report_id))
+      SELECT report_id, concat_ws(chr(10), 'REPORT ' || report_id || ' - ' || status, '  Sample rate     ' || coalesce(sample_rate::VARCHAR, '—'), '  Channels        ' || coalesce(channels::VARCHAR, '—'),
+        '  Length          ' || coalesce(printf('%d:%02d.%03d', ms // 60000, ms // 1000 % 60, ms % 1000), '—'), '  Peak            ' || CASE WHEN NOT measured THEN '—' WHEN db IS NULL THEN '— dBFS' WHEN db = '-inf'::DOUBLE THEN '-∞ dBFS' WHEN db > 0 THEN printf('+%.2f dBFS', db) ELSE printf('%.2f dBFS', db) END,
+        'OBSERVATIONS ' || coalesce(n, 0), coalesce(t, '')) AS text FROM y""",
+    "batch_counts": f"""WITH {R_SQL}, {_o_sql()}, {COUNT_SQL}, e AS (SELECT status, obs_id, count(*) AS n FROM o JOIN q USING (report_id) GROUP BY ALL), t AS (SELECT status, arg_min(obs_id, (-n, obs_id)) AS commonest FROM e GROUP BY 1)
+      SELECT status, count(*) AS reports, count(*) FILTER (attention + notice > 0) AS with_findings, any_value(commonest) AS commonest FROM m LEFT JOIN t USING (status) GROUP BY status""",
     "status_derivation": f"WITH {R_SQL} SELECT report_id, status FROM q",
     "status_counts": f"WITH {R_SQL}, {_o_sql()}, {COUNT_SQL} SELECT status, count(*) AS reports, count(*) FILTER (attention > 0) AS with_attention FROM m GROUP BY status",
     "summary_projection": f"WITH {R_SQL} SELECT report_id, status, sample_rate, bit_depth, channels, seconds, CASE WHEN measured THEN peak END AS peak, CASE WHEN measured THEN longest_run END AS longest_run, CASE WHEN measured AND peak IS NOT NULL THEN silent END AS digital_silence FROM q",

@@ -113,3 +113,17 @@ def test_library_edits(spark):
     assert [t.count() for t in left] == [1, 1, 1]
     stats = {r["client_id"]: r for r in library.client_stats(clients, projects, entries.limit(0)).collect()}
     assert stats["1"]["checks"] == 0 and stats["1"]["last_activity"] is None
+
+
+def test_written_tables_are_safe_and_read_back(spark):
+    import csv
+    import glob
+    import tempfile
+
+    from auricle.operators import export
+
+    path = f"{tempfile.mkdtemp(prefix='spark-')}/out"
+    rows = [(1, '=A1, "x"', -math.inf), (2, None, -6.02), (3, "two\nlines", float("nan")), (4, "-5", None)]
+    export.write_csv(spark.createDataFrame(rows, "id int, note string, db double").coalesce(1), f"file://{path}")
+    with open(glob.glob(f"{path}/*.csv")[0], newline="") as f:
+        assert list(csv.reader(f)) == [["id", "note", "db"], ["1", "'=A1, \"x\"", "-inf"], ["2", "", "-6.02"], ["3", "two\nlines", ""], ["4", "-5", ""]]
