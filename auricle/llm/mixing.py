@@ -6,7 +6,7 @@ ratio of ones to zeros seen in its slot. Opinions are added with weights from th
 beginning has been seen, with and without the class, and which bit it is), and the sum is refined by an adaptive map from (bits so far, sum) to what really followed.
 
 Documents fall into a few classes by their letter frequencies (k-means over all training documents, which finds languages); a text's
-code begins with its class, and one predictor and the gate know it. A last predictor knows whole tokens: their share of the class's training tokens, weighted by the chance that a token is a known one.
+code begins with its class, and one predictor and the gate know it. The mix alone scores every token, whether training has seen it or not.
 
 No context reaches over a token's start, so a token's probability
 is the same wherever it stands in a class, and the model meets each distinct (class, token) once, with its count: slots are filled from all training tokens, weights and map are learned online over all of them (each
@@ -351,22 +351,11 @@ def score(df: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     model = spark.sparkContext.broadcast(fit(counts.select("token", "trained")))
 
-    # how much each class has been seen, and how much of it once: the chance that the next token is a known one (Good and Turing)
-    sums = counts.groupBy(F.substring("token", 1, 1).alias("g")).agg(F.sum("trained").alias("n"), F.count_if(F.col("trained") == 1).alias("once")).collect()
-    share, each = np.zeros(CLASSES), np.ones(CLASSES)
-    for r in sums:
-        if r["n"]:
-            share[r["g"][0]], each[r["g"][0]] = 1 - r["once"] / r["n"], r["n"]
-
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tokens, trained = _batch_tokens(b)
-            g = np.array([t[0] for t in tokens], int)
-            spelled = model.value.log10(tokens)
-            found = np.log10(share[g] * trained / each[g] + (1 - share[g]) * 10.0 ** np.maximum(spelled, -300) + 1e-300)
-            yield pa.RecordBatch.from_arrays([b.column("token"), b.column("c"), pa.array(found)], ["token", "c", "model"])
+            yield pa.RecordBatch.from_arrays([b.column("token"), b.column("c"), pa.array(model.value.log10(b.column("token").to_pylist()))], ["token", "c", "model"])
 
-    valued = counts.select("token", "trained", "c").mapInArrow(scored, "token binary, c long, model double")
+    valued = counts.select("token", "c").mapInArrow(scored, "token binary, c long, model double")
     base = F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))
     known = (F.col("c") > 0).cast("double")
     placed = tokens.select("block", "number", "token").join(valued, "token").select(F.col("block").alias("its_block"), "number", known.alias("known"), base.alias("base"), "model")

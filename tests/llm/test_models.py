@@ -66,3 +66,9 @@ def test_nothing_to_learn_from(spark):
     out = mixing.score(documents(spark, [(1, "a b")]), F.lit(True)).first()
     assert out["n_known"] == 0 and out["train_tokens"] == 0 and out["score"] < 0
     assert mixing.score(documents(spark, [(1, "a b")]).limit(0), F.lit(False)).count() == 0
+
+
+def test_unseen_words_where_every_row_stands_twice(spark):
+    rows = [(i, f"the house of word{i // 2} by the river") for i in range(40)] + [(99, "the zebra"), (98, "the house")]
+    out = {r["doc_id"]: r["score"] for r in mixing.score(documents(spark, rows), F.col("doc_id") >= 98).collect()}
+    assert -40 < out[99] < out[98] < 0
