@@ -1,6 +1,6 @@
 """Benchmark decontamination: SimHash over windows as long as an item, multi-index lookup, exact weighted similarity.
 
-A window has as many words as the item it is held against. Its fingerprint is the sign of the sum of +1/-1 vectors of its five-word
+A window has as many words as the item it is held against; a document with fewer words is one window as a whole. Its fingerprint is the sign of the sum of +1/-1 vectors of its five-word
 shingles, each as often as it stands there. Items are listed under every value within FLIPS bits of each of BLOCKS blocks of their
 fingerprint, so two fingerprints within RADIUS share a listing for certain (the pigeonhole principle: RADIUS < BLOCKS * (FLIPS + 1)).
 What is found is then compared exactly: sum of the smaller over sum of the larger shingle counts, SIMILARITY or more. Windows with too few
@@ -78,28 +78,30 @@ class Index:
         total = np.concatenate([[0], np.cumsum(known)])
         for length in self.by_length:
             m = length - SHINGLE + 1
-            if len(shingles) < m:
+            n = min(m, len(shingles))
+            # the sides have m and n shingles, so a similarity s needs (m + n) * s / (1 + s) common ones
+            least = (m + n) * SIMILARITY / (1 + SIMILARITY) - 1e-9
+            if n < least:
                 continue
-            # both sides have m shingles, so a similarity s needs 2 * m * s / (1 + s) common ones
-            starts = np.flatnonzero(total[m:] - total[:-m] >= 2 * m * SIMILARITY / (1 + SIMILARITY) - 1e-9)
+            starts = np.flatnonzero(total[n:] - total[:-n] >= least)
             for a in range(0, len(starts), STEP):
                 own = starts[a : a + STEP]
-                lo, hi = int(own[0]), int(own[-1]) + m
+                lo, hi = int(own[0]), int(own[-1]) + n
                 if hi - lo <= 16 * STEP:
                     sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_signs(shingles[lo:hi]), axis=0)])
-                    prints = _fingerprints(sums[own - lo + m] - sums[own - lo])
+                    prints = _fingerprints(sums[own - lo + n] - sums[own - lo])
                 else:
-                    prints = np.array([_fingerprints(_signs(shingles[s : s + m]).sum(axis=0)[None])[0] for s in own.tolist()], np.uint64)
+                    prints = np.array([_fingerprints(_signs(shingles[s : s + n]).sum(axis=0)[None])[0] for s in own.tolist()], np.uint64)
                 for s, fingerprint in zip(own.tolist(), prints.tolist()):
                     found = self.near(length, fingerprint)
                     if not found:
                         continue
-                    window, times = (x.tolist() for x in np.unique(shingles[s : s + m], return_counts=True))
+                    window, times = (x.tolist() for x in np.unique(shingles[s : s + n], return_counts=True))
                     for i in found:
                         common_ = sum(min(t, self.counts[i].get(h, 0)) for h, t in zip(window, times))
-                        similarity = common_ / (2 * m - common_)
+                        similarity = common_ / (m + n - common_)
                         if similarity >= SIMILARITY and (i not in best or similarity > best[i][0]):
-                            best[i] = (similarity, s, length)
+                            best[i] = (similarity, s, n + SHINGLE - 1)
         return best
 
 

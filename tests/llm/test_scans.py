@@ -53,6 +53,29 @@ def test_against_brute_force(spark):
     assert sorted((r["doc_id"] for r in left.collect()), key=str) == sorted((d for d, _ in docs if d not in bad), key=str)
 
 
+def test_documents_shorter_than_an_item(spark):
+    rng = random.Random(9)
+    items = [(k, " ".join(rng.choice("abcdef") + rng.choice("uvwxyz") + str(rng.randrange(9)) for _ in range(n))) for k, n in enumerate((39, 25, 12, 8, 6))] + [(7, "la " * 16)]
+    docs = []
+    for k, t in items:
+        w = t.split()
+        cuts = [w[1:], w[:-1], w[: len(w) // 2] + w[len(w) // 2 + 1 :], w[: len(w) * 4 // 5 + 1], w[: len(w) * 7 // 10], w[3:-3], w[:4], ["x"] + w[2:-1]]
+        docs += [(100 * k + j, " ".join(c)) for j, c in enumerate(cuts)]
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    want = []
+    for d, t in docs:
+        for i, x in items:
+            a, b = grams(t.split()), grams(x.split())
+            sim = sum((a & b).values()) / sum((a | b).values())
+            if len(t.split()) < len(x.split()) and sim >= 0.75:
+                want.append((d, i, round(sim, 6), 0, len(t.split())))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = [(r["doc_id"], r["item_id"], round(r["similarity"], 6), r["first_word"], r["n_words"]) for r in decontaminate.leaks(documents(spark, docs), table).collect()]
+    assert sorted(got) == sorted(want) and (0, 0, round(34 / 35, 6), 0, 38) in want and len(want) > 10
+    bad = {x[0] for x in want}
+    assert sorted(r["doc_id"] for r in decontaminate.clean(documents(spark, docs), table).collect()) == [d for d, _ in docs if d not in bad]
+
+
 def test_passes_over_long_lists_of_items(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "PASS_BYTES", 100)
     items = [(k, " ".join(f"w{k}x{j}" for j in range(15))) for k in range(6)]
