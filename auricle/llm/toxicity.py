@@ -21,8 +21,11 @@ from . import common, words
 BUCKETS, SIZE = 1 << 18, 8
 SPAN = 2
 NGRAMS = (3, 4, 5)
-#: Letters of a word that are looked at.
+#: Longer runs of letters (scripts without blanks, words run together) are cut into pieces of PIECE letters that overlap by half; each counts as a word.
 LETTERS = 40
+PIECE = LETTERS + 2
+#: Words whose subwords are made together.
+TOGETHER = 1 << 15
 #: Labelled documents of each class that are learned from at most (those whose ids have the smallest hashes), and their length in characters.
 FIT_DOCS, FIT_CHARS = 1000, 20_000
 #: Buckets found in fewer training documents keep a zero vector.
@@ -35,9 +38,24 @@ MEMORY = 500_000
 _WORDS = regex.compile(r"[^\W\d_]+").findall
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text; of a long run, pieces that hold all its letters and its marked ends, and are told from words by their length."""
+    found = _WORDS(text.lower())
+    if max(map(len, found), default=0) <= LETTERS:
+        return found
+    out = []
+    for w in found:
+        if len(w) <= LETTERS:
+            out.append(w)
+        else:
+            w = f"<{w}>"
+            out += [w[i : i + PIECE] for i in range(0, len(w) - PIECE, PIECE // 2)] + [w[-PIECE:]]
+    return out
+
+
 def subwords(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """For some words: the number of the word and the bucket of each of its subwords, in no order."""
-    marked = [f"<{w[:LETTERS]}>" for w in found]
+    marked = [w if len(w) > LETTERS else f"<{w}>" for w in found]
     length = np.array([len(w) for w in marked])
     letters = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.uint64)
     owner = np.repeat(np.arange(len(marked)), length)
@@ -66,16 +84,17 @@ class Model:
 
     def learn_words(self, found: list[str]) -> None:
         """Makes the values of new words known: the mean over their subwords."""
-        if found:
-            owner, bucket = subwords(found)
+        for lo in range(0, len(found), TOGETHER):
+            own = found[lo : lo + TOGETHER]
+            owner, bucket = subwords(own)
             value = np.bincount(owner, self.values[bucket]) / np.bincount(owner)
-            self.known.update(zip(found, value.tolist()))
+            self.known.update(zip(own, value.tolist()))
 
     def logits(self, texts: list[str]) -> np.ndarray:
         """Of each text's highest passage; a text without words has the bias."""
         if len(self.known) > MEMORY:
             self.known.clear()
-        known, found = self.known, [_WORDS(t.lower()) for t in texts]
+        known, found = self.known, [words_of(t) for t in texts]
         self.learn_words(list({w for own in found for w in own if w not in known}))
         out = np.full(len(texts), self.bias)
         for i, own in enumerate(found):
@@ -99,7 +118,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
     number: dict[str, int] = {}
     word, start, doc, n = array("i"), [], [], 0
     for i, t in enumerate(texts):
-        own = [number.setdefault(w, len(number)) for w in _WORDS(t.lower())]
+        own = [number.setdefault(w, len(number)) for w in words_of(t)]
         start += (n + passages(len(own))).tolist()
         doc += [i] * len(passages(len(own)))
         word.extend(own)

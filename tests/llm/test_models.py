@@ -72,3 +72,15 @@ def test_unseen_words_where_every_row_stands_twice(spark):
     rows = [(i, f"the house of word{i // 2} by the river") for i in range(40)] + [(99, "the zebra"), (98, "the house")]
     out = {r["doc_id"]: r["score"] for r in mixing.score(documents(spark, rows), F.col("doc_id") >= 98).collect()}
     assert -40 < out[99] < out[98] < 0
+
+
+def test_toxicity_of_long_runs_of_letters():
+    clean, bad = ["the house on the hill", "a small river runs by", "we went to the market"], ["you idiot go away", "what an idiot you are", "such idiots here"]
+    model = toxicity.fit(clean * 20 + bad * 20, np.array([0] * 60 + [1] * 60))
+    for k in (38, 41, 60, 61, 62, 63, 95, 500):
+        assert model.score("q" * k + "idiot" + "q" * 70) > model.score("q" * (k + 75)) + 0.02
+    run = "".join(chr(0x4E00 + i) for i in range(300))
+    for n in (41, 42, 43, 63, 64, 300):
+        pieces = toxicity.words_of(run[:n])
+        assert {f"<{run[:n]}>"[i : i + 5] for i in range(n - 2)} == {p[i : i + 5] for p in pieces for i in range(len(p) - 4)} and {len(p) for p in pieces} == {toxicity.PIECE}
+    assert toxicity.words_of("Some " + run[:40]) == ["some", run[:40]]
