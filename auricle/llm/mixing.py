@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common, words
 
 #: Context lengths in bytes; 0 is the whole beginning of the token, -1 the same with the class.
-ORDERS = (1, 2, 3, 0, -1)
+ORDERS = (1, 2, 3, 4, 5, 0, -1)
 CLASSES, BINS, ROUNDS = 8, 64, 6
 SLOT_BITS = 19
 SLOTS = 1 << SLOT_BITS
@@ -317,18 +317,19 @@ def fit(tokens: DataFrame) -> Model:
 
 def _summed(_: tuple, docs: pd.DataFrame, tokens: pd.DataFrame) -> pd.DataFrame:
     """Scores of a block's documents from its tokens' values."""
-    values = np.zeros((len(tokens), 3))
-    values[tokens["number"].to_numpy()] = tokens[["known", "base", "model"]].to_numpy()
+    values = np.zeros((len(tokens), 4))
+    values[tokens["number"].to_numpy()] = tokens[["known", "base", "model", "size"]].to_numpy()
     out = []
     for doc, held, numbers, times in zip(docs["doc_id"], docs["held_out"], docs["numbers"], docs["times"]):
         n = np.frombuffer(times, np.int32)
-        known, base, model = n @ values[np.cumsum(np.frombuffer(numbers, np.int32))]
-        out.append((doc, held, int(n.sum()), int(round(known)), base, model - math.log10(CLASSES)))
-    return pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]).astype({"doc_id": "Int64"})
+        known, base, model, size = n @ values[np.cumsum(np.frombuffer(numbers, np.int32))]
+        total = model - math.log10(CLASSES)
+        out.append((doc, held, int(n.sum()), int(round(known)), base, total, -total / math.log10(2) / size))
+    return pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"]).astype({"doc_id": "Int64"})
 
 
 def score(df: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte (of the text as it is spelled) of every row.
 
     held_out: a Column over id_col; its rows are scored but not learned from. A null or empty text is its end token alone. If
     nothing can be learned from, every prediction is even odds. Repeated rows are learned from and scored each time.
@@ -358,9 +359,11 @@ def score(df: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text
     valued = counts.select("token", "c").mapInArrow(scored, "token binary, c long, model double")
     base = F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))
     known = (F.col("c") > 0).cast("double")
-    placed = tokens.select("block", "number", "token").join(valued, "token").select(F.col("block").alias("its_block"), "number", known.alias("known"), base.alias("base"), "model")
-    out = docs.groupBy("block").cogroup(placed.groupBy("its_block")).applyInPandas(_summed, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    # a token has a byte for the class; spelled, a word has a space instead, and the end nothing
+    size = F.length("token") - (word == F.lit(bytearray(END))).cast("int")
+    placed = tokens.select("block", "number", "token").join(valued, "token").select(F.col("block").alias("its_block"), "number", known.alias("known"), base.alias("base"), "model", size.alias("size"))
+    out = docs.groupBy("block").cogroup(placed.groupBy("its_block")).applyInPandas(_summed, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
 
 
 def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,3 +84,11 @@ def test_toxicity_of_long_runs_of_letters():
         pieces = toxicity.words_of(run[:n])
         assert {f"<{run[:n]}>"[i : i + 5] for i in range(n - 2)} == {p[i : i + 5] for p in pieces for i in range(len(p) - 4)} and {len(p) for p in pieces} == {toxicity.PIECE}
     assert toxicity.words_of("Some " + run[:40]) == ["some", run[:40]]
+
+
+def test_contexts_of_one_to_five_bytes_and_bits_per_byte(spark):
+    assert {1, 2, 3, 4, 5, 0, -1} == set(mixing.ORDERS)
+    rows = [(i, "the house by the river") for i in range(9)] + [(10, ""), (11, None), (12, "éa  b")]
+    for r in mixing.score(documents(spark, rows), F.lit(False)).collect():
+        text = " ".join(words(dict(rows)[r["doc_id"]]))
+        assert math.isclose(r["bits_per_byte"], -r["score"] / math.log10(2) / (len(text.encode()) + (2 if text else 1)))
