@@ -1,112 +1,135 @@
-"""Language-model scoring by online logistic context mixing.
-
-A text is a sequence of tokens: its words, each spelled out and closed by a space, then one end byte. Each bit of a token is predicted
-in hashed contexts (the last one to five bytes and the whole beginning of the token); a predictor's opinion is the logarithm of the
-ratio of ones to zeros seen in its slot. Opinions are added with weights from the set that a gate picks (how much of the token's
-beginning has been seen, with and without the class, and which bit it is), and the sum is refined by an adaptive map from (bits so far, sum) to what really followed.
-
-Documents fall into a few classes by their letter frequencies (k-means over all training documents, which finds languages); a text's
-code begins with its class, and one predictor and the gate know it. The mix alone scores every token, whether training has seen it or not.
-
-No context reaches over a token's start, so a token's probability
-is the same wherever it stands in a class, and the model meets each distinct (class, token) once, with its count: slots are filled from all training tokens, weights and map are learned online over all of them (each
-token predicted from the others: one occurrence is taken out of its slots), and every distinct token of the corpus is scored once.
-Texts travel as counts of block-local token numbers, so neither texts nor one row per token are shuffled.
+"""Language-model scoring by online logistic context mixing over bits.
+
+A text is a sequence of tokens: its words, then one end. Every token is a few binary decisions, and every decision is predicted by
+several contexts, each of which has a hashed slot with the zeros and ones that followed it in training. A slot's opinion is the logarithm
+of its ones to its zeros; opinions are added with weights from the set that a gate picks, and an adaptive map refines the sum.
+
+- Match: some three-word contexts are anchors (their hash decides). All words up to the next anchor, FOLLOW at most, are compared with what followed the same
+  anchor and the same words since elsewhere in training. Where anything did, one bit says whether the most frequent continuation comes.
+  Its contexts are how often that continuation and others came, how the last four such bits ended, and the document's class.
+- Code: else the token's code in the code book follows (the BOOK most frequent training tokens by Shannon-Fano splits). Contexts of each bit: none,
+  the document's class, the word before, the two words before.
+- Spelling: a word outside the book is an escape code, then its bytes and a space. Contexts of each bit: the last one to six bytes and the
+  whole beginning of the word. It depends on the word alone, so that each distinct word is spelled once.
+
+Where a document of the training part is scored or learned from, its own occurrence is taken out of the slots of match and code, so a text is
+predicted from all others. Weights are learned online, over all training tokens: each task learns over its blocks from the same start,
+and the tasks' weights are averaged by what they have seen (iterative parameter mixing), so they depend a little on how rows are dealt
+to tasks; the counts do not.
+
+What grows with the corpus is dealt by hash to shards in packed arrays: each block of documents sends a shard its distinct words with
+their counts, and its anchors with what follows them; equal ones of a block are sent once, so a common passage weighs as one. Nothing per token but these arrays
+is shuffled. What all tasks hold has a fixed size: the code book, the slots, weights and maps.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, words
 
-#: Context lengths in bytes; 0 is the whole beginning of the token, -1 the same with the class.
-ORDERS = (1, 2, 3, 4, 5, 0, -1)
+#: Contexts of spelled bits, in bytes; 0 is the whole beginning of the word.
+ORDERS = (1, 2, 3, 4, 5, 6, 0)
+SPELL_BITS = 19
+#: Slots of the code's contexts, one after the other: none, class, the word before, the two words before. Match bits have their own in each.
+CODE_SLOTS = (1 << 17, 1 << 20, 1 << 21, 1 << 21)
+CODE_AT = tuple(int(x) for x in np.cumsum((0, *CODE_SLOTS))[:-1])
+BOOK = (1 << 16) - 1
 CLASSES, BINS, ROUNDS = 8, 64, 6
-SLOT_BITS = 19
-SLOTS = 1 << SLOT_BITS
+#: Words of an anchor's context; one context in ANCHORS is an anchor; words that are compared after it at most.
+CONTEXT, ANCHORS, FOLLOW = 3, 6, 16
+#: Distinct words and tokens of a block of documents; one block is held in memory at a time.
+BLOCK_WORDS, BLOCK_TOKENS = 400_000, 2_000_000
+#: Tokens of a stored row of coded documents, and bits' tokens that are predicted together and in one online step of the weights.
+ROW_TOKENS, STEP, BATCH = 100_000, 1 << 14, 1 << 10
+#: Words and tokens of a shard, on average.
+SHARD_WORDS, SHARD_TOKENS = 400_000, 4_000_000
+#: Tokens (or distinct words) of a task that counts slots; such a task sends on a whole table.
+TASK_TOKENS, TASK_WORDS = 20_000_000, 1_000_000
 #: Slots that travel as one row while the tasks' counts are added up.
 PART = 1 << 12
-#: Distinct tokens of a block of documents; one block is held in memory at a time.
-BLOCK_TOKENS = 600_000
-#: Distinct tokens of a learning task.
-TASK_TOKENS = 500_000
-#: Bytes of tokens that are predicted together, and in one online step of the weights.
-STEP, BATCH = 1 << 15, 1 << 12
-END = b"\0"
+#: Longer words are spelled in pieces.
+PIECE = 4096
 PRIOR, RATE, CELLS, REACH = 0.1, 0.02, 33, 8.0
-GATES = 8 * 4 * 8
+#: The end: no word can be a line end.
+END = b"\n"
+_END = np.uint64(0x13198A2E03707344)
+_SMALL = np.uint32(0x9E3779B1)
 
 
-class Bits:
-    """All bits of some tokens (a byte for the class, then the word): slots (orders, bits), the bit, its gate's part, its node and its token."""
-
-    def __init__(self, tokens: list[bytes]):
-        spelled = [END if t[1:] == END else t[1:] + b" " for t in tokens]
-        lengths = np.array([len(t) for t in spelled])
-        data = np.frombuffer(b"".join(spelled), np.uint8).astype(np.uint64)
-        start = np.repeat(np.cumsum(lengths) - lengths, lengths)
-        place = np.arange(len(data)) - start
-        up, down = words._powers(len(data) + 1)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((data + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
-        here = np.arange(len(data))
-        hashed = np.empty((len(ORDERS), len(data)), np.uint64)
-        group = np.repeat(np.frombuffer(b"".join(t[:1] for t in tokens), np.uint8).astype(np.uint64), lengths)
-        for i, order in enumerate(ORDERS):
-            begin = start if order < 1 else np.maximum(start, here - order)
-            hashed[i] = words.mix((sums[here] - sums[begin]) * down[begin] + np.uint64(i * 0x632BE59BD9B4E019 & (1 << 64) - 1) + np.minimum(place, order if order > 0 else 1 << 20).astype(np.uint64))
-            if order < 0:
-                hashed[i] = words.mix(hashed[i] + group + np.uint64(1))
-        node = np.empty((len(data), 8), np.int64)
-        bit = np.empty((len(data), 8), np.int64)
-        at = np.ones(len(data), np.int64)
-        for b in range(8):
-            node[:, b] = at
-            bit[:, b] = (data >> np.uint64(7 - b)).astype(np.int64) & 1
-            at = at << 1 | bit[:, b]
-        self.node, self.bit = node.ravel(), bit.ravel()
-        mixed = (hashed >> np.uint64(32)).astype(np.uint32)[:, :, None] ^ (node.astype(np.uint32) * np.uint32(0x9E3779B1))[None]
-        mixed ^= mixed >> np.uint32(15)
-        mixed *= np.uint32(0x85EBCA77)
-        self.slots = (mixed >> np.uint32(32 - SLOT_BITS)).astype(np.int64).reshape(len(ORDERS), -1)
-        self.which = np.tile(np.arange(8), len(data))
-        self.token = np.repeat(np.repeat(np.arange(len(tokens)), lengths), 8)
-
-
-def _steps(tokens: list[bytes], size: int) -> Iterator[tuple[int, int]]:
-    lo, n = 0, 0
-    for i, t in enumerate(tokens):
-        if n and n + len(t) + 1 > size:
-            yield lo, i
-            lo, n = i, 0
-        n += len(t) + 1
-    if n:
-        yield lo, len(tokens)
+def pack(x: np.ndarray) -> bytes:
+    """An array's bytes, first the lowest of each number, compressed."""
+    x = np.ascontiguousarray(x)
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() if len(x) else b"")
 
 
-def slot_counts(tokens: list[bytes], count: np.ndarray) -> np.ndarray:
-    """Zeros and ones by order and slot: (orders, 2, SLOTS)."""
-    table = np.zeros((len(ORDERS), 2, SLOTS))
-    for lo, hi in _steps(tokens, STEP):
-        bits = Bits(tokens[lo:hi])
-        weight = count[lo:hi][bits.token]
-        for i in range(len(ORDERS)):
-            table[i] += np.bincount(bits.slots[i] + SLOTS * bits.bit, weight, 2 * SLOTS).reshape(2, SLOTS)
-    return table
+def unpack(data: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(kind).ravel()
 
 
-#: Counts are kept as round(1024 * log2(1 + count)) in 16 bits; this is the way back.
-COUNT = np.exp2(np.arange(1 << 16) / 1024) - 1
+def pack_words(found: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b" ".join(found))
+
+
+def unpack_words(data: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(data).split()
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of 32-bit numbers."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return x ^ (x >> np.uint32(16))
+
+
+# The mixer
+
+
+@dataclass(frozen=True)
+class Kind:
+    """What is mixed: predictors, slots of all of them, gates, rows of the refining map, first weight, and which predictors' certainty
+    takes part in the gate (predictor, levels, logarithms of counts a level)."""
+
+    inputs: int
+    slots: int
+    gates: int
+    rows: int
+    start: float
+    sure: tuple[tuple[int, int, float], ...]
+
+
+SPELLING = Kind(len(ORDERS), len(ORDERS) << SPELL_BITS, 8 * 8 * 4, 256, 1.5 / len(ORDERS), ((ORDERS.index(0), 8, 1.25), (ORDERS.index(3), 4, 2.5)))
+#: A gate of code bits: how frequent the word before is (8), early or late bit (2); of match bits: how the last two ended (9), how often the continuation came (8). The two words before are known (4) in all.
+SEQUENCE = Kind(len(CODE_SLOTS), sum(CODE_SLOTS), (16 + 72) * 4, 32 + 9, 0.4, ((3, 4, 1.2),))
 
 
+@dataclass
+class Bits:
+    """Binary decisions: their slots (inputs, n), values, part of the gate, row of the refining map, token, weight, and whether one occurrence is their own."""
+
+    slots: np.ndarray
+    bit: np.ndarray
+    gate: np.ndarray
+    row: np.ndarray
+    token: np.ndarray
+    weight: np.ndarray | None
+    own: np.ndarray
+
+
+#: Counts are kept as round(1024 * log2(1 + count)) in 16 bits; this is the way back.
+COUNT = np.exp2(np.arange(1 << 16) / 1024) - 1
 NOTHING = np.float32(np.log(PRIOR))
 
 
@@ -114,76 +137,413 @@ def packed(counts: np.ndarray) -> np.ndarray:
     return np.rint(1024 * np.log2(1 + counts)).clip(0, 65535).astype("<u2")
 
 
-class Opinions:
-    """Logarithms of the counts, ready to be looked up: as they are, and with one occurrence taken out."""
+def logs(table: np.ndarray) -> np.ndarray:
+    """Logarithms of all counts (zeros of all slots, then ones), and then again with one occurrence taken out."""
+    whole = np.log(COUNT + PRIOR).astype(np.float32)
+    less = np.log(np.maximum(COUNT - 1, 0) + PRIOR).astype(np.float32)
+    return np.concatenate([whole[table], less[table]])
 
-    def __init__(self, table: np.ndarray, less_one: bool = False):
-        self.logs = np.log(COUNT + PRIOR).astype(np.float32)[table].reshape(len(ORDERS), -1)
-        self.less = np.log(np.maximum(COUNT - 1, 0) + PRIOR).astype(np.float32)[table].reshape(len(ORDERS), -1) if less_one else None
 
-    def of(self, bits: Bits) -> tuple[np.ndarray, np.ndarray]:
-        """Each order's log ratio of ones to zeros, and the gate. With less_one, a token's own bit counts once less."""
-        x = np.empty((len(ORDERS), len(bits.bit)), np.float32)
-        seen = np.zeros(len(bits.bit), np.int64)
-        sign = (2 * bits.bit - 1).astype(np.float32)
-        for i in range(len(ORDERS)):
-            own = np.take(self.logs[i] if self.less is None else self.less[i], bits.slots[i] + SLOTS * bits.bit)
-            other = np.take(self.logs[i], bits.slots[i] + SLOTS * (1 - bits.bit))
-            x[i] = (own - other) * sign
-            if ORDERS[i] < 1:
-                much = ((np.maximum(own, other) - NOTHING) * np.float32(0.8)).astype(np.int64)
-                seen += np.minimum(much, 7) * 4 if ORDERS[i] < 0 else np.minimum(much >> 1, 3)
-        return x, seen * 8 + bits.which
+def opinions(kind: Kind, bits: Bits, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each predictor's log ratio of ones to zeros (inputs, n), and the gate."""
+    x = np.empty((kind.inputs, len(bits.bit)), np.float32)
+    sign = (2 * bits.bit - 1).astype(np.float32)
+    mine, others = kind.slots * (bits.bit + 2 * bits.own), kind.slots * (1 - bits.bit)
+    gate = bits.gate
+    sure = {i: (levels, width) for i, levels, width in kind.sure}
+    for i in range(kind.inputs):
+        a, b = np.take(known, bits.slots[i] + mine), np.take(known, bits.slots[i] + others)
+        x[i] = (a - b) * sign
+        if i in sure:
+            levels, width = sure[i]
+            gate = gate * levels + np.minimum(((np.maximum(a, b) - NOTHING) * np.float32(1 / width)).astype(np.int64), levels - 1)
+    return x, gate
 
 
 def _cell(total: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint((total + REACH) * (CELLS - 1) / (2 * REACH)), 0, CELLS - 1).astype(np.int64)
-
-
-def learn(tokens: list[bytes], count: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights (gates, orders) from one online pass, how much each gate has seen, and the refining map's counts (256, cells, 2)."""
-    w = np.full((GATES, len(ORDERS)), 1.5 / len(ORDERS))
-    past = np.zeros_like(w)
-    seen, refine = np.zeros(GATES), np.zeros((256, CELLS, 2))
-    opinions, root = Opinions(table, less_one=True), np.sqrt(count)
-    for lo, hi in _steps(tokens, BATCH):
-        bits = Bits(tokens[lo:hi])
-        weight = root[lo:hi][bits.token]
-        x, gate = opinions.of(bits)
-        total = sum(np.take(w[:, i], gate) * x[i] for i in range(len(ORDERS)))
-        error = (bits.bit - 1 / (1 + np.exp(-np.clip(total, -30, 30)))) * weight
-        mass = np.bincount(gate, weight, GATES)
-        for i in range(len(ORDERS)):
-            step = np.bincount(gate, error * x[i], GATES) / np.sqrt(np.maximum(mass, 1e-9))
-            past[:, i] += step * step
-            w[:, i] += RATE * step / np.sqrt(np.maximum(past[:, i], 1e-9))
-        seen += mass
-        refine += np.bincount((bits.node * CELLS + _cell(total)) * 2 + bits.bit, weight * weight, refine.size).reshape(refine.shape)
-    return w, seen, refine
+    return np.clip(np.rint((total + REACH) * ((CELLS - 1) / (2 * REACH))), 0, CELLS - 1).astype(np.int64)
+
+
+def _sum(kind: Kind, weights: np.ndarray, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    total = np.take(weights[:, 0], gate) * x[0]
+    for i in range(1, kind.inputs):
+        total += np.take(weights[:, i], gate) * x[i]
+    return total
+
+
+class Learner:
+    """Weights (gates, inputs), learned online, how much each gate has seen, and the refining map's counts (rows, cells, 2)."""
+
+    def __init__(self, kind: Kind, known: np.ndarray):
+        self.kind, self.known = kind, known
+        self.weights = np.full((kind.gates, kind.inputs), kind.start, np.float32)
+        self.past = np.zeros_like(self.weights)
+        self.seen, self.refine = np.zeros(kind.gates), np.zeros((kind.rows, CELLS, 2))
+
+    def add(self, bits: Bits) -> None:
+        kind = self.kind
+        x, gate = opinions(kind, bits, self.known)
+        total = _sum(kind, self.weights, x, gate)
+        error = bits.bit - 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+        if bits.weight is not None:
+            error = error * bits.weight
+        mass = np.bincount(gate, bits.weight, kind.gates)
+        scale = 1 / np.sqrt(np.maximum(mass, 1e-9))
+        for i in range(kind.inputs):
+            step = np.bincount(gate, error * x[i], kind.gates) * scale
+            self.past[:, i] += step * step
+            self.weights[:, i] += RATE * step / np.sqrt(np.maximum(self.past[:, i], 1e-9))
+        self.seen += mass
+        at = (bits.row * CELLS + _cell(total)) * 2 + bits.bit
+        self.refine += np.bincount(at, None if bits.weight is None else bits.weight**2, self.refine.size).reshape(self.refine.shape)
+
+    def values(self) -> np.ndarray:
+        return np.concatenate([(self.weights * self.seen[:, None]).ravel(), self.seen, self.refine.ravel()])
 
 
 class Model:
-    def __init__(self, table: np.ndarray, weights: np.ndarray, refine: np.ndarray):
-        self.table, self.weights, self.opinions = table, weights, None
-        centre = (np.arange(CELLS) / (CELLS - 1) * 2 - 1) * REACH
-        prior = 1 / (1 + np.exp(-centre))
-        self.refined = (refine[:, :, 1] + 8 * prior) / (refine.sum(axis=2) + 8)
-
-    def log10(self, tokens: list[bytes]) -> np.ndarray:
-        """log10 probability of each token."""
-        self.opinions = self.opinions or Opinions(self.table)
-        out = np.zeros(len(tokens))
-        for lo, hi in _steps(tokens, STEP):
-            bits = Bits(tokens[lo:hi])
-            x, gate = self.opinions.of(bits)
-            total = sum(np.take(self.weights[:, i], gate) * x[i] for i in range(len(ORDERS)))
-            p = (1 / (1 + np.exp(-np.clip(total, -30, 30))) + self.refined[bits.node, _cell(total)]) / 2
-            p = np.clip(np.where(bits.bit == 1, p, 1 - p), 1e-9, 1)
-            out[lo:hi] = np.bincount(bits.token, np.log10(p), hi - lo)
+    """Slots, weights and refining map of one kind of bits."""
+
+    def __init__(self, kind: Kind, table: np.ndarray, values: np.ndarray):
+        self.kind, self.table, self.known = kind, table, None
+        w, seen, refine = np.split(values, [kind.gates * kind.inputs, kind.gates * (kind.inputs + 1)])
+        self.weights = np.where(seen[:, None] > 0, w.reshape(kind.gates, -1) / np.maximum(seen, 1e-9)[:, None], kind.start).astype(np.float32)
+        refine = refine.reshape(kind.rows, CELLS, 2)
+        prior = 1 / (1 + np.exp(-(np.arange(CELLS) / (CELLS - 1) * 2 - 1) * REACH))
+        self.refined = ((refine[:, :, 1] + 8 * prior) / (refine.sum(axis=2) + 8)).astype(np.float32)
+
+    def log10(self, bits: Bits, tokens: int) -> np.ndarray:
+        """log10 probability of each token's bits."""
+        if self.known is None:
+            self.known = logs(self.table)
+        x, gate = opinions(self.kind, bits, self.known)
+        total = _sum(self.kind, self.weights, x, gate)
+        p = (1 / (1 + np.exp(-np.clip(total, -30, 30))) + self.refined[bits.row, _cell(total)]) / 2
+        return np.bincount(bits.token, np.log10(np.clip(np.where(bits.bit == 1, p, 1 - p), 1e-6, 1)), tokens)
+
+
+def _added(group: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(PART)
+    for x in group["counts"]:
+        total += np.frombuffer(x, "<i8")
+    return pd.DataFrame({"part": [group["part"].iloc[0]], "counts": [packed(total).tobytes()]})
+
+
+def fit(rows: DataFrame, kind: Kind, tasks: int, bits_of: Callable[[pa.RecordBatch, int], Iterator[Bits]]) -> Model:
+    """A model of all training bits of the rows. What comes back to the driver has a fixed size: slots, weights and map (at most 21 MB)."""
+    spark = rows.sparkSession
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(2 * kind.slots, np.int64)
+        for b in batches:
+            for bits in bits_of(b, STEP):
+                for i in range(kind.inputs):
+                    np.add.at(table, bits.slots[i] + kind.slots * bits.bit, 1 if bits.weight is None else np.rint(bits.weight**2).astype(np.int64))
+        parts = table.reshape(-1, PART)
+        full = np.flatnonzero(parts.any(axis=1))
+        for lo in range(0, len(full), 64):
+            own = full[lo : lo + 64]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([parts[i].tobytes() for i in own], pa.binary())], ["part", "counts"])
+
+    sums = rows.coalesce(max(1, tasks)).mapInArrow(counted, "part int, counts binary").groupBy("part").applyInPandas(_added, "part int, counts binary")
+    table = np.zeros((2 * kind.slots // PART, PART), "<u2")
+    for part, counts in sums.toLocalIterator():
+        table[part] = np.frombuffer(counts, "<u2")
+    sent = spark.sparkContext.broadcast(table.ravel())
+
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner = Learner(kind, logs(sent.value))
+        for b in batches:
+            for bits in bits_of(b, BATCH):
+                learner.add(bits)
+        values = learner.values()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], ["i", "x"])
+
+    found = rows.mapInArrow(learned, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
+    values = np.zeros(kind.gates * (kind.inputs + 1) + kind.rows * CELLS * 2)
+    values[found["i"].to_numpy()] = found["x"].to_numpy()
+    sent.unpersist()
+    return Model(kind, table.ravel(), values)
+
+
+# Spelling
+
+
+def spelled(found: list[bytes], count: np.ndarray, own: bool) -> Bits:
+    """The bits of some words, each closed by a space."""
+    lengths = np.array([len(t) + 1 for t in found])
+    data = np.frombuffer(b" ".join(found) + b" ", np.uint8).astype(np.uint64)
+    start = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    here = np.arange(len(data))
+    place = (here - start).astype(np.uint64)
+    up, down = words._powers(len(data) + 1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((data + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
+    bit = np.unpackbits(data.astype(np.uint8)[:, None], axis=1).astype(np.int64)
+    node = np.ones((len(data), 8), np.int64)
+    for b in range(1, 8):
+        node[:, b] = node[:, b - 1] << 1 | bit[:, b - 1]
+    inner = node.astype(np.uint32) * _SMALL
+    slots = np.empty((len(ORDERS), len(data) * 8), np.int64)
+    for i, order in enumerate(ORDERS):
+        begin = np.maximum(start, here - order) if order else start
+        hashed = words.mix((sums[here] - sums[begin]) * down[begin] + np.uint64(i << 32) + np.minimum(place, np.uint64(order or 1 << 20)))
+        mixed = _small((hashed >> np.uint64(32)).astype(np.uint32)[:, None] ^ inner)
+        slots[i] = ((mixed >> np.uint32(32 - SPELL_BITS)).astype(np.int64) + (i << SPELL_BITS)).ravel()
+    token = np.repeat(np.repeat(np.arange(len(found)), lengths), 8)
+    return Bits(slots, bit.ravel(), np.tile(np.arange(8), len(data)), node.ravel(), token, np.sqrt(count)[token] if own else None, np.full(len(token), int(own)))
+
+
+def _steps(found: list[bytes], size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of words of about 6 * size bytes."""
+    lo, n = 0, 0
+    for i, t in enumerate(found):
+        if n and n + len(t) > 6 * size:
+            yield lo, i
+            lo, n = i, 0
+        n += len(t) + 1
+    if n:
+        yield lo, len(found)
+
+
+def _pieces(found: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """Words in pieces of PIECE bytes at most, each spelled with a space, and the place of each piece's word."""
+    if max(map(len, found), default=0) <= PIECE:
+        return found, np.arange(len(found))
+    out = [(w[i : i + PIECE], k) for k, w in enumerate(found) for i in range(0, len(w), PIECE)]
+    return [w for w, _ in out], np.array([k for _, k in out])
+
+
+def _training_words(b: pa.RecordBatch, size: int) -> Iterator[Bits]:
+    for found, count in zip(b.column("words").to_pylist(), b.column("counts").to_pylist()):
+        found, count = unpack_words(found), unpack(count, "<i8")
+        found, owner = _pieces([w for w, n in zip(found, count.tolist()) if n])
+        count = count[count > 0].astype(float)[owner]
+        for lo, hi in _steps(found, size):
+            yield spelled(found[lo:hi], count[lo:hi], True)
+
+
+def spellings(model: Model, found: list[bytes]) -> np.ndarray:
+    """log10 probability of each word as it is spelled."""
+    pieces, owner = _pieces(found)
+    out = np.zeros(len(pieces))
+    for lo, hi in _steps(pieces, STEP):
+        out[lo:hi] = model.log10(spelled(pieces[lo:hi], np.zeros(0), False), hi - lo)
+    return np.bincount(owner, out, len(found))
+
+
+# Codes and matches
+
+
+class Book:
+    """Codes of the most frequent tokens, by halving their list (most frequent first) where the counts balance. Token 0 is the escape."""
+
+    def __init__(self, tokens: list[bytes], counts: np.ndarray, escaped: int):
+        order = np.argsort(-np.append(escaped + 1, counts + 1), kind="stable")
+        self.leaf = {tokens[i - 1]: k for k, i in enumerate(order.tolist()) if i}
+        self.escape = int(np.flatnonzero(order == 0)[0])
+        weights = np.append(escaped + 1, counts + 1)[order].astype(float)
+        total = np.concatenate([[0.0], np.cumsum(weights)])
+        n = len(weights)
+        lo, hi = np.zeros(n, np.int64), np.full(n, n)
+        leaves, nodes, bits = [], [], []
+        live = np.arange(n)
+        while len(live := live[hi[live] - lo[live] > 1]):
+            a, b = lo[live], hi[live]
+            cut = np.clip(np.searchsorted(total, (total[a] + total[b]) / 2), a + 1, b - 1)
+            bit = live >= cut
+            leaves.append(live)
+            nodes.append(cut)
+            bits.append(bit)
+            lo[live], hi[live] = np.where(bit, cut, a), np.where(bit, b, cut)
+        leaves, nodes, bits = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (leaves, nodes, bits))
+        by = np.argsort(leaves, kind="stable")
+        self.nodes, self.bits = nodes[by].astype(np.int64), bits[by].astype(np.int64)
+        self.length = np.bincount(leaves, minlength=n).astype(np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+
+def anchors(seq: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places that follow an anchor's context, the context's hash, and how many tokens from there belong to it."""
+    n, stops = len(seq), np.cumsum(lengths)
+    h = hashes[seq]
+    key = np.zeros(n, np.uint64)
+    for j in range(1, CONTEXT + 1):
+        key[j:] = key[j:] * np.uint64(words.MULTIPLIER | 1) + h[: n - j]
+    key = words.mix(key)
+    begin = np.repeat(stops - lengths, lengths)
+    at = np.flatnonzero((np.arange(n) - begin >= CONTEXT) & (key % np.uint64(ANCHORS) == 0))
+    stop = np.repeat(stops, lengths)[at]
+    many = np.minimum(np.minimum(np.append(at[1:], n), stop) - at, FOLLOW)
+    return at, key[at], many
+
+
+class Anchored:
+    """The distinct anchors of a block with what follows them, sorted by shard and hash; every occurrence knows its row."""
+
+    def __init__(self, seq: np.ndarray, lengths: np.ndarray, held: np.ndarray, hashes: np.ndarray, shards: int):
+        self.at, key, self.many = anchors(seq, lengths, hashes)
+        follow = ((hashes >> np.uint64(48)) | np.uint64(1)).astype("<u2")
+        self.flat = np.arange(self.many.sum()) - np.repeat(np.cumsum(self.many) - self.many, self.many)
+        owner = np.repeat(np.arange(len(self.at)), self.many)
+        after = follow[seq[np.repeat(self.at, self.many) + self.flat]]
+        out = np.repeat(held, lengths)[self.at]
+        weight = words.mix(np.arange(1, FOLLOW + 1, dtype=np.uint64))
+        digest = np.zeros(len(self.at), np.uint64)
+        if len(owner):
+            digest = np.add.reduceat(after.astype(np.uint64) * weight[self.flat], np.cumsum(self.many) - self.many)
+        digest = words.mix(digest + key) + words.mix(out.astype(np.uint64) + np.uint64(7) * self.many.astype(np.uint64))
+        _, first, inverse, times = np.unique(digest, return_index=True, return_inverse=True, return_counts=True)
+        shard = (key[first] >> np.uint64(17)) % np.uint64(shards)
+        order = np.lexsort((first, key[first], shard))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.row = place[inverse]
+        first = first[order]
+        self.key, self.lengths, self.times, self.held = key[first], self.many[first], times[order], out[first]
+        self.begin = np.cumsum(self.lengths) - self.lengths
+        starts = np.cumsum(self.many) - self.many
+        self.after = after[np.repeat(starts[first] - self.begin, self.lengths) + np.arange(self.lengths.sum())]
+        self.bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+
+    def rows(self) -> Iterator[tuple[int, bytes, bytes]]:
+        """For each shard that has any: its number, the hashes with the words after them, and lengths, times and held out marks."""
+        for s in range(len(self.bounds) - 1):
+            lo, hi = self.bounds[s], self.bounds[s + 1]
+            if lo < hi:
+                text = slice(self.begin[lo], self.begin[hi - 1] + self.lengths[hi - 1])
+                yield s, pack(np.diff(self.key[lo:hi], prepend=np.uint64(0))), pack(self.after[text]), pack((self.times[lo:hi] << 6 | self.held[lo:hi].astype(np.int64) << 5 | self.lengths[lo:hi]).astype("<i8"))
+
+    def spread(self, answers: dict[int, bytes], n: int) -> np.ndarray:
+        """A byte for every token of the block, from the shards' answers for the rows."""
+        answer = np.zeros(self.lengths.sum(), np.uint8)
+        for s, data in answers.items():
+            lo, hi = self.bounds[s], self.bounds[s + 1]
+            answer[self.begin[lo] : self.begin[hi - 1] + self.lengths[hi - 1]] = unpack(data, "u1")
+        out = np.zeros(n, np.uint8)
+        out[np.repeat(self.at, self.many) + self.flat] = answer[np.repeat(self.begin[self.row], self.many) + self.flat]
         return out
 
 
-TOKENS = "block long, number int, token binary, trained long, doc_id long, held_out boolean, numbers binary, times binary"
+SEEN, HIT = 128, 64
+
+
+def _bucket(n: np.ndarray) -> np.ndarray:
+    """0, 1, 2, 3-4, 5-8, ... and 7 for over 32."""
+    return np.where(n > 0, np.minimum(1 + np.ceil(np.log2(np.maximum(n, 1))), 7), 0).astype(np.uint8)
+
+
+def continued(key: np.ndarray, after: np.ndarray, lengths: np.ndarray, times: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """For every word after every anchor: SEEN if training has another continuation of that context, HIT if the most frequent one (the first of
+    equals by hash) is this word, how often it came and how often others came, in three bits each. Training rows do not count one of their own times."""
+    n, begin = len(key), np.cumsum(lengths) - lengths
+    out = np.zeros(lengths.sum(), np.uint8)
+    order = np.argsort(key, kind="stable")
+    same = np.concatenate([[False], key[order][1:] == key[order][:-1], [False]])
+    trained = np.where(held, 0, times)
+    # anchors that stand alone, once, meet nothing
+    alone = ~(same[1:] | same[:-1]) & (trained[order] <= 1)
+    rows = order[~alone]
+    if not len(rows):
+        return out
+    f = np.zeros((FOLLOW + 1, len(rows)), "<u2")
+    for j in range(FOLLOW):
+        live = lengths[rows] > j
+        f[j, live] = after[begin[rows[live]] + j]
+    by = np.lexsort((*f[FOLLOW - 1 :: -1], key[rows]))
+    rows, f = rows[by], f[:, by]
+    t, own = trained[rows], (~held[rows]).astype(np.int64)
+    new = np.concatenate([[True], key[rows][1:] != key[rows][:-1]])
+    for j in range(FOLLOW):
+        # rows whose text goes on; a run is one context, a child one continuation of it
+        on = np.flatnonzero(lengths[rows] > j)
+        if not len(on):
+            break
+        run = np.cumsum(new)[on]
+        child_new = new | np.concatenate([[True], f[j, 1:] != f[j, :-1]])
+        child = np.cumsum(child_new)[on]
+        run_first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        child_first = np.flatnonzero(np.concatenate([[True], child[1:] != child[:-1]]))
+        run_of = np.cumsum(np.concatenate([[False], run[1:] != run[:-1]]))
+        child_of = np.cumsum(np.concatenate([[False], child[1:] != child[:-1]]))
+        total, count = np.add.reduceat(t[on], run_first), np.add.reduceat(t[on], child_first)
+        child_run = run_of[child_first]
+        first_child = np.flatnonzero(np.concatenate([[True], child_run[1:] != child_run[:-1]]))
+        best = np.maximum.reduceat(count, first_child)
+        number = np.arange(len(count))
+        top = np.minimum.reduceat(np.where(count == best[child_run], number, len(count)), first_child)
+        rest = np.where(number == top[child_run], -1, count)
+        second = np.maximum.reduceat(rest, first_child)
+        runner = np.minimum.reduceat(np.where(rest == second[child_run], number, len(count)), first_child)
+        c, r, me = child_of, run_of, own[on]
+        mine = count[c] - me
+        is_top = c == top[r]
+        hit = np.where(is_top, (mine > second[r]) | (mine == second[r]) & (c < runner[r]), False)
+        came = np.where(is_top & ~hit, second[r], np.where(is_top, mine, best[r]))
+        others = total[r] - me - came
+        hit &= came > 0
+        value = SEEN | hit.astype(np.uint8) * HIT | _bucket(came) << 3 | _bucket(others)
+        out[begin[rows[on]] + j] = np.where(came > 0, value, 0)
+        new = child_new
+    return out
+
+
+class Contexts:
+    """What the bits of a row of coded documents are predicted from, a value for every token."""
+
+    def __init__(self, leaf: np.ndarray, match: np.ndarray, lengths: np.ndarray, classes: np.ndarray, held: np.ndarray):
+        n = len(leaf)
+        self.leaf, self.match = leaf.astype(np.int64), match.astype(np.int64)
+        self.classes, self.held = np.repeat(classes.astype(np.int64), lengths), np.repeat(held, lengths)
+        place = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+        def back(x: np.ndarray, k: int, outside: int) -> np.ndarray:
+            out = np.full(n, outside, x.dtype)
+            out[k:] = x[: n - k]
+            return np.where(place >= k, out, outside)
+
+        self.before = back(self.leaf, 1, BOOK + 1)
+        one, two = (self.before.astype(np.uint32) + np.uint32(1)) * _SMALL, back(self.leaf, 2, BOOK + 1).astype(np.uint32)
+        self.one, self.two = _small(one), _small(one ^ (two + np.uint32(0x51ED27)) * np.uint32(0x85EBCA77))
+        state = np.where(self.match >= SEEN, 1 + (self.match >> 6 & 1), 0)
+        self.past = sum(back(state, k, 0) * 3 ** (k - 1) for k in range(1, 5))
+
+    def bits(self, book: Book, lo: int, hi: int) -> Bits:
+        """The decisions of tokens lo to hi: match bits first, then code bits."""
+        here = np.arange(lo, hi)
+        asked = here[self.match[lo:hi] >= SEEN]
+        hit = self.match[asked] >> 6 & 1
+        often, others, past = self.match[asked] >> 3 & 7, self.match[asked] & 7, self.past[asked]
+        flags = [
+            CODE_AT[0] + (1 << 16) + (often << 3 | others),
+            CODE_AT[1] + (1 << 19) + (self.classes[asked] << 3 | often) * 9 + past % 9,
+            CODE_AT[2] + past,
+            CODE_AT[3] + 81 * (often << 3 | others) + past,
+        ]
+        coded = here[(self.match[lo:hi] & (SEEN | HIT)) != (SEEN | HIT)]
+        length = book.length[self.leaf[coded]]
+        token = np.repeat(coded, length)
+        depth = np.arange(len(token)) - np.repeat(np.cumsum(length) - length, length)
+        flat = np.repeat(book.start[self.leaf[coded]], length) + depth
+        node, bit = book.nodes[flat], book.bits[flat]
+        inner = node.astype(np.uint32) * np.uint32(0x2545F491)
+        high = lambda x, bits: ((x * _SMALL) >> np.uint32(32 - bits)).astype(np.int64)
+        codes = [
+            CODE_AT[0] + node,
+            CODE_AT[1] + (self.classes[token] << 16) + node,
+            CODE_AT[2] + high(self.one[token] ^ inner, 21),
+            CODE_AT[3] + high(self.two[token] ^ inner, 21),
+        ]
+        common_ = np.minimum(np.log2(self.before[coded] + 1).astype(np.int64) >> 1, 7)
+        gates = np.concatenate([16 + (past % 9) * 8 + often, np.repeat(common_, length) * 2 + (depth < 4)])
+        rows = np.concatenate([32 + past % 9, np.minimum(depth, 31)])
+        tokens = np.concatenate([asked, token])
+        return Bits(np.array([np.concatenate(x) for x in zip(flags, codes)]), np.concatenate([hit, bit]), gates, rows, tokens - lo, None, (~self.held[tokens]).astype(np.int64))
+
+
+# Blocks, shards and coded rows
+
+
+BLOCK = "block long, ids binary, named binary, held binary, classes binary, lengths binary, numbers binary, words binary, counts binary, n_words long, n_tokens long, trained_docs long"
 
 
 def profile(text: bytes) -> np.ndarray:
@@ -225,144 +585,250 @@ def fit_classes(rows: DataFrame) -> np.ndarray:
     return centres
 
 
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows) if rows else [[]] * len(fields), fields)], [n for n, _ in fields])
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], centres: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row per document (numbers of its distinct tokens in their block, each less the one before, and how often each stands) and a row per
-    block and token."""
+    """A row per block of documents: their words, numbered as they come (0 is the end), and their texts as numbers."""
     task, blocks = TaskContext.get().partitionId(), 0
     numbers: dict[bytes, int] = {}
-    trained: list[int] = []
-    schema = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("token", pa.binary()), ("trained", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("numbers", pa.binary()), ("times", pa.binary())])
-
-    def rows(**columns) -> pa.RecordBatch:
-        n = len(next(iter(columns.values())))
-        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+    docs: list[tuple[int | None, bool, int]] = []
+    seqs: list[np.ndarray] = []
+    size = 0
 
     def flush() -> pa.RecordBatch:
-        return rows(block=np.full(len(numbers), task << 32 | blocks), number=np.arange(len(numbers), dtype=np.int32), token=list(numbers), trained=trained)
+        ids, held, classes = zip(*docs)
+        held = np.array(held)
+        lengths = np.array([len(s) for s in seqs])
+        seq = np.concatenate(seqs)
+        counts = np.bincount(seq[np.repeat(~held, lengths)], minlength=len(numbers) + 1)[1:]
+        arrays = (np.array([i or 0 for i in ids], "<i8"), np.array([i is not None for i in ids]), held, np.array(classes, "u1"), lengths.astype("<i4"), seq.astype("<i4"))
+        return _batch([(task << 32 | blocks, *map(pack, arrays), pack_words(list(numbers)), pack(counts.astype("<i8")), len(numbers), len(seq), int((~held).sum()))], BLOCK)
 
     for b in batches:
-        ids, held = b.column("doc_id").to_pylist(), b.column("held_out").to_pylist()
-        docs: list[tuple] = []
-        for doc, out, text in zip(ids, held, common.texts(b)):
-            group = bytes([nearest(profile(text)[None], centres)[0]])
-            own = [numbers.setdefault(group + w, len(numbers)) for w in [*text.translate(common.FOLD).split(), END]]
-            distinct, times = np.unique(np.array(own, np.int32), return_counts=True)
-            trained += [0] * (len(numbers) - len(trained))
-            if not out:
-                for i, n in zip(distinct.tolist(), times.tolist()):
-                    trained[i] += n
-            docs.append((task << 32 | blocks, doc, out, np.diff(distinct, prepend=0).astype(np.int32).tobytes(), times.astype(np.int32).tobytes()))
-            if len(numbers) >= BLOCK_TOKENS:
+        for doc, out, text in zip(b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), common.texts(b)):
+            docs.append((doc, out, nearest(profile(text)[None], centres)[0]))
+            own = [numbers.setdefault(w, len(numbers) + 1) for w in text.translate(common.FOLD).split()]
+            own.append(0)
+            seqs.append(np.array(own, np.int32))
+            size += len(own)
+            if len(numbers) >= BLOCK_WORDS or size >= BLOCK_TOKENS:
                 yield flush()
                 numbers.clear()
-                trained.clear()
-                blocks += 1
-        names = ("block", "doc_id", "held_out", "numbers", "times")
-        yield rows(**dict(zip(names, map(list, zip(*docs))))) if docs else rows(block=[])
-    if numbers:
+                docs.clear()
+                seqs.clear()
+                blocks, size = blocks + 1, 0
+    if docs:
         yield flush()
 
 
-def _batch_tokens(b: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
-    return b.column("token").to_pylist(), b.column("trained").to_numpy(zero_copy_only=False)
+def _hashes(found: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, in parts that keep the arrays small."""
+    return np.concatenate([words.word_hashes([b" ".join(found[i : i + STEP])])[0] for i in range(0, len(found), STEP)] or [np.zeros(0, np.uint64)])
+
 
+def _of_shards(found: list[bytes], shards: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The words' hashes, and for each shard the places of its words."""
+    hashed = _hashes(found)
+    shard = (hashed >> np.uint64(11)) % np.uint64(shards)
+    order = np.argsort(shard, kind="stable")
+    return hashed, np.split(order, np.searchsorted(shard[order], np.arange(1, shards)))
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = None
+
+PAYLOAD = "shard int, block long, a binary, b binary, c binary"
+
+
+def _word_rows(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        tokens, count = _batch_tokens(b)
-        part = slot_counts(tokens, count)
-        table = part if table is None else table + part
-    if table is not None:
-        flat = table.astype("<f4").reshape(-1, PART)
-        full = np.flatnonzero(flat.any(axis=1))
-        for lo in range(0, len(full), 64):
-            own = full[lo : lo + 64]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([flat[i].tobytes() for i in own], pa.binary())], ["part", "counts"])
+        for block, found, counts in zip(*(b.column(c).to_pylist() for c in ("block", "words", "counts"))):
+            found, counts = unpack_words(found), unpack(counts, "<i8")
+            yield _batch([(s, block, pack_words([found[i] for i in own.tolist()]), pack(counts[own]), b"") for s, own in enumerate(_of_shards(found, shards)[1]) if len(own)], PAYLOAD)
 
 
-def _added(group: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(PART)
-    for x in group["counts"]:
-        total += np.frombuffer(x, "<f4")
-    return pd.DataFrame({"part": [group["part"].iloc[0]], "counts": [packed(total).tobytes()]})
+def _block_anchors(row: dict, found: list[bytes], shards: int) -> Anchored:
+    hashes = np.concatenate([[_END], _hashes(found)])
+    return Anchored(unpack(row["numbers"], "<i4"), unpack(row["lengths"], "<i4").astype(np.int64), unpack(row["held"], "?"), hashes, shards)
 
 
-def fit(tokens: DataFrame) -> Model:
-    """A model of (token, trained). What comes back to the driver is of fixed size: the slots, weights and map, some 13 MB."""
-    spark = tokens.sparkSession
-    ours = tokens.where("trained > 0")
-    ours = ours.coalesce(max(1, math.ceil(ours.count() / TASK_TOKENS)))
-    counted = ours.mapInArrow(_counted, "part int, counts binary").groupBy("part").applyInPandas(_added, "part int, counts binary")
-    table = np.zeros((len(ORDERS) * 2 * SLOTS // PART, PART), "<u2")
-    for part, counts in counted.toLocalIterator():
-        table[part] = np.frombuffer(counts, "<u2")
-    table = table.reshape(len(ORDERS), 2, SLOTS)
-    sent = spark.sparkContext.broadcast(table)
+def _anchor_rows(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for row in b.to_pylist():
+            yield _batch([(s, row["block"], *x) for s, *x in _block_anchors(row, unpack_words(row["words"]), shards).rows()], PAYLOAD)
 
-    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            w, seen, refine = learn(*_batch_tokens(b), sent.value)
-            values = np.concatenate([(w * seen[:, None]).ravel(), seen, refine.ravel()])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], ["i", "x"])
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
-    sums = ours.mapInArrow(learned, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
-    values = np.zeros(GATES * (len(ORDERS) + 1) + 256 * CELLS * 2)
-    values[sums["i"].to_numpy()] = sums["x"].to_numpy()
-    w, seen, refine = np.split(values, [GATES * len(ORDERS), GATES * (len(ORDERS) + 1)])
-    weights = np.where(seen[:, None] > 0, w.reshape(GATES, -1) / np.maximum(seen, 1e-9)[:, None], 1.5 / len(ORDERS))
-    return Model(table, weights, refine.reshape(256, CELLS, 2))
-
-
-def _summed(_: tuple, docs: pd.DataFrame, tokens: pd.DataFrame) -> pd.DataFrame:
-    """Scores of a block's documents from its tokens' values."""
-    values = np.zeros((len(tokens), 4))
-    values[tokens["number"].to_numpy()] = tokens[["known", "base", "model", "size"]].to_numpy()
+
+SHARD = "shard int, words binary, counts binary, n long, v long"
+
+
+def _shard_counts(rows: pd.DataFrame) -> pd.DataFrame:
+    """All distinct words of a shard with how often training has them."""
+    numbers: dict[bytes, int] = {}
+    total = np.zeros(1 << 16, np.int64)
+    for a, b in zip(rows["a"], rows["b"]):
+        at = np.array([numbers.setdefault(w, len(numbers)) for w in unpack_words(a)])
+        if len(numbers) > len(total):
+            total = np.concatenate([total, np.zeros(max(len(total), len(numbers)), np.int64)])
+        total[at] += unpack(b, "<i8")
+    total = total[: len(numbers)]
+    return pd.DataFrame([(rows["shard"].iloc[0], pack_words(list(numbers)), pack(total), int(total.sum()), int((total > 0).sum()))], columns=["shard", "words", "counts", "n", "v"])
+
+
+def _most_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A shard's words that may be in the code book."""
+    for b in batches:
+        for found, counts in zip(b.column("words").to_pylist(), b.column("counts").to_pylist()):
+            found, counts = unpack_words(found), unpack(counts, "<i8")
+            own = np.argsort(-counts, kind="stable")[: BOOK + 1]
+            if len(own) > BOOK:  # all of the last one's count stay, so that ties are settled over all shards
+                own = np.flatnonzero(counts >= counts[own[-1]])
+            own = own[counts[own] > 0]
+            yield _batch([(found[i], int(counts[i])) for i in own.tolist()], "word binary, n long")
+
+
+ANSWER = "shard int, block long, a binary, b binary, matches boolean"
+
+
+def _word_answers(_: tuple, rows: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+    """Counts and spellings of the words that a block asked for."""
+    numbers = {w: i for i, w in enumerate(unpack_words(shard["words"].iloc[0]))}
+    counts, spelt = unpack(shard["counts"].iloc[0], "<i8"), unpack(shard["spelt"].iloc[0], "<f4")
+    out = []
+    for s, block, a in zip(rows["shard"], rows["block"], rows["a"]):
+        at = np.array([numbers[w] for w in unpack_words(a)])
+        out.append((s, block, pack(counts[at]), pack(spelt[at]), False))
+    return pd.DataFrame(out, columns=["shard", "block", "a", "b", "matches"])
+
+
+def _matches(rows: pd.DataFrame) -> pd.DataFrame:
+    """The continuations of a shard's anchors, for every block."""
+    keys = [np.cumsum(unpack(x, "<u8"), dtype=np.uint64) for x in rows["a"]]
+    marks = np.concatenate([unpack(x, "<i8") for x in rows["c"]])
+    lengths = marks & 31
+    answer = continued(np.concatenate(keys), np.concatenate([unpack(x, "<u2") for x in rows["b"]]), lengths, marks >> 6, (marks & 32) > 0)
+    ends = np.cumsum(lengths)[np.cumsum([len(k) for k in keys]) - 1]
+    parts = np.split(answer, ends[:-1])
+    return pd.DataFrame({"shard": rows["shard"], "block": rows["block"], "a": [pack(p) for p in parts], "b": [b""] * len(parts), "matches": True})
+
+
+CODED = "ids binary, named binary, held binary, classes binary, lengths binary, known binary, base binary, sizes binary, leaves binary, matches binary, spelt binary"
+
+
+def _coded(block: pd.DataFrame, answers: pd.DataFrame, book: Book, shards: tuple[int, int], n: int, v: int, ends: int) -> pd.DataFrame:
+    """The documents of a block as codes and matches, with what does not depend on the mix; a row for about ROW_TOKENS tokens."""
+    row = block.iloc[0].to_dict()
+    found = unpack_words(row["words"])
+    counts, spelt = np.zeros(len(found) + 1, np.int64), np.zeros(len(found) + 1, np.float32)
+    counts[0] = ends
+    ours = answers[~answers["matches"]]
+    places = _of_shards(found, shards[0])[1]
+    for s, a, b in zip(ours["shard"], ours["a"], ours["b"]):
+        counts[places[s] + 1], spelt[places[s] + 1] = unpack(a, "<i8"), unpack(b, "<f4")
+    leaf = np.array([book.leaf.get(END, book.escape), *(book.leaf.get(w, book.escape) for w in found)])
+    size = np.array([1, *(len(w) + 1 for w in found)])
+    ids, named, held, classes = (unpack(row[c], k) for c, k in (("ids", "<i8"), ("named", "?"), ("held", "?"), ("classes", "u1")))
+    lengths, seq = unpack(row["lengths"], "<i4").astype(np.int64), unpack(row["numbers"], "<i4")
+    theirs = answers[answers["matches"]]
+    match = _block_anchors(row, found, shards[1]).spread(dict(zip(theirs["shard"], theirs["a"])), len(seq))
+    first = np.cumsum(lengths) - lengths
+    base, known, sizes = (np.add.reduceat(x[seq], first) for x in (np.log10((counts + 1) / (n + v + 1)), (counts > 0).astype(np.int64), size))
+    cuts = np.flatnonzero(np.diff(first // ROW_TOKENS)) + 1
     out = []
-    for doc, held, numbers, times in zip(docs["doc_id"], docs["held_out"], docs["numbers"], docs["times"]):
-        n = np.frombuffer(times, np.int32)
-        known, base, model, size = n @ values[np.cumsum(np.frombuffer(numbers, np.int32))]
-        total = model - math.log10(CLASSES)
-        out.append((doc, held, int(n.sum()), int(round(known)), base, total, -total / math.log10(2) / size))
-    return pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"]).astype({"doc_id": "Int64"})
+    for docs in np.split(np.arange(len(ids)), cuts):
+        d, t = slice(docs[0], docs[-1] + 1), slice(first[docs[0]], first[docs[-1]] + lengths[docs[-1]])
+        leaves = leaf[seq[t]]
+        escaped = spelt[seq[t]][leaves == book.escape]
+        out.append(tuple(map(pack, (ids[d], named[d], held[d], classes[d], lengths[d].astype("<i4"), known[d], base[d], sizes[d], leaves.astype("<u2"), match[t], escaped))))
+    return pd.DataFrame(out, columns=[x.split()[0] for x in CODED.split(", ")])
+
+
+def _contexts(row: dict) -> tuple[Contexts, np.ndarray]:
+    lengths = unpack(row["lengths"], "<i4").astype(np.int64)
+    return Contexts(unpack(row["leaves"], "<u2"), unpack(row["matches"], "u1"), lengths, unpack(row["classes"], "u1"), unpack(row["held"], "?")), lengths
+
+
+def _only_trained(row: dict) -> dict | None:
+    """The row without its held-out documents."""
+    held, lengths = unpack(row["held"], "?"), unpack(row["lengths"], "<i4")
+    if held.all():
+        return None
+    tokens = np.repeat(~held, lengths)
+    return {
+        "held": pack(held[~held]), "lengths": pack(lengths[~held]), "classes": pack(unpack(row["classes"], "u1")[~held]),
+        "leaves": pack(unpack(row["leaves"], "<u2")[tokens]), "matches": pack(unpack(row["matches"], "u1")[tokens]),
+    }
+
+
+def _training_bits(b: pa.RecordBatch, size: int, book: Book) -> Iterator[Bits]:
+    for row in b.select(["held", "lengths", "classes", "leaves", "matches"]).to_pylist():
+        if row := _only_trained(row):
+            contexts, _ = _contexts(row)
+            for lo in range(0, len(contexts.leaf), size):
+                yield contexts.bits(book, lo, min(lo + size, len(contexts.leaf)))
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
+
+
+def _scored(row: dict, model: Model, book: Book) -> pa.RecordBatch:
+    contexts, lengths = _contexts(row)
+    n = len(contexts.leaf)
+    value = np.zeros(n)
+    for lo in range(0, n, STEP):
+        hi = min(lo + STEP, n)
+        value[lo:hi] = model.log10(contexts.bits(book, lo, hi), hi - lo)
+    escaped = contexts.leaf == book.escape
+    spelt = np.zeros(n)
+    spelt[escaped] = unpack(row["spelt"], "<f4")
+    value += np.where((contexts.match & (SEEN | HIT)) == (SEEN | HIT), 0, spelt)
+    score = np.add.reduceat(value, np.cumsum(lengths) - lengths) - math.log10(CLASSES)
+    ids, named, sizes = unpack(row["ids"], "<i8"), unpack(row["named"], "?"), unpack(row["sizes"], "<i8")
+    columns = [pa.array(ids, mask=~named), pa.array(unpack(row["held"], "?")), pa.array(lengths), pa.array(unpack(row["known"], "<i8")), pa.array(unpack(row["base"], "<f8")), pa.array(score), pa.array(-score / math.log10(2) / sizes)]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCORES.split(", ")])
 
 
 def score(df: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte (of the text as it is spelled) of every row.
 
     held_out: a Column over id_col; its rows are scored but not learned from. A null or empty text is its end token alone. If
-    nothing can be learned from, every prediction is even odds. Repeated rows are learned from and scored each time.
+    nothing can be learned from, every prediction is even odds. Repeated rows are learned from and scored each time. Ids are cast to
+    long, as the session casts.
     """
     spark = df.sparkSession
-    common.small_batches(spark, 1000)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
     centres = fit_classes(rows)
-    blocks = common.stored(rows.mapInArrow(lambda it: _blocks(it, centres), TOKENS), "blocks")
-    tokens = blocks.where(F.col("token").isNotNull()).select("block", "number", "token", "trained")
-    docs = blocks.where(F.col("token").isNull() & F.col("numbers").isNotNull()).select("block", "doc_id", "held_out", "numbers", "times")
-    # One shuffle, by the word alone, serves the counts of (class, word) and of the word.
-    word = F.expr("substring(token, 2)")
-    same = Window.partitionBy("word")
-    counts = tokens.withColumn("word", word).repartition("word").groupBy("word", "token").agg(F.sum("trained").alias("trained"))
-    counts = common.stored(counts.withColumns({"c": F.sum("trained").over(same), "first": F.row_number().over(same.orderBy(F.desc("trained"), "token")) == 1}).drop("word"), "token-counts")
-    n = counts.agg(F.coalesce(F.sum("trained"), F.lit(0))).first()[0]
-    # a word of several classes counts once, where it is most frequent
-    v = counts.where("trained > 0").agg(F.coalesce(F.sum(F.col("first").cast("long")), F.lit(0))).first()[0]
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
-    model = spark.sparkContext.broadcast(fit(counts.select("token", "trained")))
+    blocks = common.stored(rows.mapInArrow(lambda it: _blocks(it, centres), BLOCK), "blocks")
+    n_words, n_tokens, ends = (int(x or 0) for x in blocks.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum("trained_docs")).first())
+    shards = (max(1, math.ceil(n_words / SHARD_WORDS)), max(1, math.ceil(n_tokens / SHARD_TOKENS)))
+    asked = blocks.select("block", "words", "counts").mapInArrow(lambda it: _word_rows(it, shards[0]), PAYLOAD)
+    counted = common.stored(asked.groupBy("shard").applyInPandas(_shard_counts, SHARD), "word-counts")
+    n, v = (int(x or 0) for x in counted.agg(F.sum("n"), F.sum("v")).first())
+    n, v = n + ends, v + (ends > 0)
+    # the most frequent tokens, at most BOOK
+    top = counted.select("words", "counts").mapInArrow(_most_frequent, "word binary, n long").orderBy(F.desc("n"), "word").limit(BOOK - 1).toPandas()
+    tokens, counts = [*map(bytes, top["word"]), END], np.append(top["n"].to_numpy(np.int64), ends)
+    book = spark.sparkContext.broadcast(Book(tokens, counts, n - int(counts.sum())))
+    spelling = spark.sparkContext.broadcast(fit(counted.select("words", "counts"), SPELLING, math.ceil(v / TASK_WORDS), _training_words))
+
+    def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, found, c in zip(*(b.column(x).to_pylist() for x in ("shard", "words", "counts"))):
+                yield _batch([(shard, found, c, pack(spellings(spelling.value, unpack_words(found)).astype("<f4")))], "shard int, words binary, counts binary, spelt binary")
+
+    valued = counted.select("shard", "words", "counts").mapInArrow(spelt, "shard int, words binary, counts binary, spelt binary")
+    answers = asked.select("shard", "block", "a").groupBy("shard").cogroup(valued.groupBy("shard")).applyInPandas(_word_answers, ANSWER)
+    matched = blocks.select("block", "held", "lengths", "numbers", "words").mapInArrow(lambda it: _anchor_rows(it, shards[1]), PAYLOAD).groupBy("shard").applyInPandas(_matches, ANSWER)
+    place = lambda _, block, found: _coded(block, found, book.value, shards, n, v, ends)
+    coded = common.stored(blocks.groupBy("block").cogroup(answers.unionAll(matched).groupBy("block")).applyInPandas(place, CODED), "coded")
+    model = spark.sparkContext.broadcast(fit(coded, SEQUENCE, math.ceil(n_tokens / TASK_TOKENS), lambda b, size: _training_bits(b, size, book.value)))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("token"), b.column("c"), pa.array(model.value.log10(b.column("token").to_pylist()))], ["token", "c", "model"])
-
-    valued = counts.select("token", "c").mapInArrow(scored, "token binary, c long, model double")
-    base = F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))
-    known = (F.col("c") > 0).cast("double")
-    # a token has a byte for the class; spelled, a word has a space instead, and the end nothing
-    size = F.length("token") - (word == F.lit(bytearray(END))).cast("int")
-    placed = tokens.select("block", "number", "token").join(valued, "token").select(F.col("block").alias("its_block"), "number", known.alias("known"), base.alias("base"), "model", size.alias("size"))
-    out = docs.groupBy("block").cogroup(placed.groupBy("its_block")).applyInPandas(_summed, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
+            for row in b.to_pylist():
+                yield _scored(row, model.value, book.value)
+
+    out = coded.mapInArrow(scored, SCORES)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
 
 

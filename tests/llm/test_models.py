@@ -41,25 +41,108 @@ def test_base_scores_are_exact(spark):
     rows = [(i, f"Word{i % 7} and the {'x' * (i % 3)} end") for i in range(40)] + [(50, None), (51, ""), (None, "the end"), (3, "the end")]
     got = mixing.score(documents(spark, rows), common.held_out(F.col("doc_id"), 7, 2)).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    count = Counter(w for i, t in rows if not held(i) for w in [*words((t or "").translate(FOLD)), "\0"])
+    count = Counter(w for i, t in rows if not held(i) for w in [*words((t or "").translate(FOLD)), "\n"])
     n, v = sum(count.values()), len(count)
-    want = sorted(((i, held(i), len(w), sum(count[x] > 0 for x in w), n, round(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), 6)) for i, t in rows for w in [[*words((t or "").translate(FOLD)), "\0"]]), key=str)
+    want = sorted(((i, held(i), len(w), sum(count[x] > 0 for x in w), n, round(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), 6)) for i, t in rows for w in [[*words((t or "").translate(FOLD)), "\n"]]), key=str)
     assert sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got), key=str) == want
     assert all(r["score"] < 0 for r in got)
 
 
-def test_probabilities_of_first_bytes_sum_to_one():
-    tokens = [b"\0" + w for w in (b"the", b"then", b"there", b"an", b"and", b"\0")]
-    count = np.array([50, 4, 6, 20, 30, 9])
-    table = mixing.packed(mixing.slot_counts(tokens, count))
-    w, seen, refine = mixing.learn(tokens, count, table)
-    model = mixing.Model(table, np.where(seen[:, None] > 0, w, 0.25), refine)
-    bits = mixing.Bits([b"\0" + bytes([b]) for b in range(1, 256) if b != 32])
-    assert bits.slots.shape[0] == len(mixing.ORDERS) and (bits.slots < mixing.SLOTS).all()
-    # every word closed by a space, over all words of one byte, and the end byte: less than one in all
-    total = sum(10 ** model.log10([b"\0" + bytes([b]) for b in range(256) if b not in (0, 32)])) + 10 ** model.log10([b"\0\0"])[0]
-    assert 0 < total < 1
-    assert model.log10([b"\0the"])[0] > model.log10([b"\0zzz"])[0]
+def test_code_probabilities_sum_to_one():
+    rng = np.random.default_rng(3)
+    tokens = [b"w%d" % i for i in range(60)] + [mixing.END]
+    book = mixing.Book(tokens, rng.integers(0, 50, 61), 9)
+    assert len(book.length) == 62 and math.isclose(sum(2.0**-book.length), 1) and len(set(book.leaf.values()) | {book.escape}) == 62
+    kind = mixing.SEQUENCE
+    table = np.zeros(2 * kind.slots, np.int64)
+    leaf = rng.integers(0, 62, 4000)
+    learned = mixing.Contexts(leaf, np.zeros(4000, np.uint8), np.array([4000]), np.array([1]), np.array([False]))
+    bits = learned.bits(book, 0, 4000)
+    for i in range(kind.inputs):
+        np.add.at(table, bits.slots[i] + kind.slots * bits.bit, 1)
+    learner = mixing.Learner(kind, mixing.logs(mixing.packed(table)))
+    learner.add(bits)
+    model = mixing.Model(kind, mixing.packed(table), learner.values())
+    # after the same two words, every token in turn
+    after = mixing.Contexts(np.array([x for k in range(62) for x in (5, 7, k)]), np.zeros(186, np.uint8), np.full(62, 3), np.ones(62, int), np.full(62, True))
+    p = 10 ** model.log10(after.bits(book, 0, 186), 186)[2::3]
+    assert math.isclose(p.sum(), 1, rel_tol=1e-3) and (p > 0).all()
+
+
+def test_spelled_words_are_less_than_one_in_all():
+    found, count = [b"the", b"then", b"there", b"an", b"and"], np.array([50.0, 4, 6, 20, 30])
+    kind, table = mixing.SPELLING, np.zeros(2 * mixing.SPELLING.slots, np.int64)
+    bits = mixing.spelled(found, count, True)
+    for i in range(kind.inputs):
+        np.add.at(table, bits.slots[i] + kind.slots * bits.bit, np.rint(bits.weight**2).astype(np.int64))
+    learner = mixing.Learner(kind, mixing.logs(mixing.packed(table)))
+    learner.add(bits)
+    model = mixing.Model(kind, mixing.packed(table), learner.values())
+    short = [bytes([a]) for a in range(1, 256) if a not in (9, 10, 11, 12, 13, 32)]
+    assert 0 < sum(10 ** mixing.spellings(model, short)) < 1
+    good, bad = mixing.spellings(model, [b"the", b"zzz"])
+    assert good > bad
+    # a word longer than PIECE is spelled in pieces
+    assert mixing._pieces([b"a", b"b" * 5000])[1].tolist() == [0, 1, 1]
+    assert mixing.spellings(model, [b"b" * 5000])[0] < -100
+
+
+def test_continuations_against_brute_force():
+    rng = np.random.default_rng(5)
+    n = 400
+    key = rng.integers(0, 12, n).astype(np.uint64)
+    lengths = rng.integers(1, 6, n)
+    texts = [rng.integers(1, 4, k).astype("<u2") for k in lengths]
+    times, held = rng.integers(1, 4, n), rng.random(n) < 0.3
+    got = np.split(mixing.continued(key, np.concatenate(texts), lengths, times, held), np.cumsum(lengths)[:-1])
+    for i in range(n):
+        for j in range(lengths[i]):
+            count = Counter()
+            for k in range(n):
+                if key[k] == key[i] and len(texts[k]) > j and (texts[k][:j] == texts[i][:j]).all():
+                    count[int(texts[k][j])] += 0 if held[k] else int(times[k])
+            mine = int(texts[i][j])
+            count[mine] -= 0 if held[i] else 1
+            best = min(count, key=lambda w: (-count[w], w))
+            want = 0
+            if count[best]:
+                others = sum(count.values()) - count[best]
+                bucket = lambda c: int(mixing._bucket(np.array([c]))[0])
+                want = mixing.SEEN | (best == mine) * mixing.HIT | bucket(count[best]) << 3 | bucket(others)
+            assert got[i][j] == want
+
+
+def test_word_order_copies_and_random_words(spark):
+    import random
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("aeioubdfgklmnprst") for _ in range(rng.randrange(2, 9)))
+    vocabulary = [word() for _ in range(400)]
+    texts = [[rng.choice(vocabulary) for _ in range(150)] for _ in range(60)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    mixed = [rng.sample(t, len(t)) for t in texts[:8]]
+    rows += [(1000 + i, " ".join(t)) for i, t in enumerate(texts[:8])] + [(2000 + i, " ".join(t)) for i, t in enumerate(mixed)]
+    rows += [(3000, " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(8)) for _ in range(50)))]
+    out = {r["doc_id"]: r for r in mixing.score(documents(spark, rows), F.col("doc_id") >= 1000).collect()}
+    for i in range(8):
+        # a copy is predicted from what it is a copy of; in another order it is not
+        assert out[1000 + i]["score"] > out[2000 + i]["score"] + 50
+        assert out[i]["base_score"] == out[1000 + i]["base_score"]
+    new = out[3000]
+    assert new["n_known"] == 1 and new["score"] / new["n_tokens"] > -30 and 0 < new["bits_per_byte"] < 10
+
+
+def test_the_end_is_no_word(spark):
+    rows = [(1, "a b"), (2, "a"), (3, "\0"), (4, "")]
+    out = {r["doc_id"]: r for r in mixing.score(documents(spark, rows), F.col("doc_id") >= 3).collect()}
+    assert (out[3]["n_known"], out[3]["n_tokens"], out[3]["train_tokens"]) == (1, 2, 5)
+    assert math.isclose(out[3]["base_score"], math.log10(1 / 9) + math.log10(3 / 9))
+
+
+def test_texts_of_one_huge_word_and_many_words(spark):
+    rows = [(1, "x" * 300_000), (2, "the " * 300_000), (3, None), (4, "the house")]
+    out = mixing.score(documents(spark, rows), F.lit(False)).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in out} == {1: 2, 2: 300_001, 3: 1, 4: 3} and all(-1e6 < r["score"] < 0 for r in out)
 
 
 def test_nothing_to_learn_from(spark):
@@ -86,8 +169,8 @@ def test_toxicity_of_long_runs_of_letters():
     assert toxicity.words_of("Some " + run[:40]) == ["some", run[:40]]
 
 
-def test_contexts_of_one_to_five_bytes_and_bits_per_byte(spark):
-    assert {1, 2, 3, 4, 5, 0, -1} == set(mixing.ORDERS)
+def test_contexts_of_one_to_six_bytes_and_bits_per_byte(spark):
+    assert {1, 2, 3, 4, 5, 6, 0} == set(mixing.ORDERS)
     rows = [(i, "the house by the river") for i in range(9)] + [(10, ""), (11, None), (12, "éa  b")]
     for r in mixing.score(documents(spark, rows), F.lit(False)).collect():
         text = " ".join(words(dict(rows)[r["doc_id"]]))
