@@ -107,9 +107,67 @@ def test_alignment_like_the_longest_common_subsequence():
 
 
 def test_notices(spark):
-    mit = licences.NOTICES["MIT"]
+    mit = next(x[3] for x in licences.notices() if x[:2] == ("MIT", "grant"))
     worn = mit.replace("sublicense, ", "").replace("Permission", "PERMISSION").replace(", ", " ,\n * ")
     rows = [(1, "Some text.\nReleased under the MIT License.\nMore.\nReleased under the MIT License."), (2, "x " * 5000 + worn + " y" * 5000), (3, "the license of the house"), (4, None), (5, ""), (None, "Licensed under the Apache License, Version 2.0."), (1, "Released under the MIT License")]
-    got = [(r["doc_id"], r["license"]) for r in licences.scan(documents(spark, rows)).collect()]
-    assert sorted(got, key=str) == sorted([(1, "MIT-line"), (1, "MIT-line"), (1, "MIT-line"), (2, "MIT"), (None, "Apache-2.0-line")], key=str)
+    got = [(r["doc_id"], r["license"], r["form"]) for r in licences.scan(documents(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(1, "MIT", "line")] * 3 + [(2, "MIT", "grant"), (None, "Apache-2.0", "line")], key=str)
     assert licences.scan(documents(spark, rows).limit(0)).count() == 0
+
+
+def test_names_and_versions_must_stand():
+    finder = licences.Notices(licences.notices(), licences.COVERAGE)
+    for text, want in (
+        ("Released under the BSD License", ["BSD"]),
+        ("Released under the ISC License", ["ISC"]),
+        ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]),
+        ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0"]),
+        ("Licensed under the GNU Lesser General Public License, version 3", ["LGPL-3.0"]),
+        ("This work is licensed under a Creative Commons Attribution 3.0 License", ["CC-BY-3.0"]),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ["CC-BY-SA-4.0"]),
+        ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]),
+        ("SPDX-License-Identifier: Apache-2.0", ["Apache-2.0"]),
+        ("released under the terms of the MIT License", ["MIT"]),
+        ("the license of MIT was released under protest", []),
+    ):
+        assert [f[0] for f in finder.find(text)] == want
+    for name, form, _, text in licences.notices():  # each is found as itself alone, once
+        assert [f[:2] for f in finder.find(f"so and so {text} and so on")] == [(name, form)]
+
+
+def test_planted_and_mutated_notices():
+    """Words are lost and put in, also a long run in the middle; each notice is found where it stands and nowhere else."""
+    rng = random.Random(11)
+    known = licences.notices()
+    finder = licences.Notices(known, licences.COVERAGE)
+    filler = ["house", "river", "of", "the", "software", "license", "any", "and", "copy"]
+    for _ in range(120):
+        name, form, must, text = rng.choice([x for x in known if len(licences.tokens(x[3])) > 25])
+        own = licences.tokens(text)
+        fixed = set()
+        for phrase in map(licences.tokens, must):
+            at = next(i for i in range(len(own)) if own[i : i + len(phrase)] == phrase)
+            fixed |= set(range(at, at + len(phrase)))
+        lost = set(rng.sample([i for i in range(len(own)) if i not in fixed], int(0.04 * len(own))))
+        put = rng.choice([i for i in range(5, len(own) - 5) if i not in fixed])
+        middle = [rng.choice(["xx", "yy", "zz"]) for _ in range(rng.randrange(60 if len(own) > 60 else 10))]
+        worn = [w for i, w in enumerate(own) if i not in lost or i in (0, len(own) - 1)]
+        worn[put:put] = middle if put < len(worn) else []
+        if any(f" {' '.join(licences.tokens(p))} " not in f" {' '.join(worn)} " for p in must):
+            continue
+        before, after = ([rng.choice(filler) for _ in range(rng.randrange(400))] for _ in range(2))
+        found = finder.find(" ".join([*before, *worn, *after]))
+        assert [f[0] for f in found] == [name], (name, form, found)
+        assert abs(found[0][3] - len(before)) <= 3 and abs(found[0][4] - len(before) - len(worn)) <= 3
+
+
+def test_subsequence_against_a_plain_table():
+    rng = random.Random(3)
+    for _ in range(100):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(40))] for _ in range(2))
+        n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                n[i + 1][j + 1] = n[i][j] + 1 if x == y else max(n[i][j + 1], n[i + 1][j])
+        pairs = licences._subsequence(a, b)
+        assert len(pairs) == n[-1][-1] and all(a[i] == b[j] for i, j in pairs) and all(p < q and x < y for (p, x), (q, y) in zip(pairs, pairs[1:]))
