@@ -368,7 +368,7 @@ def anchors(seq: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> tuple[n
     h = hashes[seq]
     key = np.zeros(n, np.uint64)
     for j in range(1, CONTEXT + 1):
-        key[j:] = key[j:] * np.uint64(words.MULTIPLIER | 1) + h[: n - j]
+        key[j:] = key[j:] * np.uint64(words.MULTIPLIER | 1) + h[: max(0, n - j)]
     key = words.mix(key)
     begin = np.repeat(stops - lengths, lengths)
     at = np.flatnonzero((np.arange(n) - begin >= CONTEXT) & (key % np.uint64(ANCHORS) == 0))
@@ -498,7 +498,7 @@ class Contexts:
 
         def back(x: np.ndarray, k: int, outside: int) -> np.ndarray:
             out = np.full(n, outside, x.dtype)
-            out[k:] = x[: n - k]
+            out[k:] = x[: max(0, n - k)]
             return np.where(place >= k, out, outside)
 
         self.before = back(self.leaf, 1, BOOK + 1)
