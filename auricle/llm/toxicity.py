@@ -1,8 +1,10 @@
 """Toxicity: bags of subwords, averaged into a linear softmax.
 
-A word is itself and its character n-grams of three to five letters, hashed into buckets that each have a vector; a passage of about
-SPAN words is the mean of its words' vectors, and a two-class softmax reads the mean. Vectors and softmax are learned together, in
-numpy, from labels of whole documents: a document is as toxic as its most toxic passage, and that one is learned from. Misspellings and new endings share n-grams with words that were seen.
+A word is itself and its character n-grams of three to five letters, hashed into buckets that each have a vector; a word is the mean of
+its subwords' vectors, a passage of SPAN words the mean of theirs, and a two-class softmax reads means. Vectors and softmax are learned together, in
+numpy, from labels of whole documents: the mean of a document's TOP most toxic passages is what the softmax reads, and they are learned
+from, so that one chance likeness in a long text weighs less than insults that recur. Misspellings and new endings share n-grams with
+words that were seen. Digits inside a word belong to it.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from pyspark.sql import functions as F
 from . import common, words
 
 BUCKETS, SIZE = 1 << 18, 8
-SPAN = 2
+SPAN = 1
+#: Passages of a document whose mean is its score; fewer where it has fewer.
+TOP = 3
 NGRAMS = (3, 4, 5)
 #: Longer runs of letters (scripts without blanks, words run together) are cut into pieces of PIECE letters that overlap by half; each counts as a word.
 LETTERS = 40
@@ -35,7 +39,8 @@ ROUNDS = 60
 RATES = (0.3, 0.01, 0.05)
 THRESHOLD = 0.7
 MEMORY = 500_000
-_WORDS = regex.compile(r"[^\W\d_]+").findall
+#: Words have a letter; digits between or beside letters are part of them.
+_WORDS = regex.compile(r"\d*[^\W\d_][^\W_]*").findall
 
 
 def words_of(text: str) -> list[str]:
@@ -76,7 +81,7 @@ def passages(n_words: int) -> np.ndarray:
 
 
 class Model:
-    """A number for each bucket (its vector seen by the softmax), and how a document's highest passage becomes a score."""
+    """A number for each bucket (its vector seen by the softmax), and how the mean of a document's highest passages becomes a score."""
 
     def __init__(self, values: np.ndarray, bias: float, scale: float, shift: float):
         self.values, self.bias, self.scale, self.shift = values, bias, scale, shift
@@ -91,7 +96,7 @@ class Model:
             self.known.update(zip(own, value.tolist()))
 
     def logits(self, texts: list[str]) -> np.ndarray:
-        """Of each text's highest passage; a text without words has the bias."""
+        """The mean of each text's TOP highest passages; a text without words has the bias."""
         if len(self.known) > MEMORY:
             self.known.clear()
         known, found = self.known, [words_of(t) for t in texts]
@@ -100,7 +105,8 @@ class Model:
         for i, own in enumerate(found):
             if own:
                 v, start = np.array([known[w] for w in own]), passages(len(own))
-                out[i] += (np.add.reduceat(v, start) / np.diff(np.append(start, len(v)))).max()
+                logit = np.add.reduceat(v, start) / np.diff(np.append(start, len(v)))
+                out[i] += (np.partition(logit, -TOP)[-TOP:] if len(logit) > TOP else logit).mean()
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -156,19 +162,23 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
     softmax /= np.linalg.norm(softmax)
     vectors = np.outer(evidence, softmax) + rng.normal(0, 0.01, (len(used), SIZE))
     bias = 0.0
-    label = toxic[doc].astype(float)
     first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    balance = np.where(label == 1, 0.5 / toxic.sum(), 0.5 / (1 - toxic).sum())
+    many = np.diff(np.append(first, len(doc)))
+    place = np.arange(len(doc)) - np.repeat(first, many)
+    label = toxic[doc[first]].astype(float)
+    balance_of = np.where(label == 1, 0.5 / toxic.sum(), 0.5 / (1 - toxic).sum())
     moments = [[np.zeros_like(vectors), np.zeros_like(vectors)], [np.zeros(SIZE), np.zeros(SIZE)], [np.zeros(1), np.zeros(1)]]
     for step in range(ROUNDS):
         by_word = np.bincount(owner, share * (vectors @ softmax)[bucket], n_words)
         logit = np.add.reduceat(by_word[word], start) / length + bias
-        highest = np.maximum.reduceat(logit, first)
+        top = np.zeros(len(doc), bool)
+        top[np.lexsort((-logit, doc))[place < TOP]] = True
+        highest = np.add.reduceat(np.where(top, logit, 0), first) / np.minimum(many, TOP)
         if step == 0:  # begin between the classes
             middle = (np.median(highest[toxic[doc[first]] == 1]) + np.median(highest[toxic[doc[first]] == 0])) / 2
             bias, logit, highest = bias - middle, logit - middle, highest - middle
-        top = logit >= np.repeat(highest, np.diff(np.append(first, len(doc)))) - 1e-12
-        error = balance * top * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - label)
+        error = balance_of * (1 / (1 + np.exp(-np.clip(highest, -30, 30))) - label)
+        error = np.where(top, np.repeat(error / np.minimum(many, TOP), many), 0)
         to_word = np.bincount(word, np.repeat(error / length, length), n_words)
         to_bucket = np.bincount(bucket, share * to_word[owner], len(used))
         grads = (np.outer(to_bucket, softmax), to_bucket @ vectors, float(error.sum()))
@@ -198,7 +208,9 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, held: Column) -> Model:
-    """A model from the labels of documents that are not held out; held: a Column over doc_id. At most FIT_DOCS of a class go to the driver."""
+    """A model from the labels of documents that are not held out; held: a Column over doc_id. At most FIT_DOCS of a class go to the driver.
+
+    A document with both labels counts as toxic; labels other than 0 and 1 are left out. Texts of over FIT_CHARS characters are not learned from."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held)
     sized = docs.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("chars")).where(F.col("chars") <= FIT_CHARS).join(known, "doc_id")
     texts, toxic = [], []
