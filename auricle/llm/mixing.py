@@ -7,7 +7,7 @@ of its ones to its zeros; opinions are added with weights from the set that a ga
 - Match: some three-word contexts are anchors (their hash decides). All words up to the next anchor, FOLLOW at most, are compared with what followed the same
   anchor and the same words since elsewhere in training. Where anything did, one bit says whether the most frequent continuation comes.
   Its contexts are how often that continuation and others came, how the last four such bits ended, and the document's class.
-- Code: else the token's code in the code book follows (the BOOK most frequent training tokens by Shannon-Fano splits). Contexts of each bit: none,
+- Code: else the token's code in the code book follows (the BOOK most frequent training tokens by Shannon-Fano splits). Contexts of each bit:
   the document's class, the word before, the two words before.
 - Spelling: a word outside the book is an escape code, then its bytes and a space. Contexts of each bit: the last one to six bytes and the
   whole beginning of the word. It depends on the word alone, so that each distinct word is spelled once.
@@ -41,8 +41,8 @@ from . import common, words
 #: Contexts of spelled bits, in bytes; 0 is the whole beginning of the word.
 ORDERS = (1, 2, 3, 4, 5, 6, 0)
 SPELL_BITS = 19
-#: Slots of the code's contexts, one after the other: none, class, the word before, the two words before. Match bits have their own in each.
-CODE_SLOTS = (1 << 17, 1 << 20, 1 << 21, 1 << 21)
+#: Slots of the code's contexts, one after the other: class, the word before, the two words before. Match bits have their own in each.
+CODE_SLOTS = (1 << 20, 1 << 21, 1 << 21)
 CODE_AT = tuple(int(x) for x in np.cumsum((0, *CODE_SLOTS))[:-1])
 BOOK = (1 << 16) - 1
 CLASSES, BINS, ROUNDS = 8, 64, 6
@@ -51,7 +51,7 @@ CONTEXT, ANCHORS, FOLLOW = 3, 6, 16
 #: Distinct words and tokens of a block of documents; one block is held in memory at a time.
 BLOCK_WORDS, BLOCK_TOKENS = 400_000, 2_000_000
 #: Tokens of a stored row of coded documents, and bits' tokens that are predicted together and in one online step of the weights.
-ROW_TOKENS, STEP, BATCH = 100_000, 1 << 14, 1 << 10
+ROW_TOKENS, STEP, BATCH = 100_000, 1 << 13, 1 << 11
 #: Words and tokens of a shard, on average.
 SHARD_WORDS, SHARD_TOKENS = 400_000, 4_000_000
 #: Tokens (or distinct words) of a task that counts slots; such a task sends on a whole table.
@@ -100,7 +100,7 @@ def _small(x: np.ndarray) -> np.ndarray:
 @dataclass(frozen=True)
 class Kind:
     """What is mixed: predictors, slots of all of them, gates, rows of the refining map, first weight, and which predictors' certainty
-    takes part in the gate (predictor, levels, logarithms of counts a level)."""
+    takes part in the gate (predictor, levels, logarithms of counts a level). Bounds are those of the predictors' slots."""
 
     inputs: int
     slots: int
@@ -108,118 +108,123 @@ class Kind:
     rows: int
     start: float
     sure: tuple[tuple[int, int, float], ...]
+    bounds: tuple[int, ...]
 
 
-SPELLING = Kind(len(ORDERS), len(ORDERS) << SPELL_BITS, 8 * 8 * 4, 256, 1.5 / len(ORDERS), ((ORDERS.index(0), 8, 1.25), (ORDERS.index(3), 4, 2.5)))
+SPELLING = Kind(len(ORDERS), len(ORDERS) << SPELL_BITS, 8 * 8 * 4, 256, 1.5 / len(ORDERS), ((ORDERS.index(0), 8, 1.25), (ORDERS.index(3), 4, 2.5)), tuple(i << SPELL_BITS for i in range(len(ORDERS) + 1)))
 #: A gate of code bits: how frequent the word before is (8), early or late bit (2); of match bits: how the last two ended (9), how often the continuation came (8). The two words before are known (4) in all.
-SEQUENCE = Kind(len(CODE_SLOTS), sum(CODE_SLOTS), (16 + 72) * 4, 32 + 9, 0.4, ((3, 4, 1.2),))
+SEQUENCE = Kind(len(CODE_SLOTS), sum(CODE_SLOTS), (16 + 72) * 4, 32 + 9, 0.4, ((2, 4, 1.2),), (*CODE_AT, sum(CODE_SLOTS)))
 
 
 @dataclass
 class Bits:
-    """Binary decisions: their slots (inputs, n), values, part of the gate, row of the refining map, token, weight, and whether one occurrence is their own."""
+    """Binary decisions: their slots (of each input), values, part of the gate, row of the refining map, token, weight, and whether one occurrence is their own."""
 
-    slots: np.ndarray
+    slots: list[np.ndarray]
     bit: np.ndarray
     gate: np.ndarray
     row: np.ndarray
     token: np.ndarray
     weight: np.ndarray | None
-    own: np.ndarray
+    own: np.ndarray | int
 
 
 #: Counts are kept as round(1024 * log2(1 + count)) in 16 bits; this is the way back.
 COUNT = np.exp2(np.arange(1 << 16) / 1024) - 1
-NOTHING = np.float32(np.log(PRIOR))
+#: An opinion is kept in 8 bits, so many steps for each unit of the logarithm.
+STEPS = 12
 
 
 def packed(counts: np.ndarray) -> np.ndarray:
     return np.rint(1024 * np.log2(1 + counts)).clip(0, 65535).astype("<u2")
 
 
-def logs(table: np.ndarray) -> np.ndarray:
-    """Logarithms of all counts (zeros of all slots, then ones), and then again with one occurrence taken out."""
-    whole = np.log(COUNT + PRIOR).astype(np.float32)
-    less = np.log(np.maximum(COUNT - 1, 0) + PRIOR).astype(np.float32)
-    return np.concatenate([whole[table], less[table]])
-
-
-def opinions(kind: Kind, bits: Bits, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each predictor's log ratio of ones to zeros (inputs, n), and the gate."""
-    x = np.empty((kind.inputs, len(bits.bit)), np.float32)
-    sign = (2 * bits.bit - 1).astype(np.float32)
-    mine, others = kind.slots * (bits.bit + 2 * bits.own), kind.slots * (1 - bits.bit)
-    gate = bits.gate
-    sure = {i: (levels, width) for i, levels, width in kind.sure}
-    for i in range(kind.inputs):
-        a, b = np.take(known, bits.slots[i] + mine), np.take(known, bits.slots[i] + others)
-        x[i] = (a - b) * sign
-        if i in sure:
-            levels, width = sure[i]
-            gate = gate * levels + np.minimum(((np.maximum(a, b) - NOTHING) * np.float32(1 / width)).astype(np.int64), levels - 1)
-    return x, gate
+class Opinions:
+    """What every slot says: all counts, with a zero less, and with a one less. Certainty is a level of the larger count."""
+
+    def __init__(self, kind: Kind, table: np.ndarray):
+        whole = np.log(COUNT + PRIOR).astype(np.float32)
+        less = np.log(np.maximum(COUNT - 1, 0) + PRIOR).astype(np.float32)
+        zero, one = table[: kind.slots], table[kind.slots :]
+        pairs = [(whole[zero], whole[one]), (less[zero], whole[one]), (whole[zero], less[one])]
+        self.kind = kind
+        self.ratio = np.concatenate([np.rint((b - a) * STEPS).clip(-127, 127).astype(np.int8) for a, b in pairs])
+        self.level = {}
+        for i, levels, width in kind.sure:
+            own = slice(*kind.bounds[i : i + 2])
+            self.level[i] = np.concatenate([np.minimum((np.maximum(a[own], b[own]) - np.float32(np.log(PRIOR))) / np.float32(width), levels - 1).astype(np.int8) for a, b in pairs])
+
+    def of(self, bits: Bits) -> tuple[list[np.ndarray], np.ndarray]:
+        """Each input's log ratio of ones to zeros, in steps, and the gate."""
+        kind, gate = self.kind, bits.gate
+        variant = (1 + bits.bit) * bits.own
+        shift = variant * kind.slots
+        x = [np.take(self.ratio, slots + shift).astype(np.float32) for slots in bits.slots]
+        for i, levels, _ in kind.sure:
+            lo, hi = kind.bounds[i : i + 2]
+            gate = gate * levels + np.take(self.level[i], bits.slots[i] + (variant * (hi - lo) - lo))
+        return x, gate
 
 
 def _cell(total: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint((total + REACH) * ((CELLS - 1) / (2 * REACH))), 0, CELLS - 1).astype(np.int64)
+    return np.rint((np.clip(total, -REACH, REACH) + np.float32(REACH)) * np.float32((CELLS - 1) / (2 * REACH))).astype(np.int64)
 
 
-def _sum(kind: Kind, weights: np.ndarray, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-    total = np.take(weights[:, 0], gate) * x[0]
-    for i in range(1, kind.inputs):
-        total += np.take(weights[:, i], gate) * x[i]
-    return total
+def _sum(weights: np.ndarray, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+    total = np.take(weights[0], gate) * x[0]
+    for w, own in zip(weights[1:], x[1:]):
+        total += np.take(w, gate) * own
+    return np.clip(total, -30, 30)
 
 
 class Learner:
-    """Weights (gates, inputs), learned online, how much each gate has seen, and the refining map's counts (rows, cells, 2)."""
+    """Weights (inputs, gates), learned online, how much each gate has seen, and the refining map's counts (rows, cells, 2)."""
 
-    def __init__(self, kind: Kind, known: np.ndarray):
-        self.kind, self.known = kind, known
-        self.weights = np.full((kind.gates, kind.inputs), kind.start, np.float32)
-        self.past = np.zeros_like(self.weights)
-        self.seen, self.refine = np.zeros(kind.gates), np.zeros((kind.rows, CELLS, 2))
+    def __init__(self, kind: Kind, opinions: Opinions):
+        self.kind, self.opinions = kind, opinions
+        self.weights = np.full((kind.inputs, kind.gates), kind.start / STEPS, np.float32)
+        self.past = np.zeros((kind.inputs, kind.gates))
+        self.seen, self.refine = np.zeros(kind.gates), np.zeros(kind.rows * CELLS * 2)
 
     def add(self, bits: Bits) -> None:
         kind = self.kind
-        x, gate = opinions(kind, bits, self.known)
-        total = _sum(kind, self.weights, x, gate)
-        error = bits.bit - 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+        x, gate = self.opinions.of(bits)
+        total = _sum(self.weights, x, gate)
+        error = bits.bit - 1 / (1 + np.exp(-total))
         if bits.weight is not None:
             error = error * bits.weight
         mass = np.bincount(gate, bits.weight, kind.gates)
         scale = 1 / np.sqrt(np.maximum(mass, 1e-9))
         for i in range(kind.inputs):
-            step = np.bincount(gate, error * x[i], kind.gates) * scale
-            self.past[:, i] += step * step
-            self.weights[:, i] += RATE * step / np.sqrt(np.maximum(self.past[:, i], 1e-9))
+            step = np.bincount(gate, error * x[i], kind.gates) * (scale / STEPS)
+            self.past[i] += step * step
+            self.weights[i] += RATE / STEPS * step / np.sqrt(np.maximum(self.past[i], 1e-9))
         self.seen += mass
-        at = (bits.row * CELLS + _cell(total)) * 2 + bits.bit
-        self.refine += np.bincount(at, None if bits.weight is None else bits.weight**2, self.refine.size).reshape(self.refine.shape)
+        self.refine += np.bincount((bits.row * CELLS + _cell(total)) * 2 + bits.bit, None if bits.weight is None else bits.weight**2, len(self.refine))
 
     def values(self) -> np.ndarray:
-        return np.concatenate([(self.weights * self.seen[:, None]).ravel(), self.seen, self.refine.ravel()])
+        return np.concatenate([(self.weights * self.seen).ravel(), self.seen, self.refine])
 
 
 class Model:
     """Slots, weights and refining map of one kind of bits."""
 
     def __init__(self, kind: Kind, table: np.ndarray, values: np.ndarray):
-        self.kind, self.table, self.known = kind, table, None
+        self.kind, self.table, self.opinions = kind, table, None
         w, seen, refine = np.split(values, [kind.gates * kind.inputs, kind.gates * (kind.inputs + 1)])
-        self.weights = np.where(seen[:, None] > 0, w.reshape(kind.gates, -1) / np.maximum(seen, 1e-9)[:, None], kind.start).astype(np.float32)
+        self.weights = np.where(seen > 0, w.reshape(kind.inputs, -1) / np.maximum(seen, 1e-9), kind.start / STEPS).astype(np.float32)
         refine = refine.reshape(kind.rows, CELLS, 2)
         prior = 1 / (1 + np.exp(-(np.arange(CELLS) / (CELLS - 1) * 2 - 1) * REACH))
-        self.refined = ((refine[:, :, 1] + 8 * prior) / (refine.sum(axis=2) + 8)).astype(np.float32)
+        self.refined = ((refine[:, :, 1] + 8 * prior) / (refine.sum(axis=2) + 8)).astype(np.float32).ravel()
 
     def log10(self, bits: Bits, tokens: int) -> np.ndarray:
         """log10 probability of each token's bits."""
-        if self.known is None:
-            self.known = logs(self.table)
-        x, gate = opinions(self.kind, bits, self.known)
-        total = _sum(self.kind, self.weights, x, gate)
-        p = (1 / (1 + np.exp(-np.clip(total, -30, 30))) + self.refined[bits.row, _cell(total)]) / 2
-        return np.bincount(bits.token, np.log10(np.clip(np.where(bits.bit == 1, p, 1 - p), 1e-6, 1)), tokens)
+        if self.opinions is None:
+            self.opinions = Opinions(self.kind, self.table)
+        x, gate = self.opinions.of(bits)
+        total = _sum(self.weights, x, gate)
+        p = (1 / (1 + np.exp(-total)) + np.take(self.refined, bits.row * CELLS + _cell(total))) / 2
+        return np.bincount(bits.token, np.log10(np.clip(np.where(bits.bit == 1, p, 1 - p), np.float32(1e-6), np.float32(1))), tokens)
 
 
 def _added(group: pd.DataFrame) -> pd.DataFrame:
@@ -252,7 +257,7 @@ def fit(rows: DataFrame, kind: Kind, tasks: int, bits_of: Callable[[pa.RecordBat
     sent = spark.sparkContext.broadcast(table.ravel())
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner = Learner(kind, logs(sent.value))
+        learner = Learner(kind, Opinions(kind, sent.value))
         for b in batches:
             for bits in bits_of(b, BATCH):
                 learner.add(bits)
@@ -283,14 +288,14 @@ def spelled(found: list[bytes], count: np.ndarray, own: bool) -> Bits:
     for b in range(1, 8):
         node[:, b] = node[:, b - 1] << 1 | bit[:, b - 1]
     inner = node.astype(np.uint32) * _SMALL
-    slots = np.empty((len(ORDERS), len(data) * 8), np.int64)
+    slots = []
     for i, order in enumerate(ORDERS):
         begin = np.maximum(start, here - order) if order else start
         hashed = words.mix((sums[here] - sums[begin]) * down[begin] + np.uint64(i << 32) + np.minimum(place, np.uint64(order or 1 << 20)))
         mixed = _small((hashed >> np.uint64(32)).astype(np.uint32)[:, None] ^ inner)
-        slots[i] = ((mixed >> np.uint32(32 - SPELL_BITS)).astype(np.int64) + (i << SPELL_BITS)).ravel()
+        slots.append(((mixed >> np.uint32(32 - SPELL_BITS)).astype(np.int64) + (i << SPELL_BITS)).ravel())
     token = np.repeat(np.repeat(np.arange(len(found)), lengths), 8)
-    return Bits(slots, bit.ravel(), np.tile(np.arange(8), len(data)), node.ravel(), token, np.sqrt(count)[token] if own else None, np.full(len(token), int(own)))
+    return Bits(slots, bit.ravel(), np.tile(np.arange(8), len(data)), node.ravel(), token, np.sqrt(count)[token] if own else None, int(own))
 
 
 def _steps(found: list[bytes], size: int) -> Iterator[tuple[int, int]]:
@@ -357,9 +362,11 @@ class Book:
             lo[live], hi[live] = np.where(bit, cut, a), np.where(bit, b, cut)
         leaves, nodes, bits = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (leaves, nodes, bits))
         by = np.argsort(leaves, kind="stable")
-        self.nodes, self.bits = nodes[by].astype(np.int64), bits[by].astype(np.int64)
+        #: of each bit of each code: twice its node and the bit
+        self.steps = nodes[by] * 2 + bits[by]
         self.length = np.bincount(leaves, minlength=n).astype(np.int64)
         self.start = np.cumsum(self.length) - self.length
+        self.row = np.minimum(np.arange(len(self.steps)) - np.repeat(self.start, self.length), 31)
 
 
 def anchors(seq: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -493,7 +500,7 @@ class Contexts:
     def __init__(self, leaf: np.ndarray, match: np.ndarray, lengths: np.ndarray, classes: np.ndarray, held: np.ndarray):
         n = len(leaf)
         self.leaf, self.match = leaf.astype(np.int64), match.astype(np.int64)
-        self.classes, self.held = np.repeat(classes.astype(np.int64), lengths), np.repeat(held, lengths)
+        self.classes, self.trained = np.repeat(classes.astype(np.int64), lengths), np.repeat((~held).astype(np.int64), lengths)
         place = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
         def back(x: np.ndarray, k: int, outside: int) -> np.ndarray:
@@ -501,8 +508,9 @@ class Contexts:
             out[k:] = x[: max(0, n - k)]
             return np.where(place >= k, out, outside)
 
-        self.before = back(self.leaf, 1, BOOK + 1)
-        one, two = (self.before.astype(np.uint32) + np.uint32(1)) * _SMALL, back(self.leaf, 2, BOOK + 1).astype(np.uint32)
+        before = back(self.leaf, 1, BOOK + 1)
+        self.frequent = np.minimum(np.log2(before + 1).astype(np.int64) >> 1, 7) * 2
+        one, two = (before.astype(np.uint32) + np.uint32(1)) * _SMALL, back(self.leaf, 2, BOOK + 1).astype(np.uint32)
         self.one, self.two = _small(one), _small(one ^ (two + np.uint32(0x51ED27)) * np.uint32(0x85EBCA77))
         state = np.where(self.match >= SEEN, 1 + (self.match >> 6 & 1), 0)
         self.past = sum(back(state, k, 0) * 3 ** (k - 1) for k in range(1, 5))
@@ -514,30 +522,24 @@ class Contexts:
         hit = self.match[asked] >> 6 & 1
         often, others, past = self.match[asked] >> 3 & 7, self.match[asked] & 7, self.past[asked]
         flags = [
-            CODE_AT[0] + (1 << 16) + (often << 3 | others),
-            CODE_AT[1] + (1 << 19) + (self.classes[asked] << 3 | often) * 9 + past % 9,
-            CODE_AT[2] + past,
-            CODE_AT[3] + 81 * (often << 3 | others) + past,
+            CODE_AT[0] + (1 << 19) + (self.classes[asked] << 3 | often) * 9 + past % 9,
+            CODE_AT[1] + past,
+            CODE_AT[2] + 81 * (often << 3 | others) + past,
         ]
         coded = here[(self.match[lo:hi] & (SEEN | HIT)) != (SEEN | HIT)]
-        length = book.length[self.leaf[coded]]
-        token = np.repeat(coded, length)
-        depth = np.arange(len(token)) - np.repeat(np.cumsum(length) - length, length)
-        flat = np.repeat(book.start[self.leaf[coded]], length) + depth
-        node, bit = book.nodes[flat], book.bits[flat]
+        leaf = self.leaf[coded]
+        length = book.length[leaf]
+        spread = lambda x: np.repeat(x, length)
+        flat = np.arange(length.sum()) + spread(book.start[leaf] - (np.cumsum(length) - length))
+        step, row = np.take(book.steps, flat), np.take(book.row, flat)
+        node = step >> 1
         inner = node.astype(np.uint32) * np.uint32(0x2545F491)
-        high = lambda x, bits: ((x * _SMALL) >> np.uint32(32 - bits)).astype(np.int64)
-        codes = [
-            CODE_AT[0] + node,
-            CODE_AT[1] + (self.classes[token] << 16) + node,
-            CODE_AT[2] + high(self.one[token] ^ inner, 21),
-            CODE_AT[3] + high(self.two[token] ^ inner, 21),
-        ]
-        common_ = np.minimum(np.log2(self.before[coded] + 1).astype(np.int64) >> 1, 7)
-        gates = np.concatenate([16 + (past % 9) * 8 + often, np.repeat(common_, length) * 2 + (depth < 4)])
-        rows = np.concatenate([32 + past % 9, np.minimum(depth, 31)])
-        tokens = np.concatenate([asked, token])
-        return Bits(np.array([np.concatenate(x) for x in zip(flags, codes)]), np.concatenate([hit, bit]), gates, rows, tokens - lo, None, (~self.held[tokens]).astype(np.int64))
+        high = lambda x: (((spread(x[coded]) ^ inner) * _SMALL) >> np.uint32(11)).astype(np.int64)
+        codes = [spread((self.classes[coded] << 16) + CODE_AT[0]) + node, high(self.one) + CODE_AT[1], high(self.two) + CODE_AT[2]]
+        gates = np.concatenate([16 + (past % 9) * 8 + often, spread(self.frequent[coded]) + (row < 4)])
+        own = np.concatenate([self.trained[asked], spread(self.trained[coded])])
+        slots = [np.concatenate(x) for x in zip(flags, codes)]
+        return Bits(slots, np.concatenate([hit, step & 1]), gates, np.concatenate([32 + past % 9, row]), np.concatenate([asked, spread(coded)]) - lo, None, own)
 
 
 # Blocks, shards and coded rows
@@ -591,10 +593,22 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows) if rows else [[]] * len(fields), fields)], [n for n, _ in fields])
 
 
+class Numbers(dict):
+    """Numbers words as they come."""
+
+    def __init__(self, first: int):
+        super().__init__()
+        self.first = first
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self) + self.first
+        return number
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], centres: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A row per block of documents: their words, numbered as they come (0 is the end), and their texts as numbers."""
     task, blocks = TaskContext.get().partitionId(), 0
-    numbers: dict[bytes, int] = {}
+    numbers = Numbers(1)
     docs: list[tuple[int | None, bool, int]] = []
     seqs: list[np.ndarray] = []
     size = 0
@@ -611,7 +625,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], centres: np.ndarray) -> Iterator[
     for b in batches:
         for doc, out, text in zip(b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), common.texts(b)):
             docs.append((doc, out, nearest(profile(text)[None], centres)[0]))
-            own = [numbers.setdefault(w, len(numbers) + 1) for w in text.translate(common.FOLD).split()]
+            own = list(map(numbers.__getitem__, text.translate(common.FOLD).split()))
             own.append(0)
             seqs.append(np.array(own, np.int32))
             size += len(own)
@@ -664,10 +678,10 @@ SHARD = "shard int, words binary, counts binary, n long, v long"
 
 def _shard_counts(rows: pd.DataFrame) -> pd.DataFrame:
     """All distinct words of a shard with how often training has them."""
-    numbers: dict[bytes, int] = {}
+    numbers = Numbers(0)
     total = np.zeros(1 << 16, np.int64)
     for a, b in zip(rows["a"], rows["b"]):
-        at = np.array([numbers.setdefault(w, len(numbers)) for w in unpack_words(a)])
+        at = np.array(list(map(numbers.__getitem__, unpack_words(a))))
         if len(numbers) > len(total):
             total = np.concatenate([total, np.zeros(max(len(total), len(numbers)), np.int64)])
         total[at] += unpack(b, "<i8")
@@ -696,7 +710,7 @@ def _word_answers(_: tuple, rows: pd.DataFrame, shard: pd.DataFrame) -> pd.DataF
     counts, spelt = unpack(shard["counts"].iloc[0], "<i8"), unpack(shard["spelt"].iloc[0], "<f4")
     out = []
     for s, block, a in zip(rows["shard"], rows["block"], rows["a"]):
-        at = np.array([numbers[w] for w in unpack_words(a)])
+        at = np.array(list(map(numbers.__getitem__, unpack_words(a))))
         out.append((s, block, pack(counts[at]), pack(spelt[at]), False))
     return pd.DataFrame(out, columns=["shard", "block", "a", "b", "matches"])
 

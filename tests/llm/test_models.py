@@ -73,7 +73,7 @@ def test_code_probabilities_sum_to_one():
     bits = learned.bits(book, 0, 4000)
     for i in range(kind.inputs):
         np.add.at(table, bits.slots[i] + kind.slots * bits.bit, 1)
-    learner = mixing.Learner(kind, mixing.logs(mixing.packed(table)))
+    learner = mixing.Learner(kind, mixing.Opinions(kind, mixing.packed(table)))
     learner.add(bits)
     model = mixing.Model(kind, mixing.packed(table), learner.values())
     # after the same two words, every token in turn
@@ -88,7 +88,7 @@ def test_spelled_words_are_less_than_one_in_all():
     bits = mixing.spelled(found, count, True)
     for i in range(kind.inputs):
         np.add.at(table, bits.slots[i] + kind.slots * bits.bit, np.rint(bits.weight**2).astype(np.int64))
-    learner = mixing.Learner(kind, mixing.logs(mixing.packed(table)))
+    learner = mixing.Learner(kind, mixing.Opinions(kind, mixing.packed(table)))
     learner.add(bits)
     model = mixing.Model(kind, mixing.packed(table), learner.values())
     short = [bytes([a]) for a in range(1, 256) if a not in (9, 10, 11, 12, 13, 32)]
