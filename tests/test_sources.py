@@ -28,10 +28,42 @@ def ogg(granule=480312, skip=312):
     return page(2, 0, b"OpusHead\1\2" + struct.pack("<HI", skip, 48000) + b"\0\0\0") + page(4, granule, b"x" * 50)
 
 
-def mp4(scale=44100, length=441000):
+def mp4(scale=44100, length=441000, long=False):
+    """A video track first, then an audio track; long: times in 64 bits."""
     box = lambda n, b: struct.pack(">I", len(b) + 8) + n + b
-    mdhd = box(b"mdhd", bytes(12) + struct.pack(">II", scale, length) + bytes(4))
-    return box(b"ftyp", b"M4A \0\0\0\0") + box(b"moov", box(b"trak", box(b"mdia", mdhd))) + box(b"mdat", bytes(64))
+    hdlr = lambda k: box(b"hdlr", bytes(8) + k + bytes(13))
+    times = b"\1\0\0\0" + bytes(16) + struct.pack(">IQ", scale, length) if long else bytes(12) + struct.pack(">II", scale, length)
+    stsd = box(b"stsd", bytes(4) + struct.pack(">I", 1) + box(b"mp4a", bytes(6) + b"\0\1" + bytes(8) + struct.pack(">HHHHI", 2, 16, 0, 0, scale << 16)))
+    video = box(b"trak", box(b"mdia", box(b"mdhd", bytes(12) + struct.pack(">II", 600, 99)) + hdlr(b"vide")))
+    audio = box(b"trak", box(b"mdia", box(b"mdhd", times + bytes(4)) + hdlr(b"soun") + box(b"minf", box(b"stbl", stsd))))
+    return box(b"ftyp", b"M4A \0\0\0\0") + box(b"moov", video + audio) + box(b"mdat", bytes(64))
+
+
+def rifx(samples, rate=8000):
+    fmt = struct.pack(">HHIIHH", 1, 1, rate, rate * 2, 2, 16)
+    body = b"WAVE" + b"fmt " + struct.pack(">I", 16) + fmt + b"data" + struct.pack(">I", len(samples)) + samples
+    return b"RIFX" + struct.pack(">I", len(body)) + body
+
+
+def rf64(samples, rate=48000):
+    fmt = struct.pack("<HHIIHH", 1, 1, rate, rate * 2, 2, 16)
+    ds64 = struct.pack("<QQQI", 1000, len(samples), len(samples) // 2, 0)
+    return b"RF64\xff\xff\xff\xffWAVE" + b"ds64" + struct.pack("<I", 28) + ds64 + b"fmt " + struct.pack("<I", 16) + fmt + b"data\xff\xff\xff\xff" + samples
+
+
+def aiff(samples, frames, kind=None, offset=0, rate=8000):
+    exponent = rate.bit_length() - 1
+    extended = struct.pack(">HQ", 16383 + exponent, rate << 63 - exponent)
+    comm = struct.pack(">hIh", 1, frames, 16) + extended + (kind + b"\0\0" if kind else b"")
+    ssnd = struct.pack(">II", offset, 0) + bytes([127]) * offset + samples
+    body = (b"AIFC" if kind else b"AIFF") + b"COMM" + struct.pack(">I", len(comm)) + comm + b"SSND" + struct.pack(">I", len(ssnd)) + ssnd
+    return b"FORM" + struct.pack(">I", len(body)) + body
+
+
+def mp3(frames, xing=None, tag=b""):
+    frame = b"\xff\xfb\x90\x00" + bytes(413)  # version 1, layer 3, 128 kilobits, 44.1 kHz, stereo: 417 bytes
+    first = b"\xff\xfb\x90\x00" + bytes(32) + b"Xing" + struct.pack(">II", 1, xing) + bytes(413 - 44) if xing else frame
+    return tag + first + frame * (frames - 1)
 
 
 def table(spark, files):
@@ -49,7 +81,43 @@ def test_formats(spark):
     assert pick("cut") == (48000, 2, 16, 900) and got["cut"]["shortfall"] == 400
     assert pick("flac") == (44100, 2, 16, 441000) and got["flac"]["seconds"] == 10
     assert pick("ogg") == (48000, 2, None, 480000) and got["ogg"]["seconds"] == 10
-    assert (got["mp4"]["sample_rate"], got["mp4"]["seconds"], got["mp4"]["channels"]) == (44100, 10, None)
+    assert (got["mp4"]["sample_rate"], got["mp4"]["seconds"], got["mp4"]["channels"]) == (44100, 10, 2)
+
+
+def test_byte_orders_wide_sizes_offsets_and_tracks(spark):
+    up, down = np.arange(0, 800, 100, ">i2").tobytes(), np.arange(0, 800, 100, "<i2").tobytes()
+    id3 = b"ID3\4\0\0\0\0\1\0" + bytes(128)
+    files = {"rifx": rifx(up), "rf64": rf64(down), "aiff": aiff(up, 8, offset=4), "sowt": aiff(down, 8, b"sowt"), "long": mp4(long=True), "tagged": id3 + flac(), "mp3": mp3(10), "vbr": mp3(3, xing=1000), "id3": mp3(5, tag=id3), "noise": b"\xff\xfb\x90\x00" + b"x" * 900}
+    t = table(spark, files)
+    described = containers.formats(containers.chunks(t))
+    got = {r["report_id"]: r for r in described.collect()}
+    pick = lambda k: tuple(got[k][c] for c in ("sample_rate", "channels", "bit_depth", "frames"))
+    assert pick("rifx") == (8000, 1, 16, 8) and got["rifx"]["shortfall"] == 0
+    assert pick("rf64") == (48000, 1, 16, 8) and got["rf64"]["shortfall"] == 0
+    assert pick("aiff") == pick("sowt") == (8000, 1, 16, 8)
+    assert got["long"]["seconds"] == 10 and got["long"]["sample_rate"] == 44100 and got["long"]["codec"] == "mp4a"
+    assert pick("tagged") == (44100, 2, 16, 441000)
+    assert pick("mp3") == (44100, 2, None, 10 * 1152) and pick("vbr")[3] == 1000 * 1152 and pick("id3")[3] == 5 * 1152
+    assert "noise" not in got
+    levels = {r["report_id"]: r for r in containers.channel_levels(t, described).collect()}
+    assert set(levels) == {"rifx", "rf64", "aiff", "sowt"}
+    for r in levels.values():
+        assert r["peak"] == pytest.approx(700 / 32768) and r["frames"] == 8 and r["peak_frame"] == 7
+
+
+def test_runs_at_full_scale_go_on_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(containers, "BLOCK", 8)
+    loud, rng = np.iinfo(np.int16).max, np.random.default_rng(4)
+    files, want = {}, {}
+    for k in range(12):
+        x = np.where(rng.random(60) < 0.85, loud, 0)
+        runs = [len(r) for r in "".join("1" if v else "0" for v in x).split("0")]
+        files[str(k)], want[str(k)] = wav(x.astype("<i2").tobytes(), channels=1), max(runs)
+    t = table(spark, files)
+    sums = [x for k, f in files.items() for x in containers.block_sums(k, f, {"bit_depth": 16, "channels": 1, "data_offset": f.index(b"data") + 8, "data_bytes": 120, "frames": 60, "is_float": False, "little": True, "kind": "wav"})]
+    assert len(sums) == 12 * 8 and sum(s[9] for s in sums) == sum((np.frombuffer(f[-120:], "<i2") == loud).sum() for f in files.values())
+    got = {r["report_id"]: r["longest_run"] for r in containers.channel_levels(t, containers.formats(containers.chunks(t))).collect()}
+    assert got == want
 
 
 @pytest.mark.parametrize(("bits", "tag", "dtype", "scale"), [(8, 1, "u1", 128), (16, 1, "<i2", 2**15), (24, 1, None, 2**23), (32, 1, "<i4", 2**31), (32, 3, "<f4", 1), (64, 3, "<f8", 1)])
