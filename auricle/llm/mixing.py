@@ -8,9 +8,9 @@ of its ones to its zeros; opinions are added with weights from the set that a ga
   anchor and the same words since elsewhere in training. Where anything did, one bit says whether the most frequent continuation comes.
   Its contexts are how often that continuation and others came, how the last four such bits ended, and the document's class.
 - Code: else the token's code in the code book follows (the BOOK most frequent training tokens by Shannon-Fano splits). Contexts of each bit:
-  the document's class, the word before, the two words before.
-- Spelling: a word outside the book is an escape code, then its bytes and a space. Contexts of each bit: the last one to six bytes and the
-  whole beginning of the word. It depends on the word alone, so that each distinct word is spelled once.
+  the document's class, the word before. (Longer ones are what matches are for: they are counted exactly, however large the corpus.)
+- Spelling: a word outside the book is an escape code, then its bytes and a space, each by a code of its own. Contexts of each bit: the last one to six
+  bytes and the whole beginning of the word. It depends on the word alone, so that each distinct word is spelled once.
 
 Where a document of the training part is scored or learned from, its own occurrence is taken out of the slots of match and code, so a text is
 predicted from all others. Weights are learned online, over all training tokens: each task learns over its blocks from the same start,
@@ -41,8 +41,8 @@ from . import common, words
 #: Contexts of spelled bits, in bytes; 0 is the whole beginning of the word.
 ORDERS = (1, 2, 3, 4, 5, 6, 0)
 SPELL_BITS = 19
-#: Slots of the code's contexts, one after the other: class, the word before, the two words before. Match bits have their own in each.
-CODE_SLOTS = (1 << 20, 1 << 21, 1 << 21)
+#: Slots of the code's contexts, one after the other: class, the word before. Match bits have their own in each.
+CODE_SLOTS = (1 << 20, 1 << 22)
 CODE_AT = tuple(int(x) for x in np.cumsum((0, *CODE_SLOTS))[:-1])
 BOOK = (1 << 16) - 1
 CLASSES, BINS, ROUNDS = 8, 64, 6
@@ -112,8 +112,8 @@ class Kind:
 
 
 SPELLING = Kind(len(ORDERS), len(ORDERS) << SPELL_BITS, 8 * 8 * 4, 256, 1.5 / len(ORDERS), ((ORDERS.index(0), 8, 1.25), (ORDERS.index(3), 4, 2.5)), tuple(i << SPELL_BITS for i in range(len(ORDERS) + 1)))
-#: A gate of code bits: how frequent the word before is (8), early or late bit (2); of match bits: how the last two ended (9), how often the continuation came (8). The two words before are known (4) in all.
-SEQUENCE = Kind(len(CODE_SLOTS), sum(CODE_SLOTS), (16 + 72) * 4, 32 + 9, 0.4, ((2, 4, 1.2),), (*CODE_AT, sum(CODE_SLOTS)))
+#: A gate of code bits: how frequent the word before is (8), early or late bit (2); of match bits: how the last two ended (9), how often the continuation came (8). How much is known after the word before (4) in all.
+SEQUENCE = Kind(len(CODE_SLOTS), sum(CODE_SLOTS), (16 + 72) * 4, 32 + 9, 0.5, ((1, 4, 2.0),), (*CODE_AT, sum(CODE_SLOTS)))
 
 
 @dataclass
@@ -126,7 +126,7 @@ class Bits:
     row: np.ndarray
     token: np.ndarray
     weight: np.ndarray | None
-    own: np.ndarray | int
+    own: int
 
 
 #: Counts are kept as round(1024 * log2(1 + count)) in 16 bits; this is the way back.
@@ -157,12 +157,11 @@ class Opinions:
     def of(self, bits: Bits) -> tuple[list[np.ndarray], np.ndarray]:
         """Each input's log ratio of ones to zeros, in steps, and the gate."""
         kind, gate = self.kind, bits.gate
-        variant = (1 + bits.bit) * bits.own
-        shift = variant * kind.slots
+        shift = (1 + bits.bit) * kind.slots if bits.own else 0
         x = [np.take(self.ratio, slots + shift).astype(np.float32) for slots in bits.slots]
         for i, levels, _ in kind.sure:
             lo, hi = kind.bounds[i : i + 2]
-            gate = gate * levels + np.take(self.level[i], bits.slots[i] + (variant * (hi - lo) - lo))
+            gate = gate * levels + np.take(self.level[i], bits.slots[i] + ((1 + bits.bit) * (hi - lo) - lo if bits.own else -lo))
         return x, gate
 
 
@@ -274,28 +273,27 @@ def fit(rows: DataFrame, kind: Kind, tasks: int, bits_of: Callable[[pa.RecordBat
 # Spelling
 
 
-def spelled(found: list[bytes], count: np.ndarray, own: bool) -> Bits:
+def spelled(found: list[bytes], letters: Letters, count: np.ndarray, own: bool) -> Bits:
     """The bits of some words, each closed by a space."""
     lengths = np.array([len(t) + 1 for t in found])
-    data = np.frombuffer(b" ".join(found) + b" ", np.uint8).astype(np.uint64)
+    raw = np.frombuffer(b" ".join(found) + b" ", np.uint8)
+    data = raw.astype(np.uint64)
     start = np.repeat(np.cumsum(lengths) - lengths, lengths)
     here = np.arange(len(data))
     place = (here - start).astype(np.uint64)
     up, down = words._powers(len(data) + 1)
     sums = np.concatenate([[np.uint64(0)], np.cumsum((data + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
-    bit = np.unpackbits(data.astype(np.uint8)[:, None], axis=1).astype(np.int64)
-    node = np.ones((len(data), 8), np.int64)
-    for b in range(1, 8):
-        node[:, b] = node[:, b - 1] << 1 | bit[:, b - 1]
-    inner = node.astype(np.uint32) * _SMALL
+    length, flat = letters.spread(letters.symbol[raw])
+    step, row = np.take(letters.steps, flat), np.take(letters.row, flat)
+    inner = (step >> 1).astype(np.uint32) * np.uint32(0x2545F491)
     slots = []
     for i, order in enumerate(ORDERS):
         begin = np.maximum(start, here - order) if order else start
         hashed = words.mix((sums[here] - sums[begin]) * down[begin] + np.uint64(i << 32) + np.minimum(place, np.uint64(order or 1 << 20)))
-        mixed = _small((hashed >> np.uint64(32)).astype(np.uint32)[:, None] ^ inner)
-        slots.append(((mixed >> np.uint32(32 - SPELL_BITS)).astype(np.int64) + (i << SPELL_BITS)).ravel())
-    token = np.repeat(np.repeat(np.arange(len(found)), lengths), 8)
-    return Bits(slots, bit.ravel(), np.tile(np.arange(8), len(data)), node.ravel(), token, np.sqrt(count)[token] if own else None, int(own))
+        mixed = ((np.repeat((hashed >> np.uint64(32)).astype(np.uint32), length) ^ inner) * _SMALL) >> np.uint32(32 - SPELL_BITS)
+        slots.append(mixed.astype(np.int64) + (i << SPELL_BITS))
+    token = np.repeat(np.repeat(np.arange(len(found)), lengths), length)
+    return Bits(slots, step & 1, np.minimum(row, 7), step >> 1, token, np.sqrt(count)[token] if own else None, int(own))
 
 
 def _steps(found: list[bytes], size: int) -> Iterator[tuple[int, int]]:
@@ -318,56 +316,76 @@ def _pieces(found: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return [w for w, _ in out], np.array([k for _, k in out])
 
 
-def _training_words(b: pa.RecordBatch, size: int) -> Iterator[Bits]:
+def _training_words(b: pa.RecordBatch, size: int, letters: Letters) -> Iterator[Bits]:
     for found, count in zip(b.column("words").to_pylist(), b.column("counts").to_pylist()):
         found, count = unpack_words(found), unpack(count, "<i8")
         found, owner = _pieces([w for w, n in zip(found, count.tolist()) if n])
         count = count[count > 0].astype(float)[owner]
         for lo, hi in _steps(found, size):
-            yield spelled(found[lo:hi], count[lo:hi], True)
+            yield spelled(found[lo:hi], letters, count[lo:hi], True)
 
 
-def spellings(model: Model, found: list[bytes]) -> np.ndarray:
+def spellings(model: Model, letters: Letters, found: list[bytes]) -> np.ndarray:
     """log10 probability of each word as it is spelled."""
     pieces, owner = _pieces(found)
     out = np.zeros(len(pieces))
     for lo, hi in _steps(pieces, STEP):
-        out[lo:hi] = model.log10(spelled(pieces[lo:hi], np.zeros(0), False), hi - lo)
+        out[lo:hi] = model.log10(spelled(pieces[lo:hi], letters, np.zeros(0), False), hi - lo)
     return np.bincount(owner, out, len(found))
 
 
 # Codes and matches
 
 
-class Book:
-    """Codes of the most frequent tokens, by halving their list (most frequent first) where the counts balance. Token 0 is the escape."""
+class Code:
+    """A binary code of symbols, most frequent first, by halving their list where the counts balance."""
 
-    def __init__(self, tokens: list[bytes], counts: np.ndarray, escaped: int):
-        order = np.argsort(-np.append(escaped + 1, counts + 1), kind="stable")
-        self.leaf = {tokens[i - 1]: k for k, i in enumerate(order.tolist()) if i}
-        self.escape = int(np.flatnonzero(order == 0)[0])
-        weights = np.append(escaped + 1, counts + 1)[order].astype(float)
-        total = np.concatenate([[0.0], np.cumsum(weights)])
+    def __init__(self, weights: np.ndarray):
+        total = np.concatenate([[0.0], np.cumsum(weights, dtype=float)])
         n = len(weights)
         lo, hi = np.zeros(n, np.int64), np.full(n, n)
-        leaves, nodes, bits = [], [], []
+        leaves, steps = [], []
         live = np.arange(n)
         while len(live := live[hi[live] - lo[live] > 1]):
             a, b = lo[live], hi[live]
             cut = np.clip(np.searchsorted(total, (total[a] + total[b]) / 2), a + 1, b - 1)
             bit = live >= cut
             leaves.append(live)
-            nodes.append(cut)
-            bits.append(bit)
+            steps.append(cut * 2 + bit)
             lo[live], hi[live] = np.where(bit, cut, a), np.where(bit, b, cut)
-        leaves, nodes, bits = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (leaves, nodes, bits))
-        by = np.argsort(leaves, kind="stable")
-        #: of each bit of each code: twice its node and the bit
-        self.steps = nodes[by] * 2 + bits[by]
+        leaves, steps = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (leaves, steps))
+        #: of each bit of each code: twice its node (below the number of symbols) and the bit
+        self.steps = steps[np.argsort(leaves, kind="stable")]
         self.length = np.bincount(leaves, minlength=n).astype(np.int64)
         self.start = np.cumsum(self.length) - self.length
         self.row = np.minimum(np.arange(len(self.steps)) - np.repeat(self.start, self.length), 31)
 
+    def spread(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols' numbers of bits, and the place of every bit."""
+        length = self.length[symbols]
+        return length, np.arange(length.sum()) + np.repeat(self.start[symbols] - (np.cumsum(length) - length), length)
+
+
+class Book(Code):
+    """Codes of the most frequent tokens; any other is the escape."""
+
+    def __init__(self, tokens: list[bytes], counts: np.ndarray, escaped: int):
+        weights = np.append(escaped + 1, counts + 1)
+        order = np.argsort(-weights, kind="stable")
+        self.leaf = {tokens[i - 1]: k for k, i in enumerate(order.tolist()) if i}
+        self.escape = int(np.flatnonzero(order == 0)[0])
+        super().__init__(weights[order])
+
+
+class Letters(Code):
+    """Codes of all bytes, from how often they stand in the training words; rare ones share a quarter of the codes evenly."""
+
+    def __init__(self, counts: np.ndarray):
+        order = np.argsort(-counts, kind="stable")
+        self.symbol = np.empty(256, np.int64)
+        self.symbol[order] = np.arange(256)
+        super().__init__(counts[order] + counts.sum() / 768 + 1)
+
 
 def anchors(seq: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places that follow an anchor's context, the context's hash, and how many tokens from there belong to it."""
@@ -495,12 +513,12 @@ def continued(key: np.ndarray, after: np.ndarray, lengths: np.ndarray, times: np
 
 
 class Contexts:
-    """What the bits of a row of coded documents are predicted from, a value for every token."""
+    """What the bits of coded documents are predicted from, a value for every token. own: 1 if they are of the training part, else 0."""
 
-    def __init__(self, leaf: np.ndarray, match: np.ndarray, lengths: np.ndarray, classes: np.ndarray, held: np.ndarray):
+    def __init__(self, leaf: np.ndarray, match: np.ndarray, lengths: np.ndarray, classes: np.ndarray, own: int):
         n = len(leaf)
         self.leaf, self.match = leaf.astype(np.int64), match.astype(np.int64)
-        self.classes, self.trained = np.repeat(classes.astype(np.int64), lengths), np.repeat((~held).astype(np.int64), lengths)
+        self.classes, self.own = np.repeat(classes.astype(np.int64), lengths), own
         place = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
         def back(x: np.ndarray, k: int, outside: int) -> np.ndarray:
@@ -510,8 +528,7 @@ class Contexts:
 
         before = back(self.leaf, 1, BOOK + 1)
         self.frequent = np.minimum(np.log2(before + 1).astype(np.int64) >> 1, 7) * 2
-        one, two = (before.astype(np.uint32) + np.uint32(1)) * _SMALL, back(self.leaf, 2, BOOK + 1).astype(np.uint32)
-        self.one, self.two = _small(one), _small(one ^ (two + np.uint32(0x51ED27)) * np.uint32(0x85EBCA77))
+        self.one = _small((before.astype(np.uint32) + np.uint32(1)) * _SMALL)
         state = np.where(self.match >= SEEN, 1 + (self.match >> 6 & 1), 0)
         self.past = sum(back(state, k, 0) * 3 ** (k - 1) for k in range(1, 5))
 
@@ -523,23 +540,20 @@ class Contexts:
         often, others, past = self.match[asked] >> 3 & 7, self.match[asked] & 7, self.past[asked]
         flags = [
             CODE_AT[0] + (1 << 19) + (self.classes[asked] << 3 | often) * 9 + past % 9,
-            CODE_AT[1] + past,
-            CODE_AT[2] + 81 * (often << 3 | others) + past,
+            CODE_AT[1] + 81 * (often << 3 | others) + past,
         ]
         coded = here[(self.match[lo:hi] & (SEEN | HIT)) != (SEEN | HIT)]
         leaf = self.leaf[coded]
-        length = book.length[leaf]
+        length, flat = book.spread(leaf)
         spread = lambda x: np.repeat(x, length)
-        flat = np.arange(length.sum()) + spread(book.start[leaf] - (np.cumsum(length) - length))
         step, row = np.take(book.steps, flat), np.take(book.row, flat)
         node = step >> 1
         inner = node.astype(np.uint32) * np.uint32(0x2545F491)
-        high = lambda x: (((spread(x[coded]) ^ inner) * _SMALL) >> np.uint32(11)).astype(np.int64)
-        codes = [spread((self.classes[coded] << 16) + CODE_AT[0]) + node, high(self.one) + CODE_AT[1], high(self.two) + CODE_AT[2]]
+        one = (((spread(self.one[coded]) ^ inner) * _SMALL) >> np.uint32(10)).astype(np.int64)
+        codes = [spread((self.classes[coded] << 16) + CODE_AT[0]) + node, one + CODE_AT[1]]
         gates = np.concatenate([16 + (past % 9) * 8 + often, spread(self.frequent[coded]) + (row < 4)])
-        own = np.concatenate([self.trained[asked], spread(self.trained[coded])])
         slots = [np.concatenate(x) for x in zip(flags, codes)]
-        return Bits(slots, np.concatenate([hit, step & 1]), gates, np.concatenate([32 + past % 9, row]), np.concatenate([asked, spread(coded)]) - lo, None, own)
+        return Bits(slots, np.concatenate([hit, step & 1]), gates, np.concatenate([32 + past % 9, row]), np.concatenate([asked, spread(coded)]) - lo, None, self.own)
 
 
 # Blocks, shards and coded rows
@@ -689,6 +703,16 @@ def _shard_counts(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(rows["shard"].iloc[0], pack_words(list(numbers)), pack(total), int(total.sum()), int((total > 0).sum()))], columns=["shard", "words", "counts", "n", "v"])
 
 
+def _bytes_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many training words of a task have each byte at each place, and how many words end."""
+    total = np.zeros(256, np.int64)
+    for b in batches:
+        for found, counts in zip(b.column("words").to_pylist(), b.column("counts").to_pylist()):
+            known = [w for w, n in zip(unpack_words(found), unpack(counts, "<i8").tolist()) if n]
+            total += np.bincount(np.frombuffer(b" ".join([*known, b""]), np.uint8), minlength=256)
+    yield _batch(list(enumerate(total.tolist())), "i int, n long")
+
+
 def _most_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A shard's words that may be in the code book."""
     for b in batches:
@@ -757,45 +781,41 @@ def _coded(block: pd.DataFrame, answers: pd.DataFrame, book: Book, shards: tuple
     return pd.DataFrame(out, columns=[x.split()[0] for x in CODED.split(", ")])
 
 
-def _contexts(row: dict) -> tuple[Contexts, np.ndarray]:
-    lengths = unpack(row["lengths"], "<i4").astype(np.int64)
-    return Contexts(unpack(row["leaves"], "<u2"), unpack(row["matches"], "u1"), lengths, unpack(row["classes"], "u1"), unpack(row["held"], "?")), lengths
-
-
-def _only_trained(row: dict) -> dict | None:
-    """The row without its held-out documents."""
-    held, lengths = unpack(row["held"], "?"), unpack(row["lengths"], "<i4")
-    if held.all():
-        return None
-    tokens = np.repeat(~held, lengths)
-    return {
-        "held": pack(held[~held]), "lengths": pack(lengths[~held]), "classes": pack(unpack(row["classes"], "u1")[~held]),
-        "leaves": pack(unpack(row["leaves"], "<u2")[tokens]), "matches": pack(unpack(row["matches"], "u1")[tokens]),
-    }
+def _parts(row: dict) -> Iterator[tuple[Contexts, np.ndarray, np.ndarray]]:
+    """The training documents of a row, then its held-out ones: contexts, the documents' places, and their tokens' places."""
+    held, lengths, classes = unpack(row["held"], "?"), unpack(row["lengths"], "<i4").astype(np.int64), unpack(row["classes"], "u1")
+    leaves, matches = unpack(row["leaves"], "<u2"), unpack(row["matches"], "u1")
+    for own in (1, 0):
+        docs = np.flatnonzero(held != own)
+        if len(docs):
+            tokens = np.flatnonzero(np.repeat(held != own, lengths))
+            yield Contexts(leaves[tokens], matches[tokens], lengths[docs], classes[docs], own), docs, tokens
 
 
 def _training_bits(b: pa.RecordBatch, size: int, book: Book) -> Iterator[Bits]:
     for row in b.select(["held", "lengths", "classes", "leaves", "matches"]).to_pylist():
-        if row := _only_trained(row):
-            contexts, _ = _contexts(row)
-            for lo in range(0, len(contexts.leaf), size):
-                yield contexts.bits(book, lo, min(lo + size, len(contexts.leaf)))
+        for contexts, _, _ in _parts(row):
+            if contexts.own:
+                for lo in range(0, len(contexts.leaf), size):
+                    yield contexts.bits(book, lo, min(lo + size, len(contexts.leaf)))
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
 
 
 def _scored(row: dict, model: Model, book: Book) -> pa.RecordBatch:
-    contexts, lengths = _contexts(row)
-    n = len(contexts.leaf)
-    value = np.zeros(n)
-    for lo in range(0, n, STEP):
-        hi = min(lo + STEP, n)
-        value[lo:hi] = model.log10(contexts.bits(book, lo, hi), hi - lo)
-    escaped = contexts.leaf == book.escape
-    spelt = np.zeros(n)
-    spelt[escaped] = unpack(row["spelt"], "<f4")
-    value += np.where((contexts.match & (SEEN | HIT)) == (SEEN | HIT), 0, spelt)
+    lengths = unpack(row["lengths"], "<i4").astype(np.int64)
+    leaves, matches = unpack(row["leaves"], "<u2"), unpack(row["matches"], "u1")
+    value = np.zeros(len(leaves))
+    for contexts, _, tokens in _parts(row):
+        own = np.zeros(len(tokens))
+        for lo in range(0, len(own), STEP):
+            hi = min(lo + STEP, len(own))
+            own[lo:hi] = model.log10(contexts.bits(book, lo, hi), hi - lo)
+        value[tokens] = own
+    spelt = np.zeros(len(leaves))
+    spelt[leaves == book.escape] = unpack(row["spelt"], "<f4")
+    value += np.where((matches & (SEEN | HIT)) == (SEEN | HIT), 0, spelt)
     score = np.add.reduceat(value, np.cumsum(lengths) - lengths) - math.log10(CLASSES)
     ids, named, sizes = unpack(row["ids"], "<i8"), unpack(row["named"], "?"), unpack(row["sizes"], "<i8")
     columns = [pa.array(ids, mask=~named), pa.array(unpack(row["held"], "?")), pa.array(lengths), pa.array(unpack(row["known"], "<i8")), pa.array(unpack(row["base"], "<f8")), pa.array(score), pa.array(-score / math.log10(2) / sizes)]
@@ -823,12 +843,16 @@ def score(df: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text
     top = counted.select("words", "counts").mapInArrow(_most_frequent, "word binary, n long").orderBy(F.desc("n"), "word").limit(BOOK - 1).toPandas()
     tokens, counts = [*map(bytes, top["word"]), END], np.append(top["n"].to_numpy(np.int64), ends)
     book = spark.sparkContext.broadcast(Book(tokens, counts, n - int(counts.sum())))
-    spelling = spark.sparkContext.broadcast(fit(counted.select("words", "counts"), SPELLING, math.ceil(v / TASK_WORDS), _training_words))
+    lettered = counted.select("words", "counts").mapInArrow(_bytes_counted, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+    seen = np.zeros(256, np.int64)
+    seen[lettered["i"].to_numpy()] = lettered["n"].to_numpy()
+    letters = Letters(seen)
+    spelling = spark.sparkContext.broadcast(fit(counted.select("words", "counts"), SPELLING, math.ceil(v / TASK_WORDS), lambda b, size: _training_words(b, size, letters)))
 
     def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for shard, found, c in zip(*(b.column(x).to_pylist() for x in ("shard", "words", "counts"))):
-                yield _batch([(shard, found, c, pack(spellings(spelling.value, unpack_words(found)).astype("<f4")))], "shard int, words binary, counts binary, spelt binary")
+                yield _batch([(shard, found, c, pack(spellings(spelling.value, letters, unpack_words(found)).astype("<f4")))], "shard int, words binary, counts binary, spelt binary")
 
     valued = counted.select("shard", "words", "counts").mapInArrow(spelt, "shard int, words binary, counts binary, spelt binary")
     answers = asked.select("shard", "block", "a").groupBy("shard").cogroup(valued.groupBy("shard")).applyInPandas(_word_answers, ANSWER)
