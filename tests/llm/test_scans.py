@@ -15,6 +15,10 @@ def brute(docs, items):
         for i, x in items:
             own = words((x or "").translate(FOLD))
             best = None
+            if 0 < len(own) < 5:  # one shingle, the whole sequence
+                at = next((s for s in range(len(w) - len(own) + 1) if w[s : s + len(own)] == own), None)
+                out += [(d, i, 1.0, at, len(own))] if at is not None else []
+                continue
             if not grams(w).keys() & grams(own).keys():
                 continue
             for s in range(len(w) - len(own) + 1) if len(own) >= 5 else ():
