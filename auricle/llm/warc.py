@@ -3,8 +3,8 @@
 The reader splits every file at the magic words, wherever they stand, so each piece is a candidate record at a known offset
 whose Content-Length names its successor's offset. Per file, pointer jumping from offset 0 marks the candidates that the chain
 reaches; the others are magic words inside a payload and go back into the payload that they cut. A piece whose length already
-agrees with its header is digested where it was read, so that only headers travel to the file's task. The pieces of payloads that
-magic words cut are then looked up once more and put together.
+agrees with its header is digested where it was read, so that only headers travel to the file's task. Pieces whose
+length does not agree (of payloads that magic words cut) are kept with their text when the files are read, and put together afterwards.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
+#: What every record of either version begins with, what follows in those written here, and the end of a head and of a record.
+MAGIC, VERSION, END = "WARC/1.", "1\r\n", "\r\n\r\n"
 MIN_REVISIT_BYTES = 1000
 DATE = "2000-01-01T00:00:00Z"
 #: Records of one archive file at most; a file's headers meet in one task.
@@ -37,12 +38,13 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("body"),
     ).select("*", F.octet_length("body").cast("long").alias("n"), F.sha1(F.encode("body", "UTF-8")).alias("digest"))
     groups = rows.where(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.max("id").alias("keeper"), F.count("*").alias("rows"))
-    rows = rows.join(groups.where("rows > 1").drop("rows"), ["digest", "n"], "left")
+    # stored, so that both sides of the join are plain scans: a very common body's pages are then split over tasks
+    rows = rows.join(common.stored(groups.where("rows > 1").drop("rows"), "repeated-bodies"), ["digest", "n"], "left")
     revisit = F.col("keeper").isNotNull() & ~F.col("id").eqNullSafe(F.col("keeper"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     line = lambda name, c: F.concat(F.lit(f"{name}: "), c, F.lit("\r\n"))
     head = F.concat(
-        F.lit(MAGIC),
+        F.lit(MAGIC + VERSION),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         line("WARC-Record-ID", urn(F.col("id"))),
         line("WARC-Date", F.lit(DATE)),
@@ -117,10 +119,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.option("lineSep", MAGIC).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"), "value", F.get(parts, F.lit(0)).alias("head"), F.get(parts, F.lit(1)).alias("rest")
     )
-    length = F.when(F.col("rest").isNotNull(), F.expr("try_cast(nullif(regexp_extract(head, '(?m)^Content-Length: ([0-9]+)\\\\r?$', 1), '') AS BIGINT)"))
+    length = F.when(F.col("rest").isNotNull() & F.col("head").rlike(r"^[01]\r\n"), F.expr("try_cast(nullif(regexp_extract(head, '(?m)^Content-Length: ([0-9]+)\\\\r?$', 1), '') AS BIGINT)"))
     body = F.left("rest", F.greatest(F.char_length("rest") - len(END), F.lit(0)))
     whole = F.coalesce((F.octet_length("rest") == F.col("length") + len(END)) & F.endswith("rest", F.lit(END)), F.lit(False))
-    pieces = rows.withColumn("length", F.coalesce(length, F.lit(-1))).withColumn("whole", whole).select(
+    read_again = rows.withColumn("length", F.coalesce(length, F.lit(-1))).withColumn("whole", whole)
+    pieces = read_again.select(
         "file",
         "start",
         "place",
@@ -129,18 +132,26 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         F.octet_length("head").cast("long").alias("head_bytes"),
         "length",
         F.when(F.col("whole"), F.sha1(F.encode(body, "UTF-8"))).alias("digest"),
+        F.when(~F.col("whole"), F.col("value")).alias("value"),
     )
+    pieces = common.stored(pieces, "pieces")
     records = [c.split()[0] for c in RECORDS.split(", ")]
-    found = common.stored(pieces.groupBy("file").applyInPandas(_records, f"{RECORDS}, {PARTS}"), "records")
+    found = common.stored(pieces.drop("value").groupBy("file").applyInPandas(_records, f"{RECORDS}, {PARTS}"), "records")
     whole, cut = found.where("parts IS NULL").select(records), found.where("parts IS NOT NULL")
     if cut.isEmpty():
         return whole
-    # the same files are split and numbered in the same way again
-    wanted = cut.select(*records, "head_bytes", F.posexplode("parts").alias("nth", "part")).select("*", "part.start", "part.place").drop("part")
-    texts = wanted.join(rows.select("file", "start", "place", "value"), ["file", "start", "place"])
-    groups = texts.groupBy(*records, "head_bytes").agg(F.array_sort(F.collect_list(F.struct("nth", "value"))).alias("v"))
+    place = ["file", "start", "place"]
+    wanted = cut.select(*records, "head_bytes", F.size("parts").alias("n_parts"), F.posexplode("parts").alias("nth", "part")).select("*", "part.start", "part.place").drop("part")
+    kept = wanted.join(pieces.where("value IS NOT NULL").select(*place, "value"), place)
+    # a record that stands whole inside a payload was not kept: it is read again, and must be the same piece as before
+    again = wanted.join(pieces.where("value IS NULL").select(*place, "size", "digest"), place)
+    if not again.isEmpty():
+        whole_again = read_again.where("whole").select(*place, "value", F.octet_length("value").cast("long").alias("size"), F.sha1(F.encode(body, "UTF-8")).alias("digest"))
+        kept = kept.unionByName(again.join(whole_again, [*place, "size", "digest"]).select(kept.columns))
+    groups = kept.groupBy(*records, "head_bytes", "n_parts").agg(F.array_sort(F.collect_list(F.struct("nth", "value"))).alias("v"))
     text = F.encode(F.array_join(F.transform("v", lambda x: x["value"]), MAGIC), "UTF-8")
-    joined = groups.withColumn("payload", F.substring(text, (F.col("head_bytes") + len(END) + 1).cast("int"), F.col("payload_bytes").cast("int")))
+    found_all = F.when(F.size("v") == F.col("n_parts"), text).otherwise(F.raise_error(F.lit("a file was split in another way when its cut payloads were read again")).cast("binary"))
+    joined = groups.withColumn("payload", F.substring(found_all, (F.col("head_bytes") + len(END) + 1).cast("int"), F.col("payload_bytes").cast("int")))
     joined = joined.where(F.length("payload") == F.col("payload_bytes")).withColumn("payload_digest", F.sha1("payload"))
     return whole.unionAll(joined.select(records))
 
