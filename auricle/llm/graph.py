@@ -8,14 +8,22 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """One step over undirected edges (u, v). Every node's smallest neighbour takes over its larger neighbours, or (small) its smaller ones and itself."""
+#: A node with more neighbours than this, and than a HUBS-th of all ends of links, is a hub. So there are at most HUBS of them.
+HUB, HUBS = 1000, 10_000
+
+
+def _star(edges: DataFrame, small: bool, many: int) -> DataFrame:
+    """One step over undirected edges (u, v), `many` of them. Every node's smallest neighbour takes over its larger neighbours, or (small) its
+    smaller ones and itself. A hub's neighbours stay where they are: the few hubs go to all tasks."""
     if small:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     else:
         near = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = near.join(least, "u")
+    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    hub = F.col("n") > max(HUB, 2 * many // HUBS)
+    hubs = F.broadcast(least.where(hub).select("u", F.col("m").alias("hub_m")))
+    marked = near.join(hubs, "u", "left")
+    joined = marked.where("hub_m IS NOT NULL").select("u", "v", F.col("hub_m").alias("m")).unionAll(marked.where("hub_m IS NULL").select("u", "v").join(least.where(~hub).select("u", "m"), "u"))
     if small:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
     else:
@@ -26,13 +34,13 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """id and comp, the smallest id reachable, of every node of the links (a, b). A step is one aggregation and one join over the
     links, cut off in the shared folder; steps follow until the links stay as they are, about log2 of the longest path."""
-    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct()
-    state = None
-    while True:
-        edges = common.cut(_star(_star(edges, small=False), small=True))
+    edges = common.cut(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct())
+    state, many = None, edges.count()
+    while many:
+        edges = common.cut(_star(_star(edges, False, many), True, many))
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 32)))).first()
-        if now == state or not now[0]:
+        if now == state:
             break
-        state = now
+        state, many = now, now[0]
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("comp"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionAll(roots).distinct()

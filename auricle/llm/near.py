@@ -6,10 +6,11 @@ document is done (most end at level 0 or 1). Bands of slots give candidates, a 4
 pairs far below the threshold, and full shingle sets decide.
 
 Pairs within a bucket are never all made. Equal word sequences are one text from the start. First each text of a bucket meets three
-centres of it, and the links found are joined into components. Buckets that still hold several components are joined into clusters.
-In a cluster, blocks of texts outside the largest component are held against blocks of all its texts: a task has one block of each,
-compares sketches as a matrix, and goes through what is near, nearest first, leaving out what its own links have joined by then.
-Only links leave the task. So every pair of a bucket is linked through others, or compared, or too far apart.
+centres of it, and the links found are joined into components. In a bucket that still holds several components, blocks of texts outside its
+largest component are held against blocks of all its texts. A task has one block of each. At first it gets sketches and sizes alone and
+names the texts that any other may link with; only their texts are then sent, and the task goes through what is near, nearest first,
+leaving out what its own links have joined by then. Only links leave the task. So every pair of a bucket is linked through others, or
+compared, or too far apart.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ SLOTS, ROWS = 128, 4
 BANDS = SLOTS // ROWS
 #: Slots whose 4 bits may differ. At similarity 0.75 the mean is 30 and the deviation 4.8.
 SKETCH_DIFFERENCE = 56
-#: Texts of a block of a cluster.
-BLOCK = 256
+#: Texts of a block of a bucket, and rows of the matrix of sketches that is made at once.
+BLOCK, STRIPE = 1024, 64
 #: So many ids (8 bytes each) are sent to all executors to pick out the texts to compare; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _EMPTY = np.uint64(2**64 - 1)
@@ -117,7 +118,7 @@ def _lists(x: np.ndarray) -> pa.Array:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in common.parts(batches):
         texts, ids = common.texts(b), b.column("doc_id")
         for lo, hi in words.chunks(texts):
             sets = shingle_sets(texts[lo:hi])
@@ -147,16 +148,49 @@ def _reaches(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * inter >= PERCENT * (len(a) + len(b) - inter)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between texts of different components; rows come sorted by (cluster, i, j), one pair of blocks after the other."""
-    out: list[tuple[int, int]] = []
-    rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("cluster", "i", "j", "apart", "rep", "comp", "n_shingles", "sketch")), common.texts(b)))
-    for _, group in groupby(rows, key=lambda r: r[:3]):
+def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple], list[tuple]]]:
+    """(bucket, i, j), the texts outside the main component and all texts of each pair of blocks; rows come sorted by (key, i, j)."""
+    rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", "apart", *columns))))
+    for at, group in groupby(rows, key=lambda r: r[:3]):
         mine, all_ = [], []
         for r in group:
             (mine if r[3] else all_).append(r[4:])
-        if not mine or not all_:
-            continue
+        if mine and all_:
+            yield at, mine, all_
+
+
+def _close(mine: list[tuple], all_: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (in mine, in all) and distances of sketches that may belong to linked texts of different components. Rows begin with rep, comp, n_shingles and sketch."""
+    n, m = (np.array([r[2] for r in side]) for side in (mine, all_))
+    c, d = (np.array([r[1] for r in side]) for side in (mine, all_))
+    x, y = (np.array([r[3] for r in side], np.int64).view(np.uint64) for side in (mine, all_))
+    out = []
+    for lo in range(0, len(mine), STRIPE):
+        own = slice(lo, lo + STRIPE)
+        near = (np.minimum(n[own, None], m) * 100 >= np.maximum(n[own, None], m) * PERCENT) & (c[own, None] != d)
+        p, q = np.nonzero(near)
+        bits = x[own][p] ^ y[q]
+        bits |= bits >> np.uint64(1)
+        bits |= bits >> np.uint64(2)
+        distance = np.bitwise_count(bits & np.uint64(0x1111111111111111)).sum(axis=1, dtype=np.int64)
+        keep = distance <= SKETCH_DIFFERENCE
+        out.append((p[keep] + lo, q[keep], distance[keep]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which texts a pair of blocks needs: (key, i, j, apart, rep)."""
+    for at, mine, all_ in _groups(batches, ("rep", "comp", "n_shingles", "sketch")):
+        p, q, _ = _close(mine, all_)
+        out = [(*at, apart, side[k][0]) for apart, side, places in ((True, mine, p), (False, all_, q)) for k in np.unique(places).tolist()]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], ["key", "i", "j", "apart", "rep"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between texts of different components."""
+    for _, mine, all_ in _groups(batches, ("rep", "comp", "n_shingles", "sketch", "text")):
+        out: list[tuple[int, int]] = []
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -169,23 +203,16 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         def set_of(row: tuple) -> np.ndarray:
             if row[0] not in sets:
-                sets[row[0]] = shingle_sets([row[4]])[0]
+                sets[row[0]] = shingle_sets([row[4].encode()])[0]
             return sets[row[0]]
 
-        n, m = (np.array([r[2] for r in side]) for side in (mine, all_))
-        x, y = (np.array([r[3] for r in side], np.int64).view(np.uint64) for side in (mine, all_))
-        bits = x[:, None, :] ^ y[None]
-        bits |= bits >> np.uint64(1)
-        bits |= bits >> np.uint64(2)
-        distance = np.bitwise_count(bits & np.uint64(0x1111111111111111)).sum(axis=2, dtype=np.int64)
-        sized = np.minimum(n[:, None], m) * 100 >= np.maximum(n[:, None], m) * PERCENT
-        p, q = np.nonzero(sized & (distance <= SKETCH_DIFFERENCE))
-        for k in np.argsort(distance[p, q], kind="stable").tolist():
+        p, q, distance = _close(mine, all_)
+        for k in np.argsort(distance, kind="stable").tolist():
             u, v = mine[p[k]], all_[q[k]]
             if (a := root(u[1])) != (b := root(v[1])) and _reaches(set_of(u), set_of(v)):
                 parent[max(a, b)] = min(a, b)
                 out.append((min(u[0], v[0]), max(u[0], v[0])))
-    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -211,33 +238,41 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
 def _across(members: DataFrame, labels: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Links (a, b) between different components (labels) that meet in a bucket (key, rep)."""
     labelled = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    labelled = common.stored(labelled, "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("rep").alias("m")).where("x < y")
-    apart = common.stored(labelled.join(mixed.select("key", "m"), "key").select("rep", "comp", "m").distinct(), "mixed-buckets")
-    clusters = graph.components(apart.select(F.col("rep").alias("a"), F.col("m").alias("b"))).select(F.col("id").alias("rep"), F.col("comp").alias("cluster"))
-    nodes = apart.select("rep", "comp").distinct().join(clusters, "rep")
-    nodes = common.stored(nodes, "cluster-texts")
-    sizes = nodes.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.ceil(F.sum("n") / BLOCK).alias("blocks"))
-    texts = _texts(docs, nodes.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
-    full = nodes.join(main, "cluster").join(reps.select("rep", "n_shingles", "sketch"), "rep").join(texts, "rep")
+    sizes = common.stored(labelled, "labelled").groupBy("key", "comp").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("comps"))
+    # stored, so that both sides of the join are plain scans: a hot bucket's rows are then split over tasks
+    main = common.stored(main.where("comps > 1").drop("comps"), "mixed-buckets")
+    full = labelled.join(main, "key").join(reps.select("rep", "n_shingles", "sketch"), "rep")
     full = full.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
-    columns = ["cluster", "i", "j", "apart", "rep", "comp", "n_shingles", "sketch", "text"]
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    columns = ["key", "i", "j", "apart", "rep", "comp", "n_shingles", "sketch"]
     mine = full.where("comp <> main").withColumns({"i": F.col("block"), "apart": F.lit(True)}).withColumn("j", other).select(columns)
     every = full.withColumns({"j": F.col("block"), "apart": F.lit(False)}).withColumn("i", other).select(columns)
-    tasks = mine.unionAll(every).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    return common.stored(tasks.mapInArrow(_blocks, "a long, b long").distinct(), "more-links")
+    tasks = common.stored(mine.unionAll(every), "blocks")
+    wanted = common.stored(tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_wanted, "key long, i int, j int, apart boolean, rep long"), "wanted")
+    texts = _texts(docs, wanted.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
+    needed = tasks.join(wanted, ["key", "i", "j", "apart", "rep"]).join(texts, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return common.stored(needed.mapInArrow(_blocks, "a long, b long").distinct(), "more-links")
+
+
+def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Components (id, comp) from those of the first links and links found since, whose ends stand for their components."""
+    if more.isEmpty():
+        return labels
+    label = lambda x: labels.select(F.col("id").alias(x), F.col("comp").alias(f"comp_{x}"))
+    ends = more.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    merged = graph.components(ends.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")))
+    merged = common.stored(merged.select(F.col("id").alias("comp"), F.col("comp").alias("new")), "merged")
+    old = labels.join(merged, "comp", "left").select("id", F.coalesce("new", "comp").alias("comp"))
+    return old.unionAll(merged.select(F.col("comp").alias("id"), F.col("new").alias("comp"))).distinct()
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links) and kept (doc_id = component_id), a row for every row.
 
     Texts without words have no shingles and no links. Rows with the same id are one node. A row with a null id links with nothing; its
-    component is null and it is kept.
+    component is null and it is kept. Ids are cast to long, as the session casts.
     """
-    spark = df.sparkSession
-    common.small_batches(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = common.stored(docs.mapInArrow(_signed, ROW), "signatures")
     whole = ["h1", "h2"]
@@ -249,9 +284,9 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     members = common.stored(entries.join(buckets, "key"), "buckets")
     star = members.select("rep", F.explode(F.array("c0", "c1", "c2")).alias("c")).where("rep <> c")
     links = _verified(star.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")), docs, reps)
-    labels = graph.components(links)
+    labels = common.stored(graph.components(links), "components")
     more = _across(members.select("key", "rep"), labels, docs, reps)
-    comps = graph.components(links.unionAll(more)).withColumnRenamed("id", "rep")
+    comps = _joined(labels, more).withColumnRenamed("id", "rep")
     named = reps.select(*whole, "rep").join(comps, "rep", "left").select(*whole, F.coalesce("comp", "rep").alias("comp"))
     out = rows.select("doc_id", *whole, "n_shingles").join(named, whole, "left")
     component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("comp"))
