@@ -58,7 +58,7 @@ def super_kmers(texts: list[bytes], window: int = WINDOW, piece: int = PIECE) ->
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in common.parts(batches):
         ids, ts = (b.column(c).to_numpy(zero_copy_only=False) for c in ROW)
         for d, mini, start, n in super_kmers(common.texts(b)):
             columns = [pa.array(x) for x in (ids[d], ts[d], mini, start.astype(np.int32), n.astype(np.int32))]
@@ -70,7 +70,7 @@ PACKED = "doc_id long, t long, mini long, rows long, start int, n int, packed bi
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in PACKED.split(", ")]
-    for b in batches:
+    for b in common.parts(batches):
         out: list[tuple] = []
         for doc, t, text, runs in zip(*(b.column(c).to_pylist() for c in ROW), common.texts(b), b.column("runs").to_pylist()):
             split = text.split()
@@ -126,7 +126,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in common.parts(batches):
         out = []
         for text, runs in zip(common.texts(b), b.column("gone").to_pylist()):
             split = text.split()
@@ -153,19 +153,19 @@ def drop_repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str
     the same id do not take words from each other. Rows with a null id neither take nor lose words.
     """
     spark = df.sparkSession
-    common.small_batches(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), _text_key(text).alias("t"), text.alias("text"))
     named = docs.where(F.col("doc_id").isNotNull())
     places = common.stored(named.mapInArrow(_places, "doc_id long, t long, mini long, start int, n int"), "super-kmers")
-    shared = places.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
-    runs = places.join(shared.select("mini", "rows"), "mini").groupBy(*ROW).agg(F.collect_set(F.struct("mini", "rows", "start", "n")).alias("runs"))
+    # stored, so that both sides of the join are plain scans: a hot minimiser's places are then split over tasks
+    shared = common.stored(places.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("mini", "rows"), "shared-minimisers")
+    runs = places.join(shared, "mini").groupBy(*ROW).agg(F.collect_set(F.struct("mini", "rows", "start", "n")).alias("runs"))
     packed = named.dropDuplicates(ROW).join(runs, ROW).select(*ROW, "text", "runs").mapInArrow(_packed, PACKED)
     parts = F.ceil(F.col("rows") / HOT)
     buckets = packed.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("doc_id"), parts)}).drop("rows").repartition("mini", "part").sortWithinPartitions("mini", "part")
     found = common.stored(buckets.mapInArrow(_repeats, "doc_id long, t long, start int, n int, digest binary"), "repeats")
     waiting = found.where(F.col("digest").isNotNull())
-    first = waiting.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    first = common.stored(waiting.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "first-windows")
     late = waiting.join(first, "digest").where(F.col("doc_id") > F.col("first"))
     gone = found.where(F.col("digest").isNull()).drop("digest").unionAll(late.select(*ROW, "start", "n"))
     gone = gone.groupBy(*ROW).agg(F.collect_list(F.struct("start", "n")).alias("gone"))
