@@ -332,21 +332,33 @@ def payload_of(j: Jpeg, coefficients: np.ndarray) -> bytes | None:
 
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in common.parts(batches):
         raw = common.texts(b)
         columns = [b.column("doc_id"), pa.array([len(t) for t in raw], pa.int64()), pa.array(encode_all([padded(t) for t in raw]), pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "media"])
 
 
-FEATURES = "width int, height int, thumb_hash string, payload binary"
+FEATURES = "width int, height int, thumb_hash string, payload binary, problem string"
+
+
+def described(media: list[bytes | None]) -> list[tuple]:
+    """(width, height, thumbnail hash, payload, problem) of each file; a file that cannot be read has a problem and nothing else."""
+    try:
+        return [(j.width, j.height, thumbnail_hash(thumbnail(j, c, r, k)), payload_of(j, c), None) for j, c, r, k in decode_all(media)]
+    except (ValueError, IndexError, KeyError, TypeError, ZeroDivisionError) as e:
+        if len(media) > 1:  # halves are tried until the broken files stand alone
+            half = len(media) // 2
+            return described(media[:half]) + described(media[half:])
+        return [(None, None, None, None, "no media" if media[0] is None else f"no baseline JPEG: {e}")]
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = [(j.width, j.height, thumbnail_hash(thumbnail(j, c, r, k)), payload_of(j, c)) for j, c, r, k in decode_all(b.column("media").to_pylist())]
-        kinds = [pa.int32(), pa.int32(), pa.string(), pa.binary()]
+    names = [x.split()[0] for x in FEATURES.split(", ")]
+    for b in common.parts(batches):
+        out = described(b.column("media").to_pylist())
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.string()]
         columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, "width", "height", "thumb_hash", "payload"])
+        yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, *names])
 
 
 def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -356,19 +368,19 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def read_media(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """doc_id, media, width, height, thumb_hash and payload of each baseline JPEG; media that is null or no baseline JPEG raises."""
+    """doc_id, media, width, height, thumb_hash and payload of each baseline JPEG; media that is null or no baseline JPEG has nulls
+    and says why in problem."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media"))
     return rows.mapInArrow(_read, f"doc_id long, media binary, {FEATURES}")
 
 
 def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """store_texts and read_media in one pass of one Python worker, a row for every row."""
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _read(_stored(it)), f"doc_id long, n_bytes long, media binary, {FEATURES}")
+    """The media column written as a table in the shared folder, read back, and its features, a row for every row."""
+    stored = common.stored(store_texts(df, id_col, text_col), "media")
+    return stored.mapInArrow(_read, f"doc_id long, n_bytes long, media binary, {FEATURES}")
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    common.small_batches(spark)
     rows = round_trip(common.read(spark, sf_dir, "documents"))
     return rows.select(
         "doc_id",
