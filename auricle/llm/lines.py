@@ -84,7 +84,7 @@ class LineRuns:
 
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return df.select("*", F.col(id_col).cast("long").alias("__id"), F.xxhash64(text).alias("__t"), F.split(text, "\n", -1).alias("__lines"))
+    return df.select("*", F.col(id_col).cast("long").alias("__id"), F.xxhash64(text).alias("__t"))
 
 
 def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
@@ -92,16 +92,18 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Keys of at least `min_chars` code points that at least `min_docs` documents hold lose their lines everywhere but in the
     largest id that holds them (there, repeats of the line stay too). Null and empty texts are one empty line. Rows with the same
-    id count as one document and each keep their own text. Rows with a null id neither count nor lose lines.
+    id count as one document and each keep their own text. Rows with a null id neither count nor lose lines. Ids are cast to long, as the
+    session casts. Columns named __id, __t, __gone and __lines are the operator's own and not allowed in df.
     """
     spark = df.sparkSession
     rows = _rows(df, id_col, text_col)
+    whole = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     cuts = sorted({int(x) for x in rows.approxQuantile("__id", [i / batches for i in range(1, batches)], 0.01)}) if batches > 1 else []
     batch = sum((F.when(F.col("__id") <= c, 1).otherwise(0) for c in cuts), F.lit(0))
     key = line_key(F.col("line"))
     lines = common.stored(
         rows.where(F.col("__id").isNotNull())
-        .select("__id", "__t", batch.cast("int").alias("batch"), F.posexplode("__lines").alias("pos", "line"))
+        .select("__id", "__t", batch.cast("int").alias("batch"), F.posexplode(F.split(whole, "\n", -1)).alias("pos", "line"))
         .withColumn("key", key)
         .where(F.char_length("key") >= min_chars)
         .select("__id", "__t", "pos", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2"), "batch"),
@@ -117,10 +119,10 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     if frequent.count() <= BROADCAST_ROWS:
         frequent = F.broadcast(frequent)
     gone = lines.join(frequent, KEY).where(F.col("__id") < F.col("keeper")).groupBy("__id", "__t").agg(F.collect_set("pos").alias("__gone"))
-    all_rows = rows.join(gone, ["__id", "__t"], "left")
+    all_rows = rows.join(gone, ["__id", "__t"], "left").withColumn("__lines", F.split(whole, "\n", -1))
     none = F.array().cast("array<int>")
     kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.coalesce("__gone", none))
-    text = F.when(F.col("__gone").isNull(), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda p: F.get("__lines", p)), "\n"))
+    text = F.when(F.col("__gone").isNull(), whole).otherwise(F.array_join(F.transform(kept, lambda p: F.get("__lines", p)), "\n"))
     own = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
     return all_rows.select(
         *(text.alias(c) if c == text_col else F.col(c) for c in own),
