@@ -60,9 +60,7 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.tokens = [b""] * (max(ranks.values()) + 1)
-        for token, i in ranks.items():
-            self.tokens[i] = token
+        self.tokens = {i: token for token, i in ranks.items()}
         self.known: dict[str, bytes] = {}
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
@@ -102,19 +100,29 @@ class Codec:
         return b"".join([get(p) or packed(p) for p in self.split(text)])
 
     def decode(self, ids: list[int]) -> bytes:
-        """The ids' bytes, concatenated."""
-        return b"".join(map(self.tokens.__getitem__, ids))
+        """The ids' bytes, concatenated up a tree of halves. Unknown ids raise KeyError."""
+        if len(ids) <= LEAF:
+            return b"".join([self.tokens[i] for i in ids])
+        half = len(ids) // 2
+        return self.decode(ids[:half]) + self.decode(ids[half:])
+
+    def decoded(self, ids: bytes | None) -> bytes | None:
+        """The bytes of packed ids; None where an id is unknown or the packing is broken."""
+        try:
+            return self.decode(np.frombuffer(ids or b"", "<u4").tolist())
+        except (KeyError, ValueError):
+            return None
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], codec: Codec) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in common.parts(batches):
         ids = [codec.encode(t.decode()) for t in common.texts(b)]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], codec: Codec) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = [codec.decode(np.frombuffer(v or b"", "<u4").tolist()) for v in b.column("ids").to_pylist()]
+    for b in common.parts(batches):
+        out = [codec.decoded(v) for v in b.column("ids").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
 
 
@@ -137,7 +145,8 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """doc_id, ids and the bytes (decoded) that they stand for; null ids decode to no bytes, unknown ids raise."""
+    """doc_id, ids and the bytes (decoded) that they stand for; null ids decode to no bytes; where an id
+    is unknown or the packing is broken, decoded is null."""
     codec = _codec(df.sparkSession, path, None)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("binary").alias("ids"))
     return rows.mapInArrow(lambda it: _decoded(it, codec()), "doc_id long, ids binary, decoded binary")
@@ -160,5 +169,4 @@ def digests(df: DataFrame) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    common.small_batches(spark)
     return digests(round_trip(common.read(spark, sf_dir, "documents")))

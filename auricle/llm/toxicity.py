@@ -225,7 +225,8 @@ def train(docs: DataFrame, labels: DataFrame, held: Column) -> Model:
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of df with toxicity (0 to 1) from the whole text of every row; null and empty texts have the score of no words."""
+    """The columns of df with toxicity (0 to 1; a column of that name is replaced) from the whole text of every row; null and empty texts
+    have the score of no words. Repeated rows are scored each."""
     sent = df.sparkSession.sparkContext.broadcast((model.values.astype("<f4"), model.bias, model.scale, model.shift))
     made: list[Model] = []
 
@@ -233,13 +234,13 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     def toxicity(text: pa.Array) -> pa.Array:
         if not made:
             made.append(Model(*sent.value))
-        return pa.array(made[0].scores([t or "" for t in text.to_pylist()]), pa.float64())
+        parts = [made[0].scores([t or "" for t in text.slice(lo, TOGETHER >> 7).to_pylist()]) for lo in range(0, len(text), TOGETHER >> 7)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     return df.withColumn("toxicity", toxicity(F.col(text_col).cast("string")))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    common.small_batches(spark)
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
     held = common.held_out(F.col("doc_id"), 3, 1)
     model = train(docs, common.read(spark, sf_dir, "labels"), held)
