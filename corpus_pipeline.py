@@ -12,7 +12,6 @@ DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score toxicity.THRESHOLD or more go. The model learns from the labels of the documents it is given."""
-    common.small_batches(spark)
     model = toxicity.train(docs, common.read(spark, sf_dir, "labels"), F.lit(False))
     return toxicity.score(docs.select(*DOCUMENTS), model).where(F.col("toxicity") < toxicity.THRESHOLD).select(*DOCUMENTS)
 
@@ -31,13 +30,11 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    common.small_batches(spark)
     return decontaminate.clean(docs.select(*DOCUMENTS), common.read(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the text that they decode to."""
-    common.small_batches(spark)
     return bpe.digests(bpe.round_trip(docs))
 
 
