@@ -29,7 +29,7 @@ def line(label: str, value: Column) -> Column:
 def report_text(reports: DataFrame) -> DataFrame:
     """report_id and text: what was read, its format, length, levels, and the observations in order of severity."""
     number = lambda c: F.col(c).cast("string")
-    found = F.transform("observations", lambda o: F.concat(F.lit("  ["), o["severity"], F.lit("] "), o["obs_id"], F.when(o["detail"].isNotNull(), F.concat(F.lit(": "), o["detail"])).otherwise("")))
+    found = F.transform("observations", lambda o: F.concat(F.lit("  ["), o["severity"], F.lit("] "), o["title"], F.lit("\n      "), o["detail"]))
     sections = [
         F.concat(F.lit("REPORT "), number("report_id"), F.lit(" - "), F.col("status")),
         line("Sample rate", number("sample_rate")),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auricle.functions.measures import loudness, nearest_rank
+from auricle.functions.measures import loudness
+from auricle.operators import series
 
 MOMENTARY, SHORT_TERM = 4, 30
 ABSOLUTE_GATE, RELATIVE_GATE, RANGE_GATE = -70.0, -10.0, -20.0
@@ -47,5 +48,5 @@ def integrated(blocks: DataFrame, keys: list[str]) -> DataFrame:
 
 def loudness_range(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """95th less 10th percentile (nearest rank) of the gated short-term blocks; fewer than two have none."""
-    lists = _gated(blocks, keys, RANGE_GATE).groupBy(*keys).agg(F.collect_list("lufs").alias("v"))
-    return lists.where(F.size("v") >= 2).select(*keys, F.size("v").cast("long").alias("blocks"), (nearest_rank(F.col("v"), 0.95) - nearest_rank(F.col("v"), 0.10)).alias("range_lu"))
+    found = series.order_statistics(_gated(blocks, keys, RANGE_GATE), keys, "lufs", high=series.nearest_place(0.95), low=series.nearest_place(0.10))
+    return found.where("n >= 2").select(*keys, F.col("n").alias("blocks"), (F.col("high") - F.col("low")).alias("range_lu"))

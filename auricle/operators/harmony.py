@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Steps of the major scale, and (degree, mode, prior) of the centres of a note collection.
+# Steps of the major scale, (degree, mode, prior) of the centres of a note collection, names of notes, limits of confidence
+# and ambiguity, and weights of a centre's evidence.
 SCALE_STEPS = [0, 2, 4, 5, 7, 9, 11]
 MODES = [(0, "major", 1.00), (9, "minor", 0.96), (7, "Mixolydian", 0.53), (2, "Dorian", 0.51)]
 NAMES = ["C", "Db", "D", "Eb", "E", "F", "Gb", "G", "Ab", "A", "Bb", "B"]
 ESTABLISH, MEDIUM, HIGH = 0.65, 0.69, 0.75
 AMBIGUOUS = 0.15
+OVERALL, BASS, END = 0.25, 0.45, 0.30
 
 
 def pitch_class(hz: Column) -> Column:
@@ -33,12 +35,13 @@ def collections(pooled: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, F.col("b.root").cast("long").alias("root"), F.col("b.score").alias("concentration"))
 
 
-def centres(pooled: DataFrame, bass: DataFrame, collection: DataFrame, keys: list[str]) -> DataFrame:
-    """The four centres of a collection: score of overall and bass share times the mode's prior, rank, and closeness to the first."""
+def centres(pooled: DataFrame, bass: DataFrame, ending: DataFrame, collection: DataFrame, keys: list[str]) -> DataFrame:
+    """The four centres of a collection: score of overall, bass and ending share times the mode's prior, rank, and closeness to the first."""
     modes = F.explode(F.array(*(F.struct(F.lit(d).alias("degree"), F.lit(m).alias("mode"), F.lit(p).alias("prior"), F.lit(i).alias("mode_ord")) for i, (d, m, p) in enumerate(MODES)))).alias("x")
     out = collection.select(*keys, "root", "concentration", modes).select(*keys, "concentration", "x.*", F.pmod(F.col("root") + F.col("x.degree"), F.lit(12)).cast("int").alias("pc"))
     out = out.join(pooled.select(*keys, "pc", "share"), [*keys, "pc"], "left").join(bass.select(*keys, "pc", F.col("share").alias("bass")), [*keys, "pc"], "left")
-    score = (0.25 * F.coalesce("share", F.lit(0.0)) + 0.45 * F.coalesce("bass", F.lit(0.0))) * F.col("prior")
+    out = out.join(ending.select(*keys, "pc", F.col("share").alias("ending")), [*keys, "pc"], "left")
+    score = (OVERALL * F.coalesce("share", F.lit(0.0)) + BASS * F.coalesce("bass", F.lit(0.0)) + END * F.coalesce("ending", F.lit(0.0))) * F.col("prior")
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), "mode_ord")
     out = out.withColumn("score", F.round(score, 9)).withColumn("rank", F.row_number().over(w).cast("long"))
     top = F.first("score").over(w)

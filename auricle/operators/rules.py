@@ -1,23 +1,27 @@
 """Observation rules as column expressions over report rows.
 
-A rule is a predicate and a severity; it says what is there and judges nothing. A row's observations come out as an array sorted by
-severity and then by the rules' order, without any shuffle. Own rules join in as further entries of the list.
+A rule is a predicate, a severity, a title and a detail; it says what is there and judges nothing. A row's observations come out as an array
+sorted by severity and then by the rules' order, without any shuffle. Own rules join in as further entries of the list. Titles and details
+are templates: {name} stands for a column of the report, or for one of FIGURES, as text.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auricle.functions import texts
 from auricle.functions.measures import finite
 
 RANK = {"attention": 0, "notice": 1, "info": 2}
 # Sample rates and bit depths in common use.
 STANDARD_RATES = [8000, 11025, 16000, 22050, 32000, 44100, 48000, 64000, 88200, 96000, 176400, 192000, 352800, 384000]
 STANDARD_DEPTHS = [8, 16, 20, 24, 32, 64]
+# Samples of a run, decibels near and far below full scale, seconds of a short file, share of an offset, seconds of drift.
 RUN, NEAR, VERY_LOW, SHORT, OFFSET, DRIFT = 3, -0.1, -40.0, 1.0, 0.001, 0.005
 
 c = F.col
@@ -25,13 +29,15 @@ c = F.col
 
 @dataclass(frozen=True)
 class Rule:
-    """when: its predicate; severity: a name or a Column; each: if given, an array whose elements are an observation each."""
+    """when: its predicate; severity: a name or a Column; each: if given, an array whose elements are an observation each and its {each}."""
 
     id: str
     severity: str | Column
     when: Callable[[], Column]
     each: Callable[[], Column] | None = None
     name: Callable[[], Column] | None = None
+    title: str = ""
+    detail: str = ""
 
 
 def _levels() -> Column:
@@ -39,42 +45,82 @@ def _levels() -> Column:
 
 
 def _some_silent() -> Column:
-    q = c("channel_silence")
-    return _levels() & F.exists(q, lambda s: F.coalesce(s, F.lit(False))) & ~F.coalesce(c("digital_silence"), F.lit(False))
+    return _heard() & F.exists("channel_silence", lambda s: F.coalesce(s, F.lit(False)))
+
+
+def _heard() -> Column:
+    """Levels are established and not those of silence."""
+    return _levels() & ~F.coalesce(c("digital_silence"), F.lit(False))
+
+
+def _known(*names: str) -> Column:
+    """None of the columns is NULL or zero."""
+    out = F.lit(True)
+    for name in names:
+        out = out & F.coalesce(c(name) != 0, F.lit(False))
+    return out
+
+
+#: What templates may name besides columns: figures made from them.
+FIGURES: dict[str, Callable[[], Column]] = {
+    "nearest": lambda: nearest_rate(c("sample_rate")),
+    "expected_rate": lambda: c("sample_rate") * c("block_align"),
+    "size_gap": lambda: F.abs(c("declared_size") - c("actual_size")),
+    "peak_text": lambda: texts.signed_db(c("peak_dbfs"), 2),
+    "true_peak_text": lambda: texts.signed_db(c("true_peak"), 2),
+    "seconds_text": lambda: F.format_string("%.3f", c("seconds")),
+    "silent_channels": lambda: F.size(F.filter("channel_silence", lambda s: F.coalesce(s, F.lit(False)))),
+    "all_channels": lambda: F.size("channel_silence"),
+    "offsets": lambda: F.array_join(F.filter(F.transform("dc_offsets", lambda d, i: F.when(F.abs(d) > OFFSET, F.concat(F.lit("channel "), (i + 1).cast("string"), F.lit(": "), F.format_string("%.3f", d * 100), F.lit(" %")))), lambda x: x.isNotNull()), "; "),
+    "drift_text": lambda: F.when(F.abs(c("seconds") - c("decoded_seconds")) > DRIFT, F.concat(F.lit(" The decoded audio differs from the stated length by "), F.format_string("%.3f", F.abs(c("seconds") - c("decoded_seconds"))), F.lit(" seconds."))).otherwise(""),
+}
 
 
 RULES = [
-    Rule("parse-failed", "attention", lambda: c("status") == "failed"),
-    Rule("parse-partial", "attention", lambda: c("status") == "partial"),
-    Rule("parse-warnings", "notice", lambda: F.size("warnings") > 0, each=lambda: c("warnings")),
-    Rule("data-truncated", "attention", lambda: c("shortfall") > 0),
-    Rule("container-size-mismatch", "notice", lambda: (c("size_matches") == F.lit(False)) & c("declared_size").isNotNull()),
-    Rule("sample-rate-nonstandard", "notice", lambda: ~c("sample_rate").isin(*STANDARD_RATES)),
-    Rule("bit-depth-nonstandard", "notice", lambda: ~c("bit_depth").isin(*STANDARD_DEPTHS)),
-    Rule("valid-bits-differ", "info", lambda: c("valid_bits") != c("bit_depth")),
-    Rule("channel-count-unusual", "notice", lambda: (c("channels") > 2) & ~c("channels").isin(4, 6, 8)),
-    Rule("channel-mask-disagrees", "notice", lambda: c("mask_channels") != c("channels")),
-    Rule("channel-mask-undefined-bits", "info", lambda: c("undefined_bits")),
-    Rule("byte-rate-inconsistent", "notice", lambda: c("codec_family").startswith("pcm") & (c("byte_rate") != c("sample_rate") * c("block_align"))),
-    Rule("duration-very-short", "notice", lambda: c("seconds") < SHORT, name=lambda: F.when(c("seconds") == 0, "duration-zero").otherwise("duration-very-short")),
-    Rule("duration-inexact", "info", lambda: (c("exact") == F.lit(False)) & c("seconds").isNotNull()),
-    Rule("samples-not-finite", "attention", lambda: c("non_finite") > 0),
-    Rule("digital-silence", "attention", lambda: _levels() & c("digital_silence")),
-    Rule("channel-silence", "attention", _some_silent),
-    Rule("full-scale-run", "attention", lambda: (c("longest_run") >= RUN) & ~((c("source") == "decoded") & (c("peak") > 1))),
-    Rule("true-peak-over", "attention", lambda: finite(c("true_peak")) > 0),
-    Rule("peak-at-ceiling", "notice", lambda: _levels() & (c("longest_run") < RUN) & (c("peak_dbfs") >= NEAR)),
-    Rule("float-above-full-scale", "notice", lambda: (c("codec_family") == "pcm-float") & (c("peak") > 1)),
-    Rule("level-very-low", "info", lambda: _levels() & (c("peak_dbfs") < VERY_LOW) & ~F.coalesce(c("digital_silence"), F.lit(False))),
-    Rule("dc-offset", "notice", lambda: F.exists("dc_offsets", lambda d: F.abs(d) > OFFSET)),
-    Rule("decoded-above-full-scale", "attention", lambda: (c("source") == "decoded") & ~c("lossless") & (c("peak") > 1)),
-    Rule("decoded-measurement-note", "info", lambda: c("source") == "decoded", name=lambda: F.when(F.abs(c("seconds") - c("decoded_seconds")) > DRIFT, "decoded-length-differs").otherwise("decoded-measurement-note")),
-    Rule("partial-scan", "info", lambda: c("measured") & ~c("complete")),
-    Rule("provenance-manifest", "info", lambda: c("manifest")),
-    Rule("possible-ai-generated", "notice", lambda: c("origin_flag") != "none"),
-    Rule("ai-assisted-processing", "info", lambda: F.size("tools") > 0, each=lambda: F.array_distinct("tools")),
-    Rule("not-measured", "info", lambda: ~c("measured")),
+    Rule("parse-failed", "attention", lambda: c("status") == "failed", title="The file could not be read", detail="Sample rate, channels or coding could not be established."),
+    Rule("parse-partial", "attention", lambda: c("status") == "partial", title="The file could be read in part", detail="Some of it could not be interpreted, so figures may be missing."),
+    Rule("parse-warnings", "notice", lambda: F.size("warnings") > 0, each=lambda: c("warnings"), title="Note on the file's structure", detail="{each}"),
+    Rule("data-truncated", "attention", lambda: c("shortfall") > 0, title="Audio data are shorter than stated", detail="{shortfall} bytes of the stated audio data are missing. Lengths describe what is there."),
+    Rule("container-size-mismatch", "notice", lambda: (c("size_matches") == F.lit(False)) & c("declared_size").isNotNull(), title="Stated size and file size differ", detail="The header states {declared_size} bytes, which is {size_gap} off."),
+    Rule("sample-rate-nonstandard", "notice", lambda: _known("sample_rate") & ~c("sample_rate").isin(*STANDARD_RATES), title="Sample rate {sample_rate} Hz", detail="{sample_rate} Hz is no rate in common use; the nearest is {nearest} Hz."),
+    Rule("bit-depth-nonstandard", "notice", lambda: _known("bit_depth") & ~c("bit_depth").isin(*STANDARD_DEPTHS), title="Bit depth {bit_depth}", detail="{bit_depth} bits a sample are an uncommon width."),
+    Rule("valid-bits-differ", "info", lambda: _known("valid_bits", "bit_depth") & (c("valid_bits") != c("bit_depth")), title="{valid_bits} bits of audio in {bit_depth}", detail="Samples have {bit_depth} bits, of which {valid_bits} are stated to be audio."),
+    Rule("channel-count-unusual", "notice", lambda: (c("channels") > 2) & ~c("channels").isin(4, 6, 8), title="{channels} channels", detail="{channels} channels are none of the common layouts."),
+    Rule("channel-mask-disagrees", "notice", lambda: _known("mask_channels", "channels") & (c("mask_channels") != c("channels")), title="Channels and speaker mask differ", detail="There are {channels} channels, but the speaker mask names {mask_channels}."),
+    Rule("channel-mask-undefined-bits", "info", lambda: c("undefined_bits"), title="Speaker mask with undefined positions", detail="The mask sets bits that stand for no speaker."),
+    Rule("byte-rate-inconsistent", "notice", lambda: c("codec_family").isin("pcm-int", "pcm-float") & _known("byte_rate", "sample_rate", "block_align") & (c("byte_rate") != c("sample_rate") * c("block_align")), title="Header figures disagree", detail="{byte_rate} bytes a second are stated; rate and block size give {expected_rate}."),
+    Rule("duration-very-short", "notice", lambda: c("seconds") < SHORT, name=lambda: F.when(c("seconds") == 0, "duration-zero").otherwise("duration-very-short"), title="{seconds_text} seconds long", detail="The file holds {seconds_text} seconds of audio."),
+    Rule("duration-inexact", "info", lambda: (c("exact") == F.lit(False)) & c("seconds").isNotNull(), title="Length is approximate", detail="The audio data are not whole frames, or part of them is missing."),
+    Rule("samples-not-finite", "attention", lambda: c("measured") & (c("non_finite") > 0), title="{non_finite} samples are no numbers", detail="{non_finite} samples are not finite; levels describe the others."),
+    Rule("digital-silence", "attention", lambda: _levels() & c("digital_silence"), title="The file is silent", detail="Every sample that was measured is zero."),
+    Rule("channel-silence", "attention", _some_silent, title="{silent_channels} of {all_channels} channels silent", detail="{silent_channels} of {all_channels} channels hold zeros alone."),
+    Rule("full-scale-run", "attention", lambda: _heard() & (c("longest_run") >= RUN) & ~((c("source") == "decoded") & (c("peak") > 1)), title="Flat peaks at full scale", detail="Up to {longest_run} samples in a row stand at full scale."),
+    Rule("true-peak-over", "attention", lambda: finite(c("true_peak")) > 0, title="Peak of {true_peak_text} dBTP between samples", detail="The curve through the samples reaches {true_peak_text} dBTP; the samples reach {peak_text} dBFS."),
+    Rule("peak-at-ceiling", "notice", lambda: _heard() & (c("longest_run") < RUN) & (c("peak_dbfs") >= NEAR), title="Peak at {peak_text} dBFS", detail="The loudest sample stands at {peak_text} dBFS, without a long run there."),
+    Rule("float-above-full-scale", "notice", lambda: _levels() & (c("codec_family") == "pcm-float") & (c("peak") > 1), title="Peak of {peak_text} dBFS, above full scale", detail="A floating point file can hold such samples; whole numbers cannot."),
+    Rule("level-very-low", "info", lambda: _heard() & (c("peak_dbfs") < VERY_LOW), title="Low peak of {peak_text} dBFS", detail="The loudest sample stands at {peak_text} dBFS, far below full scale."),
+    Rule("dc-offset", "notice", lambda: _heard() & F.exists("dc_offsets", lambda d: F.abs(d) > OFFSET), title="Offset from zero", detail="{offsets} of full scale."),
+    Rule("decoded-above-full-scale", "attention", lambda: _levels() & (c("source") == "decoded") & ~c("lossless") & (c("peak") > 1), title="Decoded peak of {peak_text} dBFS, above full scale", detail="Decoded, the file goes to {peak_text} dBFS, which a lossy coding does not show in its header."),
+    Rule("decoded-measurement-note", "info", lambda: c("measured") & (c("source") == "decoded"), name=lambda: F.when(F.abs(c("seconds") - c("decoded_seconds")) > DRIFT, "decoded-length-differs").otherwise("decoded-measurement-note"), title="Levels of the decoded audio", detail="Levels describe what a decoder makes of the file.{drift_text}"),
+    Rule("partial-scan", "info", lambda: c("measured") & ~c("complete"), title="Levels of a part of the file", detail="Levels come from sections spread over the file; peaks between them are not seen."),
+    Rule("provenance-manifest", "info", lambda: c("manifest"), title="The file has Content Credentials", detail="A signed manifest is embedded. Its signature is not checked here."),
+    Rule("possible-ai-generated", "notice", lambda: c("origin_flag") != "none", title="Origin: {origin_flag}", detail="Metadata give reason to think that the audio was generated."),
+    Rule("ai-assisted-processing", "info", lambda: F.size("tools") > 0, each=lambda: F.array_distinct("tools"), title="Metadata name {each}", detail="{each} processes audio that exists; it is not said to have made it."),
+    Rule("not-measured", "info", lambda: ~c("measured"), title="Levels were not measured", detail="No samples could be read."),
 ]
+_PLACES = re.compile(r"\{(\w+)\}")
+
+
+def filled(template: str, each: Column) -> Column:
+    """A template with its places filled; what is unknown there is a dash."""
+    parts = []
+    for i, part in enumerate(_PLACES.split(template)):
+        if i % 2 == 0:
+            parts.append(F.lit(part))
+        else:
+            value = each if part == "each" else FIGURES[part]() if part in FIGURES else c(part)
+            parts.append(F.coalesce(value.cast("string"), F.lit(texts.UNKNOWN)))
+    return F.concat(*parts)
 
 
 def _severity(rule: Rule) -> Column:
@@ -86,10 +132,10 @@ def _severity(rule: Rule) -> Column:
 def _entries(rule: Rule, number: int) -> Column:
     """The rule's observations: none, one, or one for each element."""
 
-    def one(detail: Column, nth: Column) -> Column:
+    def one(each: Column, nth: Column) -> Column:
         severity = _severity(rule)
         rank = F.when(severity == "attention", 0).when(severity == "notice", 1).otherwise(2)
-        return F.struct(rank.alias("rank"), F.lit(number).alias("rule_ord"), nth.alias("nth"), F.lit(rule.id).alias("rule_id"), (rule.name() if rule.name else F.lit(rule.id)).alias("obs_id"), severity.alias("severity"), detail.alias("detail"))
+        return F.struct(rank.alias("rank"), F.lit(number).alias("rule_ord"), nth.alias("nth"), F.lit(rule.id).alias("rule_id"), (rule.name() if rule.name else F.lit(rule.id)).alias("obs_id"), severity.alias("severity"), filled(rule.title, each).alias("title"), filled(rule.detail, each).alias("detail"))
 
     nothing = F.lit(None).cast("string")
     found = F.transform(rule.each(), lambda d, i: one(d.cast("string"), i)) if rule.each else F.array(one(nothing, F.lit(0)))

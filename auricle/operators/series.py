@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,35 +47,92 @@ def local_maxima(df: DataFrame, keys: list[str], order: str, value: str) -> Data
     return near.withColumn("shift", F.when(F.abs(shift) <= 1, shift).otherwise(0.0)).drop("before", "after")
 
 
-def autocorrelation(values: Column, lag: int) -> Column:
+def centred(values: Column) -> Column:
+    """An array less its mean."""
+    mean = F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)
+    return F.transform(values, lambda x: x - mean)
+
+
+def autocorrelation(values: Column, lag: Column | int) -> Column:
     """Mean product of an array's values `lag` apart, over its mean square."""
     n = F.size(values)
+    lag = lag if isinstance(lag, Column) else F.lit(lag)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     ahead, behind = F.slice(values, lag + 1, F.greatest(n - lag, F.lit(0))), F.slice(values, 1, F.greatest(n - lag, F.lit(0)))
     zero = dot(values, values) / n
     return F.when((n > lag) & (zero > 0), dot(ahead, behind) / (n - lag) / zero)
 
 
-def magnitudes(values: Column, size: int, bins: int) -> Column:
-    """Magnitudes of the first bins of the Hann-windowed discrete Fourier transform of `size` samples, as an array."""
-    hann = [0.5 - 0.5 * math.cos(2 * math.pi * i / (size - 1)) for i in range(size)]
+def _rows(values: pa.Array, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A batch of arrays as the rows of a matrix, short ones filled with zeros, and their lengths; NULL is an empty one."""
+    length = np.nan_to_num(np.array(pc.list_value_length(values).to_numpy(zero_copy_only=False), float)).astype(int)
+    width = size or max(1, int(length.max(initial=0)))
+    out = np.zeros((len(length), width))
+    inside = np.arange(width) < length[:, None]
+    if size:
+        kept = np.concatenate([np.arange(min(n, size)) + at for n, at in zip(length, np.cumsum(length) - length)] or [np.zeros(0, int)]).astype(int)
+        out[inside] = values.flatten().to_numpy(zero_copy_only=False)[kept]
+    else:
+        out[inside] = values.flatten().to_numpy(zero_copy_only=False)
+    return out, length
+
+
+def _arrays(rows: np.ndarray, length: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows[np.arange(rows.shape[1]) < length[:, None]]))
+
+
+def magnitudes(values: Column, size: int) -> Column:
+    """Magnitudes of all size // 2 + 1 bins of the Hann-windowed Fourier transform of an array's first `size` samples (zeros beyond its end)."""
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / (size - 1))
+
+    @F.arrow_udf("array<double>")
+    def run(v: pa.Array) -> pa.Array:
+        rows, length = _rows(v, size)
+        return _arrays(np.abs(np.fft.rfft(rows * hann, axis=1)), np.full(len(length), size // 2 + 1))
+
+    return run(values)
+
+
+def biquad(values: Column, *stages: tuple[float, float, float, float, float]) -> Column:
+    """Direct form I filters (b0, b1, b2, a1, a2) over an array, one after the other; all arrays of a batch take each step together."""
+
+    @F.arrow_udf("array<double>")
+    def run(v: pa.Array) -> pa.Array:
+        x, length = _rows(v)
+        for b0, b1, b2, a1, a2 in stages:
+            y = np.zeros_like(x)
+            for i in range(x.shape[1]):
+                y[:, i] = b0 * x[:, i]
+                if i > 0:
+                    y[:, i] += b1 * x[:, i - 1] - a1 * y[:, i - 1]
+                if i > 1:
+                    y[:, i] += b2 * x[:, i - 2] - a2 * y[:, i - 2]
+            x = y
+        return _arrays(x, length)
+
+    return run(values)
+
 
-    def part(k: int, f) -> Column:
-        table = F.array(*(F.lit(hann[i] * f(2 * math.pi * k * i / size)) for i in range(size)))
-        return F.aggregate(F.zip_with(values, table, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def order_statistics(df: DataFrame, keys: list[str], value: str, **places: Callable[[Column], Column]) -> DataFrame:
+    """n and, for each name, the value at a place (from 1, a function of n) of each group's sorted values; NULLs do not count.
 
-    return F.array(*(F.sqrt(F.pow(part(k, math.cos), 2) + F.pow(part(k, math.sin), 2)) for k in range(bins)))
+    Equal values are counted before anything is sorted, and no group is gathered."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__times"))
+    w = Window.partitionBy(*keys)
+    upto = F.sum("__times").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = counts.withColumns({"__upto": upto, "__n": F.sum("__times").over(w)})
+    return placed.groupBy(*keys).agg(F.first("__n").alias("n"), *(F.min(F.when(F.col("__upto") >= at(F.col("__n")), F.col(value))).alias(name) for name, at in places.items()))
 
 
-def biquad(values: Column, b0: float, b1: float, b2: float, a1: float, a2: float) -> Column:
-    """Direct form I filter over an array, one pass in the JVM: the state carries the last two inputs and outputs."""
-    state = F.struct(*(F.lit(0.0).alias(n) for n in ("x1", "x2", "y1", "y2")), F.array().cast("array<double>").alias("out"))
+def upper_middle(n: Column) -> Column:
+    """The place of the upper median."""
+    return F.floor(n / 2) + 1
 
-    def step(s: Column, x: Column) -> Column:
-        y = b0 * x + b1 * s["x1"] + b2 * s["x2"] - a1 * s["y1"] - a2 * s["y2"]
-        return F.struct(x.alias("x1"), s["x1"].alias("x2"), y.alias("y1"), s["y1"].alias("y2"), F.array_append(s["out"], y).alias("out"))
 
-    return F.aggregate(values, state, step)["out"]
+def nearest_place(p: float) -> Callable[[Column], Column]:
+    """The place of a percentile by the nearest rank."""
+    return lambda n: F.floor((n - 1) * p + 0.5) + 1
 
 
 def k_weighting(rate: float) -> tuple[tuple[float, ...], tuple[float, ...]]:

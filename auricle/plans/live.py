@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from auricle.functions import shared
 from auricle.plans import streams
 from auricle.streaming import collectors
 
 
-def shared_folder(spark) -> str:
-    """A new folder below the one that the cluster shares; a temporary one where it names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{named}/live-{uuid.uuid4().hex}"
-
-
 def streamed_levels(spark, sf_dir):
     """Levels of each stream, collected by a stateful stream."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     samples = events.select(F.col("user_id").alias("stream"), "ts", (F.col("value") / streams.SCALE - 1).alias("x"))
-    folder = shared_folder(spark)
+    folder = shared.folder(spark, "live")
     collectors.collect_to(collectors.levels(samples), f"{folder}/levels", f"{folder}/state")
     rows = spark.read.schema(f"{collectors.LEVELS}, batch int").parquet(f"{folder}/levels")
     last = rows.groupBy("stream").agg(F.max_by(F.struct("frames", "non_finite", "peak", "rms", "reason"), "batch").alias("r")).select("stream", "r.*")

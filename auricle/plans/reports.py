@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from auricle.functions.measures import decibels
@@ -40,6 +39,7 @@ def reports(spark, sf_dir):
         F.when(k % 6 > 0, k % 31 - 29).alias("shortfall"),
         F.when(k % 6 > 0, k % 7 > 0).alias("size_matches"),
         F.when(k % 5 > 0, k * 10).alias("declared_size"),
+        (k * 10 - k % 3).alias("actual_size"),
         (k % 37 == 0).cast("long").alias("errors"),
         F.array_repeat(F.lit("odd chunk"), (k % 41 == 0).cast("int") * 2).alias("warnings"),
         (k % 9 > 0).alias("measured"),
@@ -64,7 +64,7 @@ def reports(spark, sf_dir):
 R_SQL = """r AS (SELECT k AS report_id, CASE WHEN k % 17 > 0 THEN ([44100, 48000, 47952, 96000, 12345])[k % 5 + 1]::BIGINT END AS sample_rate, CASE WHEN k % 19 > 0 THEN 'pcm' END AS codec,
   CASE k % 3 WHEN 0 THEN 'pcm-float' WHEN 1 THEN 'pcm-int' ELSE 'compressed' END AS codec_family, ([8, 16, 24, 12])[s % 4 + 1]::BIGINT AS bit_depth, ([8, 16, 24, 12])[s % 4 + 1]::BIGINT - (k % 11 = 0)::BIGINT AS valid_bits,
   1 + s % 7 AS channels, CASE WHEN k % 2 = 0 THEN bit_count(s)::BIGINT END AS mask_channels, s > 40 AS undefined_bits, k * 100 AS byte_rate, s % 7 AS block_align, CASE WHEN k % 23 > 0 THEN (k % 50) / 10.0::DOUBLE END AS seconds,
-  k % 4 > 0 AS exact, k % 29 = 0 AS truncated, CASE WHEN k % 6 > 0 THEN k % 31 - 29 END AS shortfall, CASE WHEN k % 6 > 0 THEN k % 7 > 0 END AS size_matches, CASE WHEN k % 5 > 0 THEN k * 10 END AS declared_size,
+  k % 4 > 0 AS exact, k % 29 = 0 AS truncated, CASE WHEN k % 6 > 0 THEN k % 31 - 29 END AS shortfall, CASE WHEN k % 6 > 0 THEN k % 7 > 0 END AS size_matches, CASE WHEN k % 5 > 0 THEN k * 10 END AS declared_size, k * 10 - k % 3 AS actual_size,
   (k % 37 = 0)::BIGINT AS errors, CASE WHEN k % 41 = 0 THEN 2 ELSE 0 END AS warnings, k % 9 > 0 AS measured, k % 8 > 0 AS complete, CASE WHEN k % 43 = 0 THEN 5 ELSE 0 END AS non_finite,
   CASE WHEN k % 13 > 0 THEN (k % 240) / 200.0::DOUBLE END AS peak, k % 240 = 0 AS silent, k % 10 > 0 AND k % 15 = 0 AS silent2, CASE WHEN k % 13 > 0 THEN k % 5 END AS longest_run, (k % 100) / 50000.0::DOUBLE AS dc,
   k % 3 = 2 AS decoded, (k % 50) / 10.0::DOUBLE + CASE WHEN k % 7 = 0 THEN 0.01::DOUBLE ELSE 0 END AS decoded_seconds, k % 47 = 0 AS manifest, CASE WHEN k % 53 = 0 THEN 'declared' WHEN k % 59 = 0 THEN 'possible' ELSE 'none' END AS origin_flag, k % 61 = 0 AS tools
@@ -73,27 +73,47 @@ q AS (SELECT *, CASE WHEN peak > 0 THEN 20 * log10(peak) WHEN peak = 0 THEN '-in
   CASE WHEN sample_rate IS NULL OR channels IS NULL OR codec IS NULL THEN 'failed' WHEN coalesce(errors > 0 OR seconds IS NULL OR truncated OR shortfall > 0, false) THEN 'partial' ELSE 'ok' END AS status FROM r)"""
 
 #: (rule, severity, predicate, observations per row, name)
+_KNOWN = "coalesce({0} <> 0, false)"
+_HEARD = "measured AND db IS NOT NULL AND NOT digital_silence"
 _RULES_SQL = [
     ("parse-failed", "attention", "status = 'failed'"), ("parse-partial", "attention", "status = 'partial'"), ("parse-warnings", "notice", "warnings > 0"),
     ("data-truncated", "attention", "shortfall > 0"), ("container-size-mismatch", "notice", "NOT size_matches AND declared_size IS NOT NULL"),
-    ("sample-rate-nonstandard", "notice", f"sample_rate NOT IN {tuple(rules.STANDARD_RATES)}"), ("bit-depth-nonstandard", "notice", f"bit_depth NOT IN {tuple(rules.STANDARD_DEPTHS)}"),
-    ("valid-bits-differ", "info", "valid_bits <> bit_depth"), ("channel-count-unusual", "notice", "channels > 2 AND channels NOT IN (4, 6, 8)"), ("channel-mask-disagrees", "notice", "mask_channels <> channels"),
-    ("channel-mask-undefined-bits", "info", "undefined_bits"), ("byte-rate-inconsistent", "notice", "codec_family LIKE 'pcm%' AND byte_rate <> sample_rate * block_align"), ("duration-very-short", "notice", "seconds < 1"),
-    ("duration-inexact", "info", "NOT exact AND seconds IS NOT NULL"), ("samples-not-finite", "attention", "non_finite > 0"), ("digital-silence", "attention", "measured AND db IS NOT NULL AND digital_silence"),
-    ("channel-silence", "attention", "measured AND db IS NOT NULL AND (silent OR silent2) AND NOT digital_silence"), ("full-scale-run", "attention", "longest_run >= 3 AND NOT (decoded AND peak > 1)"),
-    ("true-peak-over", "attention", "db > '-inf'::DOUBLE AND db + 0.3 > 0"), ("peak-at-ceiling", "notice", "measured AND longest_run < 3 AND db >= -0.1"), ("float-above-full-scale", "notice", "codec_family = 'pcm-float' AND peak > 1"),
-    ("level-very-low", "info", "measured AND db < -40 AND NOT digital_silence"), ("dc-offset", "notice", "dc > 0.001"), ("decoded-above-full-scale", "attention", "decoded AND peak > 1"), ("decoded-measurement-note", "info", "decoded"),
+    ("sample-rate-nonstandard", "notice", f"sample_rate <> 0 AND sample_rate NOT IN {tuple(rules.STANDARD_RATES)}"), ("bit-depth-nonstandard", "notice", f"bit_depth <> 0 AND bit_depth NOT IN {tuple(rules.STANDARD_DEPTHS)}"),
+    ("valid-bits-differ", "info", "valid_bits <> 0 AND bit_depth <> 0 AND valid_bits <> bit_depth"), ("channel-count-unusual", "notice", "channels > 2 AND channels NOT IN (4, 6, 8)"), ("channel-mask-disagrees", "notice", "mask_channels <> 0 AND channels <> 0 AND mask_channels <> channels"),
+    ("channel-mask-undefined-bits", "info", "undefined_bits"), ("byte-rate-inconsistent", "notice", "codec_family IN ('pcm-int', 'pcm-float') AND byte_rate <> 0 AND sample_rate <> 0 AND block_align <> 0 AND byte_rate <> sample_rate * block_align"), ("duration-very-short", "notice", "seconds < 1"),
+    ("duration-inexact", "info", "NOT exact AND seconds IS NOT NULL"), ("samples-not-finite", "attention", "measured AND non_finite > 0"), ("digital-silence", "attention", "measured AND db IS NOT NULL AND digital_silence"),
+    ("channel-silence", "attention", f"{_HEARD} AND (silent OR silent2)"), ("full-scale-run", "attention", f"{_HEARD} AND longest_run >= 3 AND NOT (decoded AND peak > 1)"),
+    ("true-peak-over", "attention", "db > '-inf'::DOUBLE AND db + 0.3 > 0"), ("peak-at-ceiling", "notice", f"{_HEARD} AND longest_run < 3 AND db >= -0.1"), ("float-above-full-scale", "notice", "measured AND db IS NOT NULL AND codec_family = 'pcm-float' AND peak > 1"),
+    ("level-very-low", "info", f"{_HEARD} AND db < -40"), ("dc-offset", "notice", f"{_HEARD} AND dc > 0.001"), ("decoded-above-full-scale", "attention", "measured AND db IS NOT NULL AND decoded AND peak > 1"), ("decoded-measurement-note", "info", "measured AND decoded"),
     ("partial-scan", "info", "measured AND NOT complete"), ("provenance-manifest", "info", "manifest"), ("possible-ai-generated", "CASE", "origin_flag <> 'none'"), ("ai-assisted-processing", "info", "tools"), ("not-measured", "info", "NOT measured"),
 ]
+_DB_TEXT = "CASE WHEN {0} IS NULL THEN '—' WHEN {0} = '-inf'::DOUBLE THEN '-∞' WHEN {0} > 0 THEN printf('+%.2f', {0}) ELSE printf('%.2f', {0}) END"
+_NEAREST = "arg_min(x, (abs(sample_rate - x), list_position(" + str(rules.STANDARD_RATES) + ", x)))"
+#: What the templates of titles and details name besides columns.
+_FIGURES_SQL = {
+    "nearest": f"(SELECT {_NEAREST} FROM (SELECT unnest({rules.STANDARD_RATES}) AS x))", "expected_rate": "sample_rate * block_align", "size_gap": "abs(declared_size - actual_size)",
+    "peak_text": _DB_TEXT.format("db"), "true_peak_text": _DB_TEXT.format("(db + 0.3)"), "seconds_text": "printf('%.3f', seconds)", "silent_channels": "silent::INT + silent2::INT", "all_channels": "2",
+    "offsets": "'channel 1: ' || printf('%.3f', dc * 100) || ' %'", "drift_text": f"CASE WHEN abs(seconds - decoded_seconds) > {rules.DRIFT} THEN ' The decoded audio differs from the stated length by ' || printf('%.3f', abs(seconds - decoded_seconds)) || ' seconds.' ELSE '' END",
+}
 
 
-def _o_sql() -> str:
+def _filled_sql(template: str, each: str) -> str:
     parts = []
+    for i, part in enumerate(template.replace("}", "{").split("{")):
+        value = each if part == "each" else _FIGURES_SQL.get(part, part)
+        parts.append(f"coalesce(({value})::VARCHAR, '—')" if i % 2 else "'" + part.replace("'", "''") + "'")
+    return " || ".join(parts)
+
+
+def _o_sql() -> str:
+    parts, texts_of = [], {r.id: (r.title, r.detail) for r in rules.RULES}
     for i, (name, severity, when) in enumerate(_RULES_SQL):
         sev = "CASE WHEN origin_flag = 'declared' THEN 'attention' ELSE 'notice' END" if severity == "CASE" else f"'{severity}'"
         obs = {"duration-very-short": "CASE WHEN seconds = 0 THEN 'duration-zero' ELSE 'duration-very-short' END", "decoded-measurement-note": f"CASE WHEN abs(seconds - decoded_seconds) > {rules.DRIFT} THEN 'decoded-length-differs' ELSE 'decoded-measurement-note' END"}.get(name, f"'{name}'")
-        each = ", unnest(range(2)) AS nth" if name in ("parse-warnings", "ai-assisted-processing") else ", 0::BIGINT AS nth"
-        parts.append(f"SELECT report_id, {i} AS rule_ord{each}, '{name}' AS rule_id, {obs} AS obs_id, {sev} AS severity FROM q WHERE {when}")
+        many = "(SELECT *, unnest(range(2)) AS nth FROM q)" if name in ("parse-warnings", "ai-assisted-processing") else "(SELECT *, 0::BIGINT AS nth FROM q)"
+        each = {"parse-warnings": "'odd chunk'", "ai-assisted-processing": "chr(97 + nth::INT)"}.get(name, "NULL")
+        title, detail = (_filled_sql(t, each) for t in texts_of[name])
+        parts.append(f"SELECT report_id, {i} AS rule_ord, nth, '{name}' AS rule_id, {obs} AS obs_id, {sev} AS severity, {title} AS title, {detail} AS detail FROM {many} WHERE {when}")
     return "o AS (" + " UNION ALL ".join(parts) + ")"
 
 
@@ -107,7 +127,7 @@ def _observed(spark, sf_dir):
 def rules_observations(spark, sf_dir):
     """All 30 rules: every observation with its place in the report."""
     o = _observed(spark, sf_dir).select("report_id", F.posexplode("observations").alias("place", "o"))
-    return o.select("report_id", c("place").cast("long").alias("place"), "o.rule_id", "o.obs_id", "o.severity")
+    return o.select("report_id", c("place").cast("long").alias("place"), "o.rule_id", "o.obs_id", "o.severity", "o.title", "o.detail")
 
 
 def severity_pivot(spark, sf_dir):
@@ -163,10 +183,9 @@ def client_stats(spark, sf_dir):
 
 
 def sorted_clients(spark, sf_dir):
-    """Clients by last activity, those without any last, each region of names kept apart by its last digit."""
-    s = client_stats(spark, sf_dir).withColumn("shelf", c("client_id") % 10)
-    w = Window.partitionBy("shelf").orderBy(F.desc_nulls_last("last_activity"), "client_id")
-    return s.select("shelf", "client_id", "last_activity", F.row_number().over(w).cast("long").alias("pos"))
+    """Clients by last activity, those without any last: one order of all, by ranges."""
+    s = client_stats(spark, sf_dir).select("client_id", "last_activity")
+    return library.ranked(s, [F.desc_nulls_last("last_activity"), F.asc("client_id")])
 
 
 def project_stats(spark, sf_dir):
@@ -244,9 +263,9 @@ COUNT_SQL = f"""n AS (SELECT report_id, count(*) FILTER (severity = 'attention')
 _RATES = "(VALUES " + ", ".join(f"({r}, {i})" for i, r in enumerate(rules.STANDARD_RATES)) + ") t(std, o)"
 
 ORACLE = {
-    "rules_observations": f"WITH {R_SQL}, {_o_sql()} SELECT report_id, row_number() OVER (PARTITION BY report_id ORDER BY {RANK_SQL}, rule_ord, nth) - 1 AS place, rule_id, obs_id, severity FROM o",
+    "rules_observations": f"WITH {R_SQL}, {_o_sql()} SELECT report_id, row_number() OVER (PARTITION BY report_id ORDER BY {RANK_SQL}, rule_ord, nth) - 1 AS place, rule_id, obs_id, severity, title, detail FROM o",
     "severity_pivot": f"WITH {R_SQL}, {_o_sql()}, {COUNT_SQL} SELECT report_id, attention, notice, info, top, findings_rank FROM m",
-    "report_text": f"""WITH {R_SQL}, {_o_sql()}, x AS (SELECT report_id, count(*) AS n, string_agg('  [' || severity || '] ' || obs_id || CASE rule_id WHEN 'parse-warnings' THEN ': odd chunk' WHEN 'ai-assisted-processing' THEN ': ' || chr(97 + nth::INT) ELSE '' END, chr(10) ORDER BY {RANK_SQL}, rule_ord, nth) AS t FROM o GROUP BY 1),
+    "report_text": f"""WITH {R_SQL}, {_o_sql()}, x AS (SELECT report_id, count(*) AS n, string_agg('  [' || severity || '] ' || title || chr(10) || '      ' || detail, chr(10) ORDER BY {RANK_SQL}, rule_ord, nth) AS t FROM o GROUP BY 1),
       y AS (SELECT *, floor(seconds * 1000 + 0.5)::BIGINT AS ms FROM q LEFT JOIN x USING (report_id))
       SELECT report_id, concat_ws(chr(10), 'REPORT ' || report_id || ' - ' || status, '  Sample rate     ' || coalesce(sample_rate::VARCHAR, '—'), '  Channels        ' || coalesce(channels::VARCHAR, '—'),
         '  Length          ' || coalesce(printf('%d:%02d.%03d', ms // 60000, ms // 1000 % 60, ms % 1000), '—'), '  Peak            ' || CASE WHEN NOT measured THEN '—' WHEN db IS NULL THEN '— dBFS' WHEN db = '-inf'::DOUBLE THEN '-∞ dBFS' WHEN db > 0 THEN printf('+%.2f dBFS', db) ELSE printf('%.2f dBFS', db) END,
@@ -259,7 +278,7 @@ ORACLE = {
     "nearest_standard_rate": f"""WITH p AS (SELECT p_partkey, p_size::BIGINT * 7919 % 100000 AS rate FROM part), n AS (SELECT p_partkey, rate, arg_min(std, (abs(rate - std), o))::BIGINT AS nearest FROM p, {_RATES} GROUP BY ALL)
       SELECT *, round((rate - nearest) / nearest * 100, 4) AS percent FROM n""",
     "client_stats": f"WITH {ST_SQL} SELECT * FROM st",
-    "sorted_clients": f"WITH {ST_SQL} SELECT client_id % 10 AS shelf, client_id, last_activity, row_number() OVER (PARTITION BY client_id % 10 ORDER BY last_activity DESC NULLS LAST, client_id) AS pos FROM st",
+    "sorted_clients": f"WITH {ST_SQL} SELECT client_id, last_activity, row_number() OVER (ORDER BY last_activity DESC NULLS LAST, client_id) AS pos FROM st",
     "project_stats": f"WITH {E_SQL} SELECT project_id, count(*) AS checks, max(ts) AS last_activity, arg_max(ts, entry_id) AS last_checked, round(avg(measure), 4) AS mean_measure FROM e GROUP BY 1",
     "library_stats": f"WITH {E_SQL} SELECT client_id, project, count(*) AS checks, max(ts) AS last_activity, grouping_id(client_id, project) AS level FROM e GROUP BY ROLLUP (client_id, project)",
     "history_flatten": f"WITH {E_SQL} SELECT client_id, c_name AS name, project, entry_id, ts AS \"timestamp\", status, round(measure, 2) AS measure FROM e JOIN customer ON c_custkey = client_id",

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from auricle.operators import harmony, series
 
-SIZE, BINS, RATE = 64, 16, 4186.0
-LAGS = [1, 2, 3, 4, 5, 6, 8, 10, 12]
+SIZE, RATE = 64, 4186.0
+BINS = SIZE // 2 + 1
+#: Lags of pulses, in samples; the prior's centre; frames of a section's ending. Notes lie within LOW to HIGH.
+MIN_LAG, MAX_LAG, CENTRE, ENDING = 2, SIZE - 2, 4.0, 8
+LOW, HIGH = 65.0, 2100.0
 
 
 def frames(spark, sf_dir):
@@ -19,7 +22,7 @@ def frames(spark, sf_dir):
 
 
 def bins(spark, sf_dir):
-    m = frames(spark, sf_dir).select("vec_id", "label", series.magnitudes(F.col("v"), SIZE, BINS).alias("m"))
+    m = frames(spark, sf_dir).select("vec_id", "label", series.magnitudes(F.col("v"), SIZE).alias("m"))
     return m.select("vec_id", "label", F.posexplode("m").alias("k", "magnitude")).withColumn("k", F.col("k").cast("long"))
 
 
@@ -36,15 +39,17 @@ def spectral_flux(spark, sf_dir):
 
 
 def autocorrelation(spark, sf_dir):
-    out = frames(spark, sf_dir).select("vec_id", F.explode(F.array(*(F.struct(F.lit(lag).cast("long").alias("lag"), series.autocorrelation(F.col("v"), lag).alias("r")) for lag in LAGS))).alias("x"))
-    return out.select("vec_id", "x.lag", F.round("x.r", 6).alias("r"))
+    """Of each frame less its mean, at every lag that leaves two terms."""
+    f = frames(spark, sf_dir).select("vec_id", series.centred(F.col("v")).alias("v"), F.explode(F.sequence(F.lit(MIN_LAG), F.lit(MAX_LAG))).alias("lag"))
+    return f.select("vec_id", F.col("lag").cast("long").alias("lag"), F.round(series.autocorrelation(F.col("v"), F.col("lag")), 6).alias("r"))
 
 
 def tempo_prior_argmax(spark, sf_dir):
-    """The lag with the best correlation weighted by a bell in octaves around lag 4; the shortest wins ties."""
+    """The lag with the best correlation, with half of that at twice the lag, weighted by a bell in octaves around CENTRE; the shortest wins ties."""
     acf = autocorrelation(spark, sf_dir)
-    weight = F.exp(-0.5 * F.pow(F.log2(F.col("lag") / 4.0) / 0.9, 2))
-    scored = acf.withColumn("score", F.round(F.col("r") * weight, 6))
+    twice = acf.select("vec_id", (F.col("lag") / 2).alias("lag"), F.col("r").alias("harmonic"))
+    weight = F.exp(-0.5 * F.pow(F.log2(F.col("lag") / CENTRE) / 0.9, 2))
+    scored = acf.join(twice, ["vec_id", "lag"], "left").withColumn("score", F.round((F.col("r") + 0.5 * F.coalesce("harmonic", F.lit(0.0))) * weight, 6))
     best = scored.groupBy("vec_id").agg(F.max_by(F.struct("lag", "r", "score"), F.struct("score", -F.col("lag"))).alias("b"))
     return best.select("vec_id", F.col("b.lag").alias("lag"), F.col("b.r").alias("r"), F.col("b.score").alias("score"))
 
@@ -62,8 +67,17 @@ def lowest_strong_peak(spark, sf_dir):
 
 
 def chroma(spark, sf_dir):
-    b = bins(spark, sf_dir).where("k > 0")
-    return b.withColumn("pc", harmony.pitch_class(F.col("k") * (RATE / SIZE)))
+    """Local maxima of the spectrum in the range of notes, by pitch class."""
+    hz = F.col("k") * (RATE / SIZE)
+    b = series.local_maxima(bins(spark, sf_dir), ["vec_id"], "k", "magnitude").where(hz.between(LOW, HIGH))
+    return b.withColumn("pc", harmony.pitch_class(hz))
+
+
+def _ending(spark, sf_dir):
+    """Shares of the last frames of each section."""
+    back = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("vec_id")))
+    last = frames(spark, sf_dir).select("label", "vec_id").withColumn("back", back).where(F.col("back") <= ENDING).select("vec_id")
+    return harmony.shares(chroma(spark, sf_dir).join(last, "vec_id"), ["label"])
 
 
 def chroma_fold(spark, sf_dir):
@@ -88,14 +102,14 @@ def note_collection(spark, sf_dir):
 
 def rank_centres(spark, sf_dir):
     pooled = harmony.shares(chroma(spark, sf_dir), ["label"])
-    out = harmony.centres(pooled, _bass(spark, sf_dir), harmony.collections(pooled, ["label"]), ["label"])
+    out = harmony.centres(pooled, _bass(spark, sf_dir), _ending(spark, sf_dir), harmony.collections(pooled, ["label"]), ["label"])
     return out.select("label", "rank", "mode", "pc", F.round("score", 6).alias("score"), F.round("closeness", 6).alias("closeness"))
 
 
 def key_readings(spark, sf_dir):
     """The first centre of each section, the other centres as close as the ambiguity limit, and the confidence."""
     pooled = harmony.shares(chroma(spark, sf_dir), ["label"])
-    c = harmony.centres(pooled, _bass(spark, sf_dir), harmony.collections(pooled, ["label"]), ["label"])
+    c = harmony.centres(pooled, _bass(spark, sf_dir), _ending(spark, sf_dir), harmony.collections(pooled, ["label"]), ["label"])
     out = c.groupBy("label").agg(F.max_by("mode", -F.col("rank")).alias("mode"), F.max_by("pc", -F.col("rank")).alias("pc"), F.count_if((F.col("rank") > 1) & (F.col("closeness") >= 1 - harmony.AMBIGUOUS)).alias("alternatives"), F.max("concentration").alias("concentration"))
     modal = F.col("mode").isin("Mixolydian", "Dorian")
     return out.select("label", "mode", "pc", "alternatives", harmony.confidence(F.col("concentration"), F.col("alternatives"), modal).alias("confidence"))
@@ -106,7 +120,7 @@ SHELF, HIGH_PASS = series.k_weighting(48000.0)
 
 def k_weight_biquad(spark, sf_dir):
     """Mean square of each frame after both stages of K-weighting."""
-    f = frames(spark, sf_dir).select("vec_id", series.biquad(series.biquad(F.col("v"), *SHELF), *HIGH_PASS).alias("y"))
+    f = frames(spark, sf_dir).select("vec_id", series.biquad(F.col("v"), SHELF, HIGH_PASS).alias("y"))
     power = F.aggregate("y", F.lit(0.0), lambda s, x: s + x * x) / F.size("y")
     return f.select("vec_id", F.round(power, 6).alias("power"))
 
@@ -153,14 +167,16 @@ M_SQL = f"""{V_SQL}, m AS (SELECT vec_id, label, k, sqrt(sum(h * cos(a)) ** 2 +
 PC_SQL = f"((floor(69 + 12 * log2(k * {RATE / SIZE} / 440.0) + 0.5)::BIGINT % 12) + 12) % 12"
 N_SQL = """n AS (SELECT *, lag(magnitude) OVER w AS a, lead(magnitude) OVER w AS c, max(magnitude) OVER (PARTITION BY vec_id) AS top FROM m WINDOW w AS (PARTITION BY vec_id ORDER BY k)),
   pk AS (SELECT * FROM n WHERE magnitude > a AND magnitude >= c)"""
-S_SQL = f"""{M_SQL}, c AS (SELECT label, {PC_SQL} AS pc, magnitude FROM m WHERE k > 0), p AS (SELECT label, pc, sum(magnitude) AS s FROM c GROUP BY ALL), sh AS (SELECT label, pc, s / sum(s) OVER (PARTITION BY label) AS share FROM p)"""
+S_SQL = f"""{M_SQL}, {N_SQL}, c AS (SELECT vec_id, label, {PC_SQL} AS pc, magnitude FROM pk WHERE k * {RATE / SIZE} BETWEEN {LOW} AND {HIGH}), p AS (SELECT label, pc, sum(magnitude) AS s FROM c GROUP BY ALL), sh AS (SELECT label, pc, s / sum(s) OVER (PARTITION BY label) AS share FROM p)"""
 L_SQL = f"{S_SQL}, q AS (SELECT label, (pc - unnest({harmony.SCALE_STEPS}) + 12) % 12 AS root, share FROM sh), r AS (SELECT label, root, round(sum(share), 9) AS score FROM q GROUP BY ALL), col AS (SELECT label, arg_max(root, (score, -root)) AS root, max(score) AS concentration FROM r GROUP BY label)"
-C_SQL = f"""{L_SQL}, {N_SQL}, lo AS (SELECT vec_id, label, min(k) AS k FROM pk WHERE magnitude >= 0.25 * top GROUP BY ALL), bc AS (SELECT label, {PC_SQL} AS pc, count(*) AS n FROM lo WHERE k > 0 GROUP BY ALL), bs AS (SELECT label, pc, n / sum(n) OVER (PARTITION BY label) AS bass FROM bc),
+C_SQL = f"""{L_SQL}, lo AS (SELECT vec_id, label, min(k) AS k FROM pk WHERE magnitude >= 0.25 * top GROUP BY ALL), bc AS (SELECT label, {PC_SQL} AS pc, count(*) AS n FROM lo WHERE k > 0 GROUP BY ALL), bs AS (SELECT label, pc, n / sum(n) OVER (PARTITION BY label) AS bass FROM bc),
+  la AS (SELECT vec_id FROM (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS back FROM embeddings) WHERE back <= {ENDING}),
+  ec AS (SELECT label, pc, sum(magnitude) AS s FROM c WHERE vec_id IN (FROM la) GROUP BY ALL), es AS (SELECT label, pc, s / sum(s) OVER (PARTITION BY label) AS ending FROM ec),
   md(degree, mode, prior, o) AS (VALUES {", ".join(f"({d}, '{m}', {p}::DOUBLE, {i})" for i, (d, m, p) in enumerate(harmony.MODES))}),
   e AS (SELECT label, concentration, mode, prior, o, (root + degree) % 12 AS pc FROM col, md),
-  f AS (SELECT e.*, round((0.25 * coalesce(share, 0) + 0.45 * coalesce(bass, 0)) * prior, 9) AS score FROM e LEFT JOIN sh USING (label, pc) LEFT JOIN bs USING (label, pc)),
+  f AS (SELECT e.*, round((0.25 * coalesce(share, 0) + 0.45 * coalesce(bass, 0) + 0.30 * coalesce(ending, 0)) * prior, 9) AS score FROM e LEFT JOIN sh USING (label, pc) LEFT JOIN bs USING (label, pc) LEFT JOIN es USING (label, pc)),
   g AS (SELECT *, row_number() OVER w AS rank, CASE WHEN first_value(score) OVER w > 0 THEN score / first_value(score) OVER w END AS closeness FROM f WINDOW w AS (PARTITION BY label ORDER BY score DESC, o))"""
-A_SQL = f"z AS (SELECT vec_id, list(x ORDER BY i) AS l, sum(x * x) / {SIZE} AS e FROM v GROUP BY 1), ac AS (SELECT vec_id, lag, CASE WHEN e > 0 THEN list_sum(list_transform(range(1, {SIZE} - lag + 1), lambda i: l[i] * l[i + lag])) / ({SIZE} - lag) / e END AS r FROM z, (SELECT unnest({LAGS})::BIGINT AS lag))"
+A_SQL = f"vm AS (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY vec_id) AS x FROM v), z AS (SELECT vec_id, list(x ORDER BY i) AS l, sum(x * x) / {SIZE} AS e FROM vm GROUP BY 1), ac AS (SELECT vec_id, lag, CASE WHEN e > 0 THEN list_sum(list_transform(range(1, {SIZE} - lag + 1), lambda i: l[i] * l[i + lag])) / ({SIZE} - lag) / e END AS r FROM z, (SELECT unnest(range({MIN_LAG}, {MAX_LAG + 1}))::BIGINT AS lag))"
 
 
 def _biquad_sql() -> str:
@@ -179,10 +195,10 @@ ORACLE = {
     "spectral_flux": f"""WITH {M_SQL}, l AS (SELECT *, ln(1 + 1000 * magnitude / {SIZE}) AS level FROM m), d AS (SELECT *, level - lag(level) OVER (PARTITION BY label, k ORDER BY vec_id) AS rise FROM l)
       SELECT label, vec_id, round(coalesce(sum(greatest(0.0, coalesce(rise, 0))), 0), 6) AS flux FROM d GROUP BY ALL""",
     "autocorrelation": f"WITH {V_SQL}, {A_SQL} SELECT vec_id, lag, round(r, 6) AS r FROM ac",
-    "tempo_prior_argmax": f"WITH {V_SQL}, {A_SQL}, s AS (SELECT vec_id, lag, round(r, 6) AS r, round(round(r, 6) * exp(-0.5 * pow(log2(lag / 4.0) / 0.9, 2)), 6) AS score FROM ac) SELECT vec_id, arg_max(lag, (score, -lag)) AS lag, arg_max(r, (score, -lag)) AS r, max(score) AS score FROM s GROUP BY vec_id",
+    "tempo_prior_argmax": f"WITH {V_SQL}, {A_SQL}, s AS (SELECT a.vec_id, a.lag, round(a.r, 6) AS r, round((round(a.r, 6) + 0.5 * coalesce(round(b.r, 6), 0)) * exp(-0.5 * pow(log2(a.lag / {CENTRE}) / 0.9, 2)), 6) AS score FROM ac a LEFT JOIN ac b ON b.vec_id = a.vec_id AND b.lag = 2 * a.lag) SELECT vec_id, arg_max(lag, (score, -lag)) AS lag, arg_max(r, (score, -lag)) AS r, max(score) AS score FROM s GROUP BY vec_id",
     "local_maxima": f"WITH {M_SQL}, {N_SQL}, s AS (SELECT *, CASE WHEN a - 2 * magnitude + c <> 0 THEN 0.5 * (a - c) / (a - 2 * magnitude + c) ELSE 0 END AS d FROM pk) SELECT vec_id, k, round(magnitude, 6) AS magnitude, round(CASE WHEN abs(d) <= 1 THEN d ELSE 0 END, 5) AS shift FROM s",
     "lowest_strong_peak": f"WITH {M_SQL}, {N_SQL} SELECT vec_id, min(k) AS k FROM pk WHERE magnitude >= 0.25 * top GROUP BY vec_id",
-    "chroma_fold": f"WITH {M_SQL} SELECT vec_id, {PC_SQL} AS pc, round(sum(magnitude), 6) AS magnitude FROM m WHERE k > 0 GROUP BY ALL",
+    "chroma_fold": f"WITH {S_SQL} SELECT vec_id, pc, round(sum(magnitude), 6) AS magnitude FROM c GROUP BY ALL",
     "pool_shares": f"WITH {S_SQL} SELECT label, pc, round(share, 6) AS share FROM sh",
     "note_collection": f"WITH {L_SQL} SELECT label, root, round(concentration, 6) AS concentration, CASE WHEN concentration >= 0.8 THEN 'strongly tonal' WHEN concentration >= 0.72 THEN 'clearly tonal' ELSE 'weakly tonal' END AS strength FROM col",
     "rank_centres": f"WITH {C_SQL} SELECT label, rank, mode, pc, round(score, 6) AS score, round(closeness, 6) AS closeness FROM g",

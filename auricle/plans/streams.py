@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auricle.functions.measures import decibels, half_up, upper_median
-from auricle.operators import gating, levels, series
+from auricle.operators import gating, levels, library, series
 
 SCALE, LOUD, LOW = 250.0, 0.9, -6.0
 ORDER = ["ts", "event_id"]
@@ -172,9 +171,9 @@ def tempo_estimates(spark, sf_dir):
     at = F.col("ts").cast("timestamp")
     hours = (F.unix_micros(at) - F.unix_micros(F.lag(at).over(w))) / 3.6e9
     gaps = samples(spark, sf_dir).withColumn("gap", hours).where("gap > 0")
-    per = gaps.groupBy("stream").agg(F.collect_list("gap").alias("gaps"))
-    mid = upper_median(F.col("gaps"))
-    per = per.withColumn("mid", mid).withColumns({"bpm": 60 / F.col("mid"), "agreement": F.size(F.filter("gaps", lambda g: F.abs(g - F.col("mid")) <= 0.5 * F.col("mid"))) / F.size("gaps")})
+    mid = series.order_statistics(gaps, KEY, "gap", mid=series.upper_middle)
+    near = F.count_if(F.abs(F.col("gap") - F.col("mid")) <= 0.5 * F.col("mid"))
+    per = gaps.join(mid, "stream").groupBy("stream", "mid").agg((near / F.count("*")).alias("agreement")).withColumn("bpm", 60 / F.col("mid"))
     folded = [F.struct(F.abs(F.log2(F.col("bpm") * m) - F.log2(F.lit(12.0))).alias("far"), F.lit(i).alias("i"), (F.col("bpm") * m).alias("bpm")) for i, m in enumerate((1.0, 0.5, 2.0))]
     per = per.withColumn("folded", F.array_min(F.array(*folded))["bpm"])
     feel = F.when(F.col("folded") >= 14, F.col("folded") / 2).when(F.col("folded") <= 8, F.col("folded") * 2)
@@ -184,14 +183,11 @@ def tempo_estimates(spark, sf_dir):
 
 
 def upper_medians(spark, sf_dir):
-    s = samples(spark, sf_dir).groupBy("stream", "event_type").agg(F.collect_list("x").alias("v"))
-    return rounded(s.select("stream", "event_type", upper_median(F.col("v")).alias("mid")), 6, "mid")
+    return rounded(series.order_statistics(samples(spark, sf_dir), ["stream", "event_type"], "x", mid=series.upper_middle).drop("n"), 6, "mid")
 
 
 def stream_findings(spark, sf_dir):
     """Which streams peak, clip or sit low, worst first: levels, runs, three observations, their severities, and the order."""
-    from pyspark.sql import Window
-
     s = samples(spark, sf_dir)
     low = levels.channel_levels(s, KEY, full_scale=LOUD)
     out = low.join(levels.longest_runs(s, KEY, ORDER, full_scale=LOUD), "stream")
@@ -200,8 +196,8 @@ def stream_findings(spark, sf_dir):
     quiet = F.col("rms_dbfs") < LOW
     out = out.select("stream", "peak_dbfs", "rms_dbfs", "longest_run", levels.flag(full).alias("attention"), levels.flag(near).alias("notice"), levels.flag(quiet).alias("info"))
     rank = F.col("attention") * 1000 + F.col("notice")
-    pos = F.row_number().over(Window.orderBy(rank.desc(), F.round("peak_dbfs", 6).desc(), "stream"))
-    return rounded(out.withColumn("pos", pos.cast("long")), 6, "peak_dbfs", "rms_dbfs")
+    out = library.ranked(out, [rank.desc(), F.round("peak_dbfs", 6).desc(), F.asc("stream")])
+    return rounded(out, 6, "peak_dbfs", "rms_dbfs")
 
 
 QUERIES = {f.__name__: f for f in (

@@ -1,6 +1,7 @@
 """Rules of the operators that the tables cannot show: unknowns, silence, refusals, published values."""
 
 import math
+import numpy as np
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,11 +56,68 @@ def test_k_weighting_at_48_khz_is_the_published_table():
 
 def test_spectrum_finds_a_tone(spark):
     tone = F.array(*(F.lit(math.cos(2 * math.pi * 5 * i / 64)) for i in range(64)))
-    m = one(spark, series.magnitudes(tone, 64, 16))
-    assert max(range(16), key=lambda k: m[k]) == 5
+    m = one(spark, series.magnitudes(tone, 64))
+    assert len(m) == 33 and max(range(33), key=lambda k: m[k]) == 5
+    df = spark.createDataFrame([([1.0, 2.0],), ([],), (None,), ([float(i) for i in range(9)],)], "v array<double>")
+    got = [r[0] for r in df.select(series.magnitudes(F.col("v"), 4)).collect()]
+    hann = np.array([0, 0.75, 0.75, 0])
+    for v, m in zip(([1, 2, 0, 0], [0] * 4, [0] * 4, [0, 1, 2, 3]), got):
+        assert m == pytest.approx(list(abs(np.fft.rfft(np.array(v) * hann))))
     assert one(spark, series.autocorrelation(tone, 64)) is None
 
 
+def test_filters_over_arrays_of_any_length(spark):
+    df = spark.createDataFrame([([1.0] + [0.0] * 7,), ([],), (None,), ([0.5, -1.0, 2.0],)], "v array<double>")
+    first, second = (0.5, 0.25, 0.1, -0.3, 0.2), (1.0, -2.0, 1.0, 0.1, 0.05)
+
+    def plain(v, b0, b1, b2, a1, a2):
+        y = []
+        for i, x in enumerate(v):
+            back = lambda s, k: s[i - k] if i >= k else 0.0
+            y.append(b0 * x + b1 * back(v, 1) + b2 * back(v, 2) - a1 * back(y, 1) - a2 * back(y, 2))
+        return y
+
+    got = [r[0] for r in df.select(series.biquad(F.col("v"), first, second)).collect()]
+    for (v,), y in zip([r for r in df.collect()], got):
+        assert y == pytest.approx(plain(plain(v or [], *first), *second))
+
+
+def test_order_statistics(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(k, rng.choice([None, *range(6)])) for k in "abc" for _ in range(rng.randrange(1, 30))] + [("d", None)]
+    got = {r["k"]: r for r in series.order_statistics(spark.createDataFrame(rows, "k string, v long"), ["k"], "v", mid=series.upper_middle, high=series.nearest_place(0.95)).collect()}
+    for k in "abc":
+        v = sorted(x for j, x in rows if j == k and x is not None)
+        assert (got[k]["n"], got[k]["mid"], got[k]["high"]) == (len(v), v[len(v) // 2], v[math.floor((len(v) - 1) * 0.95 + 0.5)])
+    assert "d" not in got
+
+
+def test_one_order_of_all_rows(spark):
+    import random
+
+    rng = random.Random(7)
+    rows = [(i, rng.choice([None, *range(50)])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i long, v long").repartition(7)
+    got = {r["i"]: r["pos"] for r in library.ranked(df, [F.desc_nulls_last("v"), F.asc("i")]).collect()}
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert [got[i] for i, _ in want] == list(range(1, 3001))
+
+
+def test_edits_of_the_library(spark):
+    clients = spark.createDataFrame([("a", "Ann", "1"), ("b", "Bob", "1")], "client_id string, name string, updated_at string")
+    projects = spark.createDataFrame([("p", "a"), ("q", "b")], "project_id string, client_id string")
+    assert library.add_client(clients, "c", " Cy ", "2").count() == 3 and library.add_client(clients, "c", "aNN ", "2").count() == 2 and library.add_client(clients, "c", " ", "2").count() == 2
+    c, p = library.move_project(clients, projects, "p", "b", "9")
+    assert {tuple(r) for r in p.collect()} == {("p", "b"), ("q", "b")} and {r["updated_at"] for r in c.collect()} == {"9"}
+    c, p = library.move_project(clients, projects, "p", "nobody", "9")
+    assert {tuple(r) for r in p.collect()} == {("p", "a"), ("q", "b")} and {r["updated_at"] for r in c.collect()} == {"1"}
+    todos = spark.createDataFrame([(1, None), (2, "5"), (3, None)], "todo_id long, completed_at string")
+    out = {r["todo_id"]: r["completed_at"] for r in library.toggled(todos, spark.createDataFrame([(1,), (2,)], "todo_id long"), "8").collect()}
+    assert out == {1: "8", 2: None, 3: None}
+
+
 def test_pitch_classes(spark):
     assert [one(spark, harmony.pitch_class(F.lit(h))) for h in (440.0, 261.63, 246.94)] == [9, 0, 11]
 
