@@ -1,14 +1,15 @@
-"""Queries over audio files that Spark makes from the events: each user's samples are written as a container and read back."""
+"""Queries over audio files that Spark makes from the events: each user's samples are written as containers, read back, measured and checked."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from auricle.operators import export, reports, rules
 from auricle.plans import streams
 from auricle.sources import containers
 
-RATE = 8000
+RATE, ODD_RATE = 8000, 47952
 
 
 def _number(value: Column, width: int, little: bool) -> Column:
@@ -19,10 +20,17 @@ def _number(value: Column, width: int, little: bool) -> Column:
     return F.unhex(digits)
 
 
+#: Frames of a file at most: a stream makes as many files as it needs.
+FILE_FRAMES = 4096
+#: Bytes that a cut file states and does not have.
+MISSING = 20
+
+
 def files(spark, sf_dir):
-    """A mono 16-bit file for each user: by the id's remainder WAV, AIFF or CAF; samples are round(x * 32767)."""
-    s = streams.framed(spark, sf_dir).withColumn("q", F.greatest(F.lit(-32768), F.least(F.lit(32767), F.floor(F.col("x") * 32767 + 0.5))).cast("long"))
-    lists = s.groupBy("stream").agg(F.array_sort(F.collect_list(F.struct("frame", "q"))).alias("v"))
+    """Mono 16-bit files of FILE_FRAMES frames at most for each stream; samples are round(x * 32767), loud ones at full scale. By the stream's remainder they are
+    WAV, AIFF, CAF, big-endian WAV, WAV that ends too soon, or WAV with a stale byte rate and a rate out of use."""
+    s = streams.framed(spark, sf_dir).withColumn("q", F.greatest(F.lit(-32768), F.least(F.lit(32767), F.floor(F.col("x") * 40000 + 0.5))).cast("long"))
+    lists = s.groupBy("stream", F.floor(F.col("frame") / FILE_FRAMES).alias("part")).agg(F.array_sort(F.collect_list(F.struct("frame", "q"))).alias("v"))
 
     def samples(little: bool) -> Column:
         four = lambda x: F.lpad(F.hex(F.pmod(x["q"], F.lit(65536))), 4, "0")
@@ -31,28 +39,68 @@ def files(spark, sf_dir):
 
     n, text = F.size("v").cast("long"), lambda t: F.lit(t.encode("latin-1"))
     u = lambda v, w, little=False: _number(v if isinstance(v, Column) else F.lit(v).cast("long"), w, little)
-    wav = F.concat(text("RIFF"), u(n * 2 + 36, 4, True), text("WAVEfmt "), u(16, 4, True), u(1, 2, True), u(1, 2, True), u(RATE, 4, True), u(RATE * 2, 4, True), u(2, 2, True), u(16, 2, True), text("data"), u(n * 2, 4, True), samples(True))
+
+    def wav(name: str = "RIFF", rate: int = RATE, byte_rate: int = RATE * 2, missing: int = 0, little: bool = True) -> Column:
+        return F.concat(text(name), u(n * 2 + 36, 4, little), text("WAVEfmt "), u(16, 4, little), u(1, 2, little), u(1, 2, little), u(rate, 4, little), u(byte_rate, 4, little), u(2, 2, little), u(16, 2, little), text("data"), u(n * 2 + missing, 4, little), samples(little))
+
     # 8000 as an 80-bit number: exponent 16383 + 12, mantissa 8000 * 2^51
     aiff = F.concat(text("FORM"), u(n * 2 + 46, 4), text("AIFFCOMM"), u(18, 4), u(1, 2), u(n, 4), u(16, 2), F.unhex(F.lit("400BFA00000000000000")), text("SSND"), u(n * 2 + 8, 4), u(0, 4), u(0, 4), samples(False))
     caf = F.concat(text("caff"), u(1, 2), u(0, 2), text("desc"), u(32, 8), F.unhex(F.lit("40BF400000000000")), text("lpcm"), u(0, 4), u(2, 4), u(1, 4), u(1, 4), u(16, 4), text("data"), u(n * 2 + 4, 8), u(0, 4), samples(False))
-    kind = F.col("stream") % 3
-    return lists.select(F.col("stream").cast("string").alias("report_id"), F.when(kind == 0, wav).when(kind == 1, aiff).otherwise(caf).alias("content"))
+    kind = F.col("stream") % 6
+    content = F.when(kind == 0, wav()).when(kind == 1, aiff).when(kind == 2, caf).when(kind == 3, wav("RIFX", little=False)).when(kind == 4, wav(missing=MISSING)).otherwise(wav(rate=ODD_RATE))
+    return lists.select(F.concat_ws("-", "stream", "part").alias("report_id"), content.alias("content"))
 
 
 def container_formats(spark, sf_dir):
     out = containers.formats(containers.chunks(files(spark, sf_dir)))
-    return out.select("report_id", "kind", "sample_rate", "channels", "bit_depth", "frames", F.round("seconds", 6).alias("seconds"), "shortfall")
+    return out.select("report_id", "kind", "codec", "codec_family", "sample_rate", "channels", "bit_depth", "frames", F.round("seconds", 6).alias("seconds"), "exact", "shortfall")
 
 
 def container_levels(spark, sf_dir):
     found = files(spark, sf_dir)
     out = containers.channel_levels(found, containers.formats(containers.chunks(found)))
-    return out.select("report_id", F.col("channel").cast("long").alias("channel"), "frames", "non_finite", F.round("peak", 6).alias("peak"), "peak_frame", F.round("rms", 6).alias("rms"), F.round("dc_offset", 6).alias("dc_offset"))
-
-
-QUERIES = {f.__name__: f for f in (container_formats, container_levels)}
-_Q = f"WITH {streams.S_SQL}, q AS (SELECT stream, frame, greatest(-32768, least(32767, floor(x * 32767 + 0.5))) / 32768 AS y FROM s)"
+    return out.select("report_id", F.col("channel").cast("long").alias("channel"), "frames", "non_finite", F.round("peak", 6).alias("peak"), "peak_frame", F.round("rms", 6).alias("rms"), F.round("dc_offset", 6).alias("dc_offset"), "full_scale", "longest_run", "digital_silence")
+
+
+def _checked(spark, sf_dir):
+    return rules.observe(rules.status(reports.from_files(files(spark, sf_dir))))
+
+
+def file_observations(spark, sf_dir):
+    """From files to observations: containers, samples, status, rules with titles and details."""
+    o = _checked(spark, sf_dir).select("report_id", "status", F.posexplode("observations").alias("place", "o"))
+    return o.select("report_id", "status", F.col("place").cast("long").alias("place"), "o.obs_id", "o.severity", "o.title", "o.detail")
+
+
+def file_reports(spark, sf_dir):
+    """The text of each file's report."""
+    return export.report_text(_checked(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (container_formats, container_levels, file_observations, file_reports)}
+_Q = f"""WITH {streams.S_SQL}, q AS (SELECT stream, stream || '-' || frame // {FILE_FRAMES} AS report_id, frame % {FILE_FRAMES} AS frame, greatest(-32768, least(32767, floor(x * 40000 + 0.5))) / 32768 AS y FROM s),
+  m AS (SELECT report_id, any_value(stream) % 6 AS kind, count(*) AS n, max(abs(y)) AS peak, sqrt(avg(y * y)) AS rms, avg(y) AS dc, count(*) FILTER (abs(y) >= 32767 / 32768) AS full_scale, bool_and(y = 0) AS silent FROM q GROUP BY 1),
+  u AS (SELECT report_id, abs(y) >= 32767 / 32768 AS loud, sum((abs(y) < 32767 / 32768)::INT) OVER (PARTITION BY report_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS run FROM q),
+  lr AS (SELECT report_id, max(k) AS longest_run FROM (SELECT report_id, run, count(*) FILTER (loud) AS k FROM u GROUP BY 1, 2) GROUP BY 1),
+  f AS (SELECT *, CASE WHEN kind = 5 THEN {ODD_RATE} ELSE {RATE} END AS rate, CASE WHEN kind = 4 THEN {MISSING} ELSE 0 END AS shortfall,
+    CASE WHEN peak > 0 THEN 20 * log10(peak) ELSE '-inf'::DOUBLE END AS db FROM m JOIN lr USING (report_id)),
+  g AS (SELECT *, n / rate AS seconds, CASE WHEN db = '-inf'::DOUBLE THEN '-∞' WHEN db > 0 THEN printf('+%.2f', db) ELSE printf('%.2f', db) END AS pt, CASE WHEN shortfall > 0 THEN 'partial' ELSE 'ok' END AS status FROM f),
+  o AS (
+    SELECT report_id, status, 0 AS r, 1 AS k, 'parse-partial' AS obs_id, 'attention' AS severity, 'The file could be read in part' AS title, 'Some of it could not be interpreted, so figures may be missing.' AS detail FROM g WHERE shortfall > 0
+    UNION ALL SELECT report_id, status, 0, 3, 'data-truncated', 'attention', 'Audio data are shorter than stated', shortfall || ' bytes of the stated audio data are missing. Lengths describe what is there.' FROM g WHERE shortfall > 0
+    UNION ALL SELECT report_id, status, 1, 5, 'sample-rate-nonstandard', 'notice', 'Sample rate {ODD_RATE} Hz', '{ODD_RATE} Hz is no rate in common use; the nearest is 48000 Hz.' FROM g WHERE kind = 5
+    UNION ALL SELECT report_id, status, 1, 11, 'byte-rate-inconsistent', 'notice', 'Header figures disagree', '{RATE * 2} bytes a second are stated; rate and block size give {ODD_RATE * 2}.' FROM g WHERE kind = 5
+    UNION ALL SELECT report_id, status, 1, 12, 'duration-very-short', 'notice', printf('%.3f', round(seconds::DECIMAL(18, 9), 3)::DOUBLE) || ' seconds long', 'The file holds ' || printf('%.3f', round(seconds::DECIMAL(18, 9), 3)::DOUBLE) || ' seconds of audio.' FROM g WHERE seconds < 1
+    UNION ALL SELECT report_id, status, 2, 13, 'duration-inexact', 'info', 'Length is approximate', 'The audio data are not whole frames, or part of them is missing.' FROM g WHERE shortfall > 0
+    UNION ALL SELECT report_id, status, 0, 15, 'digital-silence', 'attention', 'The file is silent', 'Every sample that was measured is zero.' FROM g WHERE silent
+    UNION ALL SELECT report_id, status, 0, 17, 'full-scale-run', 'attention', 'Flat peaks at full scale', 'Up to ' || longest_run || ' samples in a row stand at full scale.' FROM g WHERE NOT silent AND longest_run >= 3
+    UNION ALL SELECT report_id, status, 1, 19, 'peak-at-ceiling', 'notice', 'Peak at ' || pt || ' dBFS', 'The loudest sample stands at ' || pt || ' dBFS, without a long run there.' FROM g WHERE NOT silent AND longest_run < 3 AND db >= -0.1
+    UNION ALL SELECT report_id, status, 2, 21, 'level-very-low', 'info', 'Low peak of ' || pt || ' dBFS', 'The loudest sample stands at ' || pt || ' dBFS, far below full scale.' FROM g WHERE NOT silent AND db < -40
+    UNION ALL SELECT report_id, status, 1, 22, 'dc-offset', 'notice', 'Offset from zero', 'channel 1: ' || printf('%.3f', round((dc * 100)::DECIMAL(18, 9), 3)::DOUBLE) || ' % of full scale.' FROM g WHERE NOT silent AND abs(dc) > 0.001)"""
 ORACLE = {
-    "container_formats": f"WITH {streams.S_SQL} SELECT stream::VARCHAR AS report_id, CASE stream % 3 WHEN 0 THEN 'wav' WHEN 1 THEN 'aiff' ELSE 'caf' END AS kind, {RATE} AS sample_rate, 1 AS channels, 16 AS bit_depth, count(*) AS frames, round(count(*) / {RATE}, 6) AS seconds, 0 AS shortfall FROM s GROUP BY stream",
-    "container_levels": f"{_Q}, m AS (SELECT stream, max(abs(y)) AS peak FROM q GROUP BY 1) SELECT stream::VARCHAR AS report_id, 0 AS channel, count(*) AS frames, 0 AS non_finite, round(any_value(peak), 6) AS peak, min(frame) FILTER (abs(y) = peak) AS peak_frame, round(sqrt(avg(y * y)), 6) AS rms, round(avg(y), 6) AS dc_offset FROM q JOIN m USING (stream) GROUP BY stream",
+    "container_formats": f"{_Q} SELECT report_id, ['wav', 'aiff', 'caf', 'wav', 'wav', 'wav'][kind + 1] AS kind, 'pcm' AS codec, 'pcm-int' AS codec_family, rate AS sample_rate, 1 AS channels, 16 AS bit_depth, n AS frames, round(seconds, 6) AS seconds, shortfall = 0 AS exact, shortfall FROM g",
+    "container_levels": f"{_Q}, p AS (SELECT report_id, min(frame) FILTER (abs(y) = peak) AS peak_frame FROM q JOIN m USING (report_id) GROUP BY 1) SELECT report_id, 0 AS channel, n AS frames, 0 AS non_finite, round(peak, 6) AS peak, peak_frame, round(rms, 6) AS rms, round(dc, 6) AS dc_offset, full_scale, longest_run, silent AS digital_silence FROM g JOIN p USING (report_id)",
+    "file_observations": f"{_Q} SELECT report_id, status, row_number() OVER (PARTITION BY report_id ORDER BY r, k) - 1 AS place, obs_id, severity, title, detail FROM o",
+    "file_reports": f"""{_Q}, x AS (SELECT report_id, count(*) AS c, string_agg('  [' || severity || '] ' || title || chr(10) || '      ' || detail, chr(10) ORDER BY r, k) AS t FROM o GROUP BY 1), y AS (SELECT *, floor(seconds * 1000 + 0.5)::BIGINT AS ms FROM g LEFT JOIN x USING (report_id))
+      SELECT report_id, concat_ws(chr(10), 'REPORT ' || report_id || ' - ' || status, '  Sample rate     ' || rate, '  Channels        1', '  Length          ' || printf('%d:%02d.%03d', ms // 60000, ms // 1000 % 60, ms % 1000), '  Peak            ' || pt || ' dBFS', 'OBSERVATIONS ' || coalesce(c, 0), coalesce(t, '')) AS text FROM y""",
 }
