@@ -166,14 +166,15 @@ class Opinions:
 
 
 def _cell(total: np.ndarray) -> np.ndarray:
-    return np.rint((np.clip(total, -REACH, REACH) + np.float32(REACH)) * np.float32((CELLS - 1) / (2 * REACH))).astype(np.int64)
+    return (total * np.float32((CELLS - 1) / (2 * REACH)) + np.float32(CELLS / 2)).astype(np.int64)
 
 
 def _sum(weights: np.ndarray, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+    """The weighted opinions, within REACH; what is surer than that, the refining map knows."""
     total = np.take(weights[0], gate) * x[0]
     for w, own in zip(weights[1:], x[1:]):
         total += np.take(w, gate) * own
-    return np.clip(total, -30, 30)
+    return np.clip(total, np.float32(-REACH), np.float32(REACH))
 
 
 class Learner:
@@ -189,7 +190,7 @@ class Learner:
         kind = self.kind
         x, gate = self.opinions.of(bits)
         total = _sum(self.weights, x, gate)
-        error = bits.bit - 1 / (1 + np.exp(-total))
+        error = bits.bit.astype(np.float32) - 1 / (1 + np.exp(-total))
         if bits.weight is not None:
             error = error * bits.weight
         mass = np.bincount(gate, bits.weight, kind.gates)
@@ -223,7 +224,7 @@ class Model:
         x, gate = self.opinions.of(bits)
         total = _sum(self.weights, x, gate)
         p = (1 / (1 + np.exp(-total)) + np.take(self.refined, bits.row * CELLS + _cell(total))) / 2
-        return np.bincount(bits.token, np.log10(np.clip(np.where(bits.bit == 1, p, 1 - p), np.float32(1e-6), np.float32(1))), tokens)
+        return np.bincount(bits.token, np.log10(np.where(bits.bit == 1, p, 1 - p)), tokens)
 
 
 def _added(group: pd.DataFrame) -> pd.DataFrame:
@@ -532,8 +533,8 @@ class Contexts:
         state = np.where(self.match >= SEEN, 1 + (self.match >> 6 & 1), 0)
         self.past = sum(back(state, k, 0) * 3 ** (k - 1) for k in range(1, 5))
 
-    def bits(self, book: Book, lo: int, hi: int) -> Bits:
-        """The decisions of tokens lo to hi: match bits first, then code bits."""
+    def bits(self, book: Book, lo: int, hi: int) -> Iterator[Bits]:
+        """The decisions of tokens lo to hi: match bits, then code bits."""
         here = np.arange(lo, hi)
         asked = here[self.match[lo:hi] >= SEEN]
         hit = self.match[asked] >> 6 & 1
@@ -542,18 +543,18 @@ class Contexts:
             CODE_AT[0] + (1 << 19) + (self.classes[asked] << 3 | often) * 9 + past % 9,
             CODE_AT[1] + 81 * (often << 3 | others) + past,
         ]
+        if len(asked):
+            yield Bits(flags, hit, 16 + (past % 9) * 8 + often, 32 + past % 9, asked - lo, None, self.own)
         coded = here[(self.match[lo:hi] & (SEEN | HIT)) != (SEEN | HIT)]
         leaf = self.leaf[coded]
         length, flat = book.spread(leaf)
-        spread = lambda x: np.repeat(x, length)
         step, row = np.take(book.steps, flat), np.take(book.row, flat)
         node = step >> 1
         inner = node.astype(np.uint32) * np.uint32(0x2545F491)
-        one = (((spread(self.one[coded]) ^ inner) * _SMALL) >> np.uint32(10)).astype(np.int64)
-        codes = [spread((self.classes[coded] << 16) + CODE_AT[0]) + node, one + CODE_AT[1]]
-        gates = np.concatenate([16 + (past % 9) * 8 + often, spread(self.frequent[coded]) + (row < 4)])
-        slots = [np.concatenate(x) for x in zip(flags, codes)]
-        return Bits(slots, np.concatenate([hit, step & 1]), gates, np.concatenate([32 + past % 9, row]), np.concatenate([asked, spread(coded)]) - lo, None, self.own)
+        one = (((np.repeat(self.one[coded], length) ^ inner) * _SMALL) >> np.uint32(10)).astype(np.int64)
+        one += CODE_AT[1]
+        node += np.repeat((self.classes[coded] << 16) + CODE_AT[0], length)
+        yield Bits([node, one], step & 1, np.repeat(self.frequent[coded], length) + (row < 4), row, np.repeat(coded - lo, length), None, self.own)
 
 
 # Blocks, shards and coded rows
@@ -639,9 +640,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], centres: np.ndarray) -> Iterator[
     for b in batches:
         for doc, out, text in zip(b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), common.texts(b)):
             docs.append((doc, out, nearest(profile(text)[None], centres)[0]))
-            own = list(map(numbers.__getitem__, text.translate(common.FOLD).split()))
-            own.append(0)
-            seqs.append(np.array(own, np.int32))
+            found = text.translate(common.FOLD).split()
+            own = np.zeros(len(found) + 1, np.int32)
+            own[:-1] = np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))
+            seqs.append(own)
             size += len(own)
             if len(numbers) >= BLOCK_WORDS or size >= BLOCK_TOKENS:
                 yield flush()
@@ -797,7 +799,7 @@ def _training_bits(b: pa.RecordBatch, size: int, book: Book) -> Iterator[Bits]:
         for contexts, _, _ in _parts(row):
             if contexts.own:
                 for lo in range(0, len(contexts.leaf), size):
-                    yield contexts.bits(book, lo, min(lo + size, len(contexts.leaf)))
+                    yield from contexts.bits(book, lo, min(lo + size, len(contexts.leaf)))
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
@@ -811,7 +813,8 @@ def _scored(row: dict, model: Model, book: Book) -> pa.RecordBatch:
         own = np.zeros(len(tokens))
         for lo in range(0, len(own), STEP):
             hi = min(lo + STEP, len(own))
-            own[lo:hi] = model.log10(contexts.bits(book, lo, hi), hi - lo)
+            for bits in contexts.bits(book, lo, hi):
+                own[lo:hi] += model.log10(bits, hi - lo)
         value[tokens] = own
     spelt = np.zeros(len(leaves))
     spelt[leaves == book.escape] = unpack(row["spelt"], "<f4")

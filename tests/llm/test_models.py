@@ -70,7 +70,7 @@ def test_code_probabilities_sum_to_one():
     table = np.zeros(2 * kind.slots, np.int64)
     leaf = rng.integers(0, 62, 4000)
     learned = mixing.Contexts(leaf, np.zeros(4000, np.uint8), np.array([4000]), np.array([1]), 1)
-    bits = learned.bits(book, 0, 4000)
+    (bits,) = learned.bits(book, 0, 4000)
     for i in range(kind.inputs):
         np.add.at(table, bits.slots[i] + kind.slots * bits.bit, 1)
     learner = mixing.Learner(kind, mixing.Opinions(kind, mixing.packed(table)))
@@ -78,7 +78,7 @@ def test_code_probabilities_sum_to_one():
     model = mixing.Model(kind, mixing.packed(table), learner.values())
     # after the same two words, every token in turn
     after = mixing.Contexts(np.array([x for k in range(62) for x in (5, 7, k)]), np.zeros(186, np.uint8), np.full(62, 3), np.ones(62, int), 0)
-    p = 10 ** model.log10(after.bits(book, 0, 186), 186)[2::3]
+    p = 10 ** model.log10(*after.bits(book, 0, 186), 186)[2::3]
     assert math.isclose(p.sum(), 1, rel_tol=1e-3) and (p > 0).all()
 
 
