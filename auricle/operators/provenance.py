@@ -21,15 +21,24 @@ class Tool:
     common: bool = False
 
 
-# Tools that metadata may name. common: also an everyday word.
+# Tools that metadata may name, as (text, name, kind, whether the text is also an everyday word).
 TOOLS = [
-    *(Tool(n.lower(), n) for n in ("Suno", "Udio", "Riffusion")),
-    Tool("boomy", "Boomy", common=True),
-    *(Tool(n.lower(), n) for n in ("Soundraw", "Mubert", "AIVA", "Beatoven")),
-    Tool("loudly", "Loudly", common=True),
-    Tool("stable audio", "Stable Audio"),
-    Tool("stableaudio", "Stable Audio"),
-    *(Tool(n.lower(), n, "model") for n in ("MusicGen", "AudioCraft", "AudioGen", "AudioLDM", "MusicLM")),
+    Tool("suno", "Suno", "music"),
+    Tool("udio", "Udio", "music"),
+    Tool("riffusion", "Riffusion", "music"),
+    Tool("boomy", "Boomy", "music", True),
+    Tool("soundraw", "Soundraw", "music"),
+    Tool("mubert", "Mubert", "music"),
+    Tool("aiva", "AIVA", "music"),
+    Tool("beatoven", "Beatoven", "music"),
+    Tool("loudly", "Loudly", "music", True),
+    Tool("stable audio", "Stable Audio", "music"),
+    Tool("stableaudio", "Stable Audio", "music"),
+    Tool("musicgen", "MusicGen", "model"),
+    Tool("audiocraft", "AudioCraft", "model"),
+    Tool("audiogen", "AudioGen", "model"),
+    Tool("audioldm", "AudioLDM", "model"),
+    Tool("musiclm", "MusicLM", "model"),
     Tool("jukebox", "Jukebox", "model", True),
     Tool("bark", "Bark", "model", True),
     Tool("elevenlabs", "ElevenLabs", "speech"),
@@ -43,14 +52,21 @@ TOOLS = [
     Tool("tortoise-tts", "Tortoise TTS", "speech"),
     Tool("coqui", "Coqui TTS", "speech"),
     Tool("openai-tts", "OpenAI text-to-speech", "speech"),
-    *(Tool(n.lower(), n, "separation") for n in ("LALAL.AI", "iZotope RX", "Spleeter", "Demucs")),
-    *(Tool(n.lower(), n, "mastering") for n in ("LANDR", "CloudBounce", "eMastered")),
+    Tool("lalal.ai", "LALAL.AI", "separation"),
+    Tool("izotope rx", "iZotope RX", "separation"),
+    Tool("spleeter", "Spleeter", "separation"),
+    Tool("demucs", "Demucs", "separation"),
+    Tool("landr", "LANDR", "mastering"),
+    Tool("cloudbounce", "CloudBounce", "mastering"),
+    Tool("emastered", "eMastered", "mastering"),
 ]
 GENERATIVE = ("music", "model", "speech")
 # Words that attribute, and text that only generators write, with its weight.
 AUTHORSHIP = ["made with", "made using", "made by", "created with", "created using", "created by", "generated with", "generated by", "produced with", "produced by", "written with", "composed with", "rendered with", "powered by"]
 PHRASES = [("ai-generated", 2), ("ai generated", 2), ("generated by ai", 2), ("generated with ai", 2), ("text-to-music", 2), ("text-to-speech", 1), ("text to speech", 1), ("synthetic voice", 2), ("voice clone", 2), ("prompt:", 1), ("generated audio", 1)]
-MARKS = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}|(?i:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12})"
+# Marks of a machine, a time stamp and a unique identifier (in either case).
+TIME_STAMP = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"
+IDENTIFIER = r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 STRONG, MODERATE, WEAK = 3, 2, 1
 
 
@@ -65,7 +81,7 @@ def _names(value: Column, match: str, whole_words: bool) -> Column:
 def tools_named(value: Column, tools: list[Tool] = TOOLS, whole_words: bool = True) -> Column:
     """Array of (ord, name, kind, weight) of the tools that a field names, each name once, graded."""
     attributed = lambda t: F.exists(F.array(*map(F.lit, AUTHORSHIP)), lambda p: F.contains(F.lower(value), F.concat(p, F.lit(f" {t.match}"))))
-    marked = value.rlike(MARKS)
+    marked = value.rlike(TIME_STAMP) | value.rlike(IDENTIFIER)
 
     def entry(i: int, t: Tool) -> Column:
         weight = F.lit(STRONG)

@@ -73,6 +73,26 @@ def real_tools(spark, sf_dir):
     return d.groupBy("flag", "outcome").agg(F.count("*").alias("turns"))
 
 
+def planted(spark, sf_dir):
+    """Documents whose whole text follows a remark that names one of the real tools, with or without attribution, time stamp and phrase."""
+    names, phrases = [t.match.upper() for t in provenance.TOOLS], [p for p, _ in provenance.PHRASES]
+    d, k = table(spark, sf_dir, "documents"), c("doc_id")
+    name = F.when(k % 4 > 0, F.get(F.array(*map(F.lit, names)), (k % len(names)).cast("int"))).otherwise("nothing")
+    remark = F.concat(F.when(k % 3 == 0, "Made with ").otherwise("About "), name, F.when(k % 5 == 0, " on 2024-01-02T03:04:05").when(k % 5 == 1, " id 0123ABCD-0123-4567-89ab-0123456789ab").otherwise(""))
+    phrase = F.when(k % 7 == 0, F.concat(F.lit(", "), F.get(F.array(*map(F.lit, phrases)), (k % len(phrases)).cast("int")))).otherwise("")
+    return d.select("doc_id", F.concat(remark, phrase, F.lit(". "), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def planted_tools(spark, sf_dir):
+    d = planted(spark, sf_dir).select("doc_id", F.explode(provenance.tools_named(c("text"))).alias("t"))
+    return d.select("doc_id", "t.name", "t.kind", c("t.weight").cast("long").alias("weight"))
+
+
+def planted_origins(spark, sf_dir):
+    d = provenance.assess(planted(spark, sf_dir), "text")
+    return d.select("doc_id", F.size("tools").cast("long").alias("tools"), F.size("phrases").cast("long").alias("phrases"), "flag", c("weight").cast("long").alias("weight"), "outcome")
+
+
 TERMS = ["the", "other", "er", "ere", "there", "an", "and"]
 
 
@@ -103,9 +123,10 @@ def marker_labels(spark, sf_dir):
 
 
 def csv_cells(spark, sf_dir):
+    """Whole texts as cells, as they are and behind what a spreadsheet takes for a formula, and plain negative numbers."""
     d = table(spark, sf_dir, "documents")
-    cell = F.when(c("doc_id") % 7 == 0, F.concat(F.lit("=\t"), F.substring("text", 1, 20))).when(c("doc_id") % 7 == 1, F.concat(F.lit("-"), c("n_chars").cast("string"))).when(c("doc_id") % 7 == 2, F.concat(F.lit('say "'), "source", F.lit('", ok'))).when(c("doc_id") % 7 > 3, F.substring("text", 1, 60))
-    return d.select("doc_id", texts.csv_cell(cell).alias("cell"))
+    formula = F.concat(F.get(F.array(*map(F.lit, ["=", "+", "@", "\t", "-"])), (c("doc_id") % 5).cast("int")), "text")
+    return d.select("doc_id", texts.csv_cell(c("text")).alias("cell"), texts.csv_cell(formula).alias("formula"), texts.csv_cell(F.concat(F.lit("-"), c("n_chars").cast("string"))).alias("number"))
 
 
 def figures(spark, sf_dir):
@@ -145,7 +166,7 @@ def props_json(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    isrc_normalise, stated_tempo, tempo_disagreement, any_tag, tool_match, phrase_hits, provenance_assess, real_tools, most_specific_terms, markup_extract, glossary_terms, marker_labels, csv_cells,
+    isrc_normalise, stated_tempo, tempo_disagreement, any_tag, tool_match, phrase_hits, provenance_assess, real_tools, planted_tools, planted_origins, most_specific_terms, markup_extract, glossary_terms, marker_labels, csv_cells,
     figures, channel_mask_explode, sniff_priority, extension_filter, props_json)}
 
 K_SQL = """k AS (SELECT p_partkey AS k, p_size::BIGINT AS s, lpad((p_partkey % 100000)::VARCHAR, 5, '0') AS five, lpad(p_size::VARCHAR, 2, '0') AS two FROM part),
@@ -160,9 +181,38 @@ TM_SQL = f"""tm AS (SELECT doc_id, 'Alpha' AS name, 'music' AS kind, 3 AS weight
  UNION ALL SELECT doc_id, 'Beta', 'model', CASE WHEN ({_AUTHOR}) AND {_MARK} THEN 3 WHEN ({_AUTHOR}) OR {_MARK} THEN 2 ELSE 1 END FROM documents WHERE {W('trash')}
  UNION ALL SELECT doc_id, 'Gamma', 'mastering', 3 FROM documents WHERE {W('license')} UNION ALL SELECT doc_id, 'Delta', 'speech', 3 FROM documents WHERE {W('scum')})"""
 PH_SQL = "ph AS (" + " UNION ALL ".join(f"SELECT doc_id, '{p}' AS phrase, {w} AS weight FROM documents WHERE contains(lower(text), '{p}')" for p, w in STAND_IN_PHRASES) + ")"
+
+
+def _lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_TOOLS_SQL = "tl(ord, match, name, kind, common) AS (VALUES " + ", ".join(f"({i}, {_lit(t.match)}, {_lit(t.name)}, '{t.kind}', {t.common})" for i, t in enumerate(provenance.TOOLS)) + ")"
+_PHRASES_SQL = "pl(phrase, weight) AS (VALUES " + ", ".join(f"({_lit(p)}, {w})" for p, w in provenance.PHRASES) + ")"
+
+
+def _assessed_sql(rows: str) -> str:
+    """From r (id, text): the tools named in each, each name once, and what they add up to."""
+    author = " OR ".join(f"contains(lower(text), '{p} ' || match)" for p in provenance.AUTHORSHIP)
+    whole = "(match LIKE '%\\_' ESCAPE '\\' OR regexp_matches(lower(text), '(^|[^a-z0-9_])' || regexp_escape(match) || '($|[^a-z0-9_])'))"
+    return f"""WITH {rows}, {_TOOLS_SQL}, {_PHRASES_SQL},
+      hit AS (SELECT id, ord, name, kind, common, CASE WHEN NOT common THEN 3 WHEN ({author}) AND {_MARK} THEN 3 WHEN ({author}) OR {_MARK} THEN 2 ELSE 1 END AS weight FROM r JOIN tl ON contains(lower(text), match) AND {whole}),
+      tm AS (SELECT id, name, arg_min(kind, ord) AS kind, arg_min(weight, ord) AS weight, bool_or(common) AS common FROM hit GROUP BY id, name),
+      n AS (SELECT id, count(*) AS tools, max(weight) FILTER (kind IN ('music', 'model', 'speech')) AS w, bool_or(kind IN ('music', 'model', 'speech') AND NOT common) AS declared FROM tm GROUP BY 1),
+      p AS (SELECT id, count(*) AS phrases, max(weight) AS w FROM r JOIN pl ON contains(lower(text), phrase) GROUP BY 1),
+      a AS (SELECT r.id, coalesce(tools, 0) AS tools, coalesce(phrases, 0) AS phrases, CASE WHEN declared THEN 'declared' WHEN n.w IS NOT NULL OR p.w IS NOT NULL THEN 'possible' ELSE 'none' END AS flag, greatest(n.w, p.w) AS weight,
+        CASE WHEN tools > 0 THEN 'tool-named' WHEN trim(coalesce(text, '')) = '' THEN 'nothing-recorded' ELSE 'no-known-tool' END AS outcome FROM r LEFT JOIN n USING (id) LEFT JOIN p USING (id))"""
+
+
+_R_SQL = f"""r AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'Made with ' ELSE 'About ' END || CASE WHEN doc_id % 4 > 0 THEN ({[t.match.upper() for t in provenance.TOOLS]})[doc_id % {len(provenance.TOOLS)} + 1] ELSE 'nothing' END
+  || CASE doc_id % 5 WHEN 0 THEN ' on 2024-01-02T03:04:05' WHEN 1 THEN ' id 0123ABCD-0123-4567-89ab-0123456789ab' ELSE '' END
+  || CASE WHEN doc_id % 7 = 0 THEN ', ' || ({[p for p, _ in provenance.PHRASES]})[doc_id % {len(provenance.PHRASES)} + 1] ELSE '' END || '. ' || coalesce(text, '') AS text FROM documents)"""
 _KINDS = "CASE page_id % 8 WHEN 0 THEN 'wav' WHEN 1 THEN 'aiff' WHEN 2 THEN 'mp4' WHEN 3 THEN 'flac' WHEN 4 THEN 'caf' WHEN 5 THEN 'ogg' WHEN 6 THEN 'mp3' END"
 
 ORACLE = {
+    "real_tools": _assessed_sql("r AS (SELECT row_number() OVER () AS id, text FROM conversations)") + " SELECT flag, outcome, count(*) AS turns FROM a GROUP BY ALL",
+    "planted_tools": _assessed_sql(_R_SQL) + " SELECT id AS doc_id, name, kind, weight FROM tm",
+    "planted_origins": _assessed_sql(_R_SQL) + " SELECT id AS doc_id, tools, phrases, flag, weight, outcome FROM a",
     "isrc_normalise": f"WITH {K_SQL}, r AS (SELECT k, forms[k % 5 + 1] AS raw, forms[(k + 1) % 5 + 1] AS raw2 FROM f), d AS (SELECT k, coalesce({ISRC_SQL.format('raw')}, {ISRC_SQL.format('raw2')}) AS code FROM r) SELECT k, code, CASE WHEN code IS NOT NULL THEN code[1:2] || '-' || code[3:5] || '-' || code[6:7] || '-' || code[8:12] END AS shown FROM d",
     "stated_tempo": f"WITH {T_SQL} SELECT * FROM st",
     "tempo_disagreement": f"WITH {T_SQL} SELECT k, coalesce(CASE WHEN k % 6 > 0 THEN abs(k % 5 - 2) > greatest(1.0, (k % 4) * 0.5) AND bpm IS NOT NULL END, false) AS noted FROM st",
@@ -178,9 +228,10 @@ ORACLE = {
     "glossary_terms": r"""WITH p AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(p_type || ' (Old):  ' || p_brand || '?'), '\([^)]*\)', ' ', 'g'), '[:?.,]', '', 'g'), '[ \t\n\r]+', ' ', 'g')) AS term FROM part),
       k AS (SELECT term, min(p_partkey) AS entry FROM p GROUP BY 1 HAVING entry % 2 = 0) SELECT p_partkey, term, entry FROM p LEFT JOIN k USING (term)""",
     "marker_labels": "WITH l AS (SELECT conv_id, turn % 3 AS marker, max(turn) AS label_turn FROM conversations WHERE role = 'assistant' GROUP BY ALL) SELECT t.conv_id, turn, label_turn FROM conversations t LEFT JOIN l ON l.conv_id = t.conv_id AND marker = turn % 3",
-    "csv_cells": r"""WITH d AS (SELECT doc_id, coalesce(CASE WHEN doc_id % 7 = 0 THEN '=' || chr(9) || text[1:20] WHEN doc_id % 7 = 1 THEN '-' || n_chars WHEN doc_id % 7 = 2 THEN 'say "' || source || '", ok' WHEN doc_id % 7 > 3 THEN text[1:60] END, '') AS s FROM documents),
-      g AS (SELECT doc_id, CASE WHEN regexp_matches(s, '^[=+\-@\t\r]') AND NOT regexp_matches(s, '^-?\d+(\.\d+)?([eE][+-]?\d+)?$') THEN '''' || s ELSE s END AS s FROM d)
-      SELECT doc_id, CASE WHEN regexp_matches(s, '[",\r\n]') THEN '"' || replace(s, '"', '""') || '"' ELSE s END AS cell FROM g""",
+    "csv_cells": r"""WITH d AS (SELECT doc_id, unnest([0, 1, 2]) AS i, unnest([coalesce(text, ''), coalesce(['=', '+', '@', chr(9), '-'][doc_id % 5 + 1] || text, ''), '-' || n_chars]) AS s FROM documents),
+      g AS (SELECT doc_id, i, CASE WHEN regexp_matches(s, '^[=+\-@\t\r]') AND NOT regexp_matches(s, '^-?\d+(\.\d+)?([eE][+-]?\d+)?$') THEN '''' || s ELSE s END AS s FROM d),
+      q AS (SELECT doc_id, i, CASE WHEN regexp_matches(s, '[",\r\n]') THEN '"' || replace(s, '"', '""') || '"' ELSE s END AS s FROM g)
+      SELECT doc_id, min(s) FILTER (i = 0) AS cell, min(s) FILTER (i = 1) AS formula, min(s) FILTER (i = 2) AS number FROM q GROUP BY 1""",
     "figures": """WITH l AS (SELECT l_orderkey, sum(round(l_quantity * 37)::BIGINT)::BIGINT AS q FROM lineitem GROUP BY 1),
       v AS (SELECT *, CASE WHEN l_orderkey % 10 > 0 THEN q / 8.0::DOUBLE END AS d, CASE WHEN l_orderkey % 4 > 0 THEN q * q * (l_orderkey % 5 * 1000 + 1) END AS b, CASE WHEN l_orderkey % 9 > 1 THEN (q % 400 - 300) / 8.0::DOUBLE END AS db FROM l),
       m AS (SELECT *, least(floor((d - floor(d)) * 1000 + 0.5), 999)::INT AS ms, floor(d / 3600)::INT AS h, floor(d % 3600 / 60)::INT AS mi, floor(d % 60)::INT AS se, q * 100 AS tc FROM v)
