@@ -118,6 +118,31 @@ def test_edits_of_the_library(spark):
     assert out == {1: "8", 2: None, 3: None}
 
 
+def test_stream_collectors_against_arrays(spark):
+    import tempfile
+
+    from auricle.streaming import collectors
+
+    rng = np.random.default_rng(9)
+    data = {1: rng.normal(size=100), 2: rng.normal(size=7), 3: rng.normal(size=60)}
+    folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    for lo in (0, 25, 50):  # stream 3 skips a sample in its last part
+        rows = [(k, n + (k == 3 and n >= 50), float(v)) for k, x in data.items() for n, v in enumerate(x) if lo <= n < (lo + 25 if lo < 50 else 1000)]
+        spark.createDataFrame(rows, "stream long, n long, x double").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    source = lambda: spark.readStream.schema("stream long, n long, x double").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    stages = series.k_weighting(48000.0)
+    collectors.collect_to(collectors.frames(source(), 16, 5), f"{folder}/frames", f"{folder}/s1", "append")
+    collectors.collect_to(collectors.sub_blocks(source(), 10, list(stages)), f"{folder}/blocks", f"{folder}/s2", "append")
+    got = {(r["stream"], r["nth"]): r["v"] for r in spark.read.schema(collectors.FRAMES).parquet(f"{folder}/frames").collect()}
+    want = {(k, i): list(x[5 * i : 5 * i + 16]) for k, x in ((1, data[1]), (3, data[3][:50])) for i in range((len(x) - 16) // 5 + 1)}
+    assert got == want
+    filtered = {r["k"]: np.array(r["y"]) for r in spark.createDataFrame([(k, x.tolist()) for k, x in data.items()], "k long, v array<double>").select("k", series.biquad(F.col("v"), *stages).alias("y")).collect()}
+    blocks = {(r["stream"], r["block"]): r["power"] for r in spark.read.schema(collectors.SUB_BLOCKS).parquet(f"{folder}/blocks").collect()}
+    assert set(blocks) == {(1, i) for i in range(10)} | {(3, i) for i in range(5)}
+    for (k, i), power in blocks.items():
+        assert power == pytest.approx((filtered[k][10 * i : 10 * i + 10] ** 2).sum())
+
+
 def test_pitch_classes(spark):
     assert [one(spark, harmony.pitch_class(F.lit(h))) for h in (440.0, 261.63, 246.94)] == [9, 0, 11]
 

@@ -6,7 +6,7 @@ import tempfile
 import numpy as np
 import pytest
 
-from auricle.sources import containers
+from auricle.sources import containers, tags
 
 
 def wav(samples, bits=16, tag=1, channels=2, rate=48000, cut=0):
@@ -142,6 +142,63 @@ def test_samples_that_are_not_finite(spark):
     assert got["g"]["peak"] is None and got["g"]["rms"] is None
 
 
+def tags_of(content, kind):
+    return [tuple(x) for x in tags.of_file(content, kind)]
+
+
+def id3(version, frames, flags=0):
+    safe = lambda n: bytes(n >> 7 * i & 127 for i in (3, 2, 1, 0))
+    body = b""
+    for name, value in frames:
+        size = struct.pack(">I", len(value))[1:] if version == 2 else safe(len(value)) if version == 4 else struct.pack(">I", len(value))
+        body += name + size + (b"" if version == 2 else b"\0\0") + value
+    return b"ID3" + bytes([version, 0, flags]) + safe(len(body) + 20) + body + bytes(20)
+
+
+@pytest.mark.parametrize("version", [2, 3, 4])
+def test_id3(version):
+    title, comment, user = (b"TT2", b"COM", b"TXX") if version == 2 else (b"TIT2", b"COMM", b"TXXX")
+    tag = id3(version, [(title, b"\0Old"), (title, b"\1" + "Né".encode("utf-16")), (comment, b"\0engshort\0Long text"), (user, b"\3mood\0calm"), (b"APC" if version == 2 else b"APIC", b"x" * 300)])
+    old = b"TAG" + b"One".ljust(30, b"\0") + b"Two".ljust(30, b" ") + bytes(30) + b"1999" + b"note".ljust(28, b"\0") + b"\0\7" + b"\1"
+    assert tags_of(tag + mp3(3) + old, "mp3") == [
+        ("id3v2", title.decode(), "Old"), ("id3v2", title.decode(), "Né"), ("id3v2", comment.decode(), "Long text"), ("id3v2", "TXXX:mood", "calm"),
+        ("id3v1", "title", "One"), ("id3v1", "artist", "Two"), ("id3v1", "date", "1999"), ("id3v1", "comment", "note"), ("id3v1", "track", "7"),
+    ]
+    for n in range(0, len(tag), 7):  # any cut is read without failing
+        tags_of(tag[:n], "mp3")
+
+
+def test_broadcast_extension_and_xml():
+    body = b"A take".ljust(256, b"\0") + b"Desk".ljust(32, b"\0") + bytes(32) + b"2024-01-02" + b"03:04:05" + struct.pack("<QH", 48000 * 3600, 2) + bytes(64) + struct.pack("<hhhhh", -2300, 550, -100, 0x7FFF, -1850) + bytes(180) + b"A=PCM"
+    chunk = lambda n, b: n + struct.pack("<I", len(b)) + b + b"\0" * (len(b) % 2)
+    riff = b"WAVE" + chunk(b"bext", body) + chunk(b"iXML", b"<BWFXML><TAKE>7</TAKE></BWFXML>")
+    got = tags_of(b"RIFF" + struct.pack("<I", len(riff)) + riff, "wav")
+    assert ("bext", "description", "A take") in got and ("bext", "time_reference", str(48000 * 3600)) in got and ("bext", "coding_history", "A=PCM") in got
+    assert ("bext", "loudness_value", "-23.00") in got and ("bext", "max_short_term", "-18.50") in got and not any(k == "max_momentary" for _, k, _ in got)
+    assert got[-1] == ("ixml", "xml", "<BWFXML><TAKE>7</TAKE></BWFXML>")
+
+
+def test_itunes_vorbis_and_caf():
+    box = lambda n, b: struct.pack(">I", len(b) + 8) + n + b
+    item = lambda n, code, v: box(n, box(b"data", struct.pack(">II", code, 0) + v))
+    free = box(b"----", box(b"mean", bytes(4) + b"com") + box(b"name", bytes(4) + b"iTunSMPB") + box(b"data", struct.pack(">II", 1, 0) + b" 0 1 2 3"))
+    ilst = box(b"ilst", item(b"\xa9nam", 1, "Tïtle".encode()) + item(b"trkn", 0, b"\0\0\0\3\0\x0c\0\0") + item(b"tmpo", 21, b"\0\x80") + free)
+    moov = box(b"moov", box(b"udta", box(b"meta", bytes(4) + ilst)))
+    assert tags_of(box(b"ftyp", b"M4A \0\0\0\0") + moov, "mp4") == [("itunes", "©nam", "Tïtle"), ("itunes", "trkn", "3/12"), ("itunes", "tmpo", "128"), ("itunes", "iTunSMPB", "0 1 2 3")]
+    info = struct.pack(">I", 2) + b"title\0One\0artist\0Two\0"
+    assert tags_of(b"caff\0\1\0\0info" + struct.pack(">Q", len(info)) + info, "caf") == [("caf", "title", "One"), ("caf", "artist", "Two")]
+    note = lambda b: struct.pack("<I", len(b)) + b
+    comments = note(b"maker") + struct.pack("<I", 3) + note(b"title=A=B") + note(b"Artist=") + note(b"ARTIST=X")
+    assert tags_of(b"fLaC\x84" + struct.pack(">I", len(comments))[1:] + comments, "flac") == [("vorbis", "VENDOR", "maker"), ("vorbis", "TITLE", "A=B"), ("vorbis", "ARTIST", "X")]
+
+
+def test_fields_across_schemes(spark):
+    tag = id3(3, [(b"TIT2", b"\0First"), (b"TIT2", b"\0Last")])
+    old = b"TAG" + b"Older".ljust(30, b"\0") + b"Band".ljust(30, b"\0") + bytes(30) + bytes(4) + bytes(30) + b"\1"
+    t = table(spark, {"a": tag + mp3(3) + old, "b": b"", "c": None, "d": b"RIFF\4\0\0\0WAVE"})
+    assert {tuple(r) for r in tags.fields(tags.tags(t)).collect()} == {("a", "title", "Last"), ("a", "artist", "Band")}
+
+
 def test_folders_are_filtered_by_extension(spark):
     folder = tempfile.mkdtemp(prefix="spark-")
     for name in ("a.wav", "b.WAV", "c.txt"):
