@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auricle.operators import gating, levels, library, series
+from auricle.operators import gating, levels, library, series, tempo
 
 SCALE, LOUD, LOW = 250.0, 0.9, -6.0
 ORDER = ["ts", "event_id"]
@@ -182,6 +182,25 @@ def tempo_estimates(spark, sf_dir):
     return rounded(out, 6, "bpm", "folded", "feel", "agreement")
 
 
+#: Onsets a second, and onsets of a window and of its hop, of the tempo queries.
+FPS, TEMPO_SIZE, TEMPO_HOP = 8.0, 40, 20
+
+
+def _tempo_windows(spark, sf_dir):
+    signal = tempo.onsets(framed(spark, sf_dir).select("stream", "frame", "x"), KEY, "frame", "x")
+    return tempo.windows(signal, KEY, "frame", FPS, TEMPO_SIZE, TEMPO_HOP)
+
+
+def tempo_windows(spark, sf_dir):
+    """Each stream's windows read by autocorrelation of its onsets."""
+    return rounded(_tempo_windows(spark, sf_dir), 5, "bpm", "correlation", "resolution")
+
+
+def tempo_readings(spark, sf_dir):
+    """What the windows of a stream add up to, or why there is no tempo."""
+    return rounded(tempo.readings(_tempo_windows(spark, sf_dir), KEY), 5, "bpm", "correlation", "agreement", "least", "greatest", "feel")
+
+
 def upper_medians(spark, sf_dir):
     return rounded(series.order_statistics(samples(spark, sf_dir), ["stream", "event_type"], "x", mid=series.upper_middle).drop("n"), 6, "mid")
 
@@ -203,7 +222,7 @@ def stream_findings(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     levels_per_channel, levels_overall, peak_position, full_scale_runs, silence_tristate, nonfinite_counts, probe_plan_levels, sub_block_power, momentary, short_term,
     integrated_gated, loudness_range, block_max, channel_weighted_power, smooth_triangular, local_mean_rectify, unit_sigma, sliding_windows, key_sections, ending_slice,
-    first_last_settled, tempo_estimates, upper_medians, stream_findings)}
+    first_last_settled, tempo_estimates, tempo_windows, tempo_readings, upper_medians, stream_findings)}
 
 B_SQL = f"{S_SQL}, b AS (SELECT stream, frame // {FRAMES} AS block, sum(x * x) AS power FROM s GROUP BY 1, 2 HAVING count(*) = {FRAMES})"
 
@@ -221,7 +240,32 @@ RUN_SQL = f"""t AS (SELECT *, abs(x) >= {{0}} AS loud FROM s),
 u AS (SELECT stream, loud, sum((NOT loud)::INT) OVER (PARTITION BY stream ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM t),
 n AS (SELECT stream, run, count(*) FILTER (loud) AS n FROM u GROUP BY 1, 2), lr AS (SELECT stream, max(n) AS longest_run FROM n GROUP BY 1)"""
 
+_LOW, _HIGH = 2, 12  # lags of 220 and 40 beats a minute at FPS
+TW_SQL = f"""{S_SQL}, o1 AS (SELECT stream, frame, greatest(0.0, coalesce(x - lag(x) OVER w, 0)) AS r FROM s WINDOW w AS (PARTITION BY stream ORDER BY frame)),
+ o AS (SELECT stream, frame, 0.25 * lag(r, 1, 0.0) OVER w + 0.5 * r + 0.25 * lead(r, 1, 0.0) OVER w AS v FROM o1 WINDOW w AS (PARTITION BY stream ORDER BY frame)),
+ wi AS (SELECT *, unnest(generate_series(greatest(0, floor((frame - {TEMPO_SIZE}) / {TEMPO_HOP}.0)::BIGINT + 1), frame // {TEMPO_HOP})) AS "window" FROM o),
+ wc AS (SELECT *, v - avg(v) OVER (PARTITION BY stream, "window") AS c, count(*) OVER (PARTITION BY stream, "window") AS n FROM wi),
+ wl AS (SELECT stream, "window", list(c ORDER BY frame) AS l, sum(c * c) AS e FROM wc WHERE n = {TEMPO_SIZE} GROUP BY 1, 2),
+ ac AS (SELECT stream, "window", lag, list_sum(list_transform(range(1, {TEMPO_SIZE} - lag + 1), lambda i: l[i] * l[i + lag])) / ({TEMPO_SIZE} - lag) / (e / {TEMPO_SIZE}) AS r FROM wl, (SELECT unnest(range({_LOW}, {_HIGH + 1}))::BIGINT AS lag) WHERE e > 0),
+ sc AS (SELECT a.*, round((a.r + 0.5 * coalesce(b.r, 0)) * exp(-0.5 * (log2(60 * {FPS} / a.lag / 120.0) / 0.9) ** 2), 12) AS score, lag(a.r) OVER w AS r0, lead(a.r) OVER w AS r2 FROM ac a LEFT JOIN ac b ON b.stream = a.stream AND b."window" = a."window" AND b.lag = 2 * a.lag WINDOW w AS (PARTITION BY a.stream, a."window" ORDER BY a.lag)),
+ be AS (SELECT stream, "window", arg_max(lag, (score, -lag)) AS lag, arg_max(r, (score, -lag)) AS r, arg_max({{'a': r0, 'b': r2}}, (score, -lag)) AS q, max(score) AS score FROM sc GROUP BY 1, 2),
+ sh AS (SELECT *, CASE WHEN q.a IS NOT NULL AND q.b IS NOT NULL AND q.a - 2 * r + q.b <> 0 THEN 0.5 * (q.a - q.b) / (q.a - 2 * r + q.b) ELSE 0 END AS d FROM be WHERE score > 0),
+ tw AS (SELECT wl.stream, wl."window", 60 * {FPS} / (lag + CASE WHEN abs(d) <= 1 THEN d ELSE 0 END) AS bpm, r AS correlation, 60 * {FPS} / lag - 60 * {FPS} / (lag + 1) AS resolution FROM wl LEFT JOIN sh USING (stream, "window"))"""
+TR_SQL = f"""{TW_SQL}, m1 AS (SELECT stream, list_sort(list(bpm)) AS l, list_sort(list(correlation)) AS k FROM tw WHERE bpm IS NOT NULL GROUP BY 1), m2 AS (SELECT stream, l[len(l) // 2 + 1] AS reference, k[len(k) // 2 + 1] AS correlation FROM m1),
+ f1 AS (SELECT tw.stream, tw.correlation, resolution, reference, bpm AS b, abs(log2(bpm / reference)) AS d0, CASE WHEN bpm / 2 BETWEEN 40 AND 220 THEN abs(log2(bpm / 2 / reference)) END AS d1, CASE WHEN bpm * 2 BETWEEN 40 AND 220 THEN abs(log2(bpm * 2 / reference)) END AS d2 FROM tw JOIN m2 USING (stream) WHERE bpm IS NOT NULL),
+ f2 AS (SELECT *, CASE WHEN d0 <= coalesce(d1, d0) AND d0 <= coalesce(d2, d0) THEN b WHEN coalesce(d1, 99) <= coalesce(d2, 99) THEN b / 2 ELSE b * 2 END AS bpm FROM f1),
+ m3 AS (SELECT stream, list_sort(list(bpm)) AS l FROM f2 GROUP BY 1), m4 AS (SELECT stream, l[len(l) // 2 + 1] AS centre FROM m3),
+ g1 AS (SELECT *, correlation >= 0.2 AS pulse, correlation >= 0.2 AND abs(bpm - reference) / reference < 0.25 AS reliable FROM f2 JOIN m4 USING (stream)),
+ g2 AS (SELECT stream, centre, count(*) AS placed, count(*) FILTER (abs(bpm - centre) / centre <= 0.1) / count(*) AS agreement, count(*) FILTER (reliable) AS nr, count(*) FILTER (pulse) AS np, min(bpm) FILTER (reliable) AS lr, max(bpm) FILTER (reliable) AS hr, min(bpm) FILTER (pulse) AS lp, max(bpm) FILTER (pulse) AS hp, min(resolution) AS resolution FROM g1 GROUP BY 1, 2),
+ g3 AS (SELECT n.stream, n.windows, g2.*, m2.correlation, coalesce(m2.correlation >= 0.2, false) AS established, agreement < 0.5 AS wd FROM (SELECT stream, count(*) AS windows FROM tw GROUP BY 1) n LEFT JOIN g2 USING (stream) LEFT JOIN m2 USING (stream)),
+ g4 AS (SELECT *, CASE WHEN wd THEN lp ELSE lr END AS lo, CASE WHEN wd THEN hp ELSE hr END AS hi, CASE WHEN CASE WHEN wd THEN np ELSE nr END >= 3 THEN CASE WHEN wd THEN hp - lp ELSE hr - lr END END AS spread, greatest(2 * resolution, 1.5) AS fl FROM g3)"""
+
 ORACLE = {
+    "tempo_windows": f'WITH {TW_SQL} SELECT stream, "window", round(bpm, 5) AS bpm, round(correlation, 5) AS correlation, round(resolution, 5) AS resolution FROM tw',
+    "tempo_readings": f"""WITH {TR_SQL} SELECT stream, windows, coalesce(placed, 0) AS placed, round(centre, 5) AS bpm, round(correlation, 5) AS correlation, round(agreement, 5) AS agreement, established, CASE WHEN established THEN wd END AS wanders,
+      CASE WHEN NOT established THEN NULL WHEN wd THEN 'low' WHEN correlation >= 0.25 AND agreement >= 0.85 THEN 'high' WHEN correlation >= 0.2 AND agreement >= 0.6 THEN 'medium' ELSE 'low' END AS confidence,
+      CASE WHEN established THEN NOT wd AND NOT coalesce(spread > fl, false) END AS steady, CASE WHEN established AND spread > fl THEN round(lo, 5) END AS least, CASE WHEN established AND spread > fl THEN round(hi, 5) END AS greatest,
+      round(CASE WHEN established AND centre >= 140 THEN centre / 2 WHEN established AND centre <= 80 THEN centre * 2 END, 5) AS feel, CASE WHEN established THEN NULL WHEN placed IS NULL THEN 'no repeating pulse' ELSE 'not regular enough' END AS reason FROM g4""",
     "levels_per_channel": f"WITH {S_SQL} {LEVELS_SQL} FROM s GROUP BY stream",
     "levels_overall": f"""WITH {S_SQL}, c AS (SELECT stream, event_type, max(abs(x)) AS peak, sqrt(avg(x * x)) AS rms, bool_and(x = 0) AS q FROM s GROUP BY 1, 2)
       SELECT stream, count(*) AS channels, round(max(peak), 6) AS peak, round(sqrt(avg(rms * rms)), 6) AS rms, 0 AS non_finite, bool_and(q) AS digital_silence FROM c GROUP BY stream""",

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auricle.functions import measures, texts
-from auricle.operators import gating, harmony, levels, library, provenance, rules, series
+from auricle.operators import gating, harmony, levels, library, provenance, rules, series, tempo
 
 
 def one(spark, column):
@@ -143,6 +143,26 @@ def test_stream_collectors_against_arrays(spark):
         assert power == pytest.approx((filtered[k][10 * i : 10 * i + 10] ** 2).sum())
 
 
+def test_tempo_of_click_tracks(spark):
+    fps, rows = 200.0, []
+    for bpm in (60, 90, 120, 150, 174):
+        x = np.zeros(int(45 * fps))
+        x[np.rint(np.arange(0, 45 * fps, 60 * fps / bpm)).astype(int).clip(0, len(x) - 1)] = 1
+        rows += [(str(bpm), i, float(v)) for i, v in enumerate(x)]
+    noise = np.random.default_rng(1).random(int(45 * fps))
+    rows += [("noise", i, float(v)) for i, v in enumerate(noise)] + [("silence", i, 0.0) for i in range(9000)]
+    signal = tempo.onsets(spark.createDataFrame(rows, "stream string, i long, x double"), ["stream"], "i", "x")
+    got = {r["stream"]: r for r in tempo.readings(tempo.windows(signal, ["stream"], "i", fps, int(12 * fps), int(6 * fps)), ["stream"]).collect()}
+    for bpm in (60, 90, 120, 150, 174):
+        r = got[str(bpm)]
+        assert r["established"] and r["confidence"] == "high" and r["steady"]
+        # bare clicks fit half their tempo as well, so that the prior alone chooses: 87 lies nearer its centre than 174
+        assert abs(r["bpm"] - (bpm if bpm < 174 else bpm / 2)) < 1, (bpm, r)
+    assert got["150"]["feel"] == pytest.approx(75, abs=0.5) and got["60"]["feel"] == pytest.approx(120, abs=0.5) and got["120"]["feel"] is None
+    assert not got["noise"]["established"] and got["noise"]["reason"] == "not regular enough"
+    assert not got["silence"]["established"] and got["silence"]["reason"] == "no repeating pulse" and got["silence"]["placed"] == 0
+
+
 def test_pitch_classes(spark):
     assert [one(spark, harmony.pitch_class(F.lit(h))) for h in (440.0, 261.63, 246.94)] == [9, 0, 11]
 
