@@ -8,6 +8,59 @@ from pyspark.sql import functions as F
 from auricle.functions import texts
 
 
+# The columns of a table of reports, in their order; new ones are only ever put at the end.
+COLUMNS = [
+    "File", "Folder path", "Read result", "Container", "Codec", "Sample rate (Hz)", "Bit depth", "Valid bits", "Channels", "Channel layout", "Layout name", "Duration (s)", "Duration (h:mm:ss)",
+    "Sample frames", "File size (bytes)", "Peak (dBFS)", "RMS (dBFS)", "Full-scale samples", "Longest full-scale run", "All silent", "Levels measured from", "BWF description", "BWF originator",
+    "BWF origination date", "BWF origination time", "BWF timecode", "iXML project", "iXML scene", "iXML take", "INFO title", "INFO artist", "Lossless", "Bitrate (kbps)", "Bitrate mode", "Profile",
+    "Encoder", "Byte order", "Duration source", "Title", "Artist", "Album", "Track", "ISRC", "ISRC found in", "Gapless true length (s)", "Encoded peak (dBFS)", "Audio MD5", "Origin flag",
+    "Origin confidence", "Origin headline", "Origin reasons", "Content Credentials", "Tools named", "Level measurement source", "Integrated loudness (LUFS)", "Loudness range (LU)", "True peak (dBTP)",
+    "Short-term max (LUFS)", "Momentary max (LUFS)", "Stated BPM", "Stated BPM source", "Measured BPM", "Tempo confidence", "Tempo steady", "Tempo low BPM", "Tempo high BPM", "Key signature",
+    "Key notes", "Likely key", "Other keys, same notes", "Key confidence", "How tonal", "Observations", "Needs a look", "Worth noting", "Checked at", "Samples not readable",
+]
+# What a table says of a report's status and origin.
+READ = {"ok": "fully read", "partial": "partly read", "failed": "could not be read"}
+ORIGIN = {"declared": "declares AI generation", "possible": "possible AI generation"}
+
+
+def yes_no(x: Column) -> Column:
+    """yes, no, or nothing where it is not known."""
+    return F.when(x, "yes").when(~x, "no")
+
+
+def clock(seconds: Column) -> Column:
+    """h:mm:ss.mmm with hours always."""
+    s = seconds - F.floor(seconds / 60) * 60
+    return F.when(seconds.isNotNull() & ~F.isnan(seconds), F.format_string("%d:%02d:%06.3f", F.floor(seconds / 3600), F.floor(seconds / 60) % 60, s))
+
+
+def decibel_cell(db: Column) -> Column:
+    return F.when(db == float("-inf"), "-inf").when(~F.isnan(db) & (F.abs(db) < float("inf")), F.format_string("%.2f", db))
+
+
+def report_table(reports: DataFrame) -> DataFrame:
+    """The table of reports under COLUMNS, as text; a column that the reports do not have is empty. It goes to write_csv as it is."""
+    has = set(reports.columns)
+    c = lambda name: F.col(name) if name in has else F.lit(None)
+    measured = lambda x: F.when(F.col("measured"), x) if "measured" in has else F.lit(None)
+    named = lambda of: F.create_map(*(F.lit(x) for pair in of.items() for x in pair))
+    titles = lambda severity: F.array_join(F.transform(F.filter("observations", lambda o: o["severity"] == severity), lambda o: o["title"]), " | ")
+    text = lambda name: c(name).cast("string")
+    known = {
+        "File": text("report_id"), "Read result": F.try_element_at(named(READ), c("status").cast("string")), "Container": text("kind"), "Codec": text("codec"), "Sample rate (Hz)": text("sample_rate"),
+        "Bit depth": text("bit_depth"), "Valid bits": text("valid_bits"), "Channels": text("channels"), "Duration (s)": F.format_string("%.6f", c("seconds").cast("double")) if "seconds" in has else F.lit(None),
+        "Duration (h:mm:ss)": clock(c("seconds").cast("double")), "Sample frames": text("frames"), "File size (bytes)": text("actual_size"), "Peak (dBFS)": measured(decibel_cell(c("peak_dbfs").cast("double"))),
+        "Full-scale samples": measured(text("full_scale")), "Longest full-scale run": measured(text("longest_run")), "All silent": measured(yes_no(c("digital_silence").cast("boolean"))),
+        "Lossless": yes_no(c("lossless").cast("boolean")), "Origin flag": F.try_element_at(named(ORIGIN), c("origin_flag").cast("string")), "Content Credentials": F.when(c("manifest").cast("boolean"), "present (signature not checked)"),
+        "Tools named": F.nullif(F.array_join(F.array_distinct(c("tools").cast("array<string>")), "; "), F.lit("")), "Level measurement source": measured(F.when(c("source") == "decoded", "decoded").otherwise("the file's own samples")),
+        "True peak (dBTP)": decibel_cell(c("true_peak").cast("double")), "Observations": F.size("observations").cast("string") if "observations" in has else F.lit(None),
+        "Needs a look": titles("attention") if "observations" in has else F.lit(None), "Worth noting": titles("notice") if "observations" in has else F.lit(None), "Samples not readable": measured(text("non_finite")),
+    }
+    seconds = known["Duration (s)"]
+    known["Duration (s)"] = F.when(c("seconds").isNotNull(), seconds)
+    return reports.select(*(known.get(name, F.lit(None)).cast("string").alias(name) for name in COLUMNS))
+
+
 def shown(value: Column, kind: str) -> Column:
     """A value as a cell: NULL is empty, minus infinity is -inf, text is guarded against formulas."""
     text = value.cast("string")

@@ -100,6 +100,68 @@ def phrases_found(value: Column, phrases: list[tuple[str, int]] = PHRASES) -> Co
     return F.filter(F.array(*entries), lambda x: x.isNotNull())
 
 
+# The fields that say what made a file, in the order in which they are read (label, scheme, key).
+ORIGIN_FIELDS = [
+    ("Encoder settings (ID3 TSSE)", "id3v2", "TSSE"),
+    ("Encoded by (ID3 TENC)", "id3v2", "TENC"),
+    ("Comment (ID3)", "id3v2", "COMM"),
+    ("User text (ID3 TXXX)", "id3v2", "TXXX"),
+    ("ID3v1 comment", "id3v1", "comment"),
+    ("Encoder (MP4 ©too)", "itunes", "©too"),
+    ("Encoded by (MP4 ©enc)", "itunes", "©enc"),
+    ("Comment (MP4)", "itunes", "©cmt"),
+    ("Description (MP4)", "itunes", "desc"),
+    ("Encoder (Vorbis ENCODER)", "vorbis", "ENCODER"),
+    ("Encoder vendor", "vorbis", "VENDOR"),
+    ("Software (Vorbis)", "vorbis", "SOFTWARE"),
+    ("Comment (Vorbis)", "vorbis", "COMMENT"),
+    ("Description (Vorbis)", "vorbis", "DESCRIPTION"),
+    ("Software (INFO ISFT)", "info", "ISFT"),
+    ("Comment (INFO ICMT)", "info", "ICMT"),
+    ("Technician (INFO ITCH)", "info", "ITCH"),
+    ("BWF originator", "bext", "originator"),
+    ("BWF coding history", "bext", "coding_history"),
+    ("BWF description", "bext", "description"),
+    ("iXML note", "ixml", "NOTE"),
+    ("AIFF annotation", "aiff", "ANNO"),
+    ("CAF encoder", "caf", "encoder"),
+    ("LAME encoder", "lame", "encoder"),
+    ("Encoder", "format", "encoder"),
+]
+
+
+def origin_fields(tags: DataFrame) -> DataFrame:
+    """report_id, ord, label and value of the fields that say what made a file, from tags (report_id, scheme, ord, key, value). Of a repeated ID3 frame the last
+    counts, of others the first; blank ones are left out; a note of iXML is taken out of its text."""
+    spark = tags.sparkSession
+    listed = spark.createDataFrame([(i, *x) for i, x in enumerate(ORIGIN_FIELDS)], "field_ord int, label string, scheme string, key string")
+    note = F.regexp_extract("value", r"(?is)<NOTE>(.*?)</NOTE>", 1)
+    keyed = tags.withColumns({"value": F.trim(F.when(F.col("scheme") == "ixml", note).otherwise(F.col("value"))), "key": F.when(F.col("scheme") == "ixml", "NOTE").when(F.col("key").startswith("TXXX:"), "TXXX").otherwise(F.col("key"))})
+    met = keyed.where("value <> ''").join(F.broadcast(listed), ["scheme", "key"])
+    value = F.when(F.first("scheme") == "id3v2", F.max_by("value", "ord")).otherwise(F.min_by("value", "ord"))
+    return met.groupBy("report_id", F.col("field_ord").alias("ord"), "label").agg(value.alias("value"))
+
+
+def assess_files(fields: DataFrame, tools: list[Tool] = TOOLS, phrases: list[tuple[str, int]] = PHRASES) -> DataFrame:
+    """For each file with origin fields: the tools named (each once, by its strongest mention, in the order of fields), the phrases, flag, weight of the strongest reason
+    and a sentence. A file's few fields are matched where they stand, then combined by one aggregation."""
+    common = [t.name for t in tools if t.common]
+    rows = fields.withColumns({"t": tools_named(F.col("value"), tools), "p": phrases_found(F.col("value"), phrases)})
+    named = rows.select("report_id", F.col("ord").alias("field_ord"), F.explode_outer("t").alias("t"))
+    per_tool = named.groupBy("report_id", F.col("t.name").alias("name"), F.col("t.kind").alias("kind")).agg(F.min(F.struct("field_ord", "t.ord")).alias("first"), F.max("t.weight").alias("weight"))
+    generator = F.col("kind").isin(*GENERATIVE)
+    made = per_tool.groupBy("report_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("first", "name")))), lambda x: x["name"]).alias("tools"),
+        F.max(F.when(generator, F.col("weight"))).alias("tool_weight"), F.coalesce(F.bool_or(generator & ~F.col("name").isin(*common)), F.lit(False)).alias("declared"),
+    )
+    said = rows.select("report_id", F.explode_outer("p").alias("p")).groupBy("report_id").agg(F.max("p.weight").alias("phrase_weight"), F.countDistinct("p.phrase").alias("phrases"))
+    out = made.join(said, "report_id")
+    weight = F.greatest("tool_weight", "phrase_weight")
+    flag = F.when(F.col("declared"), "declared").when(weight.isNotNull(), "possible").otherwise("none")
+    sentence = F.when(F.size("tools") > 0, F.concat(F.lit("Names "), F.array_join("tools", ", "), F.lit(" in its metadata"))).otherwise("Records what made it, and none of the known tools")
+    return out.select("report_id", "tools", "phrases", flag.alias("flag"), weight.alias("weight"), sentence.alias("summary"))
+
+
 def most_specific(terms: Column) -> Column:
     """The terms that no other term contains."""
     return F.filter(terms, lambda t: ~F.exists(terms, lambda o: (F.length(o) > F.length(t)) & F.contains(o, t)))

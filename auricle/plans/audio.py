@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from auricle.operators import export, reports, rules
+from auricle.operators import export, provenance, reports, rules
 from auricle.plans import streams
+from auricle.plans import text as text_plans
 from auricle.sources import containers, tags
 
 RATE, ODD_RATE = 8000, 47952
@@ -86,21 +87,24 @@ def tagged_files(spark, sf_dir):
     u = lambda v, w, little=False: _number(v if isinstance(v, Column) else F.lit(v).cast("long"), w, little)
     odd = lambda b: F.when(F.length(b) % 2 == 1, F.concat(b, F.lit(b"\0"))).otherwise(b)
     chunk = lambda n, b, little: F.concat(text(n), u(F.length(b), 4, little), odd(b))
-    info = F.concat(text("INFO"), chunk("INAM", name, True), chunk("IART", phone, True), chunk("INAM", phone, True))
+    # what made each file: one of the tools that are known, or none
+    tools_ = [t.match.title() for t in provenance.TOOLS]
+    maker = F.encode(F.concat(F.when(key % 5 == 0, "Made with ").otherwise("Desk "), F.when(key % 3 > 0, F.get(F.array(*map(F.lit, tools_)), (key % len(tools_)).cast("int"))).otherwise("x")), "UTF-8")
+    info = F.concat(text("INFO"), chunk("INAM", name, True), chunk("IART", phone, True), chunk("INAM", phone, True), chunk("ISFT", maker, True))
     point = lambda i, at: F.concat(u(i, 4, True), u(0, 4, True), text("data"), u(0, 4, True), u(0, 4, True), u(at, 4, True))
     cue = F.concat(u(2, 4, True), point(1, key % 1000), point(2, key % 7))
     labels = F.concat(text("adtl"), chunk("labl", F.concat(u(1, 4, True), phone), True), chunk("labl", F.concat(u(1, 4, True), name), True))
     body = F.concat(text("WAVE"), chunk("LIST", info, True), chunk("cue ", cue, True), chunk("LIST", labels, True))
     wav = F.concat(text("RIFF"), u(F.length(body), 4, True), body)
     frame = lambda n, b: F.concat(text(n), u(F.length(b) + 1, 4), u(0, 2), F.lit(b"\0"), b)
-    id3 = F.concat(frame("TIT2", phone), frame("TPE1", phone), frame("TIT2", name), frame("TXXX", F.concat(text("mood"), F.lit(b"\0"), phone)))
+    id3 = F.concat(frame("TIT2", phone), frame("TPE1", phone), frame("TIT2", name), frame("TXXX", F.concat(text("mood"), F.lit(b"\0"), phone)), frame("TSSE", phone), frame("TSSE", maker))
     safe = lambda n: F.concat(*(u(F.shiftright(n, 7 * i) % 128, 1) for i in (3, 2, 1, 0)))
     # frames of 417 bytes: version 1, layer 3, 128 kilobits, 44.1 kHz
     mp3 = F.concat(text("ID3"), F.lit(b"\3\0\0"), safe(F.length(id3)), id3, F.unhex(F.repeat(F.lit("FFFB9000" + "00" * 413), (key % 40 + 2).cast("int"))))
     comment = lambda b: F.concat(u(F.length(b), 4, True), b)
-    comments = F.concat(comment(text("x")), u(3, 4, True), comment(F.concat(text("title="), name)), comment(F.concat(text("ARTIST="), phone)), comment(F.concat(text("artist="), name)))
+    comments = F.concat(comment(text("x")), u(4, 4, True), comment(F.concat(text("encoder="), maker)), comment(F.concat(text("title="), name)), comment(F.concat(text("ARTIST="), phone)), comment(F.concat(text("artist="), name)))
     flac = F.concat(text("fLaC"), u(4 + 128, 1), u(F.length(comments), 3), comments)
-    forms = F.concat(text("AIFF"), chunk("NAME", name, False), chunk("AUTH", phone, False))
+    forms = F.concat(text("AIFF"), chunk("NAME", name, False), chunk("AUTH", phone, False), chunk("ANNO", maker, False))
     aiff = F.concat(text("FORM"), u(F.length(forms), 4), forms)
     kind = key % 4
     return p.select(key.cast("string").alias("report_id"), F.when(kind == 0, wav).when(kind == 1, mp3).when(kind == 2, flac).otherwise(aiff).alias("content"))
@@ -117,6 +121,12 @@ def file_tags(spark, sf_dir):
     return t.groupBy("scheme", "key").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("greatest"))
 
 
+def file_origins(spark, sf_dir):
+    """What each file's metadata say of what made it."""
+    out = provenance.assess_files(provenance.origin_fields(tags.tags(tagged_files(spark, sf_dir))))
+    return out.select("report_id", F.array_join("tools", ", ").alias("tools"), "phrases", "flag", F.col("weight").cast("long").alias("weight"), "summary")
+
+
 def cue_points(spark, sf_dir):
     return tags.labelled_cues(tags.tags(tagged_files(spark, sf_dir)))
 
@@ -127,7 +137,7 @@ def mpeg_lengths(spark, sf_dir):
     return out.select("report_id", "sample_rate", "channels", "codec", "frames", F.round("seconds", 6).alias("seconds"))
 
 
-QUERIES = {f.__name__: f for f in (container_formats, container_levels, file_observations, file_reports, file_fields, file_tags, cue_points, mpeg_lengths)}
+QUERIES = {f.__name__: f for f in (container_formats, container_levels, file_observations, file_reports, file_fields, file_tags, file_origins, cue_points, mpeg_lengths)}
 _Q = f"""WITH {streams.S_SQL}, q AS (SELECT stream, stream || '-' || frame // {FILE_FRAMES} AS report_id, frame % {FILE_FRAMES} AS frame, greatest(-32768, least(32767, floor(x * 40000 + 0.5))) / 32768 AS y FROM s),
   m AS (SELECT report_id, any_value(stream) % 6 AS kind, count(*) AS n, max(abs(y)) AS peak, sqrt(avg(y * y)) AS rms, avg(y) AS dc, count(*) FILTER (abs(y) >= 32767 / 32768) AS full_scale, bool_and(y = 0) AS silent FROM q GROUP BY 1),
   u AS (SELECT report_id, abs(y) >= 32767 / 32768 AS loud, sum((abs(y) < 32767 / 32768)::INT) OVER (PARTITION BY report_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS run FROM q),
@@ -147,16 +157,21 @@ _Q = f"""WITH {streams.S_SQL}, q AS (SELECT stream, stream || '-' || frame // {F
     UNION ALL SELECT report_id, status, 1, 19, 'peak-at-ceiling', 'notice', 'Peak at ' || pt || ' dBFS', 'The loudest sample stands at ' || pt || ' dBFS, without a long run there.' FROM g WHERE NOT silent AND longest_run < 3 AND db >= -0.1
     UNION ALL SELECT report_id, status, 2, 21, 'level-very-low', 'info', 'Low peak of ' || pt || ' dBFS', 'The loudest sample stands at ' || pt || ' dBFS, far below full scale.' FROM g WHERE NOT silent AND db < -40
     UNION ALL SELECT report_id, status, 1, 22, 'dc-offset', 'notice', 'Offset from zero', 'channel 1: ' || printf('%.3f', round((dc * 100)::DECIMAL(18, 9), 3)::DOUBLE) || ' % of full scale.' FROM g WHERE NOT silent AND abs(dc) > 0.001)"""
-_C = "WITH c AS (SELECT c_custkey AS k, c_custkey::VARCHAR AS report_id, c_custkey % 4 AS kind, c_name AS name, c_mktsegment AS phone FROM customer)"
+_MAKERS = [t.match.title() for t in provenance.TOOLS]
+_C = f"""WITH c AS (SELECT c_custkey AS k, c_custkey::VARCHAR AS report_id, c_custkey % 4 AS kind, c_name AS name, c_mktsegment AS phone,
+  CASE WHEN c_custkey % 5 = 0 THEN 'Made with ' ELSE 'Desk ' END || CASE WHEN c_custkey % 3 > 0 THEN ({_MAKERS})[c_custkey % {len(_MAKERS)} + 1] ELSE 'x' END AS maker FROM customer)"""
 ORACLE = {
     "file_fields": f"""{_C} SELECT report_id, 'title' AS field, name AS value FROM c UNION ALL
       SELECT report_id, 'artist', CASE WHEN kind = 2 THEN phone || '; ' || name ELSE phone END FROM c""",
     "file_tags": f"""{_C}, t AS (SELECT 'info' AS scheme, 'INAM' AS key, name AS v FROM c WHERE kind = 0 UNION ALL SELECT 'info', 'INAM', phone FROM c WHERE kind = 0 UNION ALL SELECT 'info', 'IART', phone FROM c WHERE kind = 0
       UNION ALL SELECT 'cue', '1', (k % 1000)::VARCHAR FROM c WHERE kind = 0 UNION ALL SELECT 'cue', '2', (k % 7)::VARCHAR FROM c WHERE kind = 0 UNION ALL SELECT 'adtl', '1', unnest([phone, name]) FROM c WHERE kind = 0
       UNION ALL SELECT 'id3v2', 'TIT2', unnest([phone, name]) FROM c WHERE kind = 1 UNION ALL SELECT 'id3v2', 'TPE1', phone FROM c WHERE kind = 1 UNION ALL SELECT 'id3v2', 'TXXX:mood', phone FROM c WHERE kind = 1
+      UNION ALL SELECT ['info', 'id3v2', 'vorbis', 'aiff'][kind + 1], ['ISFT', 'TSSE', 'ENCODER', 'ANNO'][kind + 1], maker FROM c UNION ALL SELECT 'id3v2', 'TSSE', phone FROM c WHERE kind = 1
       UNION ALL SELECT 'vorbis', 'VENDOR', 'x' FROM c WHERE kind = 2 UNION ALL SELECT 'vorbis', 'TITLE', name FROM c WHERE kind = 2 UNION ALL SELECT 'vorbis', 'ARTIST', unnest([phone, name]) FROM c WHERE kind = 2
       UNION ALL SELECT 'aiff', 'NAME', name FROM c WHERE kind = 3 UNION ALL SELECT 'aiff', 'AUTH', phone FROM c WHERE kind = 3)
       SELECT scheme, key, count(*) AS n, min(v) AS least, max(v) AS greatest FROM t GROUP BY ALL""",
+    "file_origins": text_plans._assessed_sql(_C.removeprefix("WITH ") + ", r AS (SELECT report_id AS id, maker AS text FROM c)") + """, w AS (SELECT id, string_agg(name, ', ' ORDER BY name) AS names FROM tm GROUP BY 1)
+      SELECT id AS report_id, coalesce(names, '') AS tools, phrases, flag, weight, CASE WHEN tools > 0 THEN 'Names ' || names || ' in its metadata' ELSE 'Records what made it, and none of the known tools' END AS summary FROM a LEFT JOIN w USING (id)""",
     "cue_points": f"{_C} SELECT report_id, '1' AS cue, k % 1000 AS sample, name AS label FROM c WHERE kind = 0 UNION ALL SELECT report_id, '2', k % 7, NULL FROM c WHERE kind = 0",
     "mpeg_lengths": f"{_C} SELECT report_id, 44100 AS sample_rate, 2 AS channels, 'mp3' AS codec, (k % 40 + 2) * 1152 AS frames, round((k % 40 + 2) * 1152 / 44100, 6) AS seconds FROM c WHERE kind = 1",
     "container_formats": f"{_Q} SELECT report_id, ['wav', 'aiff', 'caf', 'wav', 'wav', 'wav'][kind + 1] AS kind, 'pcm' AS codec, 'pcm-int' AS codec_family, rate AS sample_rate, 1 AS channels, 16 AS bit_depth, n AS frames, round(seconds, 6) AS seconds, shortfall = 0 AS exact, shortfall FROM g",

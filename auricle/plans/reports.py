@@ -138,6 +138,11 @@ def report_text(spark, sf_dir):
     return export.report_text(_observed(spark, sf_dir))
 
 
+def report_cells(spark, sf_dir):
+    """The table of reports, all columns."""
+    return export.report_table(_observed(spark, sf_dir))
+
+
 def batch_counts(spark, sf_dir):
     return export.batch_counts(_observed(spark, sf_dir))
 
@@ -252,7 +257,7 @@ def batch_sort_desc(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    rules_observations, severity_pivot, report_text, batch_counts, status_derivation, status_counts, summary_projection, nearest_standard_rate, client_stats, sorted_clients, project_stats, library_stats,
+    rules_observations, severity_pivot, report_text, report_cells, batch_counts, status_derivation, status_counts, summary_projection, nearest_standard_rate, client_stats, sorted_clients, project_stats, library_stats,
     history_flatten, history_latest, log_append, merge_measurements, summary_fallback, duplicate_names, batch_sort_asc, batch_sort_desc)}
 
 E_SQL = "e AS (SELECT o_custkey || '/' || o_orderpriority AS project_id, o_custkey AS client_id, o_orderpriority AS project, o_orderkey AS entry_id, strftime(o_orderdate, '%Y-%m-%d') AS ts, o_totalprice AS measure, o_orderstatus AS status FROM orders)"
@@ -262,7 +267,22 @@ COUNT_SQL = f"""n AS (SELECT report_id, count(*) FILTER (severity = 'attention')
  m AS (SELECT q.report_id, status, coalesce(attention, 0) AS attention, coalesce(notice, 0) AS notice, coalesce(info, 0) AS info, top, coalesce(attention, 0) * 1000 + coalesce(notice, 0) AS findings_rank FROM q LEFT JOIN n USING (report_id))"""
 _RATES = "(VALUES " + ", ".join(f"({r}, {i})" for i, r in enumerate(rules.STANDARD_RATES)) + ") t(std, o)"
 
+_YES = "CASE WHEN {0} THEN 'yes' WHEN NOT ({0}) THEN 'no' END"
+_CELL = "CASE WHEN {0} = '-inf'::DOUBLE THEN '-inf' WHEN {0} IS NOT NULL THEN printf('%.2f', {0}) END"
+_CELLS_SQL = {
+    "File": "report_id::VARCHAR", "Read result": "CASE status WHEN 'ok' THEN 'fully read' WHEN 'partial' THEN 'partly read' ELSE 'could not be read' END", "Codec": "codec", "Sample rate (Hz)": "sample_rate::VARCHAR",
+    "Bit depth": "bit_depth::VARCHAR", "Valid bits": "valid_bits::VARCHAR", "Channels": "channels::VARCHAR", "Duration (s)": "printf('%.6f', seconds)",
+    "Duration (h:mm:ss)": "printf('%d:%02d:%06.3f', floor(seconds / 3600)::INT, floor(seconds / 60)::INT % 60, seconds - floor(seconds / 60) * 60)", "File size (bytes)": "actual_size::VARCHAR",
+    "Peak (dBFS)": f"CASE WHEN measured THEN {_CELL.format('db')} END", "Longest full-scale run": "CASE WHEN measured THEN longest_run::VARCHAR END", "All silent": f"CASE WHEN measured AND peak IS NOT NULL THEN {_YES.format('silent')} END",
+    "Lossless": _YES.format("NOT decoded"), "Origin flag": "CASE origin_flag WHEN 'declared' THEN 'declares AI generation' WHEN 'possible' THEN 'possible AI generation' END",
+    "Content Credentials": "CASE WHEN manifest THEN 'present (signature not checked)' END", "Tools named": "CASE WHEN tools THEN 'a; b' END",
+    "Level measurement source": "CASE WHEN measured THEN CASE WHEN decoded THEN 'decoded' ELSE 'the file''s own samples' END END", "True peak (dBTP)": _CELL.format("(db + 0.3)"),
+    "Observations": "coalesce(n, 0)::VARCHAR", "Needs a look": "coalesce(look, '')", "Worth noting": "coalesce(worth, '')", "Samples not readable": "CASE WHEN measured THEN non_finite::VARCHAR END",
+}
+
 ORACLE = {
+    "report_cells": f"""WITH {R_SQL}, {_o_sql()}, x AS (SELECT report_id, count(*) AS n, string_agg(title, ' | ' ORDER BY rule_ord, nth) FILTER (severity = 'attention') AS look, string_agg(title, ' | ' ORDER BY rule_ord, nth) FILTER (severity = 'notice') AS worth FROM o GROUP BY 1)
+      SELECT {", ".join(f'{_CELLS_SQL.get(name, "NULL::VARCHAR")} AS "{name}"' for name in export.COLUMNS)} FROM q LEFT JOIN x USING (report_id)""",
     "rules_observations": f"WITH {R_SQL}, {_o_sql()} SELECT report_id, row_number() OVER (PARTITION BY report_id ORDER BY {RANK_SQL}, rule_ord, nth) - 1 AS place, rule_id, obs_id, severity, title, detail FROM o",
     "severity_pivot": f"WITH {R_SQL}, {_o_sql()}, {COUNT_SQL} SELECT report_id, attention, notice, info, top, findings_rank FROM m",
     "report_text": f"""WITH {R_SQL}, {_o_sql()}, x AS (SELECT report_id, count(*) AS n, string_agg('  [' || severity || '] ' || title || chr(10) || '      ' || detail, chr(10) ORDER BY {RANK_SQL}, rule_ord, nth) AS t FROM o GROUP BY 1),
