@@ -42,16 +42,16 @@ from . import common, words
 ORDERS = (1, 2, 3, 4, 5, 6, 0)
 SPELL_BITS = 19
 #: Slots of the code's contexts, one after the other: class, the word before. Match bits have their own in each.
-CODE_SLOTS = (1 << 20, 1 << 22)
+CODE_SLOTS = (1 << 20, 1 << 21)
 CODE_AT = tuple(int(x) for x in np.cumsum((0, *CODE_SLOTS))[:-1])
 BOOK = (1 << 16) - 1
 CLASSES, BINS, ROUNDS = 8, 64, 6
-#: Words of an anchor's context; one context in ANCHORS is an anchor; words that are compared after it at most.
+#: Words of an anchor's context; one context in ANCHORS is an anchor (those with the smallest hashes); words that are compared after it, at most 31.
 CONTEXT, ANCHORS, FOLLOW = 3, 6, 16
 #: Distinct words and tokens of a block of documents; one block is held in memory at a time.
 BLOCK_WORDS, BLOCK_TOKENS = 400_000, 2_000_000
 #: Tokens of a stored row of coded documents, and bits' tokens that are predicted together and in one online step of the weights.
-ROW_TOKENS, STEP, BATCH = 100_000, 1 << 13, 1 << 11
+ROW_TOKENS, STEP, BATCH = 100_000, 1 << 13, 1 << 12
 #: Words and tokens of a shard, on average.
 SHARD_WORDS, SHARD_TOKENS = 400_000, 4_000_000
 #: Tokens (or distinct words) of a task that counts slots; such a task sends on a whole table.
@@ -111,9 +111,9 @@ class Kind:
     bounds: tuple[int, ...]
 
 
-SPELLING = Kind(len(ORDERS), len(ORDERS) << SPELL_BITS, 8 * 8 * 4, 256, 1.5 / len(ORDERS), ((ORDERS.index(0), 8, 1.25), (ORDERS.index(3), 4, 2.5)), tuple(i << SPELL_BITS for i in range(len(ORDERS) + 1)))
-#: A gate of code bits: how frequent the word before is (8), early or late bit (2); of match bits: how the last two ended (9), how often the continuation came (8). How much is known after the word before (4) in all.
-SEQUENCE = Kind(len(CODE_SLOTS), sum(CODE_SLOTS), (16 + 72) * 4, 32 + 9, 0.5, ((1, 4, 2.0),), (*CODE_AT, sum(CODE_SLOTS)))
+SPELLING = Kind(len(ORDERS), len(ORDERS) << SPELL_BITS, 8 * 8, 256, 1.5 / len(ORDERS), ((ORDERS.index(0), 8, 1.25),), tuple(i << SPELL_BITS for i in range(len(ORDERS) + 1)))
+#: A gate of code bits: how frequent the word before is (8), early or late bit (2); of match bits: how the last two ended (9), how often the continuation came (8).
+SEQUENCE = Kind(len(CODE_SLOTS), sum(CODE_SLOTS), 16 + 72, 32 + 9, 0.5, (), (*CODE_AT, sum(CODE_SLOTS)))
 
 
 @dataclass
@@ -397,7 +397,7 @@ def anchors(seq: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> tuple[n
         key[j:] = key[j:] * np.uint64(words.MULTIPLIER | 1) + h[: max(0, n - j)]
     key = words.mix(key)
     begin = np.repeat(stops - lengths, lengths)
-    at = np.flatnonzero((np.arange(n) - begin >= CONTEXT) & (key % np.uint64(ANCHORS) == 0))
+    at = np.flatnonzero((np.arange(n) - begin >= CONTEXT) & (key < np.uint64((1 << 64) // ANCHORS)))
     stop = np.repeat(stops, lengths)[at]
     many = np.minimum(np.minimum(np.append(at[1:], n), stop) - at, FOLLOW)
     return at, key[at], many
@@ -513,6 +513,11 @@ def continued(key: np.ndarray, after: np.ndarray, lengths: np.ndarray, times: np
     return out
 
 
+#: By the code of the word before (the last one stands for none): twice a class of frequency of eight, and a hash.
+FREQUENT = np.minimum(np.log2(np.arange(BOOK + 2) + 1).astype(np.int64) >> 1, 7) * 2
+AFTER = _small((np.arange(BOOK + 2, dtype=np.uint32) + np.uint32(1)) * _SMALL)
+
+
 class Contexts:
     """What the bits of coded documents are predicted from, a value for every token. own: 1 if they are of the training part, else 0."""
 
@@ -520,25 +525,27 @@ class Contexts:
         n = len(leaf)
         self.leaf, self.match = leaf.astype(np.int64), match.astype(np.int64)
         self.classes, self.own = np.repeat(classes.astype(np.int64), lengths), own
-        place = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        first = np.cumsum(lengths) - lengths
 
         def back(x: np.ndarray, k: int, outside: int) -> np.ndarray:
-            out = np.full(n, outside, x.dtype)
+            """The value k tokens before; outside where that is before the document."""
+            out = np.empty_like(x)
             out[k:] = x[: max(0, n - k)]
-            return np.where(place >= k, out, outside)
+            for i in range(k):
+                out[np.minimum(first + i, n - 1)[lengths > i]] = outside
+            return out
 
         before = back(self.leaf, 1, BOOK + 1)
-        self.frequent = np.minimum(np.log2(before + 1).astype(np.int64) >> 1, 7) * 2
-        self.one = _small((before.astype(np.uint32) + np.uint32(1)) * _SMALL)
-        state = np.where(self.match >= SEEN, 1 + (self.match >> 6 & 1), 0)
-        self.past = sum(back(state, k, 0) * 3 ** (k - 1) for k in range(1, 5))
+        self.frequent, self.one = np.take(FREQUENT, before), np.take(AFTER, before)
+        state = np.where(match >= SEEN, 1 + (match >> 6 & 1), 0).astype(np.uint8)
+        self.past = sum(back(state, k, 0) * np.uint8(3 ** (k - 1)) for k in range(1, 5))
 
     def bits(self, book: Book, lo: int, hi: int) -> Iterator[Bits]:
         """The decisions of tokens lo to hi: match bits, then code bits."""
         here = np.arange(lo, hi)
         asked = here[self.match[lo:hi] >= SEEN]
         hit = self.match[asked] >> 6 & 1
-        often, others, past = self.match[asked] >> 3 & 7, self.match[asked] & 7, self.past[asked]
+        often, others, past = self.match[asked] >> 3 & 7, self.match[asked] & 7, self.past[asked].astype(np.int64)
         flags = [
             CODE_AT[0] + (1 << 19) + (self.classes[asked] << 3 | often) * 9 + past % 9,
             CODE_AT[1] + 81 * (often << 3 | others) + past,
@@ -551,7 +558,7 @@ class Contexts:
         step, row = np.take(book.steps, flat), np.take(book.row, flat)
         node = step >> 1
         inner = node.astype(np.uint32) * np.uint32(0x2545F491)
-        one = (((np.repeat(self.one[coded], length) ^ inner) * _SMALL) >> np.uint32(10)).astype(np.int64)
+        one = (((np.repeat(self.one[coded], length) ^ inner) * _SMALL) >> np.uint32(11)).astype(np.int64)
         one += CODE_AT[1]
         node += np.repeat((self.classes[coded] << 16) + CODE_AT[0], length)
         yield Bits([node, one], step & 1, np.repeat(self.frequent[coded], length) + (row < 4), row, np.repeat(coded - lo, length), None, self.own)
@@ -637,9 +644,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], centres: np.ndarray) -> Iterator[
         arrays = (np.array([i or 0 for i in ids], "<i8"), np.array([i is not None for i in ids]), held, np.array(classes, "u1"), lengths.astype("<i4"), seq.astype("<i4"))
         return _batch([(task << 32 | blocks, *map(pack, arrays), pack_words(list(numbers)), pack(counts.astype("<i8")), len(numbers), len(seq), int((~held).sum()))], BLOCK)
 
-    for b in batches:
-        for doc, out, text in zip(b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), common.texts(b)):
-            docs.append((doc, out, nearest(profile(text)[None], centres)[0]))
+    for b in common.parts(batches):
+        texts = common.texts(b)
+        classes = nearest(np.array([profile(t) for t in texts]).reshape(-1, BINS), centres).tolist()
+        for doc, out, own_class, text in zip(b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), classes, texts):
+            docs.append((doc, out, own_class))
             found = text.translate(common.FOLD).split()
             own = np.zeros(len(found) + 1, np.int32)
             own[:-1] = np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))
