@@ -162,6 +162,19 @@ def assess_files(fields: DataFrame, tools: list[Tool] = TOOLS, phrases: list[tup
     return out.select("report_id", "tools", "phrases", flag.alias("flag"), weight.alias("weight"), sentence.alias("summary"))
 
 
+# Kinds of source that a manifest's claims name and that mean generation, with the strength of that.
+GENERATED = [("trainedalgorithmicmedia", STRONG), ("compositewithtrainedalgorithmicmedia", STRONG), ("algorithmicmedia", MODERATE)]
+
+
+def manifests(tags: DataFrame) -> DataFrame:
+    """For each file with a provenance manifest: the most specific kinds of source that it claims, whether one of them means generation, and what made the claim."""
+    own = tags.where("scheme = 'c2pa'")
+    kinds = F.array_sort(F.collect_set(F.when(F.col("key") == "source_type", F.col("value"))))
+    out = own.groupBy("report_id").agg(kinds.alias("kinds"), F.min(F.when(F.col("key") == "generator", F.col("value"))).alias("generator"), F.min(F.when(F.col("key") == "evidence", F.col("value"))).alias("evidence"))
+    out = out.withColumn("kinds", most_specific(F.col("kinds")))
+    return out.withColumn("generative", F.arrays_overlap("kinds", F.array(*(F.lit(k) for k, _ in GENERATED))))
+
+
 def most_specific(terms: Column) -> Column:
     """The terms that no other term contains."""
     return F.filter(terms, lambda t: ~F.exists(terms, lambda o: (F.length(o) > F.length(t)) & F.contains(o, t)))

@@ -6,6 +6,7 @@ in one table of codes, so that a title is a title whatever the container.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -38,6 +39,9 @@ SCHEMES = ["id3v2", "itunes", "vorbis", "info", "aiff", "caf", "id3v1"]
 # Text fields of a broadcast extension chunk (name, offset, bytes) and where its numbers are.
 BEXT_TEXT = [("description", 0, 256), ("originator", 256, 32), ("originator_reference", 288, 32), ("origination_date", 320, 10), ("origination_time", 330, 8)]
 BEXT_TIME, BEXT_VERSION, BEXT_LOUDNESS, BEXT_HISTORY = 338, 346, 412, 602
+# How a manifest shows itself, the bytes in which it does and in which its claims are read, and the kinds of source that claims name.
+MANIFEST_BYTES, CLAIM_BYTES = 512, 1 << 16
+SOURCE_TYPES = ["trainedalgorithmicmedia", "compositewithtrainedalgorithmicmedia", "algorithmicmedia", "digitalcapture", "algorithmicallyenhanced", "compositecapture", "humanedits"]
 ENCODINGS = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}
 
 Found = Iterator[tuple[str, str, str]]
@@ -91,6 +95,58 @@ def cues(body: bytes, order: str) -> Found:
         yield "cue", str(int.from_bytes(body[at : at + 4], order)), str(int.from_bytes(body[at + 20 : at + 24], order))
 
 
+def sampler(body: bytes, order: str) -> Found:
+    """A sampler chunk: the note that it plays unchanged, the length of a sample in nanoseconds, and each loop as (loop, id, start-end)."""
+    number = lambda at: int.from_bytes(body[at : at + 4], order)
+    if len(body) >= 36:
+        yield "smpl", "sample_ns", str(number(8))
+        yield "smpl", "unity_note", str(number(12))
+        for at in range(36, min(36 + 24 * number(28), len(body) - 23), 24):
+            yield "loop", str(number(at)), f"{number(at + 8)}-{number(at + 12)}"
+
+
+def acid(body: bytes, order: str) -> Found:
+    """A loop's beats, metre, tempo, root note and whether it is played once."""
+    number = lambda at, n: int.from_bytes(body[at : at + n], order)
+    if len(body) >= 24:
+        yield "acid", "one_shot", str(bool(number(0, 4) & 1)).lower()
+        if number(0, 4) & 2:
+            yield "acid", "root_note", str(number(4, 2))
+        yield "acid", "beats", str(number(12, 4))
+        yield "acid", "metre", f"{number(18, 2)}/{number(16, 2)}"
+        tempo = struct.unpack("<f" if order == "little" else ">f", body[20:24])[0]
+        if 0 < tempo < float("inf"):
+            yield "acid", "tempo", f"{tempo:.6g}"
+
+
+def chna(body: bytes, order: str) -> Found:
+    """Tracks of an audio definition model: (chna, unique id, track, reference and pack)."""
+    for k in range(min(int.from_bytes(body[2:4], order), (len(body) - 4) // 40)):
+        own = body[4 + 40 * k : 44 + 40 * k]
+        yield "chna", cut(own[2:14]), f"{int.from_bytes(own[:2], order)} {cut(own[14:28])} {cut(own[28:39])}".strip()
+
+
+_GENERATOR = re.compile(rb'claim_generator"?\s*[:=]?\s*"([^"]{1,120})"', re.I)
+
+
+def manifest(body: bytes) -> Found:
+    """Signs of a provenance manifest: evidence, the kinds of source that its claims name, and what made the claim. Its signature is not checked."""
+    head = body[:MANIFEST_BYTES]
+    if b"c2pa" not in head:
+        return
+    if b"jumb" in head or b"jumd" in head:
+        yield "c2pa", "evidence", "labelled box"
+    elif any(sign in head for sign in (b"c2pa.assertions", b"c2pa.claim", b"urn:uuid")):
+        yield "c2pa", "evidence", "claim structure"
+    else:
+        return
+    claims = body[:CLAIM_BYTES]
+    low = claims.lower().decode("latin-1")
+    yield from (("c2pa", "source_type", kind) for kind in SOURCE_TYPES if kind in low)
+    if made := _GENERATOR.search(claims):
+        yield "c2pa", "generator", made[1].decode("latin-1").strip()
+
+
 def synchronised(raw: bytes) -> bytes:
     """Bytes without the zeros that keep players from seeing frames in a tag."""
     return raw.replace(b"\xff\0", b"\xff")
@@ -206,6 +262,14 @@ def of_file(content: bytes, kind: str) -> Found:
             yield from bext(body(), order)
         elif kind == "wav" and name == b"cue ":
             yield from cues(body(), order)
+        elif kind == "wav" and name == b"smpl":
+            yield from sampler(body(), order)
+        elif kind == "wav" and name == b"acid":
+            yield from acid(body(), order)
+        elif kind == "wav" and name == b"chna":
+            yield from chna(body(), order)
+        elif kind in ("wav", "aiff") and name == b"C2PA" or kind == "mp4" and name in (b"uuid", b"jumb") or kind == "flac" and name and name[0] & 127 == 2:
+            yield from manifest(body())
         elif kind == "wav" and name in (b"iXML", b"axml", b"_PMX"):
             yield name.decode().strip().lower(), "xml", cut(body())
         elif kind in ("wav", "aiff") and name.lower() in (b"id3 ", b"id32"):

@@ -6,6 +6,7 @@ import tempfile
 import numpy as np
 import pytest
 
+from auricle.operators import provenance
 from auricle.sources import containers, tags
 
 
@@ -192,6 +193,24 @@ def test_itunes_vorbis_and_caf():
     assert tags_of(b"fLaC\x84" + struct.pack(">I", len(comments))[1:] + comments, "flac") == [("vorbis", "VENDOR", "maker"), ("vorbis", "TITLE", "A=B"), ("vorbis", "ARTIST", "X")]
 
 
+def test_loops_tempo_tracks_and_manifests(spark):
+    chunk = lambda n, b: n + struct.pack("<I", len(b)) + b + b"\0" * (len(b) % 2)
+    smpl = struct.pack("<IIIIIIIII", 0, 0, 22675, 60, 0, 0, 0, 2, 0) + struct.pack("<IIIIII", 1, 0, 10, 99, 0, 0) + struct.pack("<IIIIII", 2, 0, 5, 7, 0, 0)
+    acid = struct.pack("<IHHIIHHf", 2, 57, 0, 0, 8, 4, 3, 93.5)
+    chna = struct.pack("<HHH", 1, 1, 1) + b"ATU_00000001" + b"AT_00031001_01" + b"AP_00031001" + b"\0"
+    claim = b"....jumb....jumdc2pa\0" + b'{"claim_generator": "Maker/1.0", "digitalSourceType": "http://x/compositeWithTrainedAlgorithmicMedia"}'
+    body = b"WAVE" + chunk(b"smpl", smpl) + chunk(b"acid", acid) + chunk(b"chna", chna) + chunk(b"C2PA", claim)
+    content = b"RIFF" + struct.pack("<I", len(body)) + body
+    assert tags_of(content, "wav") == [
+        ("smpl", "sample_ns", "22675"), ("smpl", "unity_note", "60"), ("loop", "1", "10-99"), ("loop", "2", "5-7"),
+        ("acid", "one_shot", "false"), ("acid", "root_note", "57"), ("acid", "beats", "8"), ("acid", "metre", "3/4"), ("acid", "tempo", "93.5"),
+        ("chna", "ATU_00000001", "1 AT_00031001_01 AP_00031001"),
+        ("c2pa", "evidence", "labelled box"), ("c2pa", "source_type", "trainedalgorithmicmedia"), ("c2pa", "source_type", "compositewithtrainedalgorithmicmedia"), ("c2pa", "source_type", "algorithmicmedia"), ("c2pa", "generator", "Maker/1.0"),
+    ]
+    (r,) = provenance.manifests(tags.tags(table(spark, {"a": content, "b": wav(bytes(8))}))).collect()
+    assert (r["report_id"], r["kinds"], r["generative"], r["generator"]) == ("a", ["compositewithtrainedalgorithmicmedia"], True, "Maker/1.0")
+
+
 def test_fields_across_schemes(spark):
     tag = id3(3, [(b"TIT2", b"\0First"), (b"TIT2", b"\0Last")])
     old = b"TAG" + b"Older".ljust(30, b"\0") + b"Band".ljust(30, b"\0") + bytes(30) + bytes(4) + bytes(30) + b"\1"
