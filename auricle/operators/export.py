@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auricle.functions import texts
+from auricle.functions import display, texts
 
 
 # The columns of a table of reports, in their order; new ones are only ever put at the end.
@@ -61,6 +61,28 @@ def report_table(reports: DataFrame) -> DataFrame:
     return reports.select(*(known.get(name, F.lit(None)).cast("string").alias(name) for name in COLUMNS))
 
 
+def batch_columns(reports: DataFrame) -> DataFrame:
+    """report_id and, for each column of a batch's list, what it shows and what it is sorted by (name and name_sort): rate, depth, channels, duration, peak, true peak and
+    findings. What is not known shows a dash and sorts as unknown; findings sort by those that need a look before those that are worth noting."""
+    c, dash = F.col, F.lit(texts.UNKNOWN)
+    measured = lambda x: F.when(c("measured"), x)
+    many = lambda severity: F.size(F.filter("observations", lambda o: o["severity"] == severity))
+    look, note = many("attention"), many("notice")
+    said = F.concat_ws(", ", F.when(look > 0, F.concat(look.cast("string"), F.lit(" to look at"))), F.when(note > 0, F.concat(note.cast("string"), F.lit(" to note"))))
+    peak = measured(c("peak_dbfs"))
+    over = F.when(~F.isnan("true_peak") & (F.abs("true_peak") < float("inf")), c("true_peak"))
+    return reports.select(
+        "report_id",
+        display.rate(c("sample_rate")).alias("rate"), c("sample_rate").alias("rate_sort"),
+        F.coalesce(F.nullif(c("bit_depth"), F.lit(0).cast("long")).cast("string"), dash).alias("depth"), c("bit_depth").alias("depth_sort"),
+        F.coalesce(F.nullif(c("channels"), F.lit(0).cast("long")).cast("string"), dash).alias("channels"), c("channels").alias("channels_sort"),
+        texts.duration(c("seconds")).alias("duration"), c("seconds").alias("duration_sort"),
+        F.when(c("measured"), texts.signed_db(c("peak_dbfs"), 2)).otherwise(dash).alias("peak"), peak.alias("peak_sort"),
+        F.coalesce(F.when(over.isNotNull(), texts.signed_db(over, 2)), dash).alias("true_peak"), c("true_peak").alias("true_peak_sort"),
+        F.when((look > 0) | (note > 0), said).otherwise(dash).alias("findings"), (look * 1000 + note).cast("long").alias("findings_sort"),
+    )
+
+
 def shown(value: Column, kind: str) -> Column:
     """A value as a cell: NULL is empty, minus infinity is -inf, text is guarded against formulas."""
     text = value.cast("string")

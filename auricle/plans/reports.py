@@ -143,6 +143,13 @@ def report_cells(spark, sf_dir):
     return export.report_table(_observed(spark, sf_dir))
 
 
+def batch_list(spark, sf_dir):
+    """What a batch's list shows of each report, and what its columns are sorted by."""
+    out = export.batch_columns(_observed(spark, sf_dir))
+    finite = lambda name: F.when(F.abs(c(name)) < float("inf"), F.round(name, 6)).alias(name)
+    return out.select(*(finite(name) if name in ("peak_sort", "true_peak_sort") else c(name) for name in out.columns))
+
+
 def batch_counts(spark, sf_dir):
     return export.batch_counts(_observed(spark, sf_dir))
 
@@ -257,7 +264,7 @@ def batch_sort_desc(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    rules_observations, severity_pivot, report_text, report_cells, batch_counts, status_derivation, status_counts, summary_projection, nearest_standard_rate, client_stats, sorted_clients, project_stats, library_stats,
+    rules_observations, severity_pivot, report_text, report_cells, batch_list, batch_counts, status_derivation, status_counts, summary_projection, nearest_standard_rate, client_stats, sorted_clients, project_stats, library_stats,
     history_flatten, history_latest, log_append, merge_measurements, summary_fallback, duplicate_names, batch_sort_asc, batch_sort_desc)}
 
 E_SQL = "e AS (SELECT o_custkey || '/' || o_orderpriority AS project_id, o_custkey AS client_id, o_orderpriority AS project, o_orderkey AS entry_id, strftime(o_orderdate, '%Y-%m-%d') AS ts, o_totalprice AS measure, o_orderstatus AS status FROM orders)"
@@ -280,7 +287,16 @@ _CELLS_SQL = {
     "Observations": "coalesce(n, 0)::VARCHAR", "Needs a look": "coalesce(look, '')", "Worth noting": "coalesce(worth, '')", "Samples not readable": "CASE WHEN measured THEN non_finite::VARCHAR END",
 }
 
+_SHOWN_DB = "CASE WHEN {0} IS NULL THEN '—' WHEN {0} = '-inf'::DOUBLE THEN '-∞' WHEN {0} > 0 THEN printf('+%.2f', {0}) ELSE printf('%.2f', {0}) END"
+_FINITE = "CASE WHEN {0} > '-inf'::DOUBLE THEN round({0}, 6) END"
+
 ORACLE = {
+    "batch_list": f"""WITH {R_SQL}, {_o_sql()}, {COUNT_SQL}, y AS (SELECT q.*, m.attention, m.notice, floor(seconds * 1000 + 0.5)::BIGINT AS ms FROM q JOIN m USING (report_id))
+      SELECT report_id, coalesce(rtrim(rtrim(printf('%.3f', sample_rate / 1000), '0'), '.') || ' kHz', '—') AS rate, sample_rate AS rate_sort, coalesce(bit_depth::VARCHAR, '—') AS depth, bit_depth AS depth_sort,
+        coalesce(channels::VARCHAR, '—') AS channels, channels AS channels_sort, coalesce(printf('%d:%02d.%03d', ms // 60000, ms // 1000 % 60, ms % 1000), '—') AS duration, seconds AS duration_sort,
+        CASE WHEN measured THEN {_SHOWN_DB.format("db")} ELSE '—' END AS peak, CASE WHEN measured THEN {_FINITE.format("db")} END AS peak_sort,
+        CASE WHEN db > '-inf'::DOUBLE THEN {_SHOWN_DB.format("(db + 0.3)")} ELSE '—' END AS true_peak, {_FINITE.format("(db + 0.3)")} AS true_peak_sort,
+        CASE WHEN attention + notice = 0 THEN '—' ELSE concat_ws(', ', CASE WHEN attention > 0 THEN attention || ' to look at' END, CASE WHEN notice > 0 THEN notice || ' to note' END) END AS findings, attention * 1000 + notice AS findings_sort FROM y""",
     "report_cells": f"""WITH {R_SQL}, {_o_sql()}, x AS (SELECT report_id, count(*) AS n, string_agg(title, ' | ' ORDER BY rule_ord, nth) FILTER (severity = 'attention') AS look, string_agg(title, ' | ' ORDER BY rule_ord, nth) FILTER (severity = 'notice') AS worth FROM o GROUP BY 1)
       SELECT {", ".join(f'{_CELLS_SQL.get(name, "NULL::VARCHAR")} AS "{name}"' for name in export.COLUMNS)} FROM q LEFT JOIN x USING (report_id)""",
     "rules_observations": f"WITH {R_SQL}, {_o_sql()} SELECT report_id, row_number() OVER (PARTITION BY report_id ORDER BY {RANK_SQL}, rule_ord, nth) - 1 AS place, rule_id, obs_id, severity, title, detail FROM o",
