@@ -64,3 +64,15 @@ def test_components_of_a_long_path(spark):
     got = {r["id"]: r["comp"] for r in graph.components(links).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, 5: 5, 7: 5}
     assert graph.components(links.limit(0)).count() == 0
+
+
+def test_many_texts_that_share_buckets_and_are_not_linked(spark, monkeypatch):
+    """Half of each text is common to all, so most pairs share a bucket; none reaches the threshold but those planted."""
+    rng = random.Random(12)
+    monkeypatch.setattr(near, "BLOCK", 64)
+    shared = [f"c{i}" for i in range(60)]
+    texts = [shared + [f"w{rng.randrange(10**6)}" for _ in range(45)] for _ in range(500)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rows += [(1000 + i, " ".join([*texts[i][:-3], "x", "y", "z"])) for i in range(0, 500, 25)]
+    out = {r["doc_id"]: r["component_id"] for r in near.groups(documents(spark, rows)).collect()}
+    assert out == {i: i if i < 1000 else i - 1000 for i, _ in rows}
