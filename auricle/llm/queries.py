@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, licences, lines, media, mixing, near, substring, toxicity, warc
+from . import bpe, decontaminate, licences, lines, manifest, media, mixing, mixture, near, resample, substring, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_license_scan": licences.op9_license_scan,
     "op10_substring_dedup": substring.op10_substring_dedup,
+    "op11_mixture": mixture.op11_mixture,
+    "op12_manifest": manifest.op12_manifest,
+    "op13_resample": resample.op13_resample,
 }
 
 ORACLE_SQL = {
@@ -23,4 +26,7 @@ ORACLE_SQL = {
     "op7_minhash": near.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
     "op10_substring_dedup": substring.OP10_SQL,
+    "op11_mixture": mixture.OP11_SQL,
+    "op12_manifest": manifest.OP12_SQL,
+    "op13_resample": resample.OP13_SQL,
 }
