@@ -408,15 +408,15 @@ class Anchored:
 
     def __init__(self, seq: np.ndarray, lengths: np.ndarray, held: np.ndarray, hashes: np.ndarray, shards: int):
         self.at, key, self.many = anchors(seq, lengths, hashes)
-        follow = ((hashes >> np.uint64(48)) | np.uint64(1)).astype("<u2")
+        self.hashes = hashes
         self.flat = np.arange(self.many.sum()) - np.repeat(np.cumsum(self.many) - self.many, self.many)
         owner = np.repeat(np.arange(len(self.at)), self.many)
-        after = follow[seq[np.repeat(self.at, self.many) + self.flat]]
+        after = seq[np.repeat(self.at, self.many) + self.flat]
         out = np.repeat(held, lengths)[self.at]
         weight = words.mix(np.arange(1, FOLLOW + 1, dtype=np.uint64))
         digest = np.zeros(len(self.at), np.uint64)
         if len(owner):
-            digest = np.add.reduceat(after.astype(np.uint64) * weight[self.flat], np.cumsum(self.many) - self.many)
+            digest = np.add.reduceat(hashes[after] * weight[self.flat], np.cumsum(self.many) - self.many)
         digest = words.mix(digest + key) + words.mix(out.astype(np.uint64) + np.uint64(7) * self.many.astype(np.uint64))
         _, first, inverse, times = np.unique(digest, return_index=True, return_inverse=True, return_counts=True)
         shard = (key[first] >> np.uint64(17)) % np.uint64(shards)
@@ -431,13 +431,15 @@ class Anchored:
         self.after = after[np.repeat(starts[first] - self.begin, self.lengths) + np.arange(self.lengths.sum())]
         self.bounds = np.searchsorted(shard[order], np.arange(shards + 1))
 
-    def rows(self) -> Iterator[tuple[int, bytes, bytes]]:
-        """For each shard that has any: its number, the hashes with the words after them, and lengths, times and held out marks."""
+    def rows(self, leaf: np.ndarray, escape: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
+        """For each shard that has any: its number, the hashes, the codes of the words after them, lengths, times and held out marks, and
+        the whole hashes of those words that have no code of their own."""
+        codes = leaf[self.after].astype("<u2")
         for s in range(len(self.bounds) - 1):
             lo, hi = self.bounds[s], self.bounds[s + 1]
             if lo < hi:
                 text = slice(self.begin[lo], self.begin[hi - 1] + self.lengths[hi - 1])
-                yield s, pack(np.diff(self.key[lo:hi], prepend=np.uint64(0))), pack(self.after[text]), pack((self.times[lo:hi] << 6 | self.held[lo:hi].astype(np.int64) << 5 | self.lengths[lo:hi]).astype("<i8"))
+                yield s, pack(np.diff(self.key[lo:hi], prepend=np.uint64(0))), pack(codes[text]), pack((self.times[lo:hi] << 6 | self.held[lo:hi].astype(np.int64) << 5 | self.lengths[lo:hi]).astype("<i8")), pack(self.hashes[self.after[text][codes[text] == escape]])
 
     def spread(self, answers: dict[int, bytes], n: int) -> np.ndarray:
         """A byte for every token of the block, from the shards' answers for the rows."""
@@ -460,7 +462,7 @@ def _bucket(n: np.ndarray) -> np.ndarray:
 
 def continued(key: np.ndarray, after: np.ndarray, lengths: np.ndarray, times: np.ndarray, held: np.ndarray) -> np.ndarray:
     """For every word after every anchor: SEEN if training has another continuation of that context, HIT if the most frequent one (the first of
-    equals by hash) is this word, how often it came and how often others came, in three bits each. Training rows do not count one of their own times."""
+    equals by number) is this word, how often it came and how often others came, in three bits each. Training rows do not count one of their own times."""
     n, begin = len(key), np.cumsum(lengths) - lengths
     out = np.zeros(lengths.sum(), np.uint8)
     order = np.argsort(key, kind="stable")
@@ -471,11 +473,13 @@ def continued(key: np.ndarray, after: np.ndarray, lengths: np.ndarray, times: np
     rows = order[~alone]
     if not len(rows):
         return out
-    f = np.zeros((FOLLOW + 1, len(rows)), "<u2")
+    f = np.zeros((FOLLOW + 1, len(rows)), np.int32)
     for j in range(FOLLOW):
         live = lengths[rows] > j
         f[j, live] = after[begin[rows[live]] + j]
-    by = np.lexsort((*f[FOLLOW - 1 :: -1], key[rows]))
+    # numbers are sorted by halves, which numpy does without comparisons
+    halves = [half for x in f[FOLLOW - 1 :: -1] for half in ((x & 0xFFFF).astype(np.uint16), (x >> 16).astype(np.uint16))]
+    by = np.lexsort((*halves, key[rows]))
     rows, f = rows[by], f[:, by]
     t, own = trained[rows], (~held[rows]).astype(np.int64)
     new = np.concatenate([[True], key[rows][1:] != key[rows][:-1]])
@@ -678,6 +682,7 @@ def _of_shards(found: list[bytes], shards: int) -> tuple[np.ndarray, list[np.nda
 
 
 PAYLOAD = "shard int, block long, a binary, b binary, c binary"
+ANCHORED = PAYLOAD + ", d binary"
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
@@ -692,10 +697,16 @@ def _block_anchors(row: dict, found: list[bytes], shards: int) -> Anchored:
     return Anchored(unpack(row["numbers"], "<i4"), unpack(row["lengths"], "<i4").astype(np.int64), unpack(row["held"], "?"), hashes, shards)
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+def _leaves(found: list[bytes], book: Book) -> np.ndarray:
+    """The codes of the end and of a block's words; the escape for those that have none."""
+    return np.array([book.leaf.get(END, book.escape), *(book.leaf.get(w, book.escape) for w in found)])
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch], shards: int, book: Book) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for row in b.to_pylist():
-            yield _batch([(s, row["block"], *x) for s, *x in _block_anchors(row, unpack_words(row["words"]), shards).rows()], PAYLOAD)
+            found = unpack_words(row["words"])
+            yield _batch([(s, row["block"], *x) for s, *x in _block_anchors(row, found, shards).rows(_leaves(found, book), book.escape)], ANCHORED)
 
 
 SHARD = "shard int, words binary, counts binary, n long, v long"
@@ -750,12 +761,20 @@ def _word_answers(_: tuple, rows: pd.DataFrame, shard: pd.DataFrame) -> pd.DataF
     return pd.DataFrame(out, columns=["shard", "block", "a", "b", "matches"])
 
 
-def _matches(rows: pd.DataFrame) -> pd.DataFrame:
+def numbered(codes: np.ndarray, rare: np.ndarray, escape: int) -> np.ndarray:
+    """Words as numbers, equal for equal words alone: their codes, or a number past all codes for each distinct hash of those without."""
+    out = codes.astype(np.int32)
+    out[codes == escape] = (1 << 16) + np.unique(rare, return_inverse=True)[1]
+    return out
+
+
+def _matches(rows: pd.DataFrame, escape: int) -> pd.DataFrame:
     """The continuations of a shard's anchors, for every block."""
     keys = [np.cumsum(unpack(x, "<u8"), dtype=np.uint64) for x in rows["a"]]
     marks = np.concatenate([unpack(x, "<i8") for x in rows["c"]])
     lengths = marks & 31
-    answer = continued(np.concatenate(keys), np.concatenate([unpack(x, "<u2") for x in rows["b"]]), lengths, marks >> 6, (marks & 32) > 0)
+    after = numbered(np.concatenate([unpack(x, "<u2") for x in rows["b"]]), np.concatenate([unpack(x, "<u8") for x in rows["d"]]), escape)
+    answer = continued(np.concatenate(keys), after, lengths, marks >> 6, (marks & 32) > 0)
     ends = np.cumsum(lengths)[np.cumsum([len(k) for k in keys]) - 1]
     parts = np.split(answer, ends[:-1])
     return pd.DataFrame({"shard": rows["shard"], "block": rows["block"], "a": [pack(p) for p in parts], "b": [b""] * len(parts), "matches": True})
@@ -774,7 +793,7 @@ def _coded(block: pd.DataFrame, answers: pd.DataFrame, book: Book, shards: tuple
     places = _of_shards(found, shards[0])[1]
     for s, a, b in zip(ours["shard"], ours["a"], ours["b"]):
         counts[places[s] + 1], spelt[places[s] + 1] = unpack(a, "<i8"), unpack(b, "<f4")
-    leaf = np.array([book.leaf.get(END, book.escape), *(book.leaf.get(w, book.escape) for w in found)])
+    leaf = _leaves(found, book)
     size = np.array([1, *(len(w) + 1 for w in found)])
     ids, named, held, classes = (unpack(row[c], k) for c, k in (("ids", "<i8"), ("named", "?"), ("held", "?"), ("classes", "u1")))
     lengths, seq = unpack(row["lengths"], "<i4").astype(np.int64), unpack(row["numbers"], "<i4")
@@ -868,7 +887,9 @@ def score(df: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text
 
     valued = counted.select("shard", "words", "counts").mapInArrow(spelt, "shard int, words binary, counts binary, spelt binary")
     answers = asked.select("shard", "block", "a").groupBy("shard").cogroup(valued.groupBy("shard")).applyInPandas(_word_answers, ANSWER)
-    matched = blocks.select("block", "held", "lengths", "numbers", "words").mapInArrow(lambda it: _anchor_rows(it, shards[1]), PAYLOAD).groupBy("shard").applyInPandas(_matches, ANSWER)
+    anchored = blocks.select("block", "held", "lengths", "numbers", "words").mapInArrow(lambda it: _anchor_rows(it, shards[1], book.value), ANCHORED)
+    escape = book.value.escape
+    matched = anchored.groupBy("shard").applyInPandas(lambda rows: _matches(rows, escape), ANSWER)
     place = lambda _, block, found: _coded(block, found, book.value, shards, n, v, ends)
     coded = common.stored(blocks.groupBy("block").cogroup(answers.unionAll(matched).groupBy("block")).applyInPandas(place, CODED), "coded")
     model = spark.sparkContext.broadcast(fit(coded, SEQUENCE, math.ceil(n_tokens / TASK_TOKENS), lambda b, size: _training_bits(b, size, book.value)))
