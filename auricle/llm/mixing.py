@@ -8,7 +8,7 @@ of its ones to its zeros; opinions are added with weights from the set that a ga
   anchor and the same words since elsewhere in training. Where anything did, one bit says whether the most frequent continuation comes.
   Its contexts are how often that continuation and others came, how the last four such bits ended, and the document's class.
 - Code: else the token's code in the code book follows (the BOOK most frequent training tokens by Shannon-Fano splits). Contexts of each bit:
-  the document's class, the word before. (Longer ones are what matches are for: they are counted exactly, however large the corpus.)
+  the document's class, the word before, the two words before. (Longer ones are what matches are for: they are counted exactly, however large the corpus.)
 - Spelling: a word outside the book is an escape code, then its bytes and a space, each by a code of its own. Contexts of each bit: the last one to six
   bytes and the whole beginning of the word. It depends on the word alone, so that each distinct word is spelled once.
 
@@ -41,8 +41,8 @@ from . import common, words
 #: Contexts of spelled bits, in bytes; 0 is the whole beginning of the word.
 ORDERS = (1, 2, 3, 4, 5, 6, 0)
 SPELL_BITS = 19
-#: Slots of the code's contexts, one after the other: class, the word before. Match bits have their own in each.
-CODE_SLOTS = (1 << 20, 1 << 21)
+#: Slots of the code's contexts, one after the other: class, the word before, the two words before. Match bits have their own in each.
+CODE_SLOTS = (1 << 20, 1 << 22, 1 << 22)
 CODE_AT = tuple(int(x) for x in np.cumsum((0, *CODE_SLOTS))[:-1])
 BOOK = (1 << 16) - 1
 CLASSES, BINS, ROUNDS = 8, 64, 6
@@ -51,7 +51,7 @@ CONTEXT, ANCHORS, FOLLOW = 3, 6, 16
 #: Distinct words and tokens of a block of documents; one block is held in memory at a time.
 BLOCK_WORDS, BLOCK_TOKENS = 400_000, 2_000_000
 #: Tokens of a stored row of coded documents, and bits' tokens that are predicted together and in one online step of the weights.
-ROW_TOKENS, STEP, BATCH = 100_000, 1 << 13, 1 << 12
+ROW_TOKENS, STEP, BATCH = 100_000, 1 << 13, 1 << 11
 #: Words and tokens of a shard, on average.
 SHARD_WORDS, SHARD_TOKENS = 400_000, 4_000_000
 #: Tokens (or distinct words) of a task that counts slots; such a task sends on a whole table.
@@ -111,9 +111,10 @@ class Kind:
     bounds: tuple[int, ...]
 
 
-SPELLING = Kind(len(ORDERS), len(ORDERS) << SPELL_BITS, 8 * 8, 256, 1.5 / len(ORDERS), ((ORDERS.index(0), 8, 1.25),), tuple(i << SPELL_BITS for i in range(len(ORDERS) + 1)))
+SPELLING = Kind(len(ORDERS), len(ORDERS) << SPELL_BITS, 8 * 8 * 4, 256, 1.5 / len(ORDERS), ((ORDERS.index(0), 8, 1.25), (ORDERS.index(3), 4, 2.5)), tuple(i << SPELL_BITS for i in range(len(ORDERS) + 1)))
 #: A gate of code bits: how frequent the word before is (8), early or late bit (2); of match bits: how the last two ended (9), how often the continuation came (8).
-SEQUENCE = Kind(len(CODE_SLOTS), sum(CODE_SLOTS), 16 + 72, 32 + 9, 0.5, (), (*CODE_AT, sum(CODE_SLOTS)))
+#: How much is known after the two words before (4) in all.
+SEQUENCE = Kind(len(CODE_SLOTS), sum(CODE_SLOTS), (16 + 72) * 4, 32 + 9, 0.4, ((2, 4, 1.2),), (*CODE_AT, sum(CODE_SLOTS)))
 
 
 @dataclass
@@ -235,7 +236,7 @@ def _added(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def fit(rows: DataFrame, kind: Kind, tasks: int, bits_of: Callable[[pa.RecordBatch, int], Iterator[Bits]]) -> Model:
-    """A model of all training bits of the rows. What comes back to the driver has a fixed size: slots, weights and map (at most 21 MB)."""
+    """A model of all training bits of the rows. What comes back to the driver has a fixed size: slots, weights and map (at most 38 MB)."""
     spark = rows.sparkSession
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -522,6 +523,11 @@ FREQUENT = np.minimum(np.log2(np.arange(BOOK + 2) + 1).astype(np.int64) >> 1, 7)
 AFTER = _small((np.arange(BOOK + 2, dtype=np.uint32) + np.uint32(1)) * _SMALL)
 
 
+def _slot(context: np.ndarray, inner: np.ndarray, slots: int) -> np.ndarray:
+    """The slot of a place within a code or a match, in a context."""
+    return (((context ^ inner) * _SMALL) >> np.uint32(33 - slots.bit_length())).astype(np.int64)
+
+
 class Contexts:
     """What the bits of coded documents are predicted from, a value for every token. own: 1 if they are of the training part, else 0."""
 
@@ -541,6 +547,7 @@ class Contexts:
 
         before = back(self.leaf, 1, BOOK + 1)
         self.frequent, self.one = np.take(FREQUENT, before), np.take(AFTER, before)
+        self.two = _small(self.one ^ (back(self.leaf, 2, BOOK + 1).astype(np.uint32) + np.uint32(0x51ED27)) * np.uint32(0x85EBCA77))
         state = np.where(match >= SEEN, 1 + (match >> 6 & 1), 0).astype(np.uint8)
         self.past = sum(back(state, k, 0) * np.uint8(3 ** (k - 1)) for k in range(1, 5))
 
@@ -553,6 +560,7 @@ class Contexts:
         flags = [
             CODE_AT[0] + (1 << 19) + (self.classes[asked] << 3 | often) * 9 + past % 9,
             CODE_AT[1] + 81 * (often << 3 | others) + past,
+            CODE_AT[2] + _slot(self.one[asked], (64 + (often << 3 | others)).astype(np.uint32), CODE_SLOTS[2]),
         ]
         if len(asked):
             yield Bits(flags, hit, 16 + (past % 9) * 8 + often, 32 + past % 9, asked - lo, None, self.own)
@@ -562,10 +570,9 @@ class Contexts:
         step, row = np.take(book.steps, flat), np.take(book.row, flat)
         node = step >> 1
         inner = node.astype(np.uint32) * np.uint32(0x2545F491)
-        one = (((np.repeat(self.one[coded], length) ^ inner) * _SMALL) >> np.uint32(11)).astype(np.int64)
-        one += CODE_AT[1]
+        one, two = (CODE_AT[i] + _slot(np.repeat(x[coded], length), inner, CODE_SLOTS[i]) for i, x in ((1, self.one), (2, self.two)))
         node += np.repeat((self.classes[coded] << 16) + CODE_AT[0], length)
-        yield Bits([node, one], step & 1, np.repeat(self.frequent[coded], length) + (row < 4), row, np.repeat(coded - lo, length), None, self.own)
+        yield Bits([node, one, two], step & 1, np.repeat(self.frequent[coded], length) + (row < 4), row, np.repeat(coded - lo, length), None, self.own)
 
 
 # Blocks, shards and coded rows

@@ -190,3 +190,24 @@ def test_contexts_of_one_to_six_bytes_and_bits_per_byte(spark):
     for r in mixing.score(documents(spark, rows), F.lit(False)).collect():
         text = " ".join(words(dict(rows)[r["doc_id"]]))
         assert math.isclose(r["bits_per_byte"], -r["score"] / math.log10(2) / (len(text.encode()) + (2 if text else 1)))
+
+
+def test_a_match_grants_nothing_to_words_that_only_share_a_part_of_a_hash(spark):
+    """Words never seen, in places where training has another word: what the match says must not depend on their hashes."""
+    place = lambda w: " ".join(f"a{k} b{k} c{k} {w} d{k}" for k in range(40))
+    score = lambda w: mixing.score(documents(spark, [(i, place("word7")) for i in range(20)] + [(1000, place(w))]), F.col("doc_id") >= 1000).where("held_out").first()["score"]
+    known, shared, other = score("word7"), score("word2116"), score("word2117")
+    # word2116 and word7 have the same top 15 bits
+    assert known > -40 and abs(shared - other) < 20 and shared < -400
+
+
+def test_probabilities_after_a_match_sum_to_one_at_most():
+    """100,000 words: of those that may follow an anchor, exactly the one that did is a hit."""
+    found = [b"w%d" % i for i in range(100_000)]
+    hashes = np.concatenate([[mixing._END], mixing._hashes(found)])
+    escape = 7
+    codes, rare = np.full(100_001, escape, np.uint16), hashes[1:]
+    numbers = mixing.numbered(codes, np.concatenate([[hashes[1]], rare]), escape)
+    key = np.full(100_001, 5, np.uint64)
+    got = mixing.continued(key, numbers, np.ones(100_001, np.int64), np.append([9], np.ones(100_000, np.int64)), np.append([False], np.ones(100_000, bool)))
+    assert (got[1:] & mixing.HIT > 0).sum() == 1 and got[1] & mixing.HIT
