@@ -208,10 +208,10 @@ class Learner:
 
 
 class Model:
-    """Slots, weights and refining map of one kind of bits."""
+    """Slots (packed: most are empty or small), weights and refining map of one kind of bits."""
 
     def __init__(self, kind: Kind, table: np.ndarray, values: np.ndarray):
-        self.kind, self.table, self.opinions = kind, table, None
+        self.kind, self.table, self.opinions = kind, pack(table), None
         w, seen, refine = np.split(values, [kind.gates * kind.inputs, kind.gates * (kind.inputs + 1)])
         self.weights = np.where(seen > 0, w.reshape(kind.inputs, -1) / np.maximum(seen, 1e-9), kind.start / STEPS).astype(np.float32)
         refine = refine.reshape(kind.rows, CELLS, 2)
@@ -221,7 +221,7 @@ class Model:
     def log10(self, bits: Bits, tokens: int) -> np.ndarray:
         """log10 probability of each token's bits."""
         if self.opinions is None:
-            self.opinions = Opinions(self.kind, self.table)
+            self.opinions = Opinions(self.kind, unpack(self.table, "<u2"))
         x, gate = self.opinions.of(bits)
         total = _sum(self.weights, x, gate)
         p = (1 / (1 + np.exp(-total)) + np.take(self.refined, bits.row * CELLS + _cell(total))) / 2
@@ -255,10 +255,10 @@ def fit(rows: DataFrame, kind: Kind, tasks: int, bits_of: Callable[[pa.RecordBat
     table = np.zeros((2 * kind.slots // PART, PART), "<u2")
     for part, counts in sums.toLocalIterator():
         table[part] = np.frombuffer(counts, "<u2")
-    sent = spark.sparkContext.broadcast(table.ravel())
+    sent = spark.sparkContext.broadcast(pack(table.ravel()))
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner = Learner(kind, Opinions(kind, sent.value))
+        learner = Learner(kind, Opinions(kind, unpack(sent.value, "<u2")))
         for b in batches:
             for bits in bits_of(b, BATCH):
                 learner.add(bits)
