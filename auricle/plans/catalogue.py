@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from auricle.plans import audio, cells, live, reports, spectra, streams, text
+from auricle.plans import audio, cells, live, reports, signals, spectra, streams, text
 
-MODULES = (streams, spectra, reports, text, audio, cells, live)
+MODULES = (streams, spectra, reports, text, audio, signals, cells, live)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}

@@ -7,7 +7,7 @@ them in parallel, and a damaged file yields fewer rows, never a failed task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,15 +60,33 @@ def wide_sizes(body: bytes) -> dict[bytes, int]:
     return {body[28 + 12 * i : 32 + 12 * i]: number(32 + 12 * i, 8) for i in range(min(number(24, 4), (len(body) - 28) // 12))} | out
 
 
+#: Families in the order in which they are asked.
+FAMILIES = ("wav", "aiff", "mp4", "flac", "caf", "ogg", "mp3")
+
+
+def sniffed(content: bytes) -> str | None:
+    """The family of a file as kind_of tells it, of bytes or of anything that is sliced like them."""
+    head = bytes(content[0:32])
+    if len(head) < 4:
+        return None
+    four, form = head[:4], head[8:12]
+    tests = (four in (b"RIFF", b"RF64", b"BW64", b"RIFX") and form == b"WAVE", four == b"FORM" and form in (b"AIFF", b"AIFC"), head[4:8] in (b"ftyp", b"moov", b"mdat"), four == b"fLaC", four == b"caff", four == b"OggS", head[:3] == b"ID3" or head[0] == 255 and head[1] >= 0xE0)
+    kind = next((k for k, test in zip(FAMILIES, tests) if test), None)
+    if head[:3] == b"ID3" and kind == "mp3":
+        after = tag_length(head) - (10 if head[5] & 16 else 0)
+        return "flac" if bytes(content[after : after + 4]) == b"fLaC" else kind
+    return kind
+
+
 def walk(content: bytes, kind: str) -> Iterator[tuple[bytes, int, int, int]]:
-    """(id, offset of the body, declared size, size that is there) of the chunks of a file, in order."""
+    """(id, offset of the body, declared size, size that is there) of the chunks of a file, in order. What the generator returns says why it stopped early."""
     if kind == "ogg":
         yield from _pages(content)
         return
     if kind == "mp3":
         yield from _mpeg(content)
         return
-    layout, order, wide = LAYOUTS.get(kind), order_of(content, kind), {}
+    layout, order, wide, short = LAYOUTS.get(kind), order_of(content, kind), {}, None
     at, n = (layout.first if layout else len(content)), 0
     if kind == "flac":
         at += tag_length(content)
@@ -85,9 +103,11 @@ def walk(content: bytes, kind: str) -> Iterator[tuple[bytes, int, int, int]]:
             size = wide.get(name, size)
         declared = size - (body - at) if layout.whole else size
         if declared < 0 or not all(32 <= b < 127 or b == 169 and kind == "mp4" for b in name) and kind != "flac":
-            return
-        yield name, body, declared, min(declared, len(content) - body)
+            return f"no chunk header at byte {at}"
+        yield name, body, declared, max(0, min(declared, len(content) - body))
         n += 1
+        if body + declared > len(content):
+            short = f"the chunk at byte {at} states {declared} bytes, {len(content) - body} are there"
         if name == b"ds64":
             wide = wide_sizes(content[body : body + declared])
         if name in layout.enter:
@@ -97,6 +117,9 @@ def walk(content: bytes, kind: str) -> Iterator[tuple[bytes, int, int, int]]:
         if kind == "flac" and name[0] & 128:
             yield b"\xff", at, len(content) - at, len(content) - at
             return
+    if n >= MAX_CHUNKS and at < len(content):
+        return f"{MAX_CHUNKS} chunks were read, more follow at byte {at}"
+    return short
 
 
 def tag_length(content: bytes) -> int:
@@ -182,14 +205,27 @@ CHUNKS = "report_id string, kind string, ord int, id binary, offset long, declar
 
 def tracked(content: bytes, kind: str) -> list[tuple]:
     """The chunks with the number of the MP4 track that they stand in, and whether they belong to the first audio track (all of other families do)."""
-    out, track, sound = [], 0, None
-    for name, body, declared, there in walk(content, kind):
+    return tracked_until(content, kind)[0]
+
+
+def tracked_until(content: bytes, kind: str, walker: Callable[[bytes], Iterator[tuple[bytes, int, int, int]]] | None = None) -> tuple[list[tuple], str | None]:
+    """As tracked, and why the walk stopped before the end of the file, an error in a walker included; None if it did not. A walker of one's own takes the place of walk."""
+    out, track, sound, reason = [], 0, None, None
+
+    def steps() -> Iterator[tuple[bytes, int, int, int]]:
+        nonlocal reason
+        try:
+            reason = yield from (walker(content) if walker else walk(content, kind))
+        except Exception as e:  # what was read until then stands
+            reason = f"{type(e).__name__} behind {len(out)} chunks: {e}"
+
+    for name, body, declared, there in steps():
         if kind == "mp4" and name == b"trak":
             track += 1
         if kind == "mp4" and name == b"hdlr" and content[body + 8 : body + 12] == b"soun" and sound is None:
             sound = track
         out.append((name, body, declared, there, content[body : body + min(HEAD, there)], order_of(content, kind) == "big", track))
-    return [(*c, kind != "mp4" or c[-1] == sound) for c in out]
+    return [(*c, kind != "mp4" or c[-1] == sound) for c in out], reason
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
