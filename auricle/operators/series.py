@@ -24,6 +24,22 @@ def rectify(df: DataFrame, keys: list[str], order: list[str], value: str, reach:
     return df.withColumn("rectified", F.greatest(F.lit(0.0), F.col(value) - F.avg(value).over(w)))
 
 
+def rectify_by(df: DataFrame, keys: list[str], at: str, value: str, reach: Column) -> DataFrame:
+    """As rectify, with a reach (below 1,000) that may differ by key: places are stretched so that the same range of numbers is the reach of each."""
+    span = 1_000_000
+    w = Window.partitionBy(*keys).orderBy(F.col(at).cast("long") * F.floor(F.lit(span) / reach).cast("long")).rangeBetween(-span, span)
+    return df.withColumn("rectified", F.greatest(F.lit(0.0), F.col(value) - F.avg(value).over(w)))
+
+
+def runs(df: DataFrame, keys: list[str], at: str, label: str, **figures: Column) -> DataFrame:
+    """keys, label, from, to and n of each run of neighbouring rows with the same label, with any aggregates asked for; rows without a label are in no run and bridge nothing."""
+    w = Window.partitionBy(*keys).orderBy(at)
+    new = ~F.coalesce(F.col(label) == F.lag(label).over(w), F.lit(False))
+    rows = df.withColumn("__new", new.cast("int")).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out = rows.where(F.col(label).isNotNull()).groupBy(*keys, "__run", label)
+    return out.agg(F.min(at).alias("from"), F.max(at).alias("to"), F.count("*").alias("n"), *(x.alias(name) for name, x in figures.items())).drop("__run")
+
+
 def unit_deviation(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Adds scaled: the value over its population deviation; a constant series stays."""
     sd = F.stddev_pop(value).over(Window.partitionBy(*keys))
