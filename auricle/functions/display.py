@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,15 +84,26 @@ def file_name(name: Column, limit: int = 80) -> Column:
 
 
 def wrapped(text: Column, width: int) -> Column:
-    """Lines of words of at most a width; longer words stand alone."""
-    words = F.filter(F.split(text, " "), lambda w: w != "")
-
-    def step(lines: Column, word: Column) -> Column:
-        last = F.element_at(lines, -1)
-        fits = F.length(last) + 1 + F.length(word) <= width
-        return F.when(F.size(lines) == 0, F.array(word)).when(fits, F.concat(F.slice(lines, 1, F.size(lines) - 1), F.array(F.concat(last, F.lit(" "), word)))).otherwise(F.concat(lines, F.array(word)))
-
-    return F.array_join(F.aggregate(words, F.array().cast("array<string>"), step), "\n")
+    """Lines of words of at most a width; longer words stand alone. One walk over the words, whatever the length of the text."""
+
+    @F.arrow_udf("string")
+    def run(values: pa.Array) -> pa.Array:
+        out = []
+        for value in values.to_pylist():
+            lines, used = [], 0
+            for word in (value or "").split(" "):
+                if not word:
+                    continue
+                if lines and used + 1 + len(word) <= width:
+                    lines[-1].append(word)
+                    used += 1 + len(word)
+                else:
+                    lines.append([word])
+                    used = len(word)
+            out.append(None if value is None else "\n".join(map(" ".join, lines)))
+        return pa.array(out, pa.string())
+
+    return run(text)
 
 
 def cell(text: Column, width: int) -> Column:

@@ -190,3 +190,55 @@ def assess(df: DataFrame, value: str, tools: list[Tool] = TOOLS, phrases: list[t
     flag = F.when(declared, "declared").when(weight.isNotNull(), "possible").otherwise("none")
     outcome = F.when(F.size("tools") > 0, "tool-named").when(F.trim(F.coalesce(F.col(value), F.lit(""))) == "", "nothing-recorded").otherwise("no-known-tool")
     return out.withColumns({"flag": flag, "weight": weight, "outcome": outcome})
+
+
+# The words for the strength of reasons, from none on.
+WEIGHTS = ["none", "weak", "moderate", "strong"]
+
+
+def origins(tags: DataFrame, tools: list[Tool] = TOOLS, phrases: list[tuple[str, int]] = PHRASES) -> DataFrame:
+    """For each file with any sign of what made it: origin_flag (none, possible, declared), origin_confidence, origin_headline, origin_reasons (the strongest kinds of evidence first: the manifest's claims,
+    then tools, then phrases, in the order of fields), processing (tools named that process audio), tools_named (all), outcome, and manifest.
+
+    A manifest's claim of generation and the name of a generator that is no everyday word settle it; all else is possible at most."""
+    common = [t.name for t in tools if t.common]
+    rows = origin_fields(tags).withColumns({"t": tools_named(F.col("value"), tools), "p": phrases_found(F.col("value"), phrases)})
+    mention = F.struct(F.col("ord").alias("field"), F.col("t.ord").alias("tool"))
+    named = rows.select("report_id", "ord", "label", F.explode("t").alias("t")).groupBy("report_id", F.col("t.name").alias("name"), F.col("t.kind").alias("kind"))
+    named = named.agg(F.min(mention).alias("first"), F.max("t.weight").alias("weight"), F.min_by("label", mention).alias("label"))
+    generator = F.col("kind").isin(*GENERATIVE)
+    tool_text = F.when(F.col("weight") == WEAK, F.concat("label", F.lit(" has the word "), "name")).otherwise(F.concat("label", F.lit(" names "), "name"))
+    reason = lambda rank, a, b, weight, text: F.struct(F.lit(rank).alias("rank"), a.cast("int").alias("a"), b.cast("int").alias("b"), weight.cast("int").alias("weight"), text.alias("text"))
+    of_tools = named.where(generator).select("report_id", reason(1, F.col("first.field"), F.col("first.tool"), F.col("weight"), tool_text).alias("r"), (~F.col("name").isin(*common)).alias("settled"), "name")
+    said = rows.select("report_id", "ord", "label", F.explode("p").alias("p")).groupBy("report_id", "p.ord", "p.phrase", "p.weight").agg(F.min("ord").alias("field"), F.min_by("label", rows["ord"]).alias("label"))
+    of_phrases = said.select("report_id", reason(2, F.col("field"), F.col("ord"), F.col("weight"), F.concat("label", F.lit(" says '"), "phrase", F.lit("'"))).alias("r"), F.lit(False).alias("settled"), F.lit(None).cast("string").alias("name"))
+    m = manifests(tags)
+    strength = F.create_map(*(F.lit(x) for pair in GENERATED for x in pair))
+    claims = m.where("generative").select("report_id", F.posexplode(F.filter("kinds", lambda k: k.isin(*(k for k, _ in GENERATED)))).alias("i", "k"))
+    of_claims = claims.select("report_id", reason(0, F.lit(0), F.col("i"), F.try_element_at(strength, F.col("k")), F.concat(F.lit("Content Credentials claim "), "k")).alias("r"), F.lit(True).alias("settled"), F.lit("").alias("name"))
+    by = m.where("generative AND generator IS NOT NULL").select("report_id", reason(0, F.lit(1), F.lit(0), F.lit(MODERATE), F.concat(F.lit("Content Credentials name "), "generator")).alias("r"), F.lit(True).alias("settled"), F.lit("").alias("name"))
+    silent = m.where("NOT coalesce(generative, false)").select("report_id", reason(0, F.lit(0), F.lit(0), F.lit(WEAK), F.lit("Content Credentials are there and claim no generation")).alias("r"), F.lit(False).alias("settled"), F.lit(None).cast("string").alias("name"))
+    reasons = of_claims.unionByName(by).unionByName(silent).unionByName(of_tools).unionByName(of_phrases)
+    sums = reasons.groupBy("report_id").agg(
+        F.array_sort(F.collect_list("r")).alias("r"), F.max("r.weight").alias("weight"), F.bool_or("settled").alias("settled"), F.bool_or(F.expr("name = '' AND settled")).alias("claimed"),
+        F.min_by("name", F.when(F.col("settled") & (F.col("name") != ""), F.struct("r.a", "r.b"))).alias("by"),
+    )
+    listed = named.groupBy("report_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "name"))), lambda x: x["name"]).alias("tools_named"), F.transform(F.array_sort(F.collect_list(F.when(~generator, F.struct("first", "name")))), lambda x: x["name"]).alias("processing"))
+    all_ = rows.select("report_id").union(m.select("report_id")).distinct()
+    out = all_.join(sums, "report_id", "left").join(listed, "report_id", "left").join(m.select("report_id", F.lit(True).alias("manifest")), "report_id", "left")
+    c, none = F.col, F.array().cast("array<string>")
+    flag = F.when(c("weight").isNull(), "none").when(c("settled"), "declared").otherwise("possible")
+    word = F.get(F.array(*map(F.lit, WEIGHTS)), c("weight"))
+    headline = F.when(c("weight").isNull(), "No signs of generation in the metadata").when(c("claimed"), "The file declares that it was generated").when(c("settled"), F.concat(F.lit("The file says that it was made with "), c("by")))
+    headline = F.coalesce(headline, F.when(c("weight") == STRONG, "Strong signs of generation").when(c("weight") == MODERATE, "Possibly generated").otherwise("Faint signs of generation"))
+    outcome = F.when(c("manifest"), "manifest").when(F.size("tools_named") > 0, "tool-named").otherwise("no-known-tool")
+    return out.select(
+        "report_id", flag.alias("origin_flag"), F.when(c("settled"), "declared by the file").otherwise(F.when(c("weight").isNotNull(), word)).alias("origin_confidence"), headline.alias("origin_headline"),
+        F.coalesce(F.transform("r", lambda x: x["text"]), none).alias("origin_reasons"), F.coalesce("processing", none).alias("processing"), F.coalesce("tools_named", none).alias("tools_named"), outcome.alias("outcome"), F.coalesce("manifest", F.lit(False)).alias("manifest"),
+    )
+
+
+def summary_line(outcome: Column, tools: Column) -> Column:
+    """One line on what a file says of what made it."""
+    named = F.concat(F.lit("Names "), F.array_join(tools, ", "), F.lit(" in its metadata"))
+    return F.when(outcome == "manifest", "Has a Content Credentials manifest (signature not checked)").when(outcome == "tool-named", named).when(outcome == "no-known-tool", "Records what made it, and none of the known tools").otherwise("Records nothing of what made it")

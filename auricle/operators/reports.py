@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auricle.functions import shared
 from auricle.functions.measures import decibels
-from auricle.sources import containers
+from auricle.operators import provenance, signal
+from auricle.sources import containers, samples, tags
 
 c = F.col
 
@@ -14,18 +16,28 @@ c = F.col
 def from_files(found: DataFrame) -> DataFrame:
     """A report for each file (report_id, content) that is a known container. What is not established is NULL; files without readable samples are not measured.
 
-    One pass over the contents lists the chunks, one sums the samples; no content is shuffled but to meet its format, of one row a file."""
-    described = containers.formats(containers.chunks(found))
-    head = F.substring("content", 1, 8)
+    One pass over the contents lists chunks and metadata, one sums the samples, one filters them; a content meets its format, of one row a file, and no other content."""
+    own = tags.inventory(found)
+    listed = own.where("what = 'chunk'")
+    described = shared.stored(containers.formats(listed), "formats")
+    head = c("head")
     riff = F.when(F.substring(head, 1, 4).isin(bytearray(b"RIFF")), containers.unsigned(head, 4, 4, True)).when(F.substring(head, 1, 4).isin(bytearray(b"RIFX"), bytearray(b"FORM")), containers.unsigned(head, 4, 4))
-    sizes = found.select("report_id", F.length("content").cast("long").alias("actual_size"), (riff + 8).alias("declared_size"))
+    sizes = own.where("what = 'file'").select("report_id", c("length").alias("actual_size"), (riff + 8).alias("declared_size"))
+    warned = listed.groupBy("report_id").agg(F.array_sort(F.collect_set("stopped")).alias("warnings"))
+    origin = provenance.origins(own.where("what = 'tag'")).withColumnRenamed("processing", "tools")
+    filtered = signal.analysed(samples.from_contents(found, described))
+    peaks = signal.true_peak_of(filtered).select("report_id", c("true_peak_dbtp").alias("true_peak"))
+    loud = signal.loudness_of(filtered).select("report_id", *(c(x).alias(y) for x, y in (("integrated", "integrated"), ("range", "loudness_range"), ("momentary_max", "momentary_max"), ("short_term_max", "short_term_max"))))
     per = containers.channel_levels(found, described)
-    own = F.array_sort(F.collect_list(F.struct("channel", "digital_silence", "dc_offset")))  # one element a channel
+    channels = F.array_sort(F.collect_list(F.struct("channel", "digital_silence", "dc_offset")))  # one element a channel
     levels = per.groupBy("report_id").agg(
         F.max("peak").alias("peak"), F.max("longest_run").alias("longest_run"), F.sum("full_scale").alias("full_scale"), F.sum("non_finite").alias("non_finite"),
-        F.sqrt(F.avg(c("rms") * c("rms"))).alias("rms"), F.when(F.count("digital_silence") == F.count("*"), F.bool_and("digital_silence")).alias("digital_silence"), own.alias("own"),
+        F.sqrt(F.avg(c("rms") * c("rms"))).alias("rms"), F.when(F.count("digital_silence") == F.count("*"), F.bool_and("digital_silence")).alias("digital_silence"), channels.alias("own"),
     )
-    out = described.join(sizes, "report_id", "left").join(levels, "report_id", "left")
+    out = described
+    for more in (sizes, levels, warned, origin, peaks, loud):
+        out = out.join(more, "report_id", "left")
+    none = F.array().cast("array<string>")
     nothing = lambda kind: F.lit(None).cast(kind)
     return out.withColumns({
         "measured": c("own").isNotNull(),
@@ -37,8 +49,11 @@ def from_files(found: DataFrame) -> DataFrame:
         "lossless": F.when(c("codec_family").startswith("pcm") | (c("kind") == "flac"), F.lit(True)),
         "size_matches": c("declared_size") == c("actual_size"),
         "truncated": c("shortfall") > 0,
-        "errors": F.lit(0).cast("long"),
-        "warnings": F.array().cast("array<string>"),
-        "valid_bits": nothing("long"), "mask_channels": nothing("long"), "undefined_bits": nothing("boolean"), "true_peak": nothing("double"),
-        "decoded_seconds": nothing("double"), "manifest": nothing("boolean"), "origin_flag": F.lit("none"), "tools": F.array().cast("array<string>"),
+        # a walk that an error ended is an error; one that the file's own figures ended is a warning
+        "errors": F.size(F.filter("warnings", lambda w: w.rlike(r"^[A-Za-z]+(Error|Exception) behind "))).cast("long"),
+        "warnings": F.coalesce("warnings", none),
+        "mask_channels": F.when(c("channel_mask") > 0, F.bit_count("channel_mask").cast("long")), "undefined_bits": F.shiftright("channel_mask", 18) > 0,
+        "decoded_seconds": nothing("double"),
+        # metadata were read, and say nothing where there are none
+        "manifest": F.coalesce("manifest", F.lit(False)), "origin_flag": F.coalesce("origin_flag", F.lit("none")), "tools": F.coalesce("tools", none), "tools_named": F.coalesce("tools_named", none), "outcome": F.coalesce("outcome", F.lit("nothing-recorded")),
     }).drop("own")

@@ -98,6 +98,26 @@ def _arrays(rows: np.ndarray, length: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows[np.arange(rows.shape[1]) < length[:, None]]))
 
 
+def autocorrelations(values: Column, low: int, high: int) -> Column:
+    """autocorrelation() of arrays less their means at all lags from low to high, as an array: all arrays of a batch take each lag together."""
+
+    @F.arrow_udf("array<double>")
+    def run(v: pa.Array) -> pa.Array:
+        rows, length = _rows(v)
+        inside = np.arange(rows.shape[1]) < length[:, None]
+        rows = np.where(inside, rows - (rows.sum(axis=1) / np.maximum(length, 1))[:, None], 0.0)
+        zero = (rows * rows).sum(axis=1) / np.maximum(length, 1)
+        out = []
+        for lag in range(low, high + 1):
+            left = length - lag
+            dot = (rows[:, : max(0, rows.shape[1] - lag)] * rows[:, lag:]).sum(axis=1)
+            out.append(np.divide(dot, left * zero, out=np.full(len(rows), np.nan), where=(left > 0) & (zero > 0)))
+        table = np.array(out).T
+        return pa.array([[None if np.isnan(x) else x for x in row] for row in table.tolist()], pa.list_(pa.float64()))
+
+    return run(values)
+
+
 def magnitudes(values: Column, size: int) -> Column:
     """Magnitudes of all size // 2 + 1 bins of the Hann-windowed Fourier transform of an array's first `size` samples (zeros beyond its end)."""
     hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / (size - 1))

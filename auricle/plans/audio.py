@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from auricle.operators import export, provenance, reports, rules
+from auricle.functions import shared
+from auricle.operators import export, provenance, reports, rules, signal
 from auricle.plans import streams
 from auricle.plans import text as text_plans
 from auricle.sources import containers, tags
 
 RATE, ODD_RATE = 8000, 47952
+c = F.col
 
 
 def _number(value: Column, width: int, little: bool) -> Column:
@@ -64,7 +66,7 @@ def container_levels(spark, sf_dir):
 
 
 def _checked(spark, sf_dir):
-    return rules.observe(rules.status(reports.from_files(files(spark, sf_dir))))
+    return rules.observe(rules.status(reports.from_files(shared.stored(files(spark, sf_dir), "files"))))
 
 
 def file_observations(spark, sf_dir):
@@ -94,7 +96,11 @@ def tagged_files(spark, sf_dir):
     point = lambda i, at: F.concat(u(i, 4, True), u(0, 4, True), text("data"), u(0, 4, True), u(0, 4, True), u(at, 4, True))
     cue = F.concat(u(2, 4, True), point(1, key % 1000), point(2, key % 7))
     labels = F.concat(text("adtl"), chunk("labl", F.concat(u(1, 4, True), phone), True), chunk("labl", F.concat(u(1, 4, True), name), True))
-    body = F.concat(text("WAVE"), chunk("LIST", info, True), chunk("cue ", cue, True), chunk("LIST", labels, True))
+    # extensible: 24 bits, of which fewer may be audio, and a mask that may name other speakers than there are channels, or none
+    valid, mask = F.when(key % 8 == 0, 20).otherwise(24).cast("long"), F.when(key % 3 == 0, 3).when(key % 3 == 1, 4).otherwise(3 + (1 << 20)).cast("long")
+    fmt = F.concat(u(65534, 2, True), u(2, 2, True), u(44100, 4, True), u(264600, 4, True), u(6, 2, True), u(24, 2, True), u(22, 2, True), u(valid, 2, True), u(mask, 4, True), u(1, 2, True), F.lit(bytes.fromhex("000000001000800000aa00389b71")))
+    claim = F.when(key % 5 == 0, chunk("C2PA", text("....jumb c2pa.claim trainedAlgorithmicMedia"), True)).when(key % 5 == 1, chunk("C2PA", text("....jumb c2pa.claim of a camera"), True)).otherwise(F.lit(b""))
+    body = F.concat(text("WAVE"), chunk("fmt ", fmt, True), chunk("LIST", info, True), chunk("cue ", cue, True), chunk("LIST", labels, True), claim, chunk("data", F.lit(bytes(60)), True))
     wav = F.concat(text("RIFF"), u(F.length(body), 4, True), body)
     frame = lambda n, b: F.concat(text(n), u(F.length(b) + 1, 4), u(0, 2), F.lit(b"\0"), b)
     id3 = F.concat(frame("TIT2", phone), frame("TPE1", phone), frame("TIT2", name), frame("TXXX", F.concat(text("mood"), F.lit(b"\0"), phone)), frame("TSSE", phone), frame("TSSE", maker))
@@ -106,8 +112,9 @@ def tagged_files(spark, sf_dir):
     flac = F.concat(text("fLaC"), u(4 + 128, 1), u(F.length(comments), 3), comments)
     forms = F.concat(text("AIFF"), chunk("NAME", name, False), chunk("AUTH", phone, False), chunk("ANNO", maker, False))
     aiff = F.concat(text("FORM"), u(F.length(forms), 4), forms)
-    kind = key % 4
-    return p.select(key.cast("string").alias("report_id"), F.when(kind == 0, wav).when(kind == 1, mp3).when(kind == 2, flac).otherwise(aiff).alias("content"))
+    # a projection for each kind, each small enough to be compiled
+    parts = [p.where(key % 4 == i).select(key.cast("string").alias("report_id"), content.alias("content")) for i, content in enumerate((wav, mp3, flac, aiff))]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
 
 
 def file_fields(spark, sf_dir):
@@ -127,6 +134,13 @@ def file_origins(spark, sf_dir):
     return out.select("report_id", F.array_join("tools", ", ").alias("tools"), "phrases", "flag", F.col("weight").cast("long").alias("weight"), "summary")
 
 
+def report_origins(spark, sf_dir):
+    """Origin, format and structure observations of the customers' files, from their bytes to the rules."""
+    r = rules.observe(rules.status(reports.from_files(shared.stored(tagged_files(spark, sf_dir), "files"))))
+    seen = F.array_join(F.array_sort(F.transform(F.filter("observations", lambda o: o["rule_id"].isin(*ORIGIN_RULES)), lambda o: F.concat(o["obs_id"], F.lit(": "), o["title"]))), " | ")
+    return r.select("report_id", "status", "valid_bits", "mask_channels", "manifest", "origin_flag", "origin_confidence", "origin_headline", F.array_join("origin_reasons", "; ").alias("reasons"), F.array_join("tools", ", ").alias("processing"), provenance.summary_line(c("outcome"), c("tools_named")).alias("summary"), seen.alias("observations"))
+
+
 def cue_points(spark, sf_dir):
     return tags.labelled_cues(tags.tags(tagged_files(spark, sf_dir)))
 
@@ -137,16 +151,22 @@ def mpeg_lengths(spark, sf_dir):
     return out.select("report_id", "sample_rate", "channels", "codec", "frames", F.round("seconds", 6).alias("seconds"))
 
 
-QUERIES = {f.__name__: f for f in (container_formats, container_levels, file_observations, file_reports, file_fields, file_tags, file_origins, cue_points, mpeg_lengths)}
+#: Rules that report_origins shows.
+ORIGIN_RULES = ["valid-bits-differ", "channel-mask-disagrees", "channel-mask-undefined-bits", "provenance-manifest", "possible-ai-generated", "ai-assisted-processing"]
+QUERIES = {f.__name__: f for f in (container_formats, container_levels, file_observations, file_reports, file_fields, file_tags, file_origins, report_origins, cue_points, mpeg_lengths)}
+_TAPS = signal.interpolator(signal.phases_of(RATE)).tolist()
 _Q = f"""WITH {streams.S_SQL}, q AS (SELECT stream, stream || '-' || frame // {FILE_FRAMES} AS report_id, frame % {FILE_FRAMES} AS frame, greatest(-32768, least(32767, floor(x * 40000 + 0.5))) / 32768 AS y FROM s),
   m AS (SELECT report_id, any_value(stream) % 6 AS kind, count(*) AS n, max(abs(y)) AS peak, sqrt(avg(y * y)) AS rms, avg(y) AS dc, count(*) FILTER (abs(y) >= 32767 / 32768) AS full_scale, bool_and(y = 0) AS silent FROM q GROUP BY 1),
   u AS (SELECT report_id, abs(y) >= 32767 / 32768 AS loud, sum((abs(y) < 32767 / 32768)::INT) OVER (PARTITION BY report_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS run FROM q),
   lr AS (SELECT report_id, max(k) AS longest_run FROM (SELECT report_id, run, count(*) FILTER (loud) AS k FROM u GROUP BY 1, 2) GROUP BY 1),
-  f AS (SELECT *, CASE WHEN kind = 5 THEN {ODD_RATE} ELSE {RATE} END AS rate, CASE WHEN kind = 4 THEN {MISSING} ELSE 0 END AS shortfall,
-    CASE WHEN peak > 0 THEN 20 * log10(peak) ELSE '-inf'::DOUBLE END AS db FROM m JOIN lr USING (report_id)),
+  ta(p, j, w) AS (VALUES {", ".join(f"({p}, {j}, {w!r}::DOUBLE)" for p, row in enumerate(_TAPS) for j, w in enumerate(row))}), tq AS (SELECT report_id, max(abs(v)) AS between FROM (SELECT report_id, p, frame + j AS at, sum(y * w) AS v FROM q, ta GROUP BY ALL) GROUP BY 1),
+  f AS (SELECT *, CASE WHEN greatest(peak, between) > 0 THEN 20 * log10(greatest(peak, between)) ELSE '-inf'::DOUBLE END AS tp, CASE WHEN kind = 5 THEN {ODD_RATE} ELSE {RATE} END AS rate, CASE WHEN kind = 4 THEN {MISSING} ELSE 0 END AS shortfall,
+    CASE WHEN peak > 0 THEN 20 * log10(peak) ELSE '-inf'::DOUBLE END AS db FROM m JOIN lr USING (report_id) JOIN tq USING (report_id)),
   g AS (SELECT *, n / rate AS seconds, CASE WHEN db = '-inf'::DOUBLE THEN '-∞' WHEN db > 0 THEN printf('+%.2f', db) ELSE printf('%.2f', db) END AS pt, CASE WHEN shortfall > 0 THEN 'partial' ELSE 'ok' END AS status FROM f),
   o AS (
     SELECT report_id, status, 0 AS r, 1 AS k, 'parse-partial' AS obs_id, 'attention' AS severity, 'The file could be read in part' AS title, 'Some of it could not be interpreted, so figures may be missing.' AS detail FROM g WHERE shortfall > 0
+    UNION ALL SELECT report_id, status, 1, 2, 'parse-warnings', 'notice', 'Note on the file''s structure', 'the chunk at byte 36 states ' || (n * 2 + {MISSING}) || ' bytes, ' || n * 2 || ' are there' FROM g WHERE shortfall > 0
+    UNION ALL SELECT report_id, status, 0, 18, 'true-peak-over', 'attention', 'Peak of ' || printf('+%.2f', tp) || ' dBTP between samples', 'The curve through the samples reaches ' || printf('+%.2f', tp) || ' dBTP; the samples reach ' || pt || ' dBFS.' FROM g WHERE tp > 0
     UNION ALL SELECT report_id, status, 0, 3, 'data-truncated', 'attention', 'Audio data are shorter than stated', shortfall || ' bytes of the stated audio data are missing. Lengths describe what is there.' FROM g WHERE shortfall > 0
     UNION ALL SELECT report_id, status, 1, 5, 'sample-rate-nonstandard', 'notice', 'Sample rate {ODD_RATE} Hz', '{ODD_RATE} Hz is no rate in common use; the nearest is 48000 Hz.' FROM g WHERE kind = 5
     UNION ALL SELECT report_id, status, 1, 11, 'byte-rate-inconsistent', 'notice', 'Header figures disagree', '{RATE * 2} bytes a second are stated; rate and block size give {ODD_RATE * 2}.' FROM g WHERE kind = 5
@@ -164,6 +184,7 @@ ORACLE = {
     "file_fields": f"""{_C} SELECT report_id, 'title' AS field, name AS value FROM c UNION ALL
       SELECT report_id, 'artist', CASE WHEN kind = 2 THEN phone || '; ' || name ELSE phone END FROM c""",
     "file_tags": f"""{_C}, t AS (SELECT 'info' AS scheme, 'INAM' AS key, name AS v FROM c WHERE kind = 0 UNION ALL SELECT 'info', 'INAM', phone FROM c WHERE kind = 0 UNION ALL SELECT 'info', 'IART', phone FROM c WHERE kind = 0
+      UNION ALL SELECT 'c2pa', 'evidence', 'labelled box' FROM c WHERE kind = 0 AND k % 5 < 2 UNION ALL SELECT 'c2pa', 'source_type', unnest(['trainedalgorithmicmedia', 'algorithmicmedia']) FROM c WHERE kind = 0 AND k % 5 = 0
       UNION ALL SELECT 'cue', '1', (k % 1000)::VARCHAR FROM c WHERE kind = 0 UNION ALL SELECT 'cue', '2', (k % 7)::VARCHAR FROM c WHERE kind = 0 UNION ALL SELECT 'adtl', '1', unnest([phone, name]) FROM c WHERE kind = 0
       UNION ALL SELECT 'id3v2', 'TIT2', unnest([phone, name]) FROM c WHERE kind = 1 UNION ALL SELECT 'id3v2', 'TPE1', phone FROM c WHERE kind = 1 UNION ALL SELECT 'id3v2', 'TXXX:mood', phone FROM c WHERE kind = 1
       UNION ALL SELECT ['info', 'id3v2', 'vorbis', 'aiff'][kind + 1], ['ISFT', 'TSSE', 'ENCODER', 'ANNO'][kind + 1], maker FROM c UNION ALL SELECT 'id3v2', 'TSSE', phone FROM c WHERE kind = 1
@@ -172,6 +193,19 @@ ORACLE = {
       SELECT scheme, key, count(*) AS n, min(v) AS least, max(v) AS greatest FROM t GROUP BY ALL""",
     "file_origins": text_plans._assessed_sql(_C.removeprefix("WITH ") + ", r AS (SELECT report_id AS id, maker AS text FROM c)") + """, w AS (SELECT id, string_agg(name, ', ' ORDER BY name) AS names FROM tm GROUP BY 1)
       SELECT id AS report_id, coalesce(names, '') AS tools, phrases, flag, weight, CASE WHEN tools > 0 THEN 'Names ' || names || ' in its metadata' ELSE 'Records what made it, and none of the known tools' END AS summary FROM a LEFT JOIN w USING (id)""",
+    "report_origins": text_plans._assessed_sql(_C.removeprefix("WITH ") + ", r AS (SELECT report_id AS id, maker AS text FROM c)") + f""", fl AS (SELECT report_id AS id, kind, k, kind = 0 AND k % 5 < 2 AS manifest, kind = 0 AND k % 5 = 0 AS claimed, ['Software (INFO ISFT)', 'Encoder settings (ID3 TSSE)', 'Encoder (Vorbis ENCODER)', 'AIFF annotation'][kind + 1] AS label FROM c),
+      tn AS (SELECT tm.*, first_ord FROM tm JOIN (SELECT id, name, min(ord) AS first_ord FROM hit GROUP BY 1, 2) USING (id, name)),
+      rs AS (SELECT id, 0 AS a, 0 AS b, 3 AS w, 'Content Credentials claim trainedalgorithmicmedia' AS t FROM fl WHERE claimed UNION ALL SELECT id, 0, 0, 1, 'Content Credentials are there and claim no generation' FROM fl WHERE manifest AND NOT claimed
+        UNION ALL SELECT id, 1, first_ord, weight, label || CASE WHEN weight = 1 THEN ' has the word ' ELSE ' names ' END || name FROM tn JOIN fl USING (id) WHERE tn.kind IN ('music', 'model', 'speech')),
+      ra AS (SELECT id, string_agg(t, '; ' ORDER BY a, b) AS reasons, max(w) AS w FROM (SELECT rs.* FROM rs) GROUP BY 1),
+      ns AS (SELECT id, string_agg(name, ', ' ORDER BY first_ord) AS names, string_agg(name, ', ' ORDER BY first_ord) FILTER (kind NOT IN ('music', 'model', 'speech')) AS processing, arg_min(name, first_ord) FILTER (kind IN ('music', 'model', 'speech') AND NOT common) AS made FROM tn GROUP BY 1),
+      z AS (SELECT fl.id, fl.kind, fl.k, manifest, claimed, reasons, ra.w, names, processing, made, claimed OR made IS NOT NULL AS settled FROM fl LEFT JOIN ra USING (id) LEFT JOIN ns USING (id)),
+      y AS (SELECT *, CASE WHEN w IS NULL THEN 'none' WHEN settled THEN 'declared' ELSE 'possible' END AS flag, CASE WHEN kind = 0 AND k % 8 = 0 THEN 20 WHEN kind = 0 THEN 24 END AS vb, CASE WHEN kind = 0 THEN CASE k % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 3 END END AS mc FROM z)
+      SELECT id AS report_id, CASE WHEN kind > 1 THEN 'failed' ELSE 'ok' END AS status, vb AS valid_bits, mc AS mask_channels, manifest, flag AS origin_flag, CASE WHEN w IS NULL THEN NULL WHEN settled THEN 'declared by the file' ELSE ['weak', 'moderate', 'strong'][w] END AS origin_confidence,
+        CASE WHEN w IS NULL THEN 'No signs of generation in the metadata' WHEN claimed THEN 'The file declares that it was generated' WHEN settled THEN 'The file says that it was made with ' || made WHEN w = 3 THEN 'Strong signs of generation' WHEN w = 2 THEN 'Possibly generated' ELSE 'Faint signs of generation' END AS origin_headline,
+        coalesce(reasons, '') AS reasons, coalesce(processing, '') AS processing, CASE WHEN manifest THEN 'Has a Content Credentials manifest (signature not checked)' WHEN names IS NOT NULL THEN 'Names ' || names || ' in its metadata' ELSE 'Records what made it, and none of the known tools' END AS summary,
+        array_to_string(list_sort(list_filter(list_concat([CASE WHEN vb = 20 THEN 'valid-bits-differ: 20 bits of audio in 24' END, CASE WHEN mc <> 2 THEN 'channel-mask-disagrees: Channels and speaker mask differ' END, CASE WHEN mc = 3 THEN 'channel-mask-undefined-bits: Speaker mask with undefined positions' END,
+          CASE WHEN manifest THEN 'provenance-manifest: The file has Content Credentials' END, CASE WHEN flag <> 'none' THEN 'possible-ai-generated: Origin: ' || flag END], list_transform(string_split(processing, ', '), lambda x: 'ai-assisted-processing: Metadata name ' || x)), lambda x: x IS NOT NULL)), ' | ') AS observations FROM y""",
     "cue_points": f"{_C} SELECT report_id, '1' AS cue, k % 1000 AS sample, name AS label FROM c WHERE kind = 0 UNION ALL SELECT report_id, '2', k % 7, NULL FROM c WHERE kind = 0",
     "mpeg_lengths": f"{_C} SELECT report_id, 44100 AS sample_rate, 2 AS channels, 'mp3' AS codec, (k % 40 + 2) * 1152 AS frames, round((k % 40 + 2) * 1152 / 44100, 6) AS seconds FROM c WHERE kind = 1",
     "container_formats": f"{_Q} SELECT report_id, ['wav', 'aiff', 'caf', 'wav', 'wav', 'wav'][kind + 1] AS kind, 'pcm' AS codec, 'pcm-int' AS codec_family, rate AS sample_rate, 1 AS channels, 16 AS bit_depth, n AS frames, round(seconds, 6) AS seconds, shortfall = 0 AS exact, shortfall FROM g",

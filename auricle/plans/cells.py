@@ -50,7 +50,7 @@ def safe_names(spark, sf_dir):
     """File names of the documents' whole first lines, cells of their sources, and texts in lines."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     line = F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(0))
-    return d.select("doc_id", display.file_name(line).alias("file_name"), display.cell(F.coalesce("text", F.lit("")), 24).alias("cell"), display.wrapped(F.substring_index(line, " ", 12), 30).alias("wrapped"))
+    return d.select("doc_id", display.file_name(line).alias("file_name"), display.cell(F.coalesce("text", F.lit("")), 24).alias("cell"), display.wrapped(line, 30).alias("wrapped"))
 
 
 def key_names(spark, sf_dir):
@@ -81,8 +81,8 @@ ORACLE = {
     "stored_numbers": "SELECT o_orderkey AS k, CASE o_orderkey % 7 WHEN 0 THEN 'NaN' WHEN 1 THEN '-Infinity' WHEN 2 THEN 'Infinity' ELSE '' END AS tag, true AS same FROM orders",
     "safe_names": rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10))[1] AS line FROM documents),
       e AS (SELECT *, regexp_replace(regexp_replace(translate(line, '{_ACCENTS[0]}', '{_ACCENTS[1]}'), '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g')[1:80] AS f FROM d),
-      w AS (SELECT doc_id, list_filter(string_split(line, ' ')[1:12], lambda x: x <> '') AS ws FROM d),
-      r AS (SELECT doc_id, list_reduce(ws, lambda a, b: CASE WHEN length(string_split(a, chr(10))[-1]) + 1 + length(b) <= 30 THEN a || ' ' || b ELSE a || chr(10) || b END) AS wrapped FROM w WHERE len(ws) > 0)
+      w AS (SELECT doc_id, list_filter(string_split(line, ' '), lambda x: x <> '') AS ws FROM d),
+      r AS (SELECT doc_id, list_reduce(ws, lambda a, b: CASE WHEN length(a) - coalesce(nullif(length(a) - instr(reverse(a), chr(10)) + 1, length(a) + 1), 0) + 1 + length(b) <= 30 THEN a || ' ' || b ELSE a || chr(10) || b END) AS wrapped FROM w WHERE len(ws) > 0)
       SELECT e.doc_id, CASE WHEN f = '' THEN 'untitled' ELSE f END AS file_name, CASE WHEN length(t) > 24 THEN t[1:23] || '…' ELSE rpad(t, 24, ' ') END AS cell, coalesce(wrapped, '') AS wrapped FROM e LEFT JOIN r USING (doc_id)""",
     "key_names": f"""WITH p AS (SELECT p_partkey AS k, p_partkey % 12 AS pc, p_partkey % 5 < 2 AS minor FROM part), n AS (SELECT *, ({display.SIGNATURES})[(pc + CASE WHEN minor THEN 3 ELSE 0 END) % 12 + 1] AS n FROM p)
       SELECT k, CASE WHEN minor THEN ({display.MINOR_NAMES})[pc + 1] || ' minor' ELSE ({display.MAJOR_NAMES})[pc + 1] || ' major' END AS name,

@@ -46,12 +46,14 @@ def autocorrelation(spark, sf_dir):
 
 def tempo_prior_argmax(spark, sf_dir):
     """The lag with the best correlation, with half of that at twice the lag, weighted by a bell in octaves around CENTRE; the shortest wins ties."""
-    acf = autocorrelation(spark, sf_dir)
-    twice = acf.select("vec_id", (F.col("lag") / 2).alias("lag"), F.col("r").alias("harmonic"))
-    weight = F.exp(-0.5 * F.pow(F.log2(F.col("lag") / CENTRE) / 0.9, 2))
-    scored = acf.join(twice, ["vec_id", "lag"], "left").withColumn("score", F.round((F.col("r") + 0.5 * F.coalesce("harmonic", F.lit(0.0))) * weight, 6))
-    best = scored.groupBy("vec_id").agg(F.max_by(F.struct("lag", "r", "score"), F.struct("score", -F.col("lag"))).alias("b"))
-    return best.select("vec_id", F.col("b.lag").alias("lag"), F.col("b.r").alias("r"), F.col("b.score").alias("score"))
+    lags = F.sequence(F.lit(MIN_LAG), F.lit(MAX_LAG))
+    f = frames(spark, sf_dir).select("vec_id", series.autocorrelations(F.col("v"), MIN_LAG, MAX_LAG).alias("r"))
+    harmonic = lambda lag: F.coalesce(F.get("r", 2 * lag - MIN_LAG), F.lit(0.0))
+    weight = lambda lag: F.exp(-0.5 * F.pow(F.log2(lag / CENTRE) / 0.9, 2))
+    # equal scores of different lags differ by arithmetic alone: they are compared at twelve places and shown at five
+    score = F.transform(lags, lambda lag: F.struct(F.round((F.get("r", lag - MIN_LAG) + 0.5 * harmonic(lag)) * weight(lag), 12).alias("score"), (-lag).cast("long").alias("back")))
+    best = f.select("vec_id", "r", F.array_max(F.filter(score, lambda x: x["score"].isNotNull())).alias("b")).where("b IS NOT NULL")
+    return best.select("vec_id", (-F.col("b.back")).alias("lag"), F.round(F.get("r", (-F.col("b.back") - MIN_LAG).cast("int")), 5).alias("r"), F.round("b.score", 5).alias("score"))
 
 
 def local_maxima(spark, sf_dir):
@@ -195,7 +197,7 @@ ORACLE = {
     "spectral_flux": f"""WITH {M_SQL}, l AS (SELECT *, ln(1 + 1000 * magnitude / {SIZE}) AS level FROM m), d AS (SELECT *, level - lag(level) OVER (PARTITION BY label, k ORDER BY vec_id) AS rise FROM l)
       SELECT label, vec_id, round(coalesce(sum(greatest(0.0, coalesce(rise, 0))), 0), 6) AS flux FROM d GROUP BY ALL""",
     "autocorrelation": f"WITH {V_SQL}, {A_SQL} SELECT vec_id, lag, round(r, 6) AS r FROM ac",
-    "tempo_prior_argmax": f"WITH {V_SQL}, {A_SQL}, s AS (SELECT a.vec_id, a.lag, round(a.r, 6) AS r, round((round(a.r, 6) + 0.5 * coalesce(round(b.r, 6), 0)) * exp(-0.5 * pow(log2(a.lag / {CENTRE}) / 0.9, 2)), 6) AS score FROM ac a LEFT JOIN ac b ON b.vec_id = a.vec_id AND b.lag = 2 * a.lag) SELECT vec_id, arg_max(lag, (score, -lag)) AS lag, arg_max(r, (score, -lag)) AS r, max(score) AS score FROM s GROUP BY vec_id",
+    "tempo_prior_argmax": f"WITH {V_SQL}, {A_SQL}, s AS (SELECT a.vec_id, a.lag, a.r, round((a.r + 0.5 * coalesce(b.r, 0)) * exp(-0.5 * pow(log2(a.lag / {CENTRE}) / 0.9, 2)), 12) AS score FROM ac a LEFT JOIN ac b ON b.vec_id = a.vec_id AND b.lag = 2 * a.lag WHERE a.r IS NOT NULL) SELECT vec_id, arg_max(lag, (score, -lag)) AS lag, round(arg_max(r, (score, -lag)), 5) AS r, round(max(score), 5) AS score FROM s GROUP BY vec_id",
     "local_maxima": f"WITH {M_SQL}, {N_SQL}, s AS (SELECT *, CASE WHEN a - 2 * magnitude + c <> 0 THEN 0.5 * (a - c) / (a - 2 * magnitude + c) ELSE 0 END AS d FROM pk) SELECT vec_id, k, round(magnitude, 6) AS magnitude, round(CASE WHEN abs(d) <= 1 THEN d ELSE 0 END, 5) AS shift FROM s",
     "lowest_strong_peak": f"WITH {M_SQL}, {N_SQL} SELECT vec_id, min(k) AS k FROM pk WHERE magnitude >= 0.25 * top GROUP BY vec_id",
     "chroma_fold": f"WITH {S_SQL} SELECT vec_id, pc, round(sum(magnitude), 6) AS magnitude FROM c GROUP BY ALL",

@@ -200,7 +200,7 @@ def _pages(content: bytes) -> Iterator[tuple[bytes, int, int, int]]:
         yield last
 
 
-CHUNKS = "report_id string, kind string, ord int, id binary, offset long, declared long, available long, head binary, big boolean, track int, audio boolean"
+CHUNKS = "report_id string, kind string, ord int, id binary, offset long, declared long, available long, head binary, big boolean, track int, audio boolean, stopped string"
 
 
 def tracked(content: bytes, kind: str) -> list[tuple]:
@@ -228,11 +228,17 @@ def tracked_until(content: bytes, kind: str, walker: Callable[[bytes], Iterator[
     return [(*c, kind != "mp4" or c[-1] == sound) for c in out], reason
 
 
+def listing(report_id: str, kind: str, content: bytes) -> list[tuple]:
+    """The rows of a file's chunks; a file without any has one row without a chunk. Every row has why the walk stopped early, if it did."""
+    out, reason = tracked_until(content, kind)
+    return [(report_id, kind, i, *c, reason) for i, c in enumerate(out)] or [(report_id, kind, *[None] * 9, reason or "no chunks")]
+
+
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in CHUNKS.split(", ")]
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int32(), pa.bool_()]
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int32(), pa.bool_(), pa.string()]
     for b in single(batches):
-        out = [(r, k, i, *c) for r, k, content in zip(*(b.column(c).to_pylist() for c in ("report_id", "kind", "content"))) if k and content for i, c in enumerate(tracked(content, k))]
+        out = [x for r, k, content in zip(*(b.column(c).to_pylist() for c in ("report_id", "kind", "content"))) if k and content for x in listing(r, k, content)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(kinds), kinds)], names)
 
 
@@ -299,7 +305,8 @@ def formats(listed: DataFrame) -> DataFrame:
     has a length only if its fact chunk states frames. One aggregation by file."""
     h, kind, name, big = F.col("head"), F.col("kind"), F.decode(F.col("id"), "ISO-8859-1"), F.col("big")
     of = lambda k, n, x: F.first(F.when((kind == k) & (name == n) & F.col("audio"), x), ignorenulls=True)
-    flac = (kind == "flac") & (F.col("ord") == 0)
+    # the stream's description is a block of type 0; others say nothing of the format
+    flac = (kind == "flac") & (F.col("ord") == 0) & (unsigned(F.col("id"), 0, 1) % 128 == 0)
     info = lambda x: F.first(F.when(flac, x), ignorenulls=True)
     page = (kind == "ogg") & (F.col("ord") == 0)
     vorbis, opus = F.substring(h, 30, 6) == F.lit(b"vorbis"), F.substring(h, 29, 8) == F.lit(b"OpusHead")
@@ -323,6 +330,8 @@ def formats(listed: DataFrame) -> DataFrame:
         F.coalesce(of("wav", "fmt ", le(2, 2)), of("aiff", "COMM", unsigned(h, 0, 2)), of("caf", "desc", unsigned(h, 24, 4)), info(F.floor(unsigned(h, 12, 1) / 2) % 8 + 1), of("mp4", "stsd", unsigned(h, 32, 2)), mpeg(F.when(F.floor(unsigned(h, 3, 1) / 64) == 3, 1).otherwise(2)), F.first(F.when(page & opus, le(37, 1)).when(page & vorbis, le(39, 1)), ignorenulls=True)).cast("long").alias("channels"),
         F.coalesce(of("wav", "fmt ", le(14, 2)), of("aiff", "COMM", unsigned(h, 6, 2)), of("caf", "desc", unsigned(h, 28, 4)), info((unsigned(h, 12, 1) % 2) * 16 + F.floor(unsigned(h, 13, 1) / 16) + 1)).cast("long").alias("bit_depth"),
         of("wav", "fmt ", le(8, 4)).alias("byte_rate"),
+        of("wav", "fmt ", F.when((le(0, 2) == 65534) & (F.length(h) >= 24), le(18, 2))).alias("valid_bits"),
+        of("wav", "fmt ", F.when((le(0, 2) == 65534) & (F.length(h) >= 24), le(20, 4))).alias("channel_mask"),
         F.coalesce(of("wav", "fmt ", le(12, 2)), of("caf", "desc", unsigned(h, 16, 4))).alias("block_align"),
         of("wav", "fmt ", tag).alias("tag"),
         of("aiff", "COMM", F.nullif(four(18), F.lit(""))).alias("compression"),

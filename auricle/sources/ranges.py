@@ -143,7 +143,7 @@ def chunks(found: DataFrame) -> DataFrame:
     return found.select("report_id", "length").mapInArrow(run, CHUNKS)
 
 
-CHUNKS = containers.CHUNKS + ", stopped string, fetched long"
+CHUNKS = containers.CHUNKS + ", fetched long"
 
 
 def read(asked: DataFrame) -> DataFrame:

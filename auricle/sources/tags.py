@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auricle.functions import shared
 from auricle.sources import containers
 
 # What the schemes call the common fields. (field, ID3 2.3 and 2.4, ID3 2.2, RIFF INFO, iTunes, Vorbis, AIFF)
@@ -305,6 +306,27 @@ def tags(found: DataFrame) -> DataFrame:
     return rows.mapInArrow(_tagged, TAGS)
 
 
+def inventory(found: DataFrame) -> DataFrame:
+    """Chunks, metadata and size of each file (report_id, content) in one pass over the contents, kept in the shared folder: rows of containers.chunks (what = 'chunk'), of tags ('tag'), and one
+    with length and head, its first eight bytes ('file')."""
+    schema = f"what string, {containers.CHUNKS}, scheme string, key string, value string, length long"
+    chunk = [pa.string(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int32(), pa.bool_(), pa.string()]
+    kinds, names = [pa.string(), *chunk, pa.string(), pa.string(), pa.string(), pa.int64()], [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in containers.single(batches):
+            r, k, content = (b.column(x).to_pylist()[0] for x in ("report_id", "kind", "content"))
+            nothing = [None] * 4
+            out = [("file", r, k, *[None] * 5, content[:8] if content else None, *nothing, None, None, None, len(content) if content is not None else None)]
+            if k and content:
+                out += [("chunk", *x, *nothing) for x in containers.listing(r, k, content)]
+                out += [("tag", r, k, i, *[None] * 9, scheme, key, value, None) for i, (scheme, key, value) in enumerate(of_file(content, k))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names)
+
+    rows = found.select("report_id", containers.kind_of(F.col("content")).alias("kind"), "content")
+    return shared.stored(rows.mapInArrow(run, schema), "inventory")
+
+
 def codes(spark: SparkSession) -> DataFrame:
     """field, scheme and key of the common fields."""
     schemes = ("id3v2", "id3v2", "info", "itunes", "vorbis", "aiff")
