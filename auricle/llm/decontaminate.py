@@ -154,13 +154,13 @@ def _leaks(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], names)
 
 
-def _indexes(items: DataFrame, item_col: str, text_col: str) -> list[Callable[[], Index]]:
-    """For each pass, a function that gives a Python worker its index. The items of a pass have at most about PASS_BYTES and go to all executors."""
+def _indexes(items: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[Callable[[], Index], bool]]:
+    """For each pass, a function that gives a Python worker its index, and whether there are several passes. The items of a pass have at most about PASS_BYTES and go to all executors; of
+    several passes, each is released when the next is asked for, so what a pass gives must be stored by then."""
     spark = items.sparkSession
     listed = items.select(F.col(item_col).cast("long").alias("item_id"), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("text")).where(F.col("text").isNotNull())
     size = listed.agg(F.coalesce(F.sum(F.length("text") + 16), F.lit(0))).first()[0]
     passes = max(1, -(-int(size) // PASS_BYTES))
-    out = []
     for k in range(passes):
         part = listed.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(passes)) == k) if passes > 1 else listed
         sent = spark.sparkContext.broadcast([(r["item_id"], bytes(r["text"])) for r in part.orderBy("item_id", "text").collect()])
@@ -171,8 +171,9 @@ def _indexes(items: DataFrame, item_col: str, text_col: str) -> list[Callable[[]
                 made.append(Index(sent.value))
             return made[0]
 
-        out.append(index)
-    return out
+        yield index, passes > 1
+        if passes > 1:
+            sent.destroy()
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -183,7 +184,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     PASS_BYTES of them in a pass; a longer list takes several passes over the documents.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    own = [rows.mapInArrow(lambda it, index=index: _leaks(it, index()), LEAK) for index in _indexes(items, item_col, item_text_col)]
+    own = []
+    for index, several in _indexes(items, item_col, item_text_col):
+        found = rows.mapInArrow(lambda it, index=index: _leaks(it, index()), LEAK)
+        own.append(common.stored(found, "leaks") if several else found)
     return reduce(DataFrame.unionAll, own)
 
 
@@ -195,8 +199,9 @@ def _clean(batches: Iterator[pa.RecordBatch], index: Index, text_col: str) -> It
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs that leak no item, with all their columns, judged by their text where they are read: nothing is shuffled."""
-    for index in _indexes(items, item_col, item_text_col):
+    for index, several in _indexes(items, item_col, item_text_col):
         docs = docs.mapInArrow(lambda it, index=index: _clean(it, index(), text_col), docs.schema)
+        docs = common.stored(docs, "clean") if several else docs
     return docs
 
 

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_CHARS, MIN_DOCS = 40, 5
-BATCHES, FANOUT = 4, 3
+#: Runs of a level before they are merged; batches of documents at least, and documents of a batch.
+FANOUT, BATCHES, BATCH_DOCS = 3, 4, 20_000_000
+OWN = ("__id", "__t", "__gone", "__lines")
 #: A list of so many repeated keys (24 bytes each) is sent to all executors; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
 KEY = ["k1", "k2"]
@@ -29,7 +31,7 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """Sorted runs (k1, k2, n, keeper) by level, as bucketed tables in the warehouse."""
+    """Sorted runs (k1, k2, n, keeper) by level, as bucketed tables whose files are in the shared folder."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout = spark, fanout
@@ -41,7 +43,7 @@ class LineRuns:
 
     def _write(self, rows: DataFrame, level: int) -> None:
         name = f"line_run_{uuid.uuid4().hex}"
-        rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(name)
+        rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", common.scratch(self.spark, "line-run")).saveAsTable(name)
         self.levels += [[] for _ in range(level + 1 - len(self.levels))]
         self.levels[level].append(name)
 
@@ -87,16 +89,20 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select("*", F.col(id_col).cast("long").alias("__id"), F.xxhash64(text).alias("__t"))
 
 
-def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int | None = None) -> DataFrame:
     """The columns of df, with the text of the kept lines in place of the text, and n_lines and n_dropped.
 
     Keys of at least `min_chars` code points that at least `min_docs` documents hold lose their lines everywhere but in the
     largest id that holds them (there, repeats of the line stay too). Null and empty texts are one empty line. Rows with the same
     id count as one document and each keep their own text. Rows with a null id neither count nor lose lines. Ids are cast to long, as the
-    session casts. Columns named __id, __t, __gone and __lines are the operator's own and not allowed in df.
+    session casts. Columns named __id, __t, __gone and __lines are the operator's own; df with one of them is refused. Batches are as many as BATCH_DOCS documents each
+    make, BATCHES at least.
     """
+    if clash := [c for c in df.columns if c.lower() in OWN]:
+        raise ValueError(f"columns {', '.join(clash)} are the operator's own: rename them")
     spark = df.sparkSession
     rows = _rows(df, id_col, text_col)
+    batches = batches or max(BATCHES, -(-rows.select("__id").count() // BATCH_DOCS))
     whole = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     cuts = sorted({int(x) for x in rows.approxQuantile("__id", [i / batches for i in range(1, batches)], 0.01)}) if batches > 1 else []
     batch = sum((F.when(F.col("__id") <= c, 1).otherwise(0) for c in cuts), F.lit(0))
@@ -111,11 +117,13 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         "batch",
     )
     runs = LineRuns(spark)
-    for b in range(len(cuts) + 1):
-        held = lines.where(F.col("batch") == b).select(*KEY, "__id").distinct()
-        runs.add(held.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("__id").alias("top")))
-    frequent = common.stored(runs.frequent(min_docs), "frequent-lines")
-    runs.drop()
+    try:
+        for b in range(len(cuts) + 1):
+            held = lines.where(F.col("batch") == b).select(*KEY, "__id").distinct()
+            runs.add(held.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("__id").alias("top")))
+        frequent = common.stored(runs.frequent(min_docs), "frequent-lines")
+    finally:
+        runs.drop()
     if frequent.count() <= BROADCAST_ROWS:
         frequent = F.broadcast(frequent)
     gone = lines.join(frequent, KEY).where(F.col("__id") < F.col("keeper")).groupBy("__id", "__t").agg(F.collect_set("pos").alias("__gone"))

@@ -54,3 +54,24 @@ def test_compaction_keeps_counts_and_keepers(spark):
     assert got == {4: 100, 5: 100, 6: 100, 7: 100}
     assert runs.frequent(1).agg(F.count("*")).first()[0] == 8
     runs.drop()
+
+
+def test_names_of_the_operators_own_are_refused_and_runs_stay_in_the_shared_folder(spark):
+    import pytest
+
+    from auricle.llm import common
+
+    with pytest.raises(ValueError, match="__t"):
+        lines.drop_repeated_lines(documents(spark, [(1, "a")]).withColumn("__t", F.lit(1)))
+    runs = lines.LineRuns(spark)
+    runs.add(spark.createDataFrame([(1, 1, 1, 9)], "k1 long, k2 long, n long, top long"))
+    (where,) = [r["data_type"] for r in spark.sql(f"DESCRIBE FORMATTED {runs.levels[0][0]}").collect() if r["col_name"] == "Location"]
+    plain = lambda x: x.removeprefix("file:").lstrip("/")
+    assert plain(where).startswith(plain(common.shared_dir(spark)))
+    runs.drop()
+
+
+def test_many_batches_reach_higher_levels(spark):
+    rows = [(i, f"a line that is long enough to be counted, number {i % 7}") for i in range(70)]
+    got = lines.drop_repeated_lines(documents(spark, rows), batches=12).collect()
+    assert sorted((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got) == brute(rows)
