@@ -160,18 +160,24 @@ def mpeg_header(h: bytes) -> tuple[int, int, int, int, int] | None:
     return size, hz, 1 if h[3] >> 6 == 3 else 2, samples, kilobits
 
 
-def _mpeg(content: bytes) -> Iterator[tuple[bytes, int, int, int]]:
-    """MP3: the frame that a like one follows, as b'mpeg' (declared: the bytes of its stream), then b'Xing' or b'VBRI' where its first frame
-    states the number of frames; else b'walk', whose declared size is the number of frames that follow each other."""
-    at = tag_length(content)
+def walk_head(content: bytes) -> Iterator[tuple[int, int, tuple[int, int, int, int, int]]]:
+    """MP3: where the frame stands that a like one follows, where the frames' bytes end, and its header; nothing if there is none."""
+    at = tag_length(content[0:10])
     limit = min(len(content), at + SYNC_BYTES)
     while (at := content.find(b"\xff", at, limit)) >= 0:
         if (own := mpeg_header(content[at : at + 4])) and ((following := mpeg_header(content[at + own[0] : at + own[0] + 4])) and following[1:3] == own[1:3] or at + own[0] == len(content)):
-            break
+            yield at, len(content) - (128 if content[-128:-125] == b"TAG" else 0), own
+            return
         at += 1
-    else:
+
+
+def _mpeg(content: bytes) -> Iterator[tuple[bytes, int, int, int]]:
+    """MP3: the frame that a like one follows, as b'mpeg' (declared: the bytes of its stream), then b'Xing' or b'VBRI' where its first frame
+    states the number of frames; else b'walk', whose declared size is the number of frames that follow each other."""
+    found = next(walk_head(content), None)
+    if not found:
         return
-    end = len(content) - (128 if content[-128:-125] == b"TAG" else 0)
+    at, end, own = found
     yield b"mpeg", at, end - at, end - at
     side = 4 + (32 if own[3] == 1152 and own[2] == 2 else 9 if own[3] == 576 and own[2] == 1 else 17)
     if content[at + side : at + side + 4] in (b"Xing", b"Info") and content[at + side + 7] & 1:

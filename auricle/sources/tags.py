@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auricle.functions import shared
-from auricle.sources import containers
+from auricle.sources import containers, ogg
 
 # What the schemes call the common fields. (field, ID3 2.3 and 2.4, ID3 2.2, RIFF INFO, iTunes, Vorbis, AIFF)
 FIELDS = [
@@ -282,9 +282,11 @@ def of_file(content: bytes, kind: str) -> Found:
         elif kind == "caf" and name == b"info":
             yield from caf_info(body())
         elif kind == "ogg" and name == b"page" and at == 0:
+            # the second packet of the first stream, over as many pages as it takes
+            comments = ogg.packet(content, int.from_bytes(content[14:18], "little"), 1) or b""
             for mark in (b"\x03vorbis", b"OpusTags"):
-                if (here := content.find(mark, at + there, at + there + (1 << 16))) >= 0:
-                    yield from vorbis(content[here + len(mark) :])
+                if comments.startswith(mark):
+                    yield from vorbis(comments[len(mark) :])
     if kind == "mp4":
         yield from itunes(content, chunks)
     yield from id3v1(content)
