@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auricle.functions import display, texts
+from auricle.functions.measures import decibels
+from auricle.operators import harmony
 
 
 # The columns of a table of reports, in their order; new ones are only ever put at the end.
@@ -56,6 +58,19 @@ def report_table(reports: DataFrame) -> DataFrame:
         "True peak (dBTP)": decibel_cell(c("true_peak").cast("double")), "Observations": F.size("observations").cast("string") if "observations" in has else F.lit(None),
         "Needs a look": titles("attention") if "observations" in has else F.lit(None), "Worth noting": titles("notice") if "observations" in has else F.lit(None), "Samples not readable": measured(text("non_finite")),
     }
+    list_ = lambda name, by: F.nullif(F.array_join(c(name).cast("array<string>"), by), F.lit(""))
+    fixed = lambda name, places: F.when(c(name).isNotNull(), F.format_string(f"%.{places}f", c(name).cast("double"))) if name in has else F.lit(None)
+    known |= {
+        "RMS (dBFS)": measured(decibel_cell(decibels(c("rms").cast("double")))), "Levels measured from": measured(F.format_string("%.1f%%", c("coverage").cast("double") * 100)) if "coverage" in has else F.lit(None), "Channel layout": list_("layout", " "), "Bitrate (kbps)": fixed("bitrate_kbps", 1), "Encoder": text("software"),
+        "Byte order": F.when(c("little").cast("boolean"), "little-endian").when(~c("little").cast("boolean"), "big-endian"), "Title": text("title"), "Artist": text("artist"), "Album": text("album"), "Track": text("track"), "ISRC": texts.isrc(c("isrc").cast("string")) if "isrc" in has else F.lit(None),
+        "BWF description": text("bext_description"), "BWF originator": text("bext_originator"), "BWF origination date": text("bext_date"), "BWF origination time": text("bext_time"),
+        "BWF timecode": texts.timecode(c("bext_samples").cast("long"), c("sample_rate")) if "bext_samples" in has else F.lit(None), "Stated BPM": text("tempo"),
+        "Origin confidence": text("origin_confidence"), "Origin headline": F.when(c("origin_flag").cast("string") != "none", text("origin_headline")), "Origin reasons": list_("origin_reasons", " | "),
+        "Integrated loudness (LUFS)": decibel_cell(c("integrated").cast("double")), "Loudness range (LU)": fixed("loudness_range", 2), "Short-term max (LUFS)": decibel_cell(c("short_term_max").cast("double")), "Momentary max (LUFS)": decibel_cell(c("momentary_max").cast("double")),
+        "Measured BPM": fixed("measured_bpm", 1), "Tempo confidence": text("tempo_confidence"), "Tempo steady": yes_no(c("tempo_steady").cast("boolean")), "Tempo low BPM": fixed("tempo_low", 1), "Tempo high BPM": fixed("tempo_high", 1),
+        "Likely key": text("key_name"), "Other keys, same notes": list_("key_alternatives", " | "), "Key confidence": text("key_confidence"), "How tonal": harmony.strength(c("key_concentration").cast("double")),
+        "Tools named": F.nullif(F.array_join(F.array_distinct(F.coalesce(c("tools_named").cast("array<string>"), c("tools").cast("array<string>"))), "; "), F.lit("")),
+    }
     seconds = known["Duration (s)"]
     known["Duration (s)"] = F.when(c("seconds").isNotNull(), seconds)
     return reports.select(*(known.get(name, F.lit(None)).cast("string").alias(name) for name in COLUMNS))

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auricle.functions import shared
+
 
 @dataclass(frozen=True)
 class Tool:
@@ -202,7 +204,8 @@ def origins(tags: DataFrame, tools: list[Tool] = TOOLS, phrases: list[tuple[str,
 
     A manifest's claim of generation and the name of a generator that is no everyday word settle it; all else is possible at most."""
     common = [t.name for t in tools if t.common]
-    rows = origin_fields(tags).withColumns({"t": tools_named(F.col("value"), tools), "p": phrases_found(F.col("value"), phrases)})
+    # a few short fields a file, matched once and read by all that follows
+    rows = shared.stored(origin_fields(tags).withColumns({"t": tools_named(F.col("value"), tools), "p": phrases_found(F.col("value"), phrases)}), "origin-fields")
     mention = F.struct(F.col("ord").alias("field"), F.col("t.ord").alias("tool"))
     named = rows.select("report_id", "ord", "label", F.explode("t").alias("t")).groupBy("report_id", F.col("t.name").alias("name"), F.col("t.kind").alias("kind"))
     named = named.agg(F.min(mention).alias("first"), F.max("t.weight").alias("weight"), F.min_by("label", mention).alias("label"))

@@ -7,12 +7,24 @@ from pyspark.sql import functions as F
 
 from auricle.functions import shared
 from auricle.functions.measures import decibels
-from auricle.operators import provenance, signal
+from auricle.operators import provenance, signal, spectra
 from auricle.sources import containers, samples, tags
 
 c = F.col
 
 
+#: Fields of all schemes that a report has, and those of a broadcast extension.
+FIELDS = ["title", "artist", "album", "track", "isrc", "tempo", "software"]
+BEXT = {"description": "bext_description", "originator": "bext_originator", "origination_date": "bext_date", "origination_time": "bext_time", "time_reference": "bext_samples"}
+
+
+def fields_of(found: DataFrame) -> DataFrame:
+    """One row a file: FIELDS as the schemes agree on them, and what a broadcast extension says; NULL where nothing does. found: rows of tags."""
+    common = tags.fields(found).groupBy("report_id").agg(*(F.first(F.when(c("field") == x, c("value")), ignorenulls=True).alias(x) for x in FIELDS))
+    bext = found.where("scheme = 'bext'").groupBy("report_id").agg(*(F.first(F.when(c("key") == k, c("value")), ignorenulls=True).alias(name) for k, name in BEXT.items()))
+    return common.join(bext, "report_id", "full")
+
+
 def from_files(found: DataFrame) -> DataFrame:
     """A report for each file (report_id, content) that is a known container. What is not established is NULL; files without readable samples are not measured.
 
@@ -22,7 +34,7 @@ def from_files(found: DataFrame) -> DataFrame:
     described = shared.stored(containers.formats(listed), "formats")
     head = c("head")
     riff = F.when(F.substring(head, 1, 4).isin(bytearray(b"RIFF")), containers.unsigned(head, 4, 4, True)).when(F.substring(head, 1, 4).isin(bytearray(b"RIFX"), bytearray(b"FORM")), containers.unsigned(head, 4, 4))
-    sizes = own.where("what = 'file'").select("report_id", c("length").alias("actual_size"), (riff + 8).alias("declared_size"))
+    sizes = own.where("what = 'file' AND kind IS NOT NULL").select("report_id", "kind", c("length").alias("actual_size"), (riff + 8).alias("declared_size"))
     warned = listed.groupBy("report_id").agg(F.array_sort(F.collect_set("stopped")).alias("warnings"))
     origin = provenance.origins(own.where("what = 'tag'")).withColumnRenamed("processing", "tools")
     filtered = signal.analysed(samples.from_contents(found, described))
@@ -34,14 +46,14 @@ def from_files(found: DataFrame) -> DataFrame:
         F.max("peak").alias("peak"), F.max("longest_run").alias("longest_run"), F.sum("full_scale").alias("full_scale"), F.sum("non_finite").alias("non_finite"),
         F.sqrt(F.avg(c("rms") * c("rms"))).alias("rms"), F.when(F.count("digital_silence") == F.count("*"), F.bool_and("digital_silence")).alias("digital_silence"), channels.alias("own"),
     )
-    out = described
-    for more in (sizes, levels, warned, origin, peaks, loud):
+    out = sizes  # a file without any chunk has a report too
+    for more in (described.drop("kind"), levels, warned, origin, peaks, loud, fields_of(own.where("what = 'tag'"))):
         out = out.join(more, "report_id", "left")
     none = F.array().cast("array<string>")
     nothing = lambda kind: F.lit(None).cast(kind)
     return out.withColumns({
         "measured": c("own").isNotNull(),
-        "complete": F.when(c("own").isNotNull(), F.lit(True)),
+        "complete": F.when(c("own").isNotNull(), F.lit(True)), "coverage": F.when(c("own").isNotNull(), F.lit(1.0)),
         "source": F.when(c("own").isNotNull(), "container"),
         "peak_dbfs": decibels(c("peak")),
         "channel_silence": F.transform("own", lambda x: x["digital_silence"]),
@@ -57,3 +69,10 @@ def from_files(found: DataFrame) -> DataFrame:
         # metadata were read, and say nothing where there are none
         "manifest": F.coalesce("manifest", F.lit(False)), "origin_flag": F.coalesce("origin_flag", F.lit("none")), "tools": F.coalesce("tools", none), "tools_named": F.coalesce("tools_named", none), "outcome": F.coalesce("outcome", F.lit("nothing-recorded")),
     }).drop("own")
+
+
+def with_music(reports: DataFrame, found: DataFrame, notes: int = spectra.NOTES, section: int = spectra.SECTION) -> DataFrame:
+    """The reports with the tempo and the key that spectra.spectra() of the same files establish; NULL where nothing is established."""
+    t = spectra.tempos(found).select("report_id", c("bpm").alias("measured_bpm"), c("confidence").alias("tempo_confidence"), c("steady").alias("tempo_steady"), c("least").alias("tempo_low"), c("greatest").alias("tempo_high"))
+    k = spectra.keys(found, notes, section).where("established").select("report_id", c("name").alias("key_name"), c("alternatives").alias("key_alternatives"), c("confidence").alias("key_confidence"), c("concentration").alias("key_concentration"))
+    return reports.join(t, "report_id", "left").join(k, "report_id", "left")

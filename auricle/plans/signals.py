@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from auricle.functions import display
-from auricle.operators import gating, harmony, series, signal, spectra, tempo
+from auricle.functions import display, shared
+from auricle.operators import export, gating, harmony, reports, rules, series, signal, spectra, tempo
 from auricle.sources import containers, samples
 
 #: Orders (by key) of a file, frames of an order, frames a second; frames of a chord, of a click and between clicks.
@@ -118,7 +118,18 @@ def key_map(spark, sf_dir):
     return spectra.key_map(_spectra(spark, sf_dir), NOTES, SECTION).select("report_id", F.round("start_seconds", 4).alias("start_seconds"), "name", "sections")
 
 
-QUERIES = {f.__name__: f for f in (file_loudness, file_true_peaks, file_onsets, file_notes, file_tempo, file_key, tempo_map, key_map)}
+#: Columns that file_table shows.
+TABLE = ["File", "Read result", "Container", "Sample rate (Hz)", "Channels", "Sample frames", "Byte order", "Levels measured from", "Integrated loudness (LUFS)", "Loudness range (LU)", "True peak (dBTP)", "Short-term max (LUFS)", "Momentary max (LUFS)", "Measured BPM", "Tempo confidence", "Tempo steady", "Likely key", "Key confidence", "How tonal"]
+
+
+def file_table(spark, sf_dir):
+    """The table of reports of the files, from their bytes to its cells: loudness, true peak, tempo and key among them."""
+    found = shared.stored(music(spark, sf_dir), "music")
+    r = reports.with_music(rules.observe(rules.status(reports.from_files(found))), spectra.spectra(samples.from_contents(found, containers.formats(containers.chunks(found)), FRAMES, **spectra.halo(ONSET, NOTES)), ONSET, NOTES), NOTES, SECTION)
+    return export.report_table(r).select(*(F.col(f"`{x}`") for x in TABLE))
+
+
+QUERIES = {f.__name__: f for f in (file_table, file_loudness, file_true_peaks, file_onsets, file_notes, file_tempo, file_key, tempo_map, key_map)}
 
 N_SQL = f"""o AS (SELECT o_orderkey // {KEYS} AS part, floor(o_totalprice * 100 + 0.5)::BIGINT AS cents, row_number() OVER (PARTITION BY o_orderkey // {KEYS} ORDER BY o_orderkey) - 1 AS i FROM orders),
   j AS (SELECT part, cents, j, i * {STEPS} + j AS g FROM o, range({STEPS}) r(j)), tn AS (SELECT *, 2 * pi() * ({ROOTS})[(g // {CHORD}) % {len(ROOTS)} + 1]::DOUBLE * g / {RATE} AS turn, 0.5 + (cents % 1000)::DOUBLE / 2000 AS loud FROM j),
@@ -231,3 +242,10 @@ ORACLE = {
       ru AS (SELECT *, sum(new) OVER (PARTITION BY report_id ORDER BY s) AS run FROM (SELECT *, CASE WHEN name = lag(name) OVER (PARTITION BY report_id ORDER BY s) THEN 0 ELSE 1 END AS new FROM al WHERE n >= 2))
       SELECT report_id, round(min(s) * {_SIZE} / {_NFPS}, 4) AS start_seconds, name, count(*) AS sections FROM ru WHERE name IS NOT NULL GROUP BY report_id, run, name""",
 }
+_DB = lambda x: f"CASE WHEN {x} = '-inf'::DOUBLE THEN '-inf' ELSE printf('%.2f', {x}) END"
+ORACLE["file_table"] = f"""WITH lo AS ({ORACLE['file_loudness']}), pk AS ({ORACLE['file_true_peaks']}), te AS ({ORACLE['file_tempo']}), ke AS ({ORACLE['file_key']}), tp AS (SELECT report_id, max(true_peak) AS t FROM pk GROUP BY 1)
+  SELECT report_id AS "File", 'fully read' AS "Read result", CASE WHEN odd THEN 'aiff' ELSE 'wav' END AS "Container", '{RATE}' AS "Sample rate (Hz)", '2' AS "Channels", round(seconds * {RATE})::BIGINT::VARCHAR AS "Sample frames", CASE WHEN odd THEN 'big-endian' ELSE 'little-endian' END AS "Byte order", '100.0%' AS "Levels measured from",
+    {_DB('integrated')} AS "Integrated loudness (LUFS)", printf('%.2f', "range") AS "Loudness range (LU)", {_DB('20 * log10(t)')} AS "True peak (dBTP)", {_DB('short_term_max')} AS "Short-term max (LUFS)", {_DB('momentary_max')} AS "Momentary max (LUFS)",
+    printf('%.1f', bpm) AS "Measured BPM", te.confidence AS "Tempo confidence", CASE WHEN te.steady THEN 'yes' WHEN NOT te.steady THEN 'no' END AS "Tempo steady", name AS "Likely key", ke.confidence AS "Key confidence",
+    CASE WHEN ke.established THEN CASE WHEN concentration >= 0.8 THEN 'strongly tonal' WHEN concentration >= 0.72 THEN 'clearly tonal' ELSE 'weakly tonal' END END AS "How tonal"
+  FROM (SELECT *, split_part(report_id, '-', 2)::BIGINT % 2 = 1 AS odd FROM lo) JOIN tp USING (report_id) JOIN te USING (report_id) JOIN ke USING (report_id)"""

@@ -330,7 +330,7 @@ def formats(listed: DataFrame) -> DataFrame:
     hz = F.get(F.array(*map(F.lit, MPEG_RATES)), (F.floor(unsigned(h, 2, 1) / 4) % 4).cast("int"))
     hz = F.floor(hz / F.when(first, 1).when(F.floor(unsigned(h, 1, 1) / 8) % 4 == 2, 2).otherwise(4))
     per_frame = F.when(F.floor(unsigned(h, 1, 1) / 2) % 4 == 3, 384).when((F.floor(unsigned(h, 1, 1) / 2) % 4 == 1) & ~first, 576).otherwise(1152)
-    g = listed.groupBy("report_id").agg(
+    g = listed.where("id IS NOT NULL").groupBy("report_id").agg(
         F.first("kind").alias("kind"),
         F.coalesce(of("wav", "fmt ", le(4, 4)), of("aiff", "COMM", F.floor(extended(h, 8) + 0.5)), of("caf", "desc", F.floor(double(h, 0) + 0.5)), info(F.floor(unsigned(h, 10, 3) / 16)), of("mp4", "stsd", unsigned(h, 40, 2)), of("mp4", "mdhd", F.when(version == 1, unsigned(h, 20, 4)).otherwise(unsigned(h, 12, 4))), mpeg(hz), F.first(F.when(page & opus, 48000).when(page & vorbis, le(40, 4)), ignorenulls=True)).cast("long").alias("sample_rate"),
         F.coalesce(of("wav", "fmt ", le(2, 2)), of("aiff", "COMM", unsigned(h, 0, 2)), of("caf", "desc", unsigned(h, 24, 4)), info(F.floor(unsigned(h, 12, 1) / 2) % 8 + 1), of("mp4", "stsd", unsigned(h, 32, 2)), mpeg(F.when(F.floor(unsigned(h, 3, 1) / 64) == 3, 1).otherwise(2)), F.first(F.when(page & opus, le(37, 1)).when(page & vorbis, le(39, 1)), ignorenulls=True)).cast("long").alias("channels"),

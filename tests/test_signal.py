@@ -360,7 +360,7 @@ def test_reports_say_what_files_say_and_stay_silent_on_what_is_unknown(spark):
     base = pcm(tone(8000, 1.2, 500, 0.5), 8000)
     named = base + chunk(b"LIST", info)
     named = named[:4] + struct.pack("<I", len(named) - 8) + named[8:]
-    files = {"plain": base, "named": named, "cut": base[:-100], "head only": base[:40]}
+    files = {"plain": base, "named": named, "cut": base[:-100], "head only": base[:40], "bare": b"RIFF\4\0\0\0WAVE", "foreign": b"no audio at all"}
     found = spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()], "report_id string, content binary")
     r = {x["report_id"]: x for x in rules.observe(rules.status(reports.from_files(found))).collect()}
     assert (r["plain"]["origin_flag"], r["plain"]["outcome"], r["plain"]["status"], list(r["plain"]["warnings"])) == ("none", "nothing-recorded", "ok", [])
@@ -369,6 +369,7 @@ def test_reports_say_what_files_say_and_stay_silent_on_what_is_unknown(spark):
     assert r["plain"]["integrated"] is not None and abs(r["plain"]["true_peak"] - 20 * math.log10(0.5)) < 0.3
     # nothing is measured where there are no samples
     assert r["head only"]["true_peak"] is None and r["head only"]["integrated"] is None and not r["head only"]["measured"]
+    assert r["bare"]["status"] == "failed" and list(r["bare"]["warnings"]) == ["no chunks"] and "foreign" not in r
     ids = {o["rule_id"] for o in r["named"]["observations"]}
     assert "possible-ai-generated" in ids and "parse-warnings" not in ids and "parse-warnings" in {o["rule_id"] for o in r["cut"]["observations"]}
 
