@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from auricle.functions import shared
 from auricle.functions.measures import decibels
-from auricle.operators import export, library, rules
+from auricle.operators import document, export, library, rules
 
 c = F.col
 
@@ -263,7 +264,23 @@ def batch_sort_desc(spark, sf_dir):
     return library.positions(_batch(spark, sf_dir), "v", "check_ord", True, ["batch"]).select("batch", "check_ord", "pos")
 
 
-QUERIES = {f.__name__: f for f in (
+def library_document(spark, sf_dir):
+    """Each customer's orders as a client of an older document with fields of its own: migrated, published, loaded, published again and loaded again."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", F.struct(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("rush")).alias("e"))
+    logs = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list("e")).alias("log"))
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").join(logs, F.col("c_custkey") == F.col("o_custkey"), "left")
+    project = F.struct(F.concat(F.lit("p"), "c_custkey").alias("id"), F.coalesce("log", F.array().cast("array<struct<id:string,status:string,rush:string>>")).alias("log"), F.struct(F.col("c_nationkey").alias("nation")).alias("place"))
+    fields = F.struct(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title"), F.lit("2020-01-01").alias("created"), F.col("c_mktsegment").alias("colour"), F.array(project).alias("projects"))
+    path = shared.folder(spark, "library")
+    document.publish(document.migrated(c.select(F.to_json(fields).alias("value")), 0), path)
+    document.publish(document.load(spark, path), path)
+    r = document.load(spark, path).withColumn("p", F.get("projects", F.lit(0)))
+    extra = lambda of, name, where="$", kind="string": F.variant_get(F.try_element_at(of, F.lit(name)), where, kind)
+    rushed = F.size(F.filter("p.log", lambda e: extra(e["extras"], "rush") == "1-URGENT")).cast("long")
+    return r.select("id", "name", "created_at", extra(F.col("extras"), "colour").alias("colour"), F.col("p.id").alias("project"), F.size("p.log").cast("long").alias("entries"), rushed.alias("rushed"), extra(F.col("p.extras"), "place", "$.nation", "long").alias("nation"), F.get("p.log", F.lit(0))["status"].alias("first_status"))
+
+
+QUERIES = {f.__name__: f for f in (library_document, 
     rules_observations, severity_pivot, report_text, report_cells, batch_list, batch_counts, status_derivation, status_counts, summary_projection, nearest_standard_rate, client_stats, sorted_clients, project_stats, library_stats,
     history_flatten, history_latest, log_append, merge_measurements, summary_fallback, duplicate_names, batch_sort_asc, batch_sort_desc)}
 
@@ -291,6 +308,8 @@ _SHOWN_DB = "CASE WHEN {0} IS NULL THEN '—' WHEN {0} = '-inf'::DOUBLE THEN '-
 _FINITE = "CASE WHEN {0} > '-inf'::DOUBLE THEN round({0}, 6) END"
 
 ORACLE = {
+    "library_document": """WITH e AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderpriority = '1-URGENT') AS rushed, arg_min(o_orderstatus, o_orderkey::VARCHAR) AS st FROM orders GROUP BY 1)
+      SELECT c_custkey::VARCHAR AS id, c_name AS name, '2020-01-01' AS created_at, c_mktsegment AS colour, 'p' || c_custkey AS project, coalesce(n, 0) AS entries, coalesce(rushed, 0) AS rushed, c_nationkey AS nation, st AS first_status FROM customer LEFT JOIN e ON o_custkey = c_custkey""",
     "batch_list": f"""WITH {R_SQL}, {_o_sql()}, {COUNT_SQL}, y AS (SELECT q.*, m.attention, m.notice, floor(seconds * 1000 + 0.5)::BIGINT AS ms FROM q JOIN m USING (report_id))
       SELECT report_id, coalesce(rtrim(rtrim(printf('%.3f', sample_rate / 1000), '0'), '.') || ' kHz', '—') AS rate, sample_rate AS rate_sort, coalesce(bit_depth::VARCHAR, '—') AS depth, bit_depth AS depth_sort,
         coalesce(channels::VARCHAR, '—') AS channels, channels AS channels_sort, coalesce(printf('%d:%02d.%03d', ms // 60000, ms // 1000 % 60, ms % 1000), '—') AS duration, seconds AS duration_sort,
