@@ -142,10 +142,37 @@ def _entries(rule: Rule, number: int) -> Column:
     return F.when(rule.when(), found)
 
 
-def observe(reports: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """Adds observations, sorted by severity; a predicate that is unknown observes nothing."""
-    entries = F.filter(F.array(*(_entries(r, i) for i, r in enumerate(rules or RULES))), lambda e: e.isNotNull())
-    return reports.withColumn("observations", F.array_sort(F.flatten(entries)))
+def broken(reports: DataFrame, rules: list[Rule], tried: bool = False) -> dict[str, str]:
+    """Rules that cannot run on these reports, each with the reason: those that the plan refuses (a column that is not there, a type that does not fit), and, if they are to be tried, those whose
+    own pass over the reports fails. Each is looked at by itself."""
+    out = {}
+    for i, rule in enumerate(rules):
+        try:
+            own = reports.select(_entries(rule, i).alias("entries"))
+            if tried:
+                own.write.format("noop").mode("overwrite").save()
+        except Exception as e:  # any failure of a rule is the rule's alone
+            out[rule.id] = str(e).strip().split("\n")[0][:300]
+    return out
+
+
+def _unfinished(rule: Rule, number: int, reason: str) -> Column:
+    """What is observed in place of a rule that cannot run."""
+    detail = f"The check {rule.id} failed ({reason}). The rest of the report does not depend on it."
+    said = Rule(rule.id, "notice", lambda: F.lit(True), each=lambda: F.array(F.lit(detail)), name=lambda: F.lit(f"rule-error:{rule.id}"), title="A check could not be completed", detail="{each}")
+    return _entries(said, number)
+
+
+def observe(reports: DataFrame, rules: list[Rule] | None = None, tried: bool = False) -> DataFrame:
+    """Adds observations, sorted by severity; a predicate that is unknown observes nothing.
+
+    A rule of one's own that cannot run costs no report: it gives one notice with the reason. What the plan refuses is found without a job; `tried` runs each own rule once
+    over the reports beforehand, so that one that fails on some row is found as well."""
+    listed = rules or RULES
+    own = [r for r in listed if r not in RULES]
+    failed = broken(reports, own, tried) if own else {}
+    entries = [_unfinished(r, i, failed[r.id]) if r.id in failed else _entries(r, i) for i, r in enumerate(listed)]
+    return reports.withColumn("observations", F.array_sort(F.flatten(F.filter(F.array(*entries), lambda e: e.isNotNull()))))
 
 
 def severities(reports: DataFrame) -> DataFrame:

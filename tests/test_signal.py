@@ -384,3 +384,22 @@ def test_manifests_settle_origins(spark):
     assert (r["c"]["origin_flag"], list(r["c"]["origin_reasons"])) == ("possible", ["Software (INFO ISFT) has the word Boomy"])
     assert (r["d"]["origin_flag"], list(r["d"]["processing"]), r["d"]["outcome"]) == ("none", ["LANDR"], "tool-named")
     assert r["e"]["origin_flag"] == "possible" and list(r["e"]["origin_reasons"]) == ["Comment (INFO ICMT) says 'prompt:'"]
+
+
+def test_broken_rules_cost_no_report(spark):
+    found = spark.createDataFrame([("a", bytearray(pcm(tone(8000, 1.2, 500, 0.5), 8000))), ("b", bytearray(b"RIFF\4\0\0\0WAVE"))], "report_id string, content binary")
+    r = rules.status(reports.from_files(found))
+    own = [
+        rules.Rule("absent", "info", lambda: F.col("no_such_column") > 1, title="x", detail="y"),
+        rules.Rule("poisoned", "info", lambda: F.when(F.col("report_id") == "b", F.raise_error(F.lit("poison"))).otherwise(True).cast("boolean"), title="x", detail="y"),
+        rules.Rule("sound", "info", lambda: F.col("channels") == 1, title="One channel", detail="{channels}"),
+    ]
+    got = {x["report_id"]: x["observations"] for x in rules.observe(r, [*rules.RULES, *own], tried=True).collect()}
+    plain = {x["report_id"]: x["observations"] for x in rules.observe(r).collect()}
+    assert "sound" in {o["obs_id"] for o in got["a"]}
+    for key, all_ in got.items():
+        errors = {o["obs_id"]: o for o in all_ if o["obs_id"].startswith("rule-error:")}
+        assert set(errors) == {"rule-error:absent", "rule-error:poisoned"} and all(o["severity"] == "notice" for o in errors.values())
+        assert "no_such_column" in errors["rule-error:absent"]["detail"]
+        # everything else is as it is without them
+        assert [(o["obs_id"], o["detail"]) for o in all_ if not o["obs_id"].startswith("rule-error:") and o["obs_id"] != "sound"] == [(o["obs_id"], o["detail"]) for o in plain[key]]
