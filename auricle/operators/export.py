@@ -67,7 +67,7 @@ def report_table(reports: DataFrame) -> DataFrame:
         "BWF timecode": texts.timecode(c("bext_samples").cast("long"), c("sample_rate")) if "bext_samples" in has else F.lit(None), "Stated BPM": text("tempo"),
         "Origin confidence": text("origin_confidence"), "Origin headline": F.when(c("origin_flag").cast("string") != "none", text("origin_headline")), "Origin reasons": list_("origin_reasons", " | "),
         "Integrated loudness (LUFS)": decibel_cell(c("integrated").cast("double")), "Loudness range (LU)": fixed("loudness_range", 2), "Short-term max (LUFS)": decibel_cell(c("short_term_max").cast("double")), "Momentary max (LUFS)": decibel_cell(c("momentary_max").cast("double")),
-        "Measured BPM": fixed("measured_bpm", 1), "Tempo confidence": text("tempo_confidence"), "Tempo steady": yes_no(c("tempo_steady").cast("boolean")), "Tempo low BPM": fixed("tempo_low", 1), "Tempo high BPM": fixed("tempo_high", 1),
+        "Audio MD5": text("audio_md5"), "Measured BPM": fixed("measured_bpm", 1), "Tempo confidence": text("tempo_confidence"), "Tempo steady": yes_no(c("tempo_steady").cast("boolean")), "Tempo low BPM": fixed("tempo_low", 1), "Tempo high BPM": fixed("tempo_high", 1),
         "Likely key": text("key_name"), "Other keys, same notes": list_("key_alternatives", " | "), "Key confidence": text("key_confidence"), "How tonal": harmony.strength(c("key_concentration").cast("double")),
         "Tools named": F.nullif(F.array_join(F.array_distinct(F.coalesce(c("tools_named").cast("array<string>"), c("tools").cast("array<string>"))), "; "), F.lit("")),
     }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from auricle.functions import shared
 from auricle.functions.measures import decibels
 from auricle.operators import provenance, signal, spectra
-from auricle.sources import containers, samples, tags
+from auricle.sources import containers, decoders, samples, tags
 
 c = F.col
 
@@ -26,7 +26,8 @@ def fields_of(found: DataFrame) -> DataFrame:
 
 
 def from_files(found: DataFrame) -> DataFrame:
-    """A report for each file (report_id, content) that is a known container. What is not established is NULL; files without readable samples are not measured.
+    """A report for each file (report_id, content) that is a known container. What is not established is NULL; files without readable samples are not measured, and where
+    that is a decoder's word, `reason` has it. Compressed files that a registered decoder takes are measured as decoded.
 
     One pass over the contents lists chunks and metadata, one sums the samples, one filters them; a content meets its format, of one row a file, and no other content."""
     own = tags.inventory(found)
@@ -37,24 +38,25 @@ def from_files(found: DataFrame) -> DataFrame:
     sizes = own.where("what = 'file' AND kind IS NOT NULL").select("report_id", "kind", c("length").alias("actual_size"), (riff + 8).alias("declared_size"))
     warned = listed.groupBy("report_id").agg(F.array_sort(F.collect_set("stopped")).alias("warnings"))
     origin = provenance.origins(own.where("what = 'tag'")).withColumnRenamed("processing", "tools")
-    filtered = signal.analysed(samples.from_contents(found, described))
+    heard, plain, told = decoders.opened(found, described)
+    told = told.select("report_id", "decoder", "reason", c("md5_stated").alias("audio_md5"), "md5_holds", F.when(c("reason").isNull(), F.try_divide(c("frames").cast("double"), "rate")).alias("decoded_seconds"))
+    filtered = signal.analysed(samples.from_contents(heard, plain))
     peaks = signal.true_peak_of(filtered).select("report_id", c("true_peak_dbtp").alias("true_peak"))
     loud = signal.loudness_of(filtered).select("report_id", *(c(x).alias(y) for x, y in (("integrated", "integrated"), ("range", "loudness_range"), ("momentary_max", "momentary_max"), ("short_term_max", "short_term_max"))))
-    per = containers.channel_levels(found, described)
+    per = containers.channel_levels(heard, plain)
     channels = F.array_sort(F.collect_list(F.struct("channel", "digital_silence", "dc_offset")))  # one element a channel
     levels = per.groupBy("report_id").agg(
         F.max("peak").alias("peak"), F.max("longest_run").alias("longest_run"), F.sum("full_scale").alias("full_scale"), F.sum("non_finite").alias("non_finite"),
         F.sqrt(F.avg(c("rms") * c("rms"))).alias("rms"), F.when(F.count("digital_silence") == F.count("*"), F.bool_and("digital_silence")).alias("digital_silence"), channels.alias("own"),
     )
     out = sizes  # a file without any chunk has a report too
-    for more in (described.drop("kind"), levels, warned, origin, peaks, loud, fields_of(own.where("what = 'tag'"))):
+    for more in (described.drop("kind"), levels, told, warned, origin, peaks, loud, fields_of(own.where("what = 'tag'"))):
         out = out.join(more, "report_id", "left")
     none = F.array().cast("array<string>")
-    nothing = lambda kind: F.lit(None).cast(kind)
     return out.withColumns({
         "measured": c("own").isNotNull(),
         "complete": F.when(c("own").isNotNull(), F.lit(True)), "coverage": F.when(c("own").isNotNull(), F.lit(1.0)),
-        "source": F.when(c("own").isNotNull(), "container"),
+        "source": F.when(c("own").isNotNull(), F.when(c("decoder").isNotNull(), "decoded").otherwise("container")),
         "peak_dbfs": decibels(c("peak")),
         "channel_silence": F.transform("own", lambda x: x["digital_silence"]),
         "dc_offsets": F.transform("own", lambda x: x["dc_offset"]),
@@ -65,7 +67,6 @@ def from_files(found: DataFrame) -> DataFrame:
         "errors": F.size(F.filter("warnings", lambda w: w.rlike(r"^[A-Za-z]+(Error|Exception) behind "))).cast("long"),
         "warnings": F.coalesce("warnings", none),
         "mask_channels": F.when(c("channel_mask") > 0, F.bit_count("channel_mask").cast("long")), "undefined_bits": F.shiftright("channel_mask", 18) > 0,
-        "decoded_seconds": nothing("double"),
         # metadata were read, and say nothing where there are none
         "manifest": F.coalesce("manifest", F.lit(False)), "origin_flag": F.coalesce("origin_flag", F.lit("none")), "tools": F.coalesce("tools", none), "tools_named": F.coalesce("tools_named", none), "outcome": F.coalesce("outcome", F.lit("nothing-recorded")),
     }).drop("own")

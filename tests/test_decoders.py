@@ -181,3 +181,21 @@ def test_a_decoder_from_outside(spark, monkeypatch):
     contents, plain, told = decoders.opened(found, containers.formats(containers.chunks(found)))
     assert told.first()["decoder"] == "law"
     assert containers.channel_levels(contents, plain).select("frames", F.col("peak")).first() == (2, 2 / 128)
+
+
+def test_reports_measure_what_was_decoded(spark):
+    from auricle.operators import export, reports, rules
+
+    x, frames = coded()
+    good = stream(x, 16, frames)
+    broken = bytearray(good)
+    broken[-1] ^= 4
+    found = spark.createDataFrame([("good", good), ("broken", bytes(broken))], "report_id string, content binary")
+    made = rules.observe(rules.status(reports.from_files(found))).persist()
+    r = {x["report_id"]: x for x in made.collect()}
+    assert r["good"]["source"] == "decoded" and r["good"]["codec"] == "flac" and r["good"]["measured"] and r["good"]["md5_holds"] and r["good"]["decoded_seconds"] == len(x) / 8000
+    assert abs(r["good"]["peak"] - abs(x).max() / 32768) < 1e-9 and r["good"]["integrated"] is not None and r["good"]["true_peak"] >= r["good"]["peak_dbfs"]
+    assert not r["broken"]["measured"] and r["broken"]["reason"] == "It could not be decoded: a frame's checksum does not hold." and r["broken"]["peak"] is None
+    cells = {row["File"]: row for row in export.report_table(made).collect()}
+    assert cells["good"]["Audio MD5"] == r["good"]["audio_md5"] and cells["good"]["Level measurement source"] == "decoded"
+    made.unpersist()
