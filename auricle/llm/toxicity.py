@@ -10,7 +10,7 @@ words that were seen. Digits inside a word belong to it.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +75,26 @@ def subwords(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), (words.mix(np.concatenate(hashes)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
+def sorted_subwords(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The same, by words; made for TOGETHER words at a time, since what it takes meanwhile is many times what comes out."""
+    owners, buckets = [], []
+    for lo in range(0, len(found), TOGETHER):
+        owner, bucket = subwords(found[lo : lo + TOGETHER])
+        order = np.argsort(owner, kind="stable")
+        owners.append((owner[order] + lo).astype(np.int32))
+        buckets.append(bucket[order].astype(np.int32))
+    return np.concatenate(owners), np.concatenate(buckets)
+
+
+def _sums(at: np.ndarray, values: Callable[[slice], np.ndarray], n: int) -> np.ndarray:
+    """What np.bincount(at, all values, n) gives, added in the same order, without arrays of all values."""
+    total = np.zeros(n)
+    for lo in range(0, len(at), TOGETHER):
+        own = slice(lo, lo + TOGETHER)
+        np.add.at(total, at[own], values(own))
+    return total
+
+
 def passages(n_words: int) -> np.ndarray:
     """Where the passages of a text begin: of about equal length, of SPAN words or a little more."""
     return np.linspace(0, n_words, max(1, n_words // SPAN) + 1)[:-1].astype(np.int64) if n_words else np.zeros(0, np.int64)
@@ -122,20 +142,19 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
         share = float(toxic.mean()) if len(toxic) else 0.5
         return Model(np.zeros(BUCKETS), 0.0, 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     number: dict[str, int] = {}
-    word, start, doc, n = array("i"), [], [], 0
+    word, start, doc, n = array("i"), array("q"), array("q"), 0
     for i, t in enumerate(texts):
-        own = [number.setdefault(w, len(number)) for w in words_of(t)]
-        start += (n + passages(len(own))).tolist()
-        doc += [i] * len(passages(len(own)))
+        own = array("i", [number.setdefault(w, len(number)) for w in words_of(t)])
+        begin = n + passages(len(own))
+        start.frombytes(begin.tobytes())
+        doc.frombytes(np.full(len(begin), i).tobytes())
         word.extend(own)
         n += len(own)
-    word, start, doc = np.array(word, np.int32), np.array(start), np.array(doc)
+    word, start, doc = np.frombuffer(word, np.int32), np.frombuffer(start, np.int64), np.frombuffer(doc, np.int64)
     n_words = len(number)
-    owner, flat = subwords(list(number))
-    order = np.argsort(owner, kind="stable")
-    owner, flat = owner[order].astype(np.int32), flat[order].astype(np.int32)
+    owner, flat = sorted_subwords(list(number))
+    number.clear()
     sizes = np.bincount(owner, minlength=n_words)
-    del order
     length = np.diff(np.append(start, n))
     ends, in_docs = np.cumsum(sizes), np.zeros((2, BUCKETS))
     for lo in np.unique(doc):
@@ -169,7 +188,8 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
     balance_of = np.where(label == 1, 0.5 / toxic.sum(), 0.5 / (1 - toxic).sum())
     moments = [[np.zeros_like(vectors), np.zeros_like(vectors)], [np.zeros(SIZE), np.zeros(SIZE)], [np.zeros(1), np.zeros(1)]]
     for step in range(ROUNDS):
-        by_word = np.bincount(owner, share * (vectors @ softmax)[bucket], n_words)
+        seen_by_softmax = vectors @ softmax
+        by_word = _sums(owner, lambda own: share[own] * seen_by_softmax[bucket[own]], n_words)
         logit = np.add.reduceat(by_word[word], start) / length + bias
         top = np.zeros(len(doc), bool)
         top[np.lexsort((-logit, doc))[place < TOP]] = True
@@ -180,7 +200,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
         error = balance_of * (1 / (1 + np.exp(-np.clip(highest, -30, 30))) - label)
         error = np.where(top, np.repeat(error / np.minimum(many, TOP), many), 0)
         to_word = np.bincount(word, np.repeat(error / length, length), n_words)
-        to_bucket = np.bincount(bucket, share * to_word[owner], len(used))
+        to_bucket = _sums(bucket, lambda own: share[own] * to_word[owner[own]], len(used))
         grads = (np.outer(to_bucket, softmax), to_bucket @ vectors, float(error.sum()))
         moves = []
         for (mean, square), g, rate in zip(moments, grads, RATES):  # Adam

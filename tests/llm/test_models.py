@@ -211,3 +211,15 @@ def test_probabilities_after_a_match_sum_to_one_at_most():
     key = np.full(100_001, 5, np.uint64)
     got = mixing.continued(key, numbers, np.ones(100_001, np.int64), np.append([9], np.ones(100_000, np.int64)), np.append([False], np.ones(100_000, bool)))
     assert (got[1:] & mixing.HIT > 0).sum() == 1 and got[1] & mixing.HIT
+
+
+def test_training_in_blocks_gives_the_same_numbers(monkeypatch):
+    """Subwords and sums are made for some words at a time, to the last bit as if made at once."""
+    monkeypatch.setattr(toxicity, "TOGETHER", 7)
+    found = ["one", "zwei", "Ängste", "été", "x" * 42, "a1b2", "abcdef"] * 3
+    owner, bucket = toxicity.subwords(found)
+    order = np.argsort(owner, kind="stable")
+    got = toxicity.sorted_subwords(found)
+    assert (got[0] == owner[order]).all() and (got[1] == bucket[order]).all()
+    value = np.random.default_rng(3).normal(size=len(bucket))
+    assert (toxicity._sums(bucket, lambda own: value[own], toxicity.BUCKETS) == np.bincount(bucket, value, toxicity.BUCKETS)).all()

@@ -76,3 +76,24 @@ def test_many_texts_that_share_buckets_and_are_not_linked(spark, monkeypatch):
     rows += [(1000 + i, " ".join([*texts[i][:-3], "x", "y", "z"])) for i in range(0, 500, 25)]
     out = {r["doc_id"]: r["component_id"] for r in near.groups(documents(spark, rows)).collect()}
     assert out == {i: i if i < 1000 else i - 1000 for i, _ in rows}
+
+
+def test_a_step_of_components_shuffles_little(spark, monkeypatch):
+    """Three exchanges at most: both sides of the join and the links of a node. There were twelve and more, each of which is a plan to keep and a wave of tasks."""
+    plans = []
+    for name in ("stored", "cut"):
+        monkeypatch.setattr(graph.common, name, lambda df, *a, f=getattr(graph.common, name): plans.append(df._jdf.queryExecution().executedPlan().toString()) or f(df, *a))
+    graph.components(spark.createDataFrame([(i, i + 1) for i in range(8)], "a long, b long")).collect()
+    assert len(plans) > 1 and max(p.count("Exchange") for p in plans) <= 3
+
+
+def test_components_of_hubs_and_chance_links(spark, monkeypatch):
+    """Stars whose centre is the smallest, the largest and a middle id, and random links, in forests of few nodes."""
+    monkeypatch.setattr(graph, "NODES", 16)
+    rng = random.Random(5)
+    pairs = [(0, i) for i in range(1, 400)] + [(1500, i) for i in range(1000, 1400)] + [(2200, i) for i in range(2000, 2400)]
+    pairs += [(5000 + rng.randrange(1500), 5000 + rng.randrange(1500)) for _ in range(1000)]
+    rng.shuffle(pairs)
+    got = {r["id"]: r["comp"] for r in graph.components(spark.createDataFrame(pairs, "a long, b long").repartition(5)).collect()}
+    nodes = {x for p in pairs if p[0] != p[1] for x in p}
+    assert got == components(nodes, [p for p in pairs if p[0] != p[1]])
