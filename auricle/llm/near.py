@@ -224,19 +224,19 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Links (a, b) among pairs, confirmed on the full sets."""
+    """Links (a, b) among pairs, confirmed on the full sets; where an id has several texts, a link may be repeated."""
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     sized = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
     near = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT) & (differing("s_a", "s_b") <= SKETCH_DIFFERENCE)
-    pairs = common.stored(sized.where(near).select("a", "b").distinct(), "pairs")
+    pairs = common.stored(sized.where(near).select("a", "b"), "pairs")
     texts = _texts(docs, pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")))
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return common.stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a long, b long").distinct(), "links")
+    return common.stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a long, b long"), "links")
 
 
 def _across(members: DataFrame, labels: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Links (a, b) between different components (labels) that meet in a bucket (key, rep)."""
+    """Links (a, b) between different components (labels) that meet in a bucket (key, rep), some of them repeatedly."""
     labelled = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
     labelled = common.stored(labelled, "labelled")
     sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"))
@@ -253,7 +253,7 @@ def _across(members: DataFrame, labels: DataFrame, docs: DataFrame, reps: DataFr
     wanted = common.stored(tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_wanted, "key long, i int, j int, apart boolean, rep long"), "wanted")
     texts = _texts(docs, wanted.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
     needed = tasks.join(wanted, ["key", "i", "j", "apart", "rep"]).join(texts, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return common.stored(needed.mapInArrow(_blocks, "a long, b long").distinct(), "more-links")
+    return common.stored(needed.mapInArrow(_blocks, "a long, b long"), "more-links")
 
 
 def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
