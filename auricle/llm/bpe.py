@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,12 @@ from . import common
 
 #: Pieces up to so many bytes are merged directly.
 LEAF = 24
-#: Encoded pieces that a worker remembers; beyond, it starts anew.
+#: Ids up to so many are decoded directly.
+SPAN = 4096
+#: Encoded pieces that a worker remembers; beyond, it forgets those not met since half of them came.
 MEMORY = 300_000
+#: Higher than any rank.
+NONE = 1 << 62
 NAME = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -33,10 +39,21 @@ def load_ranks(lines: bytes) -> dict[bytes, int]:
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Joins the adjacent pair of lowest rank, the leftmost first, until no pair has a rank; a heap keeps long pieces n log n."""
+    """Joins the adjacent pair of lowest rank, the leftmost first, until no pair has a rank; a heap keeps long pieces n log n, a list is quicker for short ones."""
     n = len(piece)
     if n < 2:
         return [ranks[piece]] if n else []
+    if n <= LEAF:
+        get, cut = ranks.get, list(range(n + 1))
+        pairs = [*[get(piece[i : i + 2], NONE) for i in range(n - 1)], NONE]
+        while (least := min(pairs)) != NONE:
+            i = pairs.index(least)
+            del pairs[i], cut[i + 1]
+            if i + 2 < len(cut):
+                pairs[i] = get(piece[cut[i] : cut[i + 2]], NONE)
+            if i:
+                pairs[i - 1] = get(piece[cut[i - 1] : cut[i + 1]], NONE)
+        return [ranks[piece[i:j]] for i, j in pairwise(cut)]
     after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
     heapq.heapify(heap)
@@ -55,13 +72,30 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
 
+class Known(dict):
+    """Packed ids by piece, in two halves: what is met again moves from the old one to the new one, which becomes the old one when it is full."""
+
+    def __init__(self, made: Callable[[str], bytes]):
+        super().__init__()
+        self.made, self.old = made, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= MEMORY // 2:
+            self.old = dict(self)
+            self.clear()
+        ids = self.old.get(piece) or self.made(piece)
+        if len(piece) <= 64:
+            self[piece] = ids
+        return ids
+
+
 class Codec:
     """Encodes and decodes with one table of ranks."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.tokens = {i: token for token, i in ranks.items()}
-        self.known: dict[str, bytes] = {}
+        self.known = Known(self.packed)
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of both sides' bytes from the encodings of each."""
@@ -87,22 +121,17 @@ class Codec:
         return [r] if (r := self.ranks.get(piece)) is not None else self.tree(piece)
 
     def packed(self, piece: str) -> bytes:
-        if len(self.known) >= MEMORY:
-            self.known.clear()
-        ids = np.array(self.piece(piece.encode()), "<u4").tobytes()
-        if len(piece) <= 64:
-            self.known[piece] = ids
-        return ids
+        ids = self.piece(piece.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        get, packed = self.known.get, self.packed
-        return b"".join([get(p) or packed(p) for p in self.split(text)])
+        return b"".join(map(self.known.__getitem__, self.split(text)))
 
     def decode(self, ids: list[int]) -> bytes:
         """The ids' bytes, concatenated up a tree of halves. Unknown ids raise KeyError."""
-        if len(ids) <= LEAF:
-            return b"".join([self.tokens[i] for i in ids])
+        if len(ids) <= SPAN:
+            return b"".join(map(self.tokens.__getitem__, ids))
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
@@ -116,7 +145,7 @@ class Codec:
 
 def _encoded(batches: Iterator[pa.RecordBatch], codec: Codec) -> Iterator[pa.RecordBatch]:
     for b in common.parts(batches):
-        ids = [codec.encode(t.decode()) for t in common.texts(b)]
+        ids = [codec.encode(t or "") for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
 

@@ -56,3 +56,21 @@ def test_rows(spark):
     both = bpe.decode(bpe.encode(documents(spark, rows))).where("doc_id = 1").first()
     assert bytes(both["decoded"]) == b"Hello, world"
     assert base64.b64decode("") == b""
+
+
+def test_a_frequent_piece_outlasts_new_ones(monkeypatch):
+    """What is met again and again is merged once, however many pieces come between; before, all was forgotten at once."""
+    monkeypatch.setattr(bpe, "MEMORY", 40)
+    codec, merged = bpe.Codec(RANKS, public_tokenizers.PATTERN), []
+    piece = codec.piece
+    monkeypatch.setattr(codec, "piece", lambda p: merged.append(p) or piece(p))
+    for i in range(200):
+        assert np.frombuffer(codec.encode(f"zqxjkv 7{i}q"), "<u4").tolist() == REAL.encode_ordinary(f"zqxjkv 7{i}q")
+    assert merged.count(b"zqxjkv") == 1
+    assert len(codec.known) + len(codec.known.old) <= 40
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.binary(min_size=1, max_size=bpe.LEAF))
+def test_short_pieces(piece):
+    assert bpe.merge(piece, RANKS) == REAL._encode_single_piece(piece)
