@@ -223,3 +223,48 @@ def test_training_in_blocks_gives_the_same_numbers(monkeypatch):
     assert (got[0] == owner[order]).all() and (got[1] == bucket[order]).all()
     value = np.random.default_rng(3).normal(size=len(bucket))
     assert (toxicity._sums(bucket, lambda own: value[own], toxicity.BUCKETS) == np.bincount(bucket, value, toxicity.BUCKETS)).all()
+
+
+def test_shared_beginnings_of_words_are_spelled_once():
+    """In any order, repeated or not, words come out as if each were spelled alone; sorted ones take fewer bits."""
+    rng = np.random.default_rng(8)
+    found = [bytes(rng.integers(97, 100, rng.integers(1, 9)).astype(np.uint8)) for _ in range(300)] + [b"\0", b"\0\0", "é".encode(), b"x" * 600, b"x" * 600 + b"y"]
+    count = rng.integers(1, 6, len(found)).astype(float)
+    letters = mixing.Letters(np.bincount(np.frombuffer(b" ".join([*found, b""]), np.uint8), minlength=256))
+    kind, tables = mixing.SPELLING, []
+    each = [mixing.spelled([w], letters, n, True) for w, n in zip(found, count.reshape(-1, 1))]
+    order = sorted(range(len(found)), key=found.__getitem__)
+    together = [mixing.spelled([found[i] for i in at], letters, count[at], True) for at in (order, rng.permutation(len(found)).tolist())]
+    for several in (each, together[:1], together[1:]):
+        tables.append(np.zeros(2 * kind.slots, np.int64))
+        mixing.count(tables[-1], kind, several)
+    assert (tables[0] == tables[1]).all() and (tables[0] == tables[2]).all()
+    assert len(together[0].bit) < 0.6 * sum(len(b.bit) for b in each)
+    learners = [mixing.Learner(kind, mixing.Opinions(kind, mixing.packed(tables[0]))) for _ in range(2)]
+    for learner, bits in zip(learners, together):
+        learner.add(bits)
+    # one step from the same words: the same weights and map, however they share
+    assert np.allclose(learners[0].values(), learners[1].values(), rtol=1e-3, atol=1e-3)
+    model = mixing.Model(kind, mixing.packed(tables[0]), learners[0].values())
+    alone = [mixing.spellings(model, letters, [w])[0] for w in found]
+    assert np.allclose(mixing.spellings(model, letters, found), alone, atol=1e-4)
+    assert np.allclose(mixing.spellings(model, letters, [found[i] for i in order]), np.array(alone)[order], atol=1e-4)
+
+
+def test_four_steps_of_a_code_share_a_group_of_slots():
+    book = mixing.Book([b"w%d" % i for i in range(500)], np.arange(500, 0, -1), 9)
+    leaf = np.random.default_rng(4).integers(0, 501, 400)
+    (bits,) = mixing.Contexts(leaf, np.zeros(400, np.uint8), np.array([400]), np.array([2]), 1).bits(book, 0, 400)
+    depth, token = bits.row, bits.token
+    for i in (1, 2):
+        groups = {}
+        for t, d, slot in zip(token.tolist(), depth.tolist(), (bits.slots[i] >> 4).tolist()):
+            groups.setdefault((t, d // 4), set()).add(slot)
+        assert all(len(g) == 1 for g in groups.values())
+        assert ((bits.slots[i] >= mixing.SEQUENCE.bounds[i]) & (bits.slots[i] < mixing.SEQUENCE.bounds[i + 1])).all()
+    # after one word, different nodes of a group have different slots
+    (all_after,) = mixing.Contexts(np.array([x for k in range(501) for x in (7, k)]), np.zeros(1002, np.uint8), np.full(501, 2), np.zeros(501, int), 1).bits(book, 0, 1002)
+    late = all_after.token % 2 == 1
+    first = late & (all_after.row < 4)
+    nodes, slots = all_after.slots[0][first], all_after.slots[1][first]
+    assert len(set(zip(nodes.tolist(), slots.tolist()))) == len(set(nodes.tolist())) == len(set(slots.tolist()))
