@@ -19,8 +19,9 @@ def folder(spark: SparkSession, what: str) -> str:
     return f"{named}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """The same rows, written and read back: what follows sees them as they are now, however often it reads them."""
+def stored(df: DataFrame, what: str, rows: int = 0) -> DataFrame:
+    """The same rows, written and read back: what follows sees them as they are now, however often it reads them. rows: of a file at most (0: any), where one row is large; what is
+    written and read together is bounded by it."""
     path = folder(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from auricle.functions import display, shared
@@ -19,52 +19,47 @@ CHORD, CLICK, BEAT = 2000, 20, 2000
 ROOTS = [261.6255653005986, 349.2282314330039, 391.99543598174927, 440.0]
 #: Frames of a block: two of them do not fill a file. Samples of the spectra of onsets and of notes, and seconds of a key's section: small, for the SQL beside them.
 FRAMES, ONSET, NOTES, SECTION = 50_000, 64, 512, 10
+#: Files (of half a MB) that are stored together.
+TOGETHER = 8
+
+
+def notes(cents: np.ndarray) -> np.ndarray:
+    """(frames, 2): both channels' samples as numbers of 16 bits, from a file's prices in cents: chords whose loudness follows the price, clicks on every beat, and noise."""
+    g, j = np.arange(len(cents) * STEPS), np.tile(np.arange(STEPS), len(cents))
+    cents = np.repeat(cents, STEPS)
+    turn = 2 * math.pi * np.array(ROOTS)[g // CHORD % len(ROOTS)] * g / RATE
+    loud = 0.5 + np.fmod(cents, 1000) / 2000
+    left = 0.2 * loud * np.sin(turn) + 0.1 * np.sin(turn * 0.5) + 0.1 * np.sin(turn * 1.5) + np.where(g % BEAT < CLICK, 0.4 * (1 - 2 * (g % 2)), 0.0)
+    right = 0.0005 * (np.fmod(cents * (2 * j + 1), 401) - 200)
+    return np.floor(np.stack([left, right], axis=1) * 32767 + 0.5).astype(np.int16)
+
+
+def container(body: bytes, big: bool) -> bytes:
+    """A stereo file of 16-bit samples: AIFF where they are big-endian, else WAV."""
+    u, n = lambda v, w: v.to_bytes(w, "big" if big else "little"), len(body)
+    if not big:
+        return b"RIFF" + u(n + 36, 4) + b"WAVEfmt " + u(16, 4) + u(1, 2) + u(2, 2) + u(RATE, 4) + u(RATE * 4, 4) + u(4, 2) + u(16, 2) + b"data" + u(n, 4) + body
+    # the rate as an 80-bit number: exponent 16383 + 11, mantissa RATE * 2^52
+    return b"FORM" + u(n + 46, 4) + b"AIFFCOMM" + u(18, 4) + u(2, 2) + u(n // 4, 4) + u(16, 2) + u(0x400A, 2) + u(RATE << 52, 8) + b"SSND" + u(n + 8, 4) + u(0, 8) + body
 
 
-def notes(spark, sf_dir):
-    """report_id, g (frame) and both channels' samples as numbers of 16 bits: chords whose loudness follows the price, clicks on every beat, and noise."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.floor(F.col("o_orderkey") / KEYS).alias("part"), "o_orderkey", F.floor(F.col("o_totalprice") * 100 + 0.5).cast("long").alias("cents"))
-    i = F.row_number().over(Window.partitionBy("part").orderBy("o_orderkey")) - 1
-    g = (F.col("i") * STEPS + F.col("j")).cast("long")
-    f = o.withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1)))).withColumn("g", g)
-    root = F.get(F.array(*map(F.lit, ROOTS)), (F.floor(F.col("g") / CHORD) % len(ROOTS)).cast("int"))
-    turn = 2 * math.pi * root * F.col("g") / RATE
-    loud = 0.5 + (F.col("cents") % 1000) / 2000
-    left = 0.2 * loud * F.sin(turn) + 0.1 * F.sin(turn * 0.5) + 0.1 * F.sin(turn * 1.5) + F.when(F.col("g") % BEAT < CLICK, 0.4 * (1 - 2 * (F.col("g") % 2))).otherwise(0.0)
-    right = 0.0005 * ((F.col("cents") * (2 * F.col("j") + 1)) % 401 - 200)
-    sixteen = lambda x: F.floor(x * 32767 + 0.5).cast("int")
-    return f.select(F.concat(F.lit("music-"), F.col("part").cast("string")).alias("report_id"), "part", "g", sixteen(left).alias("left"), sixteen(right).alias("right"))
-
-
-def packed(values: Column, big: Column) -> Column:
-    """Numbers as 16-bit samples, big-endian or not."""
-
-    @F.arrow_udf("binary")
-    def run(v: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([np.array(x.as_py(), ">i2" if order else "<i2").tobytes() for x, order in zip(v, b.to_pylist())], pa.binary())
-
-    return run(values, big)
+def music(spark, sf_dir):
+    """A stereo file for every KEYS order keys: WAV or, for odd ones, AIFF. What is gathered for one is a price an order; samples are made in the task that makes their file, one file at a time."""
+    cents = F.floor(F.col("o_totalprice") * 100 + 0.5).cast("long").alias("cents")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.floor(F.col("o_orderkey") / KEYS).alias("part"), "o_orderkey", cents)
+    each = o.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "cents"))).alias("v")).select("part", F.transform("v", lambda x: x["cents"]).alias("cents"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in containers.single(batches):
+            part, big = b.column("part")[0].as_py(), b.column("part")[0].as_py() % 2 == 1
+            body = notes(b.column("cents").flatten().to_numpy()).astype(">i2" if big else "<i2").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([f"music-{part}"]), pa.array([container(body, big)], pa.binary())], ["report_id", "content"])
 
-def music(spark, sf_dir):
-    """A stereo file for every KEYS order keys: WAV or, for odd ones, AIFF. At most KEYS * STEPS frames are gathered for one."""
-    n = notes(spark, sf_dir)
-    each = n.groupBy("report_id", "part").agg(F.array_sort(F.collect_list(F.struct("g", "left", "right"))).alias("v"))
-    big = F.col("part") % 2 == 1
-    body = packed(F.flatten(F.transform("v", lambda x: F.array(x["left"], x["right"]))), big)
-    u = lambda v, w: F.unhex(F.lpad(F.hex(v), 2 * w, "0"))
-    le = lambda v: F.unhex(F.concat(*(F.substring(F.lpad(F.hex(v), 8, "0"), 2 * i + 1, 2) for i in (3, 2, 1, 0))))
-    text, size = lambda t: F.lit(t.encode("latin-1")), F.length("body").cast("long")
-    fmt = F.lit(b"WAVEfmt " + np.array([16], "<u4").tobytes() + np.array([1, 2], "<u2").tobytes() + np.array([RATE, RATE * 4], "<u4").tobytes() + np.array([4, 16], "<u2").tobytes() + b"data")
-    wav = F.concat(text("RIFF"), le(size + 36), fmt, le(size), F.col("body"))
-    # the rate as an 80-bit number: exponent 16383 + 11, mantissa RATE * 2^52
-    comm = F.concat(text("AIFFCOMM"), u(F.lit(18), 4), u(F.lit(2), 2), u(F.floor(size / 4), 4), u(F.lit(16), 2), F.unhex(F.lit("400A" + f"{RATE << 52:016X}")))
-    aiff = F.concat(text("FORM"), u(size + 46, 4), comm, text("SSND"), u(size + 8, 4), u(F.lit(0).cast("long"), 8), F.col("body"))
-    return each.select("report_id", big.alias("big"), body.alias("body")).select("report_id", F.when(F.col("big"), aiff).otherwise(wav).alias("content"))
+    return each.mapInArrow(run, "report_id string, content binary")
 
 
 def _blocks(spark, sf_dir, **halo):
-    found = music(spark, sf_dir)
+    found = shared.stored(music(spark, sf_dir), "music", TOGETHER)  # its chunks and its blocks are read
     described = containers.formats(containers.chunks(found))
     return samples.from_contents(found, described, FRAMES, **halo)
 
@@ -124,7 +119,7 @@ TABLE = ["File", "Read result", "Container", "Sample rate (Hz)", "Channels", "Sa
 
 def file_table(spark, sf_dir):
     """The table of reports of the files, from their bytes to its cells: loudness, true peak, tempo and key among them."""
-    found = shared.stored(music(spark, sf_dir), "music")
+    found = shared.stored(music(spark, sf_dir), "music", TOGETHER)
     r = reports.with_music(rules.observe(rules.status(reports.from_files(found))), spectra.spectra(samples.from_contents(found, containers.formats(containers.chunks(found)), FRAMES, **spectra.halo(ONSET, NOTES)), ONSET, NOTES), NOTES, SECTION)
     return export.report_table(r).select(*(F.col(f"`{x}`") for x in TABLE))
 

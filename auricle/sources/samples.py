@@ -15,12 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auricle.functions import shared
 from auricle.sources import containers, ranges
 
 # Bytes of audio that are read whole at most, and probes beyond.
 CEILING, PROBES = 128 << 20, 64
 #: Frames of a block, and bytes of a probe.
 FRAMES, PROBE_BYTES = 1 << 16, 2 << 20
+#: Blocks of all files whose places are sent to every task, so that contents stay where they are; with more, contents are shuffled to their places.
+SENT = 50_000
 
 FORMAT = ["kind", "sample_rate", "channels", "bit_depth", "is_float", "little"]
 BLOCKS = "report_id string, block long, first long, own long, lead long, whole boolean, last boolean, raw binary, kind string, sample_rate long, channels long, bit_depth long, is_float boolean, little boolean"
@@ -61,9 +64,12 @@ def from_ranges(described: DataFrame, frames: int = FRAMES, ceiling: int = CEILI
 
 
 def from_contents(found: DataFrame, described: DataFrame, frames: int = FRAMES, ceiling: int = CEILING, **halo: Column | int) -> DataFrame:
-    """Blocks of files whose contents are in a table (report_id, content). A content meets its format, one row a file, and is cut where it stands."""
+    """Blocks of files whose contents are in a table (report_id, content). A content meets its format, one row a file, and is cut where it stands; it moves only where there are more than SENT blocks."""
     asked = plan(described, frames, ceiling, **halo)
     each = asked.groupBy("report_id").agg(F.collect_list(F.struct("block", "first", "own", "lead", "whole", "last", "offset", "size")).alias("ranges"), *(F.first(c).alias(c) for c in FORMAT))
+    each = shared.stored(each, "ranges")
+    many = each.agg(F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()[0]
+    each = F.broadcast(each) if many <= SENT else each
     names = [x.split()[0] for x in BLOCKS.split(", ")]
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
 

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from auricle.functions import shared
 from auricle.operators import provenance, reports, rules, series, signal, spectra, tempo
 from auricle.sources import boxes, containers, mpeg, ogg, ranges, samples, tags
 from tests.test_sources import wav
@@ -403,3 +404,34 @@ def test_broken_rules_cost_no_report(spark):
         assert "no_such_column" in errors["rule-error:absent"]["detail"]
         # everything else is as it is without them
         assert [(o["obs_id"], o["detail"]) for o in all_ if not o["obs_id"].startswith("rule-error:") and o["obs_id"] != "sound"] == [(o["obs_id"], o["detail"]) for o in plain[key]]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_of_music_gather_a_price_an_order(spark):
+    """No row for each frame is made or gathered: samples are made where their file is."""
+    from auricle.plans import signals
+
+    plan = _plan(signals.music(spark, "/root/testdata/sf0.001"))
+    assert "Generate" not in plan and "Window" not in plan
+    v = signals.notes(np.array([12_345, 99_999]))
+    assert v.shape == (2 * signals.STEPS, 2) and v[0].tolist() == [13107, int(np.floor(0.0005 * (12_345 % 401 - 200) * 32767 + 0.5))]
+
+
+def test_contents_stay_where_they_are_unless_blocks_are_many(spark, monkeypatch):
+    from auricle.plans import signals
+
+    found = shared.stored(signals.music(spark, "/root/testdata/sf0.001"), "music", 1)
+    described = containers.formats(containers.chunks(found))
+    cut = lambda: samples.from_contents(found, described, 4096)
+    few = cut()
+    assert "SortMergeJoin" not in _plan(few) and "ShuffledHashJoin" not in _plan(few)
+    monkeypatch.setattr(samples, "SENT", 0)
+    assert sorted(map(tuple, cut().collect())) == sorted(map(tuple, few.collect()))
+
+
+def test_stored_files_are_bounded_by_rows(spark):
+    s = shared.stored(spark.range(5).repartition(1), "few", 2)
+    assert s.select("_metadata.file_path").distinct().count() == 3 and s.count() == 5
