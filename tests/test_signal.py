@@ -406,6 +406,51 @@ def test_broken_rules_cost_no_report(spark):
         assert [(o["obs_id"], o["detail"]) for o in all_ if not o["obs_id"].startswith("rule-error:") and o["obs_id"] != "sound"] == [(o["obs_id"], o["detail"]) for o in plain[key]]
 
 
+def test_pages_listed_at_once_are_those_of_the_walk():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        data = b""
+        for i in range(int(rng.integers(1, 12))):
+            lacing = rng.choice([0, 3, 40, 255], int(rng.integers(0, 5))).tolist()
+            body = rng.choice([b"O", b"OggS", b"g"], sum(lacing)).tolist()
+            data += ogg_page(int(rng.integers(1, 3)), i, lacing, b"".join(body)[: sum(lacing)], granule=int(rng.integers(-1, 9))) + b"junkOggS"[: int(rng.choice([0, 0, 0, 5, 8]))]
+        data = data[: len(data) - int(rng.choice([0, 0, 1, 30]))]
+        want = [(at, *p[:5], p[5]) for at, p in ogg.walk(data)]
+        at, head, body, n, lacing = ogg.listed_pages(data)
+        ends = np.cumsum(n)
+        got = [(int(a), int(h["serial"]), int(h["sequence"]), int(h["flags"]), int(h["granule"]), int(b), lacing[e - k : e].tobytes()) for a, h, b, k, e in zip(at, head, body, n, ends)]
+        assert got == want
+
+
+def test_packets_need_no_row_for_each_lacing_value(spark):
+    rng = np.random.default_rng(5)
+    rows, want = [], []
+    for serial in (1, 2):
+        packet, size, pages, first = 0, 0, set(), None
+        for i in range(20):
+            lacing, body = rng.choice([0, 7, 255, 255], int(rng.integers(0, 6))).tolist(), i * 5000 + serial
+            rows.append(("a", i * 5000, serial, i, 0, i, body, lacing, True))
+            for n in lacing:
+                first, size = body if first is None else first, size + n
+                pages.add(i)
+                body += n
+                if n < 255:
+                    want.append((serial, packet, size, len(pages), first, i))
+                    packet, size, pages, first = packet + 1, 0, set(), None
+    out = ogg.packets(spark.createDataFrame(rows, ogg.PAGES))
+    assert sorted(tuple(r)[1:] for r in out.collect()) == sorted(want)
+    assert "posexplode" not in _plan(out)
+
+
+def test_ogg_files_are_made_page_by_page():
+    """Before, what stood already was copied for every page."""
+    from auricle.plans import formats
+
+    at, head, body, n, lacing = ogg.listed_pages(b"".join(formats.ogg_file(3000)))
+    assert len(at) == 2 * ((3000 * 97 // 255 + 2) // 2 + 2) and int(lacing.sum()) == 2 * (19 + 3000 * 97 + 3)
+    assert head["granule"][-1] == 3000 * 48000 and set(head["serial"].tolist()) == {7, 9} and n.max() == 2
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
