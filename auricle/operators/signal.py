@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from auricle.functions import shared
 from auricle.functions.measures import decibels, loudness
 from auricle.operators import gating, series
-from auricle.sources import samples
+from auricle.sources import containers, samples
 
 #: Samples that are filtered in lock-step with others.
 CHUNK = 128
@@ -150,22 +149,28 @@ def analysed(blocks: DataFrame) -> DataFrame:
     names = ["report_id", "channel", "block", "whole", "last", "sample_rate", "n", "finite", "state", "pieces", "inner", "sample", "head", "tail"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in samples.rows(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*_analysed_block(row)), kinds)], names)
+        yield from containers.together((x for row in samples.rows(batches) for x in _analysed_block(row)), kinds, names)
 
     return shared.stored(blocks.mapInArrow(run, ANALYSED), "analysed")
 
 
-def _scan(rows: pd.DataFrame) -> pd.DataFrame:
-    """The state in which each block of a channel finds the filter."""
-    rows = rows.sort_values("block")
-    a, powers, state, out = k_filter(int(rows["sample_rate"].iloc[0]))[0], {}, np.zeros(4), []
-    for n, own in zip(rows["n"], rows["state"]):
-        out.append(state)
-        if n not in powers:
-            powers[n] = np.linalg.matrix_power(a, int(n))
-        state = powers[n] @ state + np.array(own)
-    return pd.DataFrame({"report_id": rows["report_id"], "channel": rows["channel"], "block": rows["block"], "found": [s.tolist() for s in out]})
+def _scan(rate: Column, ns: Column, states: Column) -> Column:
+    """The states in which the blocks of a channel, in order, find the filter; many channels share a batch."""
+
+    @F.arrow_udf("array<array<double>>")
+    def run(rates: pa.Array, ns: pa.Array, states: pa.Array) -> pa.Array:
+        found, powers = [], {}
+        for hz, sizes, own in zip(rates.to_pylist(), ns.to_pylist(), states.to_pylist()):
+            state, out = np.zeros(4), [[0.0] * 4]
+            for n, ends in zip(sizes[:-1], own[:-1]):
+                if (hz, n) not in powers:
+                    powers[hz, n] = np.linalg.matrix_power(k_filter(hz)[0], n)
+                state = powers[hz, n] @ state + np.array(ends)
+                out.append(state.tolist())
+            found.append(out)
+        return pa.array(found, pa.list_(pa.list_(pa.float64())))
+
+    return run(rate, ns, states)
 
 
 def weight(name: Column) -> Column:
@@ -176,7 +181,10 @@ def weight(name: Column) -> Column:
 def sub_blocks(found: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """report_id, block (the number of a full sub-block), power (weighted, of all channels) and frames of each sub-block. found: rows of analysed();
     names: report_id and channel_names, an array or NULL, where layouts are known."""
-    states = found.where("whole").select("report_id", "channel", "block", "sample_rate", "n", "state").groupBy("report_id", "channel").applyInPandas(_scan, "report_id string, channel int, block long, found array<double>")
+    lists = found.where("whole").groupBy("report_id", "channel").agg(F.first("sample_rate").alias("sample_rate"), F.array_sort(F.collect_list(F.struct("block", "n", "state"))).alias("v"))
+    each = lambda name: F.transform("v", lambda x: x[name])
+    scanned = lists.select("report_id", "channel", F.explode(F.arrays_zip(each("block").alias("block"), _scan(F.col("sample_rate"), each("n"), each("state")).alias("found"))).alias("x"))
+    states = scanned.select("report_id", "channel", "x.block", "x.found")
     rows = found.where("whole").select("report_id", "channel", "block", "sample_rate", F.explode("pieces").alias("p")).join(states, ["report_id", "channel", "block"])
     s, p = F.col("found"), F.col("p")
     power = p["own"]

@@ -7,7 +7,7 @@ them in parallel, and a damaged file yields fewer rows, never a failed task.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +19,8 @@ from auricle.functions.texts import file_kind
 
 #: Chunks of a file at most, bytes of a chunk that are kept for reading its fields, frames of a block of samples.
 MAX_CHUNKS, HEAD, BLOCK = 4096, 64, 1 << 16
+#: Rows, and their bytes (about), that leave a task at once.
+ROWS, BYTES = 1000, 2 << 20
 EXTENSIONS = ["wav", "bwf", "rf64", "aif", "aiff", "aifc", "mp4", "m4a", "flac", "caf", "ogg", "oga", "opus", "mp3"]
 
 
@@ -236,16 +238,18 @@ def tracked_until(content: bytes, kind: str, walker: Callable[[bytes], Iterator[
 
 def listing(report_id: str, kind: str, content: bytes) -> list[tuple]:
     """The rows of a file's chunks; a file without any has one row without a chunk. Every row has why the walk stopped early, if it did."""
-    out, reason = tracked_until(content, kind)
+    return listed(report_id, kind, *tracked_until(content, kind))
+
+
+def listed(report_id: str, kind: str, out: list[tuple], reason: str | None) -> list[tuple]:
     return [(report_id, kind, i, *c, reason) for i, c in enumerate(out)] or [(report_id, kind, *[None] * 9, reason or "no chunks")]
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in CHUNKS.split(", ")]
     kinds = [pa.string(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int32(), pa.bool_(), pa.string()]
-    for b in single(batches):
-        out = [x for r, k, content in zip(*(b.column(c).to_pylist() for c in ("report_id", "kind", "content"))) if k and content for x in listing(r, k, content)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(kinds), kinds)], names)
+    found = ((b.column(c)[0].as_py() for c in ("report_id", "kind", "content")) for b in single(batches))
+    yield from together((x for r, k, content in found if k and content for x in listing(r, k, content)), kinds, names)
 
 
 def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,6 +259,21 @@ def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(i, 1)
 
 
+def together(rows: Iterable[tuple], kinds: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of at most ROWS of them, or as many as have BYTES (an element of a list counts a hundred): many small files share the cost of a batch, a large one has its own."""
+    held, size = [], 0
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), kinds)], names)
+    for row in rows:
+        own = sum(len(x) if isinstance(x, (bytes, str)) else 100 * len(x) for x in row if isinstance(x, (bytes, str, list)))
+        if held and (len(held) >= ROWS or size + own > BYTES):
+            yield batch()
+            held, size = [], 0
+        held.append(row)
+        size += own
+    if held:
+        yield batch()
+
+
 def files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """report_id (the path) and content of the files below a path whose extension is that of a known container."""
     pattern = "*.{" + ",".join(e for x in EXTENSIONS for e in (x, x.upper())) + "}"
@@ -423,9 +442,7 @@ FULL_SCALE = 32767 / 32768
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in SUMS.split(", ")]
     kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    for b in single(batches):
-        out = [x for r in b.to_pylist() for x in block_sums(r["report_id"], r["content"], r)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(kinds), kinds)], names)
+    yield from together((x for b in single(batches) for r in b.to_pylist() for x in block_sums(r["report_id"], r["content"], r)), kinds, names)
 
 
 def channel_levels(found: DataFrame, described: DataFrame) -> DataFrame:

@@ -74,12 +74,8 @@ def from_contents(found: DataFrame, described: DataFrame, frames: int = FRAMES,
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows(batches):
-            form = [row[c] for c in FORMAT]
-            for x in row["ranges"]:
-                raw = row["content"][x["offset"] : x["offset"] + x["size"]]
-                values = [row["report_id"], *(x[c] for c in ("block", "first", "own", "lead", "whole", "last")), raw, *form]
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
+        out = ((row["report_id"], *(x[c] for c in ("block", "first", "own", "lead", "whole", "last")), row["content"][x["offset"] : x["offset"] + x["size"]], *(row[c] for c in FORMAT)) for row in rows(batches) for x in row["ranges"])
+        yield from containers.together(out, kinds, names)
 
     return found.select("report_id", "content").join(each, "report_id").mapInArrow(cut, BLOCKS)
 

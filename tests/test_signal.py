@@ -6,6 +6,7 @@ import struct
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -451,6 +452,21 @@ def test_ogg_files_are_made_page_by_page():
     assert head["granule"][-1] == 3000 * 48000 and set(head["serial"].tolist()) == {7, 9} and n.max() == 2
 
 
+def test_many_small_files_share_batches_and_large_ones_do_not():
+    kinds, names = [pa.int64(), pa.binary()], ["i", "b"]
+    sizes = lambda rows: [b.num_rows for b in containers.together(rows, kinds, names)]
+    assert sizes((i, b"x") for i in range(containers.ROWS + 1)) == [containers.ROWS, 1]
+    assert sizes((i, bytes(containers.BYTES)) for i in range(3)) == [1, 1, 1] and sizes([]) == []
+
+
+def test_states_are_scanned_without_a_python_call_for_each_channel(spark):
+    x = np.random.default_rng(2).uniform(-0.5, 0.5, (5000, 2))
+    one, many = (signal.sub_blocks(analysed(spark, {"a": pcm(x, 8000), "b": pcm(x[:900], 8000)}, n)) for n in (8192, 512))
+    assert "FlatMapGroupsInPandas" not in _plan(many)
+    a, b = ({(r["report_id"], r["block"]): r["power"] for r in d.collect()} for d in (one, many))
+    assert a.keys() == b.keys() and len(a) == 7 and all(abs(a[k] - b[k]) < 1e-9 * a[k] for k in a)
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
